@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality_rules, sharding
+from . import byte_bpe, decontaminate, jaccard, quality_rules, sharding, substring_dedup, suffix_dedup
 from .common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -32,11 +32,23 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op6_byte_bpe, op8_sharding)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents")))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op6_byte_bpe, op7_ngram_jaccard, op8_sharding, op9_suffix_dedup, op10_substring_dedup)}
 
 
 def oracles() -> dict[str, str]:
