@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, jaccard, quality_rules, sharding, substring_dedup, suffix_dedup
+from . import byte_bpe, decontaminate, jaccard, language_id, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, warc
 from .common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -22,6 +22,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select(*columns, F.round("host_rate", 6).alias("host_rate"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer() -> tuple[str, str]:
     import public_tokenizers
 
@@ -48,7 +60,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op6_byte_bpe, op7_ngram_jaccard, op8_sharding, op9_suffix_dedup, op10_substring_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate,
+        op2_quality_rules,
+        op3_warc,
+        op4_language_id,
+        op5_quality_classifier,
+        op6_byte_bpe,
+        op7_ngram_jaccard,
+        op8_sharding,
+        op9_suffix_dedup,
+        op10_substring_dedup,
+    )
+}
 
 
 def oracles() -> dict[str, str]:
