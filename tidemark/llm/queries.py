@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, jaccard, language_id, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, warc
+from . import oracles as oracle
 from .common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -78,4 +79,13 @@ QUERIES = {
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE, "op8_sharding": sharding.oracle(SHARDS)}
+    """SQL twins; tokenising and the two networks have none and are tested against brute force and held-out rows."""
+    return {
+        "op1_decontaminate": oracle.DECONTAMINATE,
+        "op2_quality_rules": quality_rules.ORACLE,
+        "op3_warc": oracle.WARC,
+        "op7_ngram_jaccard": oracle.JACCARD,
+        "op8_sharding": sharding.oracle(SHARDS),
+        "op9_suffix_dedup": oracle.BYTES,
+        "op10_substring_dedup": oracle.SUBSTRINGS,
+    }
