@@ -73,7 +73,7 @@ class SnapshotStore:
     def read(self, ledger: str) -> DataFrame:
         n = self.version(ledger)
         schema = schemas.LEDGERS[ledger]
-        return self.spark.read.schema(schema).parquet(str(self.root / ledger / f"v{n:08d}")) if n else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(str(self.root / ledger / f"v{n:08d}")) if n else schemas.empty(self.spark, schema)
 
     def replace(self, ledger: str, rows: DataFrame) -> int:
         n = self.version(ledger) + 1

@@ -49,12 +49,12 @@ class Ledgers:
     def table(self, name: str) -> DataFrame:
         """Rows of enabled sources (an absent ledger is empty)."""
         df = self.tables.get(name)
-        df = self.spark.createDataFrame([], schemas.LEDGERS[name]) if df is None else schemas.conform(df, schemas.LEDGERS[name])
+        df = schemas.empty(self.spark, schemas.LEDGERS[name]) if df is None else schemas.conform(df, schemas.LEDGERS[name])
         df = df.withColumn(S, F.coalesce(S, F.lit("")))
         return df.where(~F.col("source").isin(*self.disabled)) if self.disabled else df
 
     def ranked(self, df: DataFrame, data_type: str | Column) -> DataFrame:
-        empty = self.spark.createDataFrame([], schemas.SOURCE_PRIORITY)
+        empty = schemas.empty(self.spark, schemas.SOURCE_PRIORITY)
         return select.with_priority(df, self.priorities if self.priorities is not None else empty, data_type=data_type)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
@@ -50,6 +50,11 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def empty(spark: SparkSession, schema: StructType) -> DataFrame:
+    """No rows of a schema, as a plan that the optimizer folds away."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def _reasons(ledger: str) -> list[tuple[Column, str]]:
     c = F.col
     if ledger == "observations":
