@@ -56,7 +56,7 @@ if __name__ == "__main__":
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     os.environ["PYTHONPATH"] = str(Path(__file__).resolve().parent.parent)
-    spark = build_session("oracle", "local[8]", 8, **{"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build_session("oracle", f"local[{os.environ.get('ORACLE_CPUS', '8')}]", 8, **{"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     sqls = e.oracle_sql()
     for name, fn in e.queries().items():
