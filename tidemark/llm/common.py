@@ -6,7 +6,9 @@ temporaries of numpy stay bounded whatever the Arrow batch holds; a single longe
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -49,10 +51,15 @@ class Scratch:
             context._jsc.sc().conf().set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, *, settle: bool = False) -> DataFrame:
+        """``settle``: wait until Spark's cleaner has deleted the shuffle files of the plan that was written."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete shuffle files of finished plans
+        del df
+        for _ in range(2 if settle else 0):  # the plan goes in the first collection, what it held in the second
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
         return self.spark.read.parquet(path)
 
     def drop(self, name: str) -> None:

@@ -157,11 +157,11 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keep = keep or [id_col]
     carried = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("carried")
     keyed = docs.select(carried, F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    anchors = scratch.write(lonely(anchor_rows(keyed, window), ["h"]), "anchors")
-    found = scratch.write(candidates(keyed.join(anchors, "k", "left"), window), "candidates")
+    anchors = scratch.write(lonely(anchor_rows(keyed, window), ["h"]), "anchors", settle=True)
+    found = scratch.write(candidates(keyed.join(anchors, "k", "left"), window), "candidates", settle=True)
     scratch.drop("anchors")
     windows = found.where("size(starts) > 0").select("k", F.explode(F.arrays_zip("w1", "w2", "starts")).alias("e"))
-    unique = scratch.write(lonely(windows.select("k", F.col("e.starts").alias("p"), "e.w1", "e.w2"), ["w1", "w2"]), "unique")
+    unique = scratch.write(lonely(windows.select("k", F.col("e.starts").alias("p"), "e.w1", "e.w2"), ["w1", "w2"]), "unique", settle=True)
     has = found.where("size(starts) > 0").join(unique, "k", "left").select("carried", "text", "n_words", "starts", "places")
     none = found.where("size(starts) = 0").select("carried", "text", "n_words", "starts", F.lit(None).cast("array<int>").alias("places"))
     out = remove(has.unionByName(none), window, ["carried", "n_words"])
