@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from tidemark.llm import jaccard
 from tidemark.llm.components import connected_components
 from tidemark.llm.common import Scratch
 from tidemark.llm.jaccard import keep_one, near_duplicate_components
@@ -58,8 +59,9 @@ def corpus(seed=2):
     return rows
 
 
-@pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80)])
-def test_matches_brute_force(spark, width, num):
+@pytest.mark.parametrize(("width", "num", "block"), [(3, 90, 512), (5, 80, 512), (3, 90, 5), (5, 80, 3)])
+def test_matches_brute_force(spark, width, num, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = corpus(num)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as k1", "3 as rep", "4 as id").repartition(5)
     got = near_duplicate_components(df, width=width, threshold=(num, 100)).collect()

@@ -8,8 +8,10 @@ the elements of the others), and two sets that link share one of them.  Each set
 
 Equal sets are one class from the start.  Signatures that occur once are dropped by counting; what is left is verified on
 the whole sets.  A group of sets with one signature is never expanded into its pairs: each member is first compared with
-one centre, links are contracted to components, again with other centres, and only pairs that lie in different
-components by then are compared one by one (all of them, so no link is lost that would join two components).
+one centre, links are contracted to components, and once more with another centre.  What lies apart by then is compared
+exhaustively, so no link is lost that would join two components: groups of at most ``SMALL`` sets by a join, larger ones in
+square blocks of at most ``BLOCK`` by ``BLOCK`` sets, where sketches (sums of the elements in each of p partitions, of
+which at most as many differ as elements do) rule out almost every pair before a text is read.
 
 Shingles are 64-bit hashes of the words' bytes.  A null text, or one without words, has an empty set and links with
 nothing.  Fewer words than ``width`` are one shingle.  Equal rows form one component.  Rows of one id are one document.
@@ -29,8 +31,8 @@ from .components import connected_components
 WIDTH, THRESHOLD = 3, (90, 100)
 #: Partitions of a group and how many of them may differ.
 N2, K2 = 3, 1
-#: Star rounds go on while the pairs left are more than this many for each set.
-PAIRS_PER_SET, MAX_ROUNDS = 4, 6
+#: Rounds against centres; then groups of up to SMALL sets are joined, and larger ones compared in blocks.
+STARS, SMALL, BLOCK = 2, 8, 512
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -191,38 +193,111 @@ def verify(pairs: DataFrame, texts: DataFrame, *, width: int, threshold: tuple[i
     return map_rows(joined, fn, "linked boolean", ["a", "b"])
 
 
+def sketches(texts: DataFrame, *, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """(id, n, sketch): sums of the elements' hashes, a byte for each partition; a power of two of them, four for each
+    element that linked sets of this size may differ in."""
+    num, den = threshold
+
+    def fn(batch):
+        sizes, out = [], []
+        for _, _, data, offsets in text_blocks(batch):
+            h, bounds = shingle_sets(data, offsets, width)
+            n = np.diff(bounds)
+            sizes.append(n)
+            place, value = mix(h + _C), (mix(h ^ _A) & np.uint64(0xFF)).astype(np.float64)
+            for a, b, k in zip(bounds[:-1].tolist(), bounds[1:].tolist(), (2 * n * (den - num) // (den + num)).tolist(), strict=True):
+                p = 1 << max(6, (4 * k - 1).bit_length())
+                sums = np.bincount((place[a:b] & np.uint64(p - 1)).astype(np.int64), value[a:b], p)
+                out.append(sums.astype(np.int64).astype(np.uint8).tobytes())
+        return [pa.array(np.concatenate(sizes)), pa.array(out, pa.binary())]
+
+    return map_rows(texts, fn, "n bigint, sketch binary", ["id"])
+
+
+def _fold(raw: bytes, p: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(-1, p).sum(axis=0, dtype=np.uint8)
+
+
+def close_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, raw: list[bytes], threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of pairs of other components, of both sides where there are two, that sketches do not rule out."""
+    num, den = threshold
+    p = min(map(len, raw))
+    table = np.stack([_fold(r, p) for r in raw])
+    left, right = [], []
+    for i in range(len(n) - 1):
+        rest = slice(i + 1, None)
+        may = (comp[rest] != comp[i]) & ((side[rest] != side[i]) | (side[i] < 0))
+        may &= np.minimum(n[rest], n[i]) * den >= np.maximum(n[rest], n[i]) * num
+        j = np.flatnonzero(may)
+        if len(j):
+            j += i + 1
+            differ = np.count_nonzero(table[j] != table[i], axis=1)
+            j = j[differ * (den + num) <= (n[j] + n[i]) * (den - num)]
+            left.append(np.full(len(j), i))
+            right.append(j)
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def block_pairs(large: DataFrame, sketched: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b) from groups of more than SMALL sets (sig, rep, comp, m), compared block against block."""
+    parts = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    spread = large.withColumns({"parts": parts, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    units = spread.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.when(F.col("own") < F.col("other"), 0).otherwise(1)).alias("side"), "rep", "comp")
+    rows = units.join(sketched, units["rep"] == sketched["id"]).select("sig", "x", "y", "side", "rep", "comp", "n", "sketch")
+    rows = rows.repartition(F.col("sig"), F.col("x"), F.col("y")).sortWithinPartitions("sig", "x", "y")
+    kind = large.schema["rep"].dataType.simpleString()
+
+    def run(batches):
+        from itertools import groupby
+
+        def solve(group):
+            _, _, _, side, rep, comp, n, sketch = zip(*group, strict=True)
+            order = {c: k for k, c in enumerate(dict.fromkeys(comp))}
+            i, j = close_pairs(np.array(n), np.array([order[c] for c in comp]), np.array(side), list(sketch), threshold)
+            found = [(rep[x], rep[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            return [(max(p), min(p)) for p in found]
+
+        stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, group in groupby(stream, key=lambda r: r[:3]):  # one unit: at most two blocks
+            if pairs := solve(group):
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs])], names=["a", "b"])
+
+    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links)."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.write(describe(docs, id_col=id_col, text_col=text_col, width=width, threshold=threshold), "rows")
-    classes = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    if rows.schema["id"].dataType.typeName() != "string":
-        classes = classes.where("rep is not null")
+    classes = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")).where("rep is not null")
     classes = scratch.write(classes, "classes")
     signed_rows = rows.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "k1")
     once = signed_rows.select("sig").groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig")
     shared = signed_rows.join(once, "sig").distinct().join(classes.select("k1", "rep"), "k1").select("sig", "rep")
-    groups = scratch.write(shared, "groups")
+    groups = scratch.write(shared, "groups", settle=True)
     wanted = groups.select(F.col("rep").alias("id")).distinct()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    texts = scratch.write(own.join(wanted, "id", "left_semi").distinct(), "texts")
+    texts = scratch.write(own.join(wanted, "id", "left_semi").distinct(), "texts", settle=True)
 
     labels, edges, tested = None, None, None
-    for turn in range(MAX_ROUNDS + 1):
+    for turn in range(STARS + 1):
         now = groups.withColumn("comp", F.col("rep")) if labels is None else groups.join(labels, F.col("rep") == F.col("node"), "left").select("sig", "rep", F.coalesce("component", "rep").alias("comp"))
         order = F.struct((F.lit(0) if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("o"), "rep", "comp")
         per_sig = now.groupBy("sig").agg(F.min(order).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-        open_groups = scratch.write(now.join(per_sig.select("sig", F.col("c.rep").alias("centre"), F.col("c.comp").alias("home"), "m"), "sig"), f"open-{turn}")
-        size = open_groups.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("pairs"), F.approx_count_distinct("rep").alias("reps")).first()
-        if not size["n"]:
+        apart = scratch.write(now.join(per_sig.select("sig", F.col("c.rep").alias("centre"), F.col("c.comp").alias("home"), "m"), "sig"), f"open-{turn}")
+        if apart.isEmpty():
             break
-        last = turn == MAX_ROUNDS or turn > 0 and size["pairs"] <= 2 * PAIRS_PER_SET * max(size["reps"], 1000)
-        if last:  # all pairs that share a signature and lie apart
-            one, two = open_groups.select("sig", F.col("rep").alias("a"), F.col("comp").alias("ca")), open_groups.select("sig", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-            pairs = one.join(two, "sig").where("ca <> cb and a > b").select("a", "b").distinct()
-        else:  # every set that lies apart from a centre, against one centre
-            apart = open_groups.where("comp <> home").groupBy("rep").agg(F.min_by("centre", F.struct((F.lit(0) if turn == 0 else F.xxhash64("centre", F.lit(turn))).alias("o"), "centre")).alias("centre"))
-            pairs = apart.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+        if turn < STARS:  # every set that lies apart from a centre, against one centre
+            one = apart.where("comp <> home").groupBy("rep").agg(F.min_by("centre", F.struct((F.lit(0) if turn == 0 else F.xxhash64("centre", F.lit(turn))).alias("o"), "centre")).alias("centre"))
+            pairs = one.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"))
+        else:  # all pairs that share a signature and lie apart
+            few = apart.where(F.col("m") <= SMALL)
+            x, y = few.select("sig", F.col("rep").alias("a"), F.col("comp").alias("ca")), few.select("sig", F.col("rep").alias("b"), F.col("comp").alias("cb"))
+            pairs = x.join(y, "sig").where("ca <> cb and a > b").select("a", "b")
+            pairs = pairs.unionAll(block_pairs(apart.where(F.col("m") > SMALL).select("sig", "rep", "comp", "m"), sketches(texts, width=width, threshold=threshold), threshold))
+        pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         done = scratch.write(verify(pairs, texts, width=width, threshold=threshold), f"verified-{turn}")
@@ -231,8 +306,6 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
         edges = links if edges is None else edges.unionAll(links)
         labels = connected_components(edges, scratch, f"components-{turn}")
         scratch.drop(f"open-{turn}")
-        if last:
-            break
 
     named = classes if labels is None else classes.join(labels, F.col("rep") == F.col("node"), "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("rep"))
     out = rows.select("id", "n", "k1", "k2").join(named.withColumnRenamed("rep", "found"), ["n", "k1", "k2"], "left")
