@@ -155,7 +155,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark)
     keep = keep or [id_col]
-    carried = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("carried")
+    carried = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep) if c != text_col]).alias("carried")
     keyed = docs.select(carried, F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
     anchors = scratch.write(lonely(anchor_rows(keyed, window), ["h"]), "anchors", settle=True)
     found = scratch.write(candidates(keyed.join(anchors, "k", "left"), window), "candidates", settle=True)
@@ -164,9 +164,9 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     unique = scratch.write(lonely(windows.select("k", F.col("e.starts").alias("p"), "e.w1", "e.w2"), ["w1", "w2"]), "unique", settle=True)
     has = found.where("size(starts) > 0").join(unique, "k", "left").select("carried", "text", "n_words", "starts", "places")
     none = found.where("size(starts) = 0").select("carried", "text", "n_words", "starts", F.lit(None).cast("array<int>").alias("places"))
-    out = remove(has.unionByName(none), window, ["carried", "n_words"])
+    out = remove(has.unionByName(none), window, ["carried", "n_words", *(["text"] if text_col in keep else [])])
     added = ["n_words", "n_removed", "kept_text", "removed"]
-    return out.select(*[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(keep) if c not in added], *added)
+    return out.select(*[F.col("text" if c == text_col else f"carried.c{i}").alias(c) for i, c in enumerate(keep) if c not in added], *added)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
