@@ -48,6 +48,18 @@ def test_every_byte_lies_in_one_window():
     assert got == [L.LOWER[data[a:b]].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
 
 
+def test_pooled_equals_the_plain_forward_pass():
+    rng = np.random.default_rng(2)
+    p = L._init(rng, 5, 3) | {"classes": list("abc")}
+    sizes = [0, 1, 47, 48, 49, 300]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    data = rng.integers(0, 256, offsets[-1]).astype(np.uint8)
+    seq, length, row = L.windows(data, offsets)
+    prob = L.forward(p, seq)
+    want = np.array([sum((prob[: length[k], k].sum(0) for k in np.flatnonzero(row == d)), np.zeros(3)) / max(n, 1) for d, n in enumerate(sizes)])
+    assert np.allclose(L.pooled(p, data, offsets, chunk=2), want, atol=1e-5)
+
+
 def test_language_accuracy_and_edges(spark):
     rows = corpus() + [(900, None, "xx"), (901, "", "yy"), (902, " 12 .!", "xx"), (903, "und die ich keit schön " * 4000, None), (None, "the of and that", "xx"), (904, "漢", "xx")]
     rows += [rows[0]]
