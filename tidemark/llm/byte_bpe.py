@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-CACHE = 150_000
+CACHE = 400_000
 
 
 def byte_characters() -> list[str]:
@@ -87,10 +87,11 @@ class ByteBPE:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(pieces))
         self.map = byte_characters()
         self.ids: dict[str, bytes] = {}
+        self.last: set[str] = set()
 
     def _learn(self, tokens: set[str]) -> None:
-        if len(self.ids) + len(tokens) > CACHE:
-            self.ids.clear()
+        if len(self.ids) + len(tokens) > CACHE:  # what the last two rounds share is common and stays
+            self.ids = {t: self.ids[t] for t in self.last & tokens if t in self.ids}
         new = [t for t in tokens if t not in self.ids]
         latin = [t.encode().decode("latin-1").translate(self.map) for t in new]
         for t, ids in zip(new, self.model.encode(latin, out_type=int, num_threads=1), strict=True):
@@ -102,9 +103,8 @@ class ByteBPE:
 
         def flush():
             tokens = set().union(*pending)
-            self._learn(tokens.difference(self.ids))
-            if not tokens <= self.ids.keys():  # the cache was cleared
-                self._learn(tokens)
+            self._learn(tokens)
+            self.last = tokens
             get = self.ids.__getitem__
             for parts in pending:
                 raw = b"".join(map(get, parts))
