@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-CACHE = 400_000
+CACHE = 200_000
 
 
 def byte_characters() -> list[str]:
