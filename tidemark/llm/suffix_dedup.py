@@ -265,7 +265,13 @@ def first_occurrences(distinct: DataFrame, length: int) -> DataFrame:
         ids = sorted({(x is not None, x, k) for x, k in zip(rows["id"], rows["k"], strict=True)}, key=lambda t: (t[0], t[1] if t[0] else 0, t[2]))
         rank = {t: n for n, t in enumerate(ids)}
         docs = np.array([rank[x is not None, x, k] for x, k in zip(rows["id"], rows["k"], strict=True)], np.int64)
-        again = repeated_in_block(rows["body"], docs, np.array(rows["p"], np.int64), length)
+        _, group, size = np.unique(np.array(rows["h"], np.int64), return_inverse=True, return_counts=True)
+        met = np.flatnonzero(size[group] > 1)  # strings of one segment differ, so a segment alone needs no sorting
+        again = [np.zeros(0, np.int64)] * len(docs)
+        if len(met):
+            found = repeated_in_block([rows["body"][i] for i in met], docs[met], np.array(rows["p"], np.int64)[met], length)
+            for i, x in zip(met.tolist(), found, strict=True):
+                again[i] = x
         ends = np.concatenate([[0], np.cumsum([len(x) for x in again])]).astype(np.int32)
         values = np.concatenate(again).astype(np.int32) if again else np.zeros(0, np.int32)
         return pa.RecordBatch.from_arrays([pa.array(rows["k"], pa.int64()), pa.array(rows["p"], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["k", "p", "again"])
@@ -325,13 +331,13 @@ def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """Per row: id, n_bytes, n_removed, n_spans, kept (binary)."""
     scratch = Scratch(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    alone = scratch.write(lonely(minimizer_rows(keyed, length, gram), ["h"]), "alone")
-    found = scratch.write(shared_segments(keyed.join(alone, "k", "left"), length, gram), "found")
+    alone = scratch.write(lonely(minimizer_rows(keyed, length, gram), ["h"]), "alone", settle=True)
+    found = scratch.write(shared_segments(keyed.join(alone, "k", "left"), length, gram), "found", settle=True)
     scratch.drop("alone")
     rows = segment_rows(found, length)
     distinct = rows.groupBy("h", "c1", "c2").agg(F.min(F.struct("id", "k", "p")).alias("at"), F.first("body").alias("body"))
     sorted_rows = distinct.select("h", "at.id", "at.k", "at.p", "body").repartition(F.col("h")).sortWithinPartitions("h")
-    firsts = scratch.write(first_occurrences(sorted_rows, length).groupBy("k").agg(F.collect_list(F.struct("p", "again")).alias("firsts")), "firsts")
+    firsts = scratch.write(first_occurrences(sorted_rows, length).groupBy("k").agg(F.collect_list(F.struct("p", "again")).alias("firsts")), "firsts", settle=True)
     touched = found.where("size(starts) > 0").join(firsts, "k", "left").select("id", "text", "starts", "counts", "firsts")
     clean = found.where("size(starts) = 0").select("id", "text", "starts", "counts", F.lit(None).cast(firsts.schema["firsts"].dataType).alias("firsts"))
     out = remove(touched.unionByName(clean), length, ["id"])
