@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id stays of every group of linked ones; sets and threshold are those of the join's contract."""
-    return jaccard.keep_one(docs, width=jaccard.WIDTH, threshold=jaccard.THRESHOLD)
+    """The document of smallest id stays of every group of linked ones: sets of five words, Jaccard 0.8 or more."""
+    return jaccard.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

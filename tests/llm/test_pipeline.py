@@ -1,6 +1,9 @@
+import random
+
 from tests.llm.test_byte_bpe import REAL
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_jaccard import brute as components
+from tests.llm.test_jaccard import corpus
 from tests.llm.test_substring_dedup import WORD, Counter
 
 
@@ -54,3 +57,16 @@ def test_run_equals_the_stages_in_turn(spark):
 
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r.round_trip for r in rows)
+
+
+def test_near_duplicates_link_at_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    long, short = ([f"v{rng.randrange(9000)}" for _ in range(n)] for n in (300, 200))
+    longer, edited = long + [f"a{i}" for i in range(40)], [f"e{i}" if i in (30, 80, 130, 180) else w for i, w in enumerate(short)]
+    rows = corpus() + [(9001 + i, " ".join(w)) for i, w in enumerate((long, longer, short, edited))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == sorted(d for d, (_, c) in components(rows, 5, 80, 100).items() if d == c)
+    assert {9001, 9003} <= set(got) and not {9002, 9004} & set(got)
