@@ -1,7 +1,9 @@
 import random
 import re
 
-from tidemark.llm.quality_rules import quality_rules
+from pyspark.sql import functions as F
+
+from tidemark.llm.quality_rules import _repeat_words, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -40,5 +42,11 @@ def test_bad_host_is_refused_and_small_host_is_shrunk(spark):
     assert got[2001].host_rate < 0.5 < got[99].host_rate
 
 
+def test_windows_that_share_the_upper_bits_of_a_hash_hide_no_repeat(spark):
+    a = 5 << 24
+    df = spark.createDataFrame([([a, a + 1, a],), ([a, a + 1, a + 2],), ([-1, a, -1, -2],)], "h array<bigint>")
+    assert [r.n for r in df.select(_repeat_words(F.col("h"), F.col("h")).alias("n")).collect()] == [5, 0, 5]
+
+
 def test_empty(spark):
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0

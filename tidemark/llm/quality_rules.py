@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 SPACE = " \t\n\x0b\x0c\r"
-#: A repeated window is found by sorting 40 bits of its hash with its position below them; positions use 24 bits.
-POSITION_BITS = 24
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A host is refused if its shrunk failure rate is above this.
 MAX_RATE = 0.7
@@ -32,13 +30,11 @@ def _strip(c: Column) -> Column:
 
 def _repeat_words(words: Column, h: Column) -> Column:
     """Words inside three-word windows that occur twice or more; h: the hash of the window at each position."""
-    low = (1 << POSITION_BITS) - 1
-    keyed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("bigint"))))
-    at = lambda x: F.get(h, x.bitwiseAND(F.lit(low)).cast("int"))
+    keyed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("bigint").alias("p"))))
     # neighbours in the sorted order whose whole hashes are equal
-    same = lambda s: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda x, y: F.when(at(x) == at(y), F.array(x, y)))
+    same = lambda s: F.zip_with(F.slice(s, 1, F.size(h) - 1), F.slice(s, 2, F.size(h) - 1), lambda x, y: F.when(x["h"] == y["h"], F.array(x["p"], y["p"])))
     pairs = F.flatten(F.filter(same(keyed), lambda x: x.isNotNull()))
-    places = F.sort_array(F.array_distinct(F.transform(pairs, lambda x: x.bitwiseAND(F.lit(low)))))
+    places = F.sort_array(F.array_distinct(pairs))
     state = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("past"))
     return F.aggregate(places, state, lambda s, p: F.struct((s["n"] + p + 3 - F.greatest(p, s["past"])).alias("n"), (p + 3).alias("past")), lambda s: s["n"])
 
