@@ -144,53 +144,83 @@ def spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_TABLES = [np.random.default_rng(k).integers(1, 1 << 63, 256, dtype=np.uint64) for k in (11, 12)]
-_POWERS: dict[tuple[int, bool], np.ndarray] = {}
+#: Odd multipliers of the two families of hashes.
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     h = h ^ (h >> _S)
-    h = h * _M1
+    h *= _M1
     h ^= h >> _S
     h *= _M2
     h ^= h >> _S
     return h
 
 
-def _powers(which: int, inverse: bool, n: int) -> np.ndarray:
-    have = _POWERS.get((which, inverse))
-    if have is None or len(have) < n:
-        base = _BASES[which]
-        base = pow(base, -1, 1 << 64) if inverse else base
-        size = 1 << max(12, int(n - 1).bit_length())
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if size <= 1 << 21:
-            _POWERS[which, inverse] = have
-    return have[:n]
+def eights(data: np.ndarray, big: bool = False) -> np.ndarray:
+    """Eight bytes from every position (zeros after the end)."""
+    padded = np.concatenate([data, np.zeros(256, np.uint8)])
+    return np.ndarray((len(data) + 248,), ">u8" if big else "<u8", padded.data, strides=(1,))
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of each values[start:end], a function of the contents and their order alone."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers(which, False, len(values)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _powers(which, True, len(values) + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _M2)
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hash of each data[start:end], a function of its bytes alone; ``which`` picks one of two independent hashes.
+
+    Eight bytes at a time are keyed by their place in the range and mixed before they are summed, so there is no
+    polynomial whose terms could cancel.
+    """
+    seed = _SEEDS[which]
+    sizes = (ends - starts).astype(np.int64)
+    lanes = (sizes + 7) >> 3
+    total = int(lanes.sum())
+    past = np.cumsum(lanes)
+    words = eights(data)
+    if total == len(starts) and (lanes == 1).all():
+        lane, at, left = np.zeros(1, np.uint64), starts, sizes
+    else:
+        row = np.repeat(np.arange(len(starts)), lanes)
+        place = np.arange(total) - (past - lanes)[row]
+        lane, at, left = place.astype(np.uint64), starts[row] + 8 * place, sizes[row] - 8 * place
+    value = words[at].astype(np.uint64)
+    short = np.maximum(8 - left, 0).astype(np.uint64) * np.uint64(8)
+    value = (value << short) >> short
+    value = mix(value ^ mix(lane * _M2 + seed))
+    if total != len(starts):
+        sums = np.zeros(total + 1, np.uint64)
+        np.cumsum(value, out=sums[1:])
+        value = sums[past] - sums[past - lanes]
+    return mix(value + sizes.astype(np.uint64) * seed)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, lower: bool = False) -> np.ndarray:
-    table = _TABLES[which]
-    return range_hashes((table[LOWER] if lower else table)[data], starts, ends, which)
+    return range_hashes(LOWER[data] if lower else data, starts, ends, which)
 
 
 def window_hashes(words: np.ndarray, width: int, starts: np.ndarray | None = None, which: int = 0) -> np.ndarray:
-    """Hash of the window of ``width`` words at each start (default: at every word that has one)."""
+    """Hash of the window of ``width`` words at each start (default: at every word that has one).
+
+    Windows of 1, 2, 4, ... words are built from halves, and the powers of two in ``width`` are joined in turn; every step
+    mixes, so equal hashes mean equal sequences of word hashes but for chance.
+    """
+    seed = _SEEDS[which]
+
+    def join(x, y):
+        return mix((x * seed) ^ (y + _M2))
+
+    count = max(0, len(words) - width + 1)
     if starts is None:
-        starts = np.arange(max(0, len(words) - width + 1))
-    return range_hashes(words, starts, starts + width, which)
+        starts = np.arange(count)
+    level, size, done, out = words, 1, 0, None
+    while done < width:
+        if width & size:
+            part = level[done : done + count]
+            out = part if out is None else join(out, part)
+            done += size
+        if done < width:
+            level = join(level[:-size], level[size:])
+            size *= 2
+    return mix(out[starts] + np.uint64(width)) if count else np.zeros(len(starts), np.uint64)
 
 
 def signed(h: np.ndarray) -> np.ndarray:
@@ -202,6 +232,15 @@ def repeated(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
 
 
+#: Rows of ids that a broadcast may hold.
+BROADCAST_ROWS = 100_000
+
+
+def few_enough(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame, with a broadcast hint if it is counted to have at most ``limit`` rows; else the join shuffles."""
+    return F.broadcast(ids) if ids.count() <= limit else ids
+
+
 # ---------------------------------------------------------------- row-wise Arrow operators
 
 

@@ -11,8 +11,14 @@ Counting is an aggregation that combines before the shuffle, so a passage that a
 task.  A key counted once carries its only place with it, so what returns to a document are its unique anchors and its
 unique windows, never the occurrences of a frequent one, and no group is ever gathered.
 
-Whole texts are read; null texts and texts without words lose nothing.  Repeated rows are each other's copies.  Documents
-are named by a 64-bit hash of id and text.  Window hashes have 96 bits, anchors 64 (an anchor only nominates).
+The extension works on hashes of the words of whole windows, never on pairs of occurrences: a passage that m rows share would
+have m squared of them.  Window hashes have 128 bits, anchors 64 (an anchor only nominates).  Documents are named by 95 bits
+of hashes of id and text.
+
+Whole texts are read, very long ones too (in memory a few times the text); null texts and texts without words lose nothing.
+Repeated rows are each other's copies, so both lose what they share.  Ties need no rule: every copy goes.  An empty table gives
+an empty result.  Of the input, columns that carry the names of added ones are replaced by ``dedup_substrings``;
+``drop_repeats`` returns all columns of its input, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Scratch, map_rows, signed, spans, text_blocks, text_buffers, window_hashes, word_hashes
+from .common import NOT_SPACE, Scratch, map_rows, signed, spans, text_blocks, text_buffers, to_numpy, window_hashes, word_hashes
 
 WINDOW = 35
 # Perfect difference sets by modulus.
@@ -48,27 +54,38 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple:
 
 
 def anchor_rows(keyed: DataFrame, window: int) -> DataFrame:
-    """(h, k, p): hash, document and place of every anchor."""
+    """(h, k, q): hash, document and place of every anchor; q has the second part of the document's name above 32 bits."""
     v, member = cover_for(window)
     width = window - v + 1
 
     def run(batches):
         for batch in batches:
-            keys = batch.column(batch.schema.get_field_index("k")).to_numpy()
+            keys, more = to_numpy(batch, "k"), to_numpy(batch, "kk").astype(np.int64) << 32
             for i, _, data, offsets in text_blocks(batch):
                 starts, ends, first, place, left = _words(data, offsets)
                 at = np.flatnonzero(member[place % v] & (left >= width) & (left + place >= window))
                 h = window_hashes(word_hashes(data, starts, ends), width, at)
                 doc = np.searchsorted(first, at, "right") - 1 + i
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(keys[doc]), pa.array(place[at].astype(np.int32))], names=["h", "k", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(keys[doc]), pa.array(more[doc] | place[at])], names=["h", "k", "q"])
 
-    return keyed.select("k", "text").mapInArrow(run, "h bigint, k bigint, p int")
+    return keyed.select("k", "kk", "text").mapInArrow(run, "h bigint, k bigint, q bigint")
+
+
+def name_of(id_col: str, text_col: str) -> tuple:
+    """Columns k (64 bits) and kk (31 bits) that name a document by its id and text."""
+    second = F.shiftrightunsigned(F.xxhash64(F.lit("second"), id_col, text_col), 33).cast("int")
+    return F.xxhash64(id_col, text_col).alias("k"), second.alias("kk")
+
+
+def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key with the number c of its occurrences and, if it has one alone, its document and place."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("k"), F.min("q").alias("q"))
 
 
 def lonely(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(k, places): for each document the places whose key occurs nowhere else."""
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("k"), F.min("p").alias("p")).where("c = 1")
-    return counted.groupBy("k").agg(F.collect_list("p").alias("places"))
+    """(k, kk, places): for each document the places whose key occurs nowhere else."""
+    alone = counted(rows, keys).where("c = 1").select("k", F.shiftright("q", 32).cast("int").alias("kk"), F.col("q").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("p"))
+    return alone.groupBy("k", "kk").agg(F.collect_list("p").alias("places"))
 
 
 def _candidates(place: np.ndarray, left: np.ndarray, first: np.ndarray, lone: np.ndarray, member: np.ndarray, v: int, window: int) -> np.ndarray:
@@ -106,13 +123,13 @@ def candidates(keyed: DataFrame, window: int) -> DataFrame:
             sizes.append(np.diff(np.searchsorted(at, first)))
             starts_out.append(place[at].astype(np.int32))
             w1.append(signed(window_hashes(word_hashes(data, starts, ends), window, at)))
-            w2.append((window_hashes(word_hashes(data, starts, ends, 1), window, at, 1) >> np.uint64(33)).astype(np.int32))
+            w2.append(signed(window_hashes(word_hashes(data, starts, ends, 1), window, at, 1)))
         ends_out = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends_out, pa.array(np.concatenate(x))) for x in (starts_out, w1, w2)]
         return [pa.array(np.concatenate(n_words)), *lists]
 
     keep = [c for c in keyed.columns if c != "places"]
-    return map_rows(keyed, fn, "n_words bigint, starts array<int>, w1 array<bigint>, w2 array<int>", keep)
+    return map_rows(keyed, fn, "n_words bigint, starts array<int>, w1 array<bigint>, w2 array<bigint>", keep)
 
 
 def remove(marked: DataFrame, window: int, keep: list[str]) -> DataFrame:
@@ -156,13 +173,14 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark)
     keep = keep or [id_col]
     carried = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep) if c != text_col]).alias("carried")
-    keyed = docs.select(carried, F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    keyed = docs.select(carried, *name_of(id_col, text_col), F.col(text_col).alias("text"))
     anchors = scratch.write(lonely(anchor_rows(keyed, window), ["h"]), "anchors", settle=True)
-    found = scratch.write(candidates(keyed.join(anchors, "k", "left"), window), "candidates", settle=True)
+    found = scratch.write(candidates(keyed.join(anchors, ["k", "kk"], "left"), window), "candidates", settle=True)
     scratch.drop("anchors")
-    windows = found.where("size(starts) > 0").select("k", F.explode(F.arrays_zip("w1", "w2", "starts")).alias("e"))
-    unique = scratch.write(lonely(windows.select("k", F.col("e.starts").alias("p"), "e.w1", "e.w2"), ["w1", "w2"]), "unique", settle=True)
-    has = found.where("size(starts) > 0").join(unique, "k", "left").select("carried", "text", "n_words", "starts", "places")
+    windows = found.where("size(starts) > 0").select("k", "kk", F.explode(F.arrays_zip("w1", "w2", "starts")).alias("e"))
+    place = F.shiftleft(F.col("kk").cast("bigint"), 32).bitwiseOR(F.col("e.starts").cast("bigint"))
+    unique = scratch.write(lonely(windows.select("k", place.alias("q"), "e.w1", "e.w2"), ["w1", "w2"]), "unique", settle=True)
+    has = found.where("size(starts) > 0").join(unique, ["k", "kk"], "left").select("carried", "text", "n_words", "starts", "places")
     none = found.where("size(starts) = 0").select("carried", "text", "n_words", "starts", F.lit(None).cast("array<int>").alias("places"))
     out = remove(has.unionByName(none), window, ["carried", "n_words", *(["text"] if text_col in keep else [])])
     added = ["n_words", "n_removed", "kept_text", "removed"]

@@ -7,14 +7,20 @@ their grams), so the strings of a document fall into segments that share one pla
 1. minimizers are counted; a segment whose minimizer occurs once holds no repeated string;
 2. equal segments are reduced to their first occurrence by an aggregation that combines before the shuffle, so copies never
    meet in one task; every later occurrence is repeated as a whole;
-3. first occurrences meet by minimizer, and blocks of them get a suffix array: suffixes smaller than their successors are
+3. first occurrences meet by minimizer, as long as it is not hot (more than ``HOT`` segments in all); blocks of them get a suffix array: suffixes smaller than their successors are
    sorted directly, the rest is induced by scanning the buckets from left to right, and adjacent common prefixes of at least
    ``length`` bytes give the classes of equal strings, of which all but the first are repeated.
 
-What returns to a document is its unique segments and, for segments that occur first in it, the strings that are repeated.
+4. the strings of segments with a hot minimizer never meet in one task: they are counted by hash, again by an aggregation
+   that combines before the shuffle, and each string has one first occurrence.
 
-Whole texts are read as UTF-8; null counts as empty; matches never cross rows.  Rows of one id and one text are one
-document; rows of one id with different texts are ordered by a hash; a null id comes first.
+What returns to a document is its unique segments and, for segments that occur first in it, the strings that are repeated (or,
+with a hot minimizer, those that are first).  Segments and counted strings are named by 128 bits, documents by 95.
+
+Whole texts are read as UTF-8, very long ones too (in memory a few times the text); null counts as empty; matches never cross
+rows.  Repeated rows of one id and one text are one document, of which no row is an earlier copy of the other; rows of one id
+with different texts are ordered by a hash; a null id comes first.  Ties of minimizers go to the leftmost gram, in every copy
+alike.  An empty table gives an empty result.  Columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,27 +30,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _TABLES, Scratch, _powers, map_rows, mix, range_hashes, signed, text_blocks, text_buffers
-from .substring_dedup import _lists, lonely
+from .common import Scratch, eights, few_enough, map_rows, mix, range_hashes, signed, text_blocks, text_buffers, to_numpy
+from .substring_dedup import _lists, counted, name_of
 
 LENGTH, GRAM = 100, 32
 #: Bytes of segments that share one suffix array, and of text that one scan for minimizers covers (20-bit places).
 SORT_BYTES, SCAN_BYTES = 2 << 20, 1 << 19
+#: Segments of one minimizer, copies included, that may meet in one task.
+HOT = 20_000
 _LOW = np.uint64((1 << 20) - 1)
+_BASE = 0x9E3779B97F4A7C15
+_TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+_POWERS: dict[bool, np.ndarray] = {}
 
 
-# ---------------------------------------------------------------- suffix array
+def _powers(inverse: bool, n: int) -> np.ndarray:
+    have = _POWERS.get(inverse)
+    if have is None or len(have) < n:
+        steps = np.full(1 << max(12, int(n - 1).bit_length()), pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
+        steps[0] = 1
+        have = _POWERS[inverse] = np.multiply.accumulate(steps)  # of at most 2 * SCAN_BYTES
+    return have[:n]
 
 
-def _eight(data: np.ndarray, big: bool) -> np.ndarray:
-    """Eight bytes from every position (zeros after the end)."""
-    padded = np.concatenate([data, np.zeros(256, np.uint8)])
-    return np.ndarray((len(data) + 248,), ">u8" if big else "<u8", padded.data, strides=(1,))
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A rolling hash of every gram; it chooses minimizers and nominates, and never decides that strings are equal."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_TABLE[data] * _powers(False, n), out=sums[1:])
+    return mix((sums[gram:] - sums[:-gram]) * _powers(True, n + 1)[: n - gram + 1])
+
+
+# ---------------------------------------------------------------- suffix array
 
 
 def sort_directly(data: np.ndarray, which: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes ``which`` by their first ``depth`` bytes, eight at a time within the ties that are left."""
-    words = _eight(data, True)
+    words = eights(data, True)
     key = words[which].astype(np.uint64)
     order = np.argsort(key, kind="stable")
     which, key = which[order], key[order]
@@ -111,7 +133,7 @@ def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
     """Bytes that each suffix of ``order`` shares with the one before it, at most ``cap``; the first has 0."""
-    words = _eight(data, False)
+    words = eights(data)
     out = np.zeros(len(order), np.int64)
     live = np.arange(1, len(order))
     for at in range(0, cap, 8):
@@ -135,9 +157,7 @@ def _scan(data: np.ndarray, valid: np.ndarray, length: int, gram: int) -> tuple[
     n = len(data)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLES[0][data] * _powers(0, False, n), out=sums[1:])
-    grams = mix((sums[gram:] - sums[:-gram]) * _powers(0, True, n + 1)[: n - gram + 1])
+    grams = gram_hashes(data, gram)
     key = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
     width, have = length - gram + 1, 1
     least = key
@@ -177,12 +197,20 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
 def minimizer_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            keys = batch.column(batch.schema.get_field_index("k")).to_numpy()
+            keys, more = to_numpy(batch, "k"), to_numpy(batch, "kk").astype(np.int64) << 32
             for i, _, data, offsets in text_blocks(batch):
                 rows, places, _, hashes = segments(data, offsets, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(keys[rows + i]), pa.array(places.astype(np.int32))], names=["h", "k", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(keys[rows + i]), pa.array(more[rows + i] | places)], names=["h", "k", "q"])
+
+    return keyed.select("k", "kk", "text").mapInArrow(run, "h bigint, k bigint, q bigint")
 
-    return keyed.select("k", "text").mapInArrow(run, "h bigint, k bigint, p int")
+
+def judged_minimizers(rows: DataFrame) -> DataFrame:
+    """(hot, k, kk, places): the places of minimizers that occur once, for each document; and a row for each hot one (in k)."""
+    many = F.col("c") > HOT
+    kept = counted(rows, ["h"]).where((F.col("c") == 1) | many)
+    parts = kept.select(many.alias("hot"), F.when(many, F.col("h")).otherwise(F.col("k")).alias("k"), F.when(many, 0).otherwise(F.shiftright("q", 32)).cast("int").alias("kk"), F.col("q").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("p"))
+    return parts.groupBy("hot", "k", "kk").agg(F.collect_list("p").alias("places"))
 
 
 def shared_segments(keyed: DataFrame, length: int, gram: int) -> DataFrame:
@@ -207,7 +235,7 @@ def shared_segments(keyed: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def segment_rows(found: DataFrame, length: int) -> DataFrame:
-    """One row per shared segment: h, c1 and c2 (name of its bytes), id, k, p, body."""
+    """One row per shared segment: h, c1 and c2 (name of its bytes), id, k, kk, p, body."""
     from pyspark.sql.types import StructType
 
     kind = found.schema["id"]
@@ -228,16 +256,16 @@ def segment_rows(found: DataFrame, length: int) -> DataFrame:
                 hi = min(lo + 20_000, len(a))
                 x, y = a[lo], b[lo:hi].max()
                 part = data[x:y]
-                c1[lo:hi] = range_hashes(_TABLES[0][part], a[lo:hi] - x, b[lo:hi] - x)
-                c2[lo:hi] = range_hashes(_TABLES[1][part], a[lo:hi] - x, b[lo:hi] - x, 1)
+                c1[lo:hi] = range_hashes(part, a[lo:hi] - x, b[lo:hi] - x)
+                c2[lo:hi] = range_hashes(part, a[lo:hi] - x, b[lo:hi] - x, 1)
             raw = data.tobytes()
             body = pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
             ids = batch.column(batch.schema.get_field_index("id")).take(pa.array(row))
-            keys = batch.column(batch.schema.get_field_index("k")).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(signed(c1)), pa.array(signed(c2)), ids, keys, pa.array(starts.astype(np.int32)), body], names=["h", "c1", "c2", "id", "k", "p", "body"])
+            keys, more = (batch.column(batch.schema.get_field_index(c)).take(pa.array(row)) for c in ("k", "kk"))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(signed(c1)), pa.array(signed(c2)), ids, keys, more, pa.array(starts.astype(np.int32)), body], names=["h", "c1", "c2", "id", "k", "kk", "p", "body"])
 
-    schema = StructType([*StructType.fromDDL("h bigint, c1 bigint, c2 bigint"), kind, *StructType.fromDDL("k bigint, p int, body binary")])
-    return found.select("id", "k", "text", "starts", "counts", "hashes").mapInArrow(run, schema)
+    schema = StructType([*StructType.fromDDL("h bigint, c1 bigint, c2 bigint"), kind, *StructType.fromDDL("k bigint, kk int, p int, body binary")])
+    return found.select("id", "k", "kk", "text", "starts", "counts", "hashes").mapInArrow(run, schema)
 
 
 def repeated_in_block(bodies: list[bytes], docs: np.ndarray, places: np.ndarray, length: int) -> list[np.ndarray]:
@@ -259,12 +287,13 @@ def repeated_in_block(bodies: list[bytes], docs: np.ndarray, places: np.ndarray,
 
 
 def first_occurrences(distinct: DataFrame, length: int) -> DataFrame:
-    """(k, p, again): the repeated strings of each segment that is the first of its bytes."""
+    """(k, kk, p, strings): the repeated strings of each segment that is the first of its bytes."""
+    names = ("h", "id", "k", "kk", "p", "body")
 
     def solve(rows):
-        ids = sorted({(x is not None, x, k) for x, k in zip(rows["id"], rows["k"], strict=True)}, key=lambda t: (t[0], t[1] if t[0] else 0, t[2]))
-        rank = {t: n for n, t in enumerate(ids)}
-        docs = np.array([rank[x is not None, x, k] for x, k in zip(rows["id"], rows["k"], strict=True)], np.int64)
+        own = list(zip(rows["id"], rows["k"], rows["kk"], strict=True))
+        rank = {t: n for n, t in enumerate(sorted(set(own), key=lambda t: (t[0] is not None, t[0] if t[0] is not None else 0, t[1], t[2])))}
+        docs = np.array([rank[t] for t in own], np.int64)
         _, group, size = np.unique(np.array(rows["h"], np.int64), return_inverse=True, return_counts=True)
         met = np.flatnonzero(size[group] > 1)  # strings of one segment differ, so a segment alone needs no sorting
         again = [np.zeros(0, np.int64)] * len(docs)
@@ -274,22 +303,47 @@ def first_occurrences(distinct: DataFrame, length: int) -> DataFrame:
                 again[i] = x
         ends = np.concatenate([[0], np.cumsum([len(x) for x in again])]).astype(np.int32)
         values = np.concatenate(again).astype(np.int32) if again else np.zeros(0, np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(rows["k"], pa.int64()), pa.array(rows["p"], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["k", "p", "again"])
+        return pa.RecordBatch.from_arrays([pa.array(rows["k"], pa.int64()), pa.array(rows["kk"], pa.int32()), pa.array(rows["p"], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["k", "kk", "p", "strings"])
 
     def run(batches):
-        held, size = {n: [] for n in ("h", "id", "k", "p", "body")}, 0
+        held, size = {n: [] for n in names}, 0
         for batch in batches:
-            for row in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in held), strict=True):
+            for row in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True):
                 if size >= SORT_BYTES and row[0] != held["h"][-1]:  # a minimizer's segments stay together
                     yield solve(held)
-                    held, size = {n: [] for n in held}, 0
-                for n, x in zip(held, row, strict=True):
+                    held, size = {n: [] for n in names}, 0
+                for n, x in zip(names, row, strict=True):
                     held[n].append(x)
                 size += len(row[-1])
         if size:
             yield solve(held)
 
-    return distinct.mapInArrow(run, "k bigint, p int, again array<int>")
+    return distinct.select(*names).mapInArrow(run, "k bigint, kk int, p int, strings array<int>")
+
+
+def counted_strings(distinct: DataFrame, length: int) -> DataFrame:
+    """(k, kk, p, strings): the strings of each segment that occur first in it, found by counting; for hot minimizers."""
+    from pyspark.sql.types import StructType
+
+    schema = StructType([*StructType.fromDDL("s1 bigint, s2 bigint"), distinct.schema["id"], *StructType.fromDDL("k bigint, kk int, p int, o int")])
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(batch.schema.get_field_index("body")))
+            count = np.diff(offsets) - length + 1
+            row = np.repeat(np.arange(batch.num_rows), count)
+            o = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            for lo in range(0, len(row), 50_000):
+                r, at = row[lo : lo + 50_000], o[lo : lo + 50_000]
+                a = offsets[r] + at
+                s = [pa.array(signed(range_hashes(data[a[0] : a[-1] + length], a - a[0], a - a[0] + length, which))) for which in (0, 1)]
+                own = [batch.column(batch.schema.get_field_index(c)).take(pa.array(r)) for c in ("id", "k", "kk", "p")]
+                yield pa.RecordBatch.from_arrays([*s, *own, pa.array(at.astype(np.int32))], names=schema.names)
+
+    strings = distinct.select("id", "k", "kk", "p", "body").mapInArrow(run, schema)
+    place = F.struct("id", "k", "kk", (F.col("p") + F.col("o")).alias("at"), "p", "o")
+    first = strings.groupBy("s1", "s2").agg(F.min(place).alias("f")).select("f.k", "f.kk", "f.p", "f.o")
+    return first.groupBy("k", "kk", "p").agg(F.collect_list("o").alias("strings"))
 
 
 def remove(marked: DataFrame, length: int, keep: list[str]) -> DataFrame:
@@ -307,7 +361,8 @@ def remove(marked: DataFrame, length: int, keep: list[str]) -> DataFrame:
             edge = np.zeros(len(own) + 1, np.int32)
             if first[d]:
                 here = np.isin(s, [x["p"] for x in first[d]])
-                again = np.array([x["p"] + y for x in first[d] for y in x["again"]], np.int64)
+                strings = dict(zip(s.tolist(), c.tolist(), strict=True))
+                again = np.array([x["p"] + y for x in first[d] for y in (sorted(set(range(strings[x["p"]])) - set(x["strings"])) if x["hot"] else x["strings"])], np.int64)
                 np.add.at(edge, again, 1)
                 np.add.at(edge, again + length, -1)
                 s, c = s[~here], c[~here]
@@ -330,15 +385,23 @@ def remove(marked: DataFrame, length: int, keep: list[str]) -> DataFrame:
 def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept (binary)."""
     scratch = Scratch(docs.sparkSession)
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    alone = scratch.write(lonely(minimizer_rows(keyed, length, gram), ["h"]), "alone", settle=True)
-    found = scratch.write(shared_segments(keyed.join(alone, "k", "left"), length, gram), "found", settle=True)
-    scratch.drop("alone")
+    keyed = docs.select(F.col(id_col).alias("id"), *name_of(id_col, text_col), F.col(text_col).alias("text"))
+    judged = scratch.write(judged_minimizers(minimizer_rows(keyed, length, gram)), "judged", settle=True)
+    alone, hot = judged.where("not hot").drop("hot"), judged.where("hot").select(F.col("k").alias("h"))
+    found = scratch.write(shared_segments(keyed.join(alone, ["k", "kk"], "left"), length, gram), "found", settle=True)
     rows = segment_rows(found, length)
-    distinct = rows.groupBy("h", "c1", "c2").agg(F.min(F.struct("id", "k", "p")).alias("at"), F.first("body").alias("body"))
-    sorted_rows = distinct.select("h", "at.id", "at.k", "at.p", "body").repartition(F.col("h")).sortWithinPartitions("h")
-    firsts = scratch.write(first_occurrences(sorted_rows, length).groupBy("k").agg(F.collect_list(F.struct("p", "again")).alias("firsts")), "firsts", settle=True)
-    touched = found.where("size(starts) > 0").join(firsts, "k", "left").select("id", "text", "starts", "counts", "firsts")
+    at = F.min(F.struct("id", "k", "kk", "p")).alias("at")
+    distinct = rows.groupBy("h", "c1", "c2").agg(at, F.first("body").alias("body")).select("h", "at.*", "body")
+    some, cold = not hot.isEmpty(), distinct
+    if some:
+        named = few_enough(hot)
+        cold = distinct.join(named, "h", "left_anti")
+    solved = first_occurrences(cold.repartition(F.col("h")).sortWithinPartitions("h"), length).withColumn("hot", F.lit(False))
+    if some:
+        solved = solved.unionByName(counted_strings(distinct.join(named, "h", "left_semi"), length).withColumn("hot", F.lit(True)))
+    firsts = scratch.write(solved.groupBy("k", "kk").agg(F.collect_list(F.struct("p", "strings", "hot")).alias("firsts")), "firsts", settle=True)
+    scratch.drop("judged")
+    touched = found.where("size(starts) > 0").join(firsts, ["k", "kk"], "left").select("id", "text", "starts", "counts", "firsts")
     clean = found.where("size(starts) = 0").select("id", "text", "starts", "counts", F.lit(None).cast(firsts.schema["firsts"].dataType).alias("firsts"))
     out = remove(touched.unionByName(clean), length, ["id"])
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
