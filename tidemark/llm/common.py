@@ -6,9 +6,7 @@ temporaries of numpy stay bounded whatever the Arrow batch holds; a single longe
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
 #: Rows of an Arrow batch.  Texts may be long, so batches hold fewer rows than Spark's default of 10,000.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 
 def tune(spark: SparkSession) -> None:
@@ -34,6 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's own removal of the shuffle files of a finished query.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Intermediate tables in the folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -51,15 +53,15 @@ class Scratch:
             context._jsc.sc().conf().set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str, *, settle: bool = False) -> DataFrame:
-        """``settle``: wait until Spark's cleaner has deleted the shuffle files of the plan that was written."""
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes and rereads a table; the shuffle files behind it go as soon as it is whole."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        del df
-        for _ in range(2 if settle else 0):  # the plan goes in the first collection, what it held in the second
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.3)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.parquet(path)
 
     def drop(self, name: str) -> None:
@@ -107,6 +109,17 @@ def text_blocks(batch: pa.RecordBatch, text: str = "text", limit: int = BLOCK_BY
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
+def beside(columns: list[str], added: list[str]) -> list[str]:
+    """Names of input columns beside added ones: a name that is taken gets ``_in`` after it, as often as it takes."""
+    out: list[str] = []
+    for c in columns:
+        taken = {*added, *out, *(x for x in columns if x != c)}
+        while c in added or (c in taken and c.endswith("_in")):
+            c += "_in"
+        out.append(c)
+    return out
+
+
 def to_numpy(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
@@ -263,6 +276,7 @@ def map_rows(df: DataFrame, fn, added: str, keep: list[str]) -> DataFrame:
                 continue
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept] + list(fn(batch))
             yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(columns, arrow, strict=True)], schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker may live on, idle
 
     tune(df.sparkSession)
     return df.mapInArrow(run, schema)

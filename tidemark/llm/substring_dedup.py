@@ -174,12 +174,12 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keep = keep or [id_col]
     carried = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep) if c != text_col]).alias("carried")
     keyed = docs.select(carried, *name_of(id_col, text_col), F.col(text_col).alias("text"))
-    anchors = scratch.write(lonely(anchor_rows(keyed, window), ["h"]), "anchors", settle=True)
-    found = scratch.write(candidates(keyed.join(anchors, ["k", "kk"], "left"), window), "candidates", settle=True)
+    anchors = scratch.write(lonely(anchor_rows(keyed, window), ["h"]), "anchors")
+    found = scratch.write(candidates(keyed.join(anchors, ["k", "kk"], "left"), window), "candidates")
     scratch.drop("anchors")
     windows = found.where("size(starts) > 0").select("k", "kk", F.explode(F.arrays_zip("w1", "w2", "starts")).alias("e"))
     place = F.shiftleft(F.col("kk").cast("bigint"), 32).bitwiseOR(F.col("e.starts").cast("bigint"))
-    unique = scratch.write(lonely(windows.select("k", place.alias("q"), "e.w1", "e.w2"), ["w1", "w2"]), "unique", settle=True)
+    unique = scratch.write(lonely(windows.select("k", place.alias("q"), "e.w1", "e.w2"), ["w1", "w2"]), "unique")
     has = found.where("size(starts) > 0").join(unique, ["k", "kk"], "left").select("carried", "text", "n_words", "starts", "places")
     none = found.where("size(starts) = 0").select("carried", "text", "n_words", "starts", F.lit(None).cast("array<int>").alias("places"))
     out = remove(has.unionByName(none), window, ["carried", "n_words", *(["text"] if text_col in keep else [])])

@@ -386,9 +386,9 @@ def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """Per row: id, n_bytes, n_removed, n_spans, kept (binary)."""
     scratch = Scratch(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("id"), *name_of(id_col, text_col), F.col(text_col).alias("text"))
-    judged = scratch.write(judged_minimizers(minimizer_rows(keyed, length, gram)), "judged", settle=True)
+    judged = scratch.write(judged_minimizers(minimizer_rows(keyed, length, gram)), "judged")
     alone, hot = judged.where("not hot").drop("hot"), judged.where("hot").select(F.col("k").alias("h"))
-    found = scratch.write(shared_segments(keyed.join(alone, ["k", "kk"], "left"), length, gram), "found", settle=True)
+    found = scratch.write(shared_segments(keyed.join(alone, ["k", "kk"], "left"), length, gram), "found")
     rows = segment_rows(found, length)
     at = F.min(F.struct("id", "k", "kk", "p")).alias("at")
     distinct = rows.groupBy("h", "c1", "c2").agg(at, F.first("body").alias("body")).select("h", "at.*", "body")
@@ -399,7 +399,7 @@ def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     solved = first_occurrences(cold.repartition(F.col("h")).sortWithinPartitions("h"), length).withColumn("hot", F.lit(False))
     if some:
         solved = solved.unionByName(counted_strings(distinct.join(named, "h", "left_semi"), length).withColumn("hot", F.lit(True)))
-    firsts = scratch.write(solved.groupBy("k", "kk").agg(F.collect_list(F.struct("p", "strings", "hot")).alias("firsts")), "firsts", settle=True)
+    firsts = scratch.write(solved.groupBy("k", "kk").agg(F.collect_list(F.struct("p", "strings", "hot")).alias("firsts")), "firsts")
     scratch.drop("judged")
     touched = found.where("size(starts) > 0").join(firsts, ["k", "kk"], "left").select("id", "text", "starts", "counts", "firsts")
     clean = found.where("size(starts) = 0").select("id", "text", "starts", "counts", F.lit(None).cast(firsts.schema["firsts"].dataType).alias("firsts"))
