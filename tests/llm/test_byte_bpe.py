@@ -5,7 +5,7 @@ import public_tokenizers as P
 import regex
 import tiktoken
 
-from tidemark.llm.byte_bpe import ByteBPE, digest, read_ranks
+from tidemark.llm.byte_bpe import SPACED, ByteBPE, Pieces, digest, read_ranks
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 PIECES = read_ranks(open(PATH, "rb"))
@@ -28,7 +28,18 @@ def test_equals_the_library():
     for k, text in enumerate(texts):
         own = ids[offsets[k] : offsets[k + 1]].tolist()
         assert own == REAL.encode_ordinary(text), (k, text[:60])
-        assert bpe.decode(own) == text.encode()
+    data, ends = Pieces(PIECES).decode(ids, offsets)
+    assert [data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])] == [t.encode() for t in texts]
+
+
+def test_runs_between_spaces_equal_pre_tokens():
+    assert SPACED == P.PATTERN
+    rng, alphabet = random.Random(8), [" ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "a", "'s", "9", "!", "é", "漢", "\u0301", "_"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 12))) for _ in range(20_000)]
+    by_runs, plain = ByteBPE(PIECES, P.PATTERN), ByteBPE(PIECES, "(?:" + P.PATTERN + ")")
+    assert by_runs.spaced and not plain.spaced
+    (a, x), (b, y) = by_runs.encode_batch(texts), plain.encode_batch(texts)
+    assert a.tolist() == b.tolist() and x.tolist() == y.tolist()
 
 
 def test_pattern_leaves_nothing_out():

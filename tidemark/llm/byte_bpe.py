@@ -5,13 +5,21 @@ is its negative rank, so that the merge of highest score is the merge of lowest
 is the identity: no dummy prefix, no white-space folding or escaping.  A text is cut into pre-tokens by the pattern of
 the tokenizer, each pre-token is encoded by itself, and ids are decoded by the inverse mapping of pieces to bytes.
 
-Nothing is trained.  Null and empty texts have no ids; whole texts are encoded; equal rows give equal results.  The same
-pre-token has the same ids everywhere, so each worker keeps those it has met, up to ``CACHE`` of them.
+Nothing is trained.  The same run of pre-tokens has the same ids everywhere, so each worker keeps the runs it has met, up to
+``CACHE`` of them.  By the pattern ``SPACED`` a space before a character that is not white space always begins a pre-token, and
+what is left of it and right of it splits alike alone and together; so with that pattern the runs are what lies between such
+spaces, and only runs that are new pass the pattern and the model.  With any other pattern a run is one pre-token.
+
+Null and empty texts have no ids; whole texts are encoded, very long ones and very long pre-tokens too; equal rows give equal
+results, and there are no ties to break (ranks differ).  An empty table gives an empty result.  An input column with the name
+of an added one (``ids``, ``decoded``) is replaced by ``encode`` and ``decode``; ``digest`` and ``round_trip`` read the id, the
+columns to keep and the text alone.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from functools import lru_cache
 
@@ -24,7 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-CACHE = 200_000
+CACHE = 150_000
+# Fixed value: the pattern of the tokenizers whose spaces are known to part pre-tokens.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PARTING, _OTHER = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
 
 
 def byte_characters() -> list[str]:
@@ -82,38 +93,58 @@ class ByteBPE:
         import regex
         import sentencepiece
 
-        self.pieces = pieces
         self.split = regex.compile(pattern).findall
+        self.spaced = pattern == SPACED
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(pieces))
         self.map = byte_characters()
         self.ids: dict[str, bytes] = {}
-        self.last: set[str] = set()
-
-    def _learn(self, tokens: set[str]) -> None:
-        if len(self.ids) + len(tokens) > CACHE:  # what the last two rounds share is common and stays
-            self.ids = {t: self.ids[t] for t in self.last & tokens if t in self.ids}
-        new = [t for t in tokens if t not in self.ids]
-        latin = [t.encode().decode("latin-1").translate(self.map) for t in new]
-        for t, ids in zip(new, self.model.encode(latin, out_type=int, num_threads=1), strict=True):
-            self.ids[t] = struct.pack(f"<{len(ids)}i", *ids)
+        self.before: dict[str, bytes] = {}
+
+    def _runs(self, text: str) -> list[str]:
+        """Runs of pre-tokens; with ``spaced``, the space before a run is left out of all but the first."""
+        if not self.spaced:
+            return self.split(text)
+        return _PARTING.split(text) if _OTHER.search(text) else text.split(" ")
+
+    def _learn(self, runs: set[str]) -> None:
+        """Brings the ids of all ``runs`` into ``ids``; what was met since the last turnover but one stays known."""
+        if len(self.ids) + len(runs) > CACHE:
+            self.ids, self.before = {}, self.ids
+        new = []
+        for t in runs - self.ids.keys():
+            if (have := self.before.get(t)) is None:
+                new.append(t)
+            else:
+                self.ids[t] = have
+        for t, ids in zip(new, self._encode([" " + t for t in new] if self.spaced else new), strict=True):
+            self.ids[t] = ids
+
+    def _encode(self, runs: list[str]) -> list[bytes]:
+        parts = [self.split(t) for t in runs]
+        tokens = list(set().union(*parts))
+        latin = [t.encode().decode("latin-1").translate(self.map) for t in tokens]
+        known = {t: struct.pack(f"<{len(ids)}i", *ids) for t, ids in zip(tokens, self.model.encode(latin, out_type=int, num_threads=1), strict=True)}
+        return [known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for p in parts]
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets of the texts)."""
         out, offsets, pending, todo = [], [0], [], 0
 
         def flush():
-            tokens = set().union(*pending)
-            self._learn(tokens)
-            self.last = tokens
+            heads = self._encode([p[0] for p in pending]) if self.spaced else None  # no space before the first run
+            rest = [p[1:] for p in pending] if self.spaced else pending
+            self._learn(set().union(*rest))
             get = self.ids.__getitem__
-            for parts in pending:
+            for k, parts in enumerate(rest):
                 raw = b"".join(map(get, parts))
+                if heads is not None:
+                    raw = heads[k] + raw
                 out.append(raw)
                 offsets.append(offsets[-1] + len(raw) // 4)
             pending.clear()
 
         for text in texts:
-            pending.append(self.split(text or ""))
+            pending.append(self._runs(text or ""))
             todo += len(text or "")
             if todo > 400_000:
                 flush()
@@ -122,8 +153,28 @@ class ByteBPE:
             flush()
         return np.frombuffer(b"".join(out), "<i4"), np.array(offsets, np.int64)
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+
+class Pieces:
+    """The bytes of every id, end to end."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+        self.ends = np.cumsum([len(p) for p in pieces])
+        self.sizes = np.diff(self.ends, prepend=0)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, offsets) of lists of ids; an id outside the vocabulary is an error."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.ends)):
+            raise ValueError("id outside the vocabulary")
+        sizes = self.sizes[ids]
+        past = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(int(past[-1]), np.uint8)
+        for a in range(0, len(ids), 1 << 18):  # bounded temporaries
+            b = min(a + (1 << 18), len(ids))
+            own = sizes[a:b]
+            shift = self.ends[ids[a:b]] - own - past[a:b]
+            out[past[a] : past[b]] = self.data[np.repeat(shift, own) + np.arange(past[a], past[b])]
+        return out, past[offsets]
 
 
 @lru_cache(maxsize=4)
@@ -132,6 +183,11 @@ def _pieces(path: str) -> list[bytes]:
         return read_ranks(f)
 
 
+@lru_cache(maxsize=4)
+def _decoder(name: str) -> Pieces:
+    return Pieces(_pieces(SparkFiles.get(name)))
+
+
 @lru_cache(maxsize=4)
 def _worker(name: str, pattern: str) -> ByteBPE:
     return ByteBPE(_pieces(SparkFiles.get(name)), pattern)
@@ -155,32 +211,44 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text",
     return map_rows(docs.select(*dict.fromkeys([*keep, text_col])), fn, f"{ids_col} array<int>", keep)
 
 
+def binary(data: np.ndarray, offsets: np.ndarray, like: pa.Array) -> pa.Array:
+    """A binary column of the bytes between offsets, null where ``like`` is."""
+    out = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+    return pc.if_else(like.is_valid(), out, None).cast(pa.binary()) if like.null_count else out.cast(pa.binary())
+
+
 def decode(tokens: DataFrame, path: str, *, ids_col: str = "ids", bytes_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """Adds the decoded bytes (binary) to each row; null ids give null, an id outside the vocabulary is an error."""
     name = ship(tokens.sparkSession, path)
     keep = keep if keep is not None else tokens.columns
 
     def fn(batch):
-        pieces = _pieces(SparkFiles.get(name))
         lists = batch.column(batch.schema.get_field_index(ids_col))
-        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
-        values = lists.flatten().to_pylist()
-        data = [pieces[a] for a in values] if len(values) < 64 else list(map(pieces.__getitem__, values))
-        out = [b"".join(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return [pa.array([x if ok else None for x, ok in zip(out, lists.is_valid().to_pylist(), strict=True)], pa.binary())]
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        data, offsets = _decoder(name).decode(lists.flatten().to_numpy(zero_copy_only=False), ends)
+        return [binary(data, offsets, lists)]
 
     return map_rows(tokens.select(*dict.fromkeys([*keep, ids_col])), fn, f"{bytes_col} binary", keep)
 
 
-def digest(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", keep: list[str], ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """Adds the ids and the bytes they decode to, in one pass of one worker: ``encode`` and ``decode`` of a batch in turn."""
+    name = ship(docs.sparkSession, path)
+
+    def fn(batch):
+        ids, offsets = _worker(name, pattern).encode_batch(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
+        return [lists, binary(*_decoder(name).decode(ids, offsets), lists)]
+
+    return map_rows(docs.select(*dict.fromkeys([*keep, text_col])), fn, f"{ids_col} array<int>, {bytes_col} binary", keep)
+
+
+def digest(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id") -> DataFrame:
     """Encode, decode and reduce to the columns of the contract."""
-    keep = keep or [id_col]
-    coded = decode(encode(docs, path, pattern, keep=keep), path, keep=[*keep, "ids"])
+    coded = round_trip(docs.select(F.col(id_col).alias("_id"), F.col("text").alias("_text")), path, pattern, text_col="_text", keep=["_id"])
     return coded.select(
-        *keep,
+        F.col("_id").alias(id_col),
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
-
-
