@@ -6,15 +6,24 @@ bytes of all patterns (m: the shortest) skip positions that no pattern can start
 the block selects the patterns that end their first m bytes with it, and a comparison of bytes confirms.  Many lanes of a
 block of text advance together, so that each step of the scan is one numpy operation.
 
-Nulls and empty texts have no words, no hits and no items.  Repeated document rows are judged one by one, repeated items
-count once, items with a null id are left out.  Input columns other than id and text are not read.  An empty benchmark
-hits nothing.
+The windows of the benchmark are built and made distinct on the executors.  They reach the driver one piece of at most
+``pattern_bytes`` at a time (a single longer window is a piece of its own), go out as a broadcast of that size, and each piece
+is one scan of the rows; a worker keeps the tables of the last pieces it used.
+
+Nulls and empty texts have no words, no hits and no items.  Very long texts are read whole, in memory a few times the text.
+Repeated document rows are judged one by one; repeated items count once, rows of one item id with different texts are one item
+with the windows of all of them; items with a null id are left out.  There are no ties: every occurrence counts.  An empty
+table of documents gives an empty result, an empty benchmark hits nothing.  Input columns other than id and text are not read;
+``find_contamination`` returns those named in ``keep``, where its own columns replace any of their names, ``decontaminate``
+returns every column of its input unchanged, whatever its name.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+import uuid
+from collections import OrderedDict, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,16 +138,57 @@ class WuManber:
         return found
 
 
-def windows(items: list[tuple[object, str | None]], width: int = WIDTH) -> dict[bytes, set[str]]:
-    """Window string -> ids of the items that have it."""
-    out: dict[bytes, set[str]] = defaultdict(set)
-    for item, text in items:
-        words = words_of(text)
-        if item is None or not words:
-            continue
-        for i in range(max(1, len(words) - width + 1)):
-            out[b" " + b" ".join(words[i : i + width]) + b" "].add(str(item))
-    return out
+def window_rows(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
+    """(w, item): the distinct window strings of every item, built where the rows are."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple[bytes, str]] = []
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = words_of(text)
+                for i in range(max(1, len(words) - width + 1) if words else 0):
+                    out.append((b" " + b" ".join(words[i : i + width]) + b" ", item))
+                    if len(out) >= 20_000:
+                        yield _window_batch(out)
+                        out = []
+            yield _window_batch(out)
+
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    return items.mapInArrow(run, "w binary, item string").distinct()
+
+
+def _window_batch(rows: list[tuple[bytes, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([i for _, i in rows], pa.string())], names=["w", "item"])
+
+
+def pieces_of(rows, limit: int) -> Iterator[dict[bytes, set[str]]]:
+    """Window -> items, in pieces of about ``limit`` bytes; at least one piece, if an empty one."""
+    piece: dict[bytes, set[str]] = {}
+    size, some = 0, False
+    for w, item in rows:
+        cost = len(w) + len(item) + 64
+        if piece and size + cost > limit:
+            yield piece
+            piece, size, some = {}, 0, True
+        piece.setdefault(bytes(w), set()).add(item)
+        size += cost
+    if piece or not some:
+        yield piece
+
+
+#: Tables of the pieces that this worker used last.
+_FINDERS: OrderedDict[str, tuple] = OrderedDict()
+FINDERS = 2
+
+
+def _finder(token: str, shared) -> tuple:
+    """(finder, words of each pattern, items of each pattern), built once in a worker."""
+    if token not in _FINDERS:
+        patterns, names = shared.value
+        _FINDERS[token] = WuManber(patterns), np.array([p.count(b" ") - 1 for p in patterns], np.int64), names
+        while len(_FINDERS) > FINDERS:
+            _FINDERS.popitem(last=False)
+    return _FINDERS[token]
 
 
 def _union(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -157,33 +207,20 @@ FIELDS = "n_words bigint, hit_spans array<struct<first: int, past: int>>, items
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, keep: list[str] | None = None, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
     """Per document row: ``n_words``, ``hit_spans`` (maximal runs of hit words) and ``items`` (sorted ids of occurring items).
 
-    The benchmark is read in pieces of ``pattern_bytes`` of window strings; each piece is one scan over all rows, and the
-    scans are chained, so no piece is larger than the bound, and nothing is shuffled.
+    Nothing of the documents is shuffled; each piece of the benchmark is one more scan, chained to the others.
     """
-    pieces, piece, size = [], [], 0
-    for row in benchmark.select(item_col, item_text_col).toLocalIterator():
-        cost = len(row[1] or "") * 2 * width
-        if piece and size + cost > pattern_bytes:
-            pieces.append(piece)
-            piece, size = [], 0
-        piece.append((row[0], row[1]))
-        size += cost
-    pieces.append(piece)
+    spark = docs.sparkSession
     keep = keep or [id_col]
-    out = docs
-    for k, rows in enumerate(pieces):
-        own = windows(rows, width)
-        patterns = sorted(own)
-        lengths = np.array([p.count(b" ") - 1 for p in patterns], np.int64)
-        names = [sorted(own[p]) for p in patterns]
-        shared = docs.sparkSession.sparkContext.broadcast((patterns, lengths, names))  # at most pattern_bytes of windows
-        cache: dict = {}
-
-        def scan(batch, shared=shared, cache=cache, later=k > 0):
-            patterns, lengths, names = shared.value
-            finder = cache.get("finder")
-            if finder is None:
-                finder = cache["finder"] = WuManber(patterns)
+    out, first = docs, True
+    pieces = pieces_of(window_rows(benchmark, item_col, item_text_col, width).toLocalIterator(), pattern_bytes)
+    piece = next(pieces)
+    while piece is not None:
+        following = next(pieces, None)
+        patterns = sorted(piece)
+        shared = spark.sparkContext.broadcast((patterns, [sorted(piece[p]) for p in patterns]))  # at most pattern_bytes of windows
+
+        def scan(batch, shared=shared, token=uuid.uuid4().hex, later=not first):
+            finder, lengths, names = _finder(token, shared)
             n_words, hits, items = [], [], []
             for i, j, data, offsets in text_blocks(batch, text_col):
                 norm, at = normalise(data, offsets)
@@ -205,10 +242,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
             spans_out = [[{"first": a, "past": b} for a, b in _union(h)] for h in hits]
             return [pa.array(np.concatenate(n_words)), pa.array(spans_out, pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
 
-        last = k == len(pieces) - 1
-        columns = keep if last else list(dict.fromkeys([*keep, id_col, text_col]))
-        needed = list(dict.fromkeys([*columns, text_col, *(["hit_spans", "items"] if k else [])]))
+        columns = keep if following is None else list(dict.fromkeys([*keep, id_col, text_col]))
+        needed = list(dict.fromkeys([*columns, text_col, *([] if first else ["hit_spans", "items"])]))
         out = map_rows(out.select(*needed), scan, FIELDS, columns)
+        piece, first = following, False
     return out
 
 
@@ -223,10 +260,12 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents that are not contaminated, with all their columns."""
-    found = digest(find_contamination(docs, benchmark, keep=docs.columns))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    names = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    found = digest(find_contamination(plain, benchmark, id_col=names[id_col], text_col=names[text_col], keep=list(names.values())))
+    return found.where(~F.col("contaminated")).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def sha256_of_items(items: list[str]) -> str:
