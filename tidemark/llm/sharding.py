@@ -5,8 +5,10 @@ its name).  The shards take turns, each claiming the first slot of its order tha
 shards' shares differ by one slot at most, and when a shard joins or leaves, few keys move between the others.  A key's
 slot is its hash modulo the size of the table, and one broadcast of the table places every row, whatever the data.
 
-The table has ``slots`` rows, a parameter: that bounds what is broadcast.  A null key counts as the empty string.  Equal
-keys share a shard; no row is dropped; an empty input gives an empty result.
+The table has ``slots`` rows, a parameter: that bounds what is broadcast.  A null key counts as the empty string, a key of any
+length is hashed whole.  Equal keys and repeated rows share a shard; there are no ties, since each slot has one owner; no row is
+dropped; an empty input gives an empty result.  Input columns of any name keep their values; one that carries the name of an
+added column is returned with ``_in`` after its name.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import beside
+
 SLOTS = 65_537
 
 
@@ -55,12 +59,12 @@ def lookup_table(spark, shards: list[str], slots: int = SLOTS) -> DataFrame:
 
 
 def assign(df: DataFrame, key_col: str, shards: list[str], *, slots: int = SLOTS, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
-    """Adds the slot and the shard's name to each row; columns of those names are replaced."""
+    """Adds the slot and the shard's name to each row."""
     names = F.split(F.lit("\x1f".join(shards)), "\x1f")
-    table = lookup_table(df.sparkSession, shards, slots).select(F.col("slot").alias("_slot"), F.get(names, F.col("shard_index")).alias("_shard"))
-    rows = df.withColumn("_place", slot_of(F.col(key_col), slots)).drop(shard_col, slot_col)
-    joined = rows.join(F.broadcast(table), F.col("_place") == F.col("_slot"))
-    return joined.withColumn(slot_col, F.col("_place")).withColumn(shard_col, F.col("_shard")).drop("_place", "_slot", "_shard")
+    table = lookup_table(df.sparkSession, shards, slots).select(F.col("slot").alias("t"), F.get(names, F.col("shard_index")).alias("owner"))
+    rows = df.select(F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row"), slot_of(F.col(key_col), slots).alias("s"))
+    joined = rows.join(F.broadcast(table), F.col("s") == F.col("t"))
+    return joined.select(*[F.col(f"row.c{i}").alias(n) for i, n in enumerate(beside(df.columns, [slot_col, shard_col]))], F.col("s").alias(slot_col), F.col("owner").alias(shard_col))
 
 
 def write_shards(df: DataFrame, path: str, shard_col: str = "shard") -> None:
