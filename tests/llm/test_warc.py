@@ -5,7 +5,7 @@ import struct
 
 import zstandard
 
-from tidemark.llm.warc import SKIPPABLE_DICTIONARY, ArchiveWriter, archive_and_read, build_dictionary, make_record, read_archive, read_archives, write_archives
+from tidemark.llm.warc import SKIPPABLE_DICTIONARY, ArchiveWriter, archive_and_read, build_dictionary, make_record, read_archive, read_archives, sample_pages, write_archives
 
 
 def test_archive_layout():
@@ -33,7 +33,7 @@ def test_round_trip(spark, tmp_path):
     rows = [(1, "http://a", None), (2, None, ""), (3, "u\r\nX: y", "tiny"), (4, "u", "tiny"), (None, "n", big[2]), (50, "http://é/ü?q=%20", big[0]), (51, "v", big[0])]
     rows += [(100 + i, f"http://h/{i}", big[i % len(big)]) for i in range(60)] + [(159, "again", big[59 % len(big)])]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as payload", "2 as digest").repartition(3)
-    got = read_archives(spark, write_archives(df, str(tmp_path / "w"), archive_bytes=4000)).collect()
+    got = read_archives(write_archives(df, str(tmp_path / "w"), archive_bytes=4000), str(tmp_path / "w")).collect()
     last = {}
     for p, _, h in rows:
         if len((h or "").encode()) >= 1000 and p is not None:
@@ -44,3 +44,29 @@ def test_round_trip(spark, tmp_path):
     assert texts[3] == "tiny" and texts[1] == "" and texts[159] == big[59 % len(big)]
     assert {r.page_id: r.url for r in got}[50] == "http://é/ü?q=%20".replace("%20", " ")
     assert archive_and_read(df.limit(0)).count() == 0
+
+
+def test_archives_of_other_attempts_are_not_read(spark, tmp_path):
+    folder = tmp_path / "w"
+    df = spark.createDataFrame([(i, f"u{i}", "x" * 40) for i in range(30)], "page_id long, url string, html string").repartition(2)
+    manifest = write_archives(df, f"file://{folder}")
+    for f in list(folder.glob("part-*")):  # a second attempt of the same task, and one that was cut short
+        (folder / f.name.replace(".warc", "-again.warc")).write_bytes(f.read_bytes())
+        (folder / f.name.replace(".warc", "-cut.warc")).write_bytes(f.read_bytes()[:50])
+    assert sorted(r.page_id for r in read_archives(manifest, f"file://{folder}").collect()) == list(range(30))
+    assert manifest.agg({"records": "sum"}).first()[0] == 30
+
+
+def test_the_sample_is_bounded_on_repeated_pages(spark):
+    df = spark.createDataFrame([(1, "same", "h")] * 500 + [(i, "u", "h" * 50) for i in range(2, 400)], "page_id long, url string, html string").repartition(7)
+    got = sample_pages(df, id_col="page_id", url_col="url", html_col="html", records=60, size=8)
+    assert len(got) == 60 == len({(p, u) for p, u, _ in got}) and all(len(b) <= 8 for *_, b in got)
+
+
+def test_a_record_larger_than_an_archive(spark, tmp_path):
+    rng = random.Random(4)
+    html = "".join(rng.choices("abcdefghij", k=300_000))
+    df = spark.createDataFrame([(1, "u", html), (2, "v", "small"), (3, "w", html)], "page_id long, url string, html string").coalesce(1)
+    manifest = write_archives(df, str(tmp_path / "w"), archive_bytes=1000)
+    got = {r.page_id: r for r in read_archives(manifest, str(tmp_path / "w")).collect()}
+    assert bytes(got[3].payload).decode() == html and got[1].refers_to == 3 and got[2].record_type == "response"

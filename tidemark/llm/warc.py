@@ -2,18 +2,21 @@
 
 Each archive begins with a skippable frame that holds the dictionary; every record after it is a Zstandard frame of its own,
 compressed with that dictionary, so records can be cut out and archives can be joined.  The dictionary is built from the
-records themselves: at most ``sample_records`` of them (those of least hash of page id and digest), of at most
-``sample_bytes`` each, so the driver's share is bounded.
+records themselves: at most ``sample_records`` pages (those of least hash of id and url, one for each pair), of at most
+``sample_bytes`` each.  A share of the hashes is filtered before the sample is taken, so what all tasks together send to the
+driver is a few times the sample, however many there are.
 
 Of records with equal payloads of at least ``min_revisit`` bytes, the one with the largest page id is a response and the
 others revisit it.  Only digests and ids are grouped; a payload is never gathered with its copies.
 
-A null html is an empty payload, a null url is written as an empty target, repeated rows are archived each (rows of the
+A null html is an empty payload, a null url is written as an empty target, repeated rows are archived each (ties: rows of the
 largest id are all responses), null page ids are never the record that others revisit while another id is known.  An empty
-table gives no archive and no rows.
+table gives no archive and no rows.  A record of more than ``archive_bytes`` is an archive of its own; it is held whole by one
+task.  Input columns other than id, url and html are not read, whatever their names.
 
-Archives go to a folder that driver and executors share.  A task writes under a name of its own attempt and renames, so a
-task that is run again replaces its own files.
+Archives go to a folder that driver and executors share.  Every attempt of a task writes under names of its own, and the
+manifest, a table written by Spark, names the archives of the attempts that were committed; readers go by the manifest, so
+archives of a lost or doubled attempt are never read.  They stay as files that no manifest names until the folder is deleted.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
-import os
 import struct
 import urllib.parse
 
@@ -150,16 +152,23 @@ def plan_records(pages: DataFrame, *, id_col: str, url_col: str, html_col: str,
     return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, sample_records: int = SAMPLE_RECORDS, sample_bytes: int = SAMPLE_BYTES) -> list[str]:
-    """Writes archives to ``folder`` and returns their paths."""
+def sample_pages(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, records: int, size: int) -> list:
+    """At most ``records`` (page_id, url, first ``size`` bytes of the payload)."""
+    key = F.xxhash64(F.col(id_col).cast("bigint"), F.col(url_col))
+    source = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.substring(F.coalesce(F.col(html_col), F.lit("")), 1, size).alias("html"), key.alias("key"))
+    known = source.agg(F.approx_count_distinct("key")).first()[0] or 0  # one number
+    share = min(1.0, (2 * records + 100) / max(known, 1))
+    few = source.where(F.col("key").cast("double") / 2.0**64 + 0.5 <= share).groupBy("key", "page_id", "url").agg(F.min("html").alias("html"))
+    drawn = few.orderBy("key", "page_id", "url").limit(records).collect()
+    return [(r["page_id"], r["url"], (r["html"] or "").encode()[:size]) for r in drawn]
+
+
+def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, sample_records: int = SAMPLE_RECORDS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """Writes archives to ``folder``; returns the manifest (archive, records, bytes), also kept as ``folder``/manifest."""
     spark = pages.sparkSession
     records = plan_records(pages, id_col=id_col, url_col=url_col, html_col=html_col, min_revisit=min_revisit)
-    source = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.substring(F.coalesce(F.col(html_col), F.lit("")), 1, sample_bytes).alias("html"))
-    drawn = source.orderBy(F.xxhash64("page_id", "url"), "html").limit(sample_records).collect()  # bounded sample
-    if not drawn:
-        return []
-    texts = [(r["page_id"], r["url"], (r["html"] or "").encode()[:sample_bytes]) for r in drawn]
-    dictionary = build_dictionary([make_record(p, u, b, hashlib.sha1(b).hexdigest(), None, date) for p, u, b in texts])
+    drawn = sample_pages(pages, id_col=id_col, url_col=url_col, html_col=html_col, records=sample_records, size=sample_bytes)
+    dictionary = build_dictionary([make_record(p, u, b, hashlib.sha1(b).hexdigest(), None, date) for p, u, b in drawn])
     shared = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES
     fs, root = _store(folder)
     fs.create_dir(root, recursive=True)
@@ -169,22 +178,19 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
 
         context = TaskContext.get()
         fs, root = _store(folder)
+        name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
         writer, sink, done = None, None, []
-        name = f"{root}/part-{context.partitionId():06d}"
-        attempt = f"{root}/.attempt-{context.taskAttemptId()}"
 
         def close():
             nonlocal writer
             sink.close()
-            target = f"{name}-{len(done):04d}.warc.zst"
-            fs.move(attempt, target)
-            done.append((os.path.basename(target), writer.records - 1, writer.size))
+            done.append((f"{name}-{len(done):04d}.warc.zst", writer.records - 1, writer.size))
             writer = None
 
         for batch in batches:
             for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if writer is None:
-                    sink = fs.open_output_stream(attempt)
+                    sink = fs.open_output_stream(f"{root}/{name}-{len(done):04d}.warc.zst", compression=None)
                     writer = ArchiveWriter(sink, shared.value, date)
                 writer.add(make_record(page_id, url, payload, digest, refers_to, date))
                 if writer.size >= archive_bytes:
@@ -195,20 +201,22 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done]) for k in range(3)], names=["archive", "records", "bytes"])
 
     tune(spark)
-    written = records.mapInArrow(run, "archive string, records bigint, bytes bigint").collect()  # a row for each archive
-    return sorted(f"{folder.rstrip('/')}/{r['archive']}" for r in written)
+    manifest = f"{folder.rstrip('/')}/manifest"
+    records.mapInArrow(run, "archive string, records bigint, bytes bigint").write.mode("overwrite").parquet(manifest)
+    return spark.read.parquet(manifest)
 
 
-def read_archives(spark, archives: list[str]) -> DataFrame:
+def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per response or revisit record; a response whose payload does not match its digest is an error."""
-    if not archives:
-        return spark.createDataFrame([], FIELDS)
 
     def run(batches):
+        fs, root = _store(folder)
         for batch in batches:
-            for raw in batch.column(0):
+            for name in batch.column(0).to_pylist():
+                with fs.open_input_file(f"{root}/{name}") as source:
+                    raw = source.read()  # about archive_bytes, or one record
                 rows, size = [], 0
-                for headers, block in read_archive(raw.as_buffer().to_pybytes()):
+                for headers, block in read_archive(raw):
                     if headers["warc-type"] not in ("response", "revisit"):
                         continue
                     http, _, payload = block.partition(b"\r\n\r\n")
@@ -225,9 +233,9 @@ def read_archives(spark, archives: list[str]) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
+    spark = manifest.sparkSession
     tune(spark)
-    files = spark.read.format("binaryFile").load(archives).select("content")
-    return files.mapInArrow(run, FIELDS)
+    return manifest.select("archive").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "archive").mapInArrow(run, FIELDS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -238,5 +246,5 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
     """Write the pages to a folder beside the session's shared tables, and read the archives back."""
-    scratch = Scratch(pages.sparkSession)
-    return read_archives(pages.sparkSession, write_archives(pages, f"{scratch.root}/archives"))
+    folder = f"{Scratch(pages.sparkSession).root}/archives"
+    return read_archives(write_archives(pages, folder), folder)
