@@ -43,7 +43,8 @@ def test_every_byte_lies_in_one_window():
     sizes = [0, 1, 47, 48, 49, 200, 0]
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     data = np.arange(1, offsets[-1] + 1).astype(np.uint8)
-    seq, length, row = L.windows(data, offsets)
+    begin, length, row = L.window_bounds(offsets)
+    seq = L.window_bytes(data, begin, length)
     got = [np.concatenate([seq[: length[k], k] for k in np.flatnonzero(row == d)] or [np.zeros(0)]).tolist() for d in range(len(sizes))]
     assert got == [L.LOWER[data[a:b]].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
 
@@ -54,8 +55,8 @@ def test_pooled_equals_the_plain_forward_pass():
     sizes = [0, 1, 47, 48, 49, 300]
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     data = rng.integers(0, 256, offsets[-1]).astype(np.uint8)
-    seq, length, row = L.windows(data, offsets)
-    prob = L.forward(p, seq)
+    begin, length, row = L.window_bounds(offsets)
+    prob = L.forward(p, L.window_bytes(data, begin, length))
     want = np.array([sum((prob[: length[k], k].sum(0) for k in np.flatnonzero(row == d)), np.zeros(3)) / max(n, 1) for d, n in enumerate(sizes)])
     assert np.allclose(L.pooled(p, data, offsets, chunk=2), want, atol=1e-5)
 

@@ -5,25 +5,28 @@ one backwards, every position is labelled from both states, and a document's pro
 positions.  All windows of all texts of a block advance together, one byte a step.
 
 Training is by backpropagation through time with Adam, from text and language of documents whose CRC-32 of the id is not 2
-modulo 4 and whose language is known.  It uses at most ``per_language`` documents of each language (those of least hash of
-the id) and ``excerpt`` characters of each, from a hashed place; that bounds the driver's share.  Predictions read whole
-texts and nothing but the text.
-
-A text that is null or has no letter is ``und`` with score 0, as is every text if no language was learned.  Repeated rows get
-equal results; columns other than id and text are not read for a prediction.
+modulo 4 and whose language is known.  It uses at most ``per_language`` documents of each of the ``max_languages`` most frequent
+languages (those of least hash of the id, one row of each id); that bounds the rows the driver learns from.  Their texts are
+whole: a training window is drawn from all windows of a document that is drawn from all of its language.  Predictions read
+whole texts and nothing but the text.
+
+A text that is null or has no letter is ``und`` with score 0, as is every text if no language was learned.  Ties of
+probability go to the first language by name.  Repeated rows get equal results; an empty table gives an empty result.  Very
+long texts cost their own size and some bytes for each window, since windows are gathered a chunk at a time.  Columns other
+than id and text are not read for a prediction; ``accept`` returns all columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, map_rows, text_blocks
 
 STEPS, HIDDEN = 48, 12
-PER_LANGUAGE, EXCERPT = 300, 480
+PER_LANGUAGE, MAX_LANGUAGES = 150, 1000
 ROUNDS, BATCH = 320, 256
 #: A document with a lower score is rejected by ``accept``.
 MIN_SCORE = 0.4
@@ -117,18 +120,23 @@ def gradients(p: dict, seq: np.ndarray, label: np.ndarray, mask: np.ndarray) ->
     return loss, g
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes (steps, windows), their number in each window, row of each window); every byte of every row lies in one."""
+def window_bounds(offsets: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, number of bytes, row) of each window; every byte of every row lies in one."""
     sizes = np.diff(offsets)
     count = -(-sizes // steps)
     row = np.repeat(np.arange(len(sizes)), count)
-    first = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    begin = offsets[row] + first * steps
-    length = np.minimum(steps, offsets[row + 1] - begin)
-    at = begin[None, :] + np.arange(steps)[:, None]
-    inside = np.arange(steps)[:, None] < length[None, :]
-    seq = np.where(inside, LOWER[data[np.minimum(at, max(len(data) - 1, 0))]], 0) if len(data) else np.zeros((steps, 0), np.uint8)
-    return seq.astype(np.uint8), length, row
+    begin = offsets[row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * steps
+    return begin, np.minimum(steps, offsets[row + 1] - begin), row
+
+
+def window_bytes(data: np.ndarray, begin: np.ndarray, length: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Lower-cased bytes (steps, windows) of some windows, zeros past their ends."""
+    if not len(begin):
+        return np.zeros((steps, 0), np.uint8)
+    place = np.arange(steps)[:, None]
+    out = LOWER[data[np.minimum(begin[None, :] + place, len(data) - 1)]]
+    out[place >= length[None, :]] = 0
+    return out
 
 
 def train(texts: list[str], labels: list[str], *, seed: int = 7, rounds: int = ROUNDS, batch: int = BATCH, hidden: int = HIDDEN, steps: int = STEPS) -> dict:
@@ -136,19 +144,23 @@ def train(texts: list[str], labels: list[str], *, seed: int = 7, rounds: int = R
     classes = sorted(set(labels))
     raw = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    seq, length, row = windows(np.frombuffer(b"".join(raw), np.uint8), offsets, steps)
-    label = np.array([classes.index(x) for x in labels])[row] if len(row) else np.zeros(0, int)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    begin, length, row = window_bounds(offsets, steps)
     if not len(row) or not classes:
         return {"classes": []}
+    first = np.searchsorted(row, np.arange(len(texts) + 1))
+    own = np.diff(first)
+    label = np.array([classes.index(x) for x in labels])
     rng = np.random.default_rng(seed)
     p = _init(rng, hidden, len(classes))
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v = {k: np.zeros_like(x) for k, x in p.items()}
-    by_class = [np.flatnonzero(label == c) for c in range(len(classes))]
+    by_class = [np.flatnonzero((label == c) & (own > 0)) for c in range(len(classes))]
     for k in range(1, rounds + 1):
-        pick = np.concatenate([rng.choice(own, -(-batch // len(classes))) for own in by_class if len(own)])
+        doc = np.concatenate([rng.choice(have, -(-batch // len(classes))) for have in by_class if len(have)])
+        pick = first[doc] + (rng.random(len(doc)) * own[doc]).astype(np.int64)
         mask = (np.arange(steps)[:, None] < length[pick][None, :]).astype(np.float32)
-        _, g = gradients(p, seq[:, pick], label[pick], mask)
+        _, g = gradients(p, window_bytes(data, begin[pick], length[pick], steps), label[doc], mask)
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         rate = 0.02 * min(1, 2 * (1 - (k - 1) / rounds))
         for name, x in g.items():
@@ -192,11 +204,11 @@ def _logits(x: np.ndarray, u: np.ndarray, o: np.ndarray, seq: np.ndarray, order,
 def pooled(p: dict, data: np.ndarray, offsets: np.ndarray, chunk: int = 1024) -> np.ndarray:
     """Mean over the positions of each row of the labels' probabilities."""
     steps, classes, hidden = STEPS, len(p["classes"]), p["uf"].shape[0]
-    seq, length, row = windows(data, offsets, steps)
+    begin, length, row = window_bounds(offsets, steps)
     out = np.zeros((len(offsets) - 1, classes))
     for a in range(0, len(row), chunk):
-        part = np.ascontiguousarray(seq[:, a : a + chunk])
         own = length[a : a + chunk]
+        part = window_bytes(data, begin[a : a + chunk], own, steps)
         prob = np.empty((steps, classes, part.shape[1]), np.float32)
         prob[:] = p["ob"][:, None]
         _logits(p["xf"] + p["cf"], p["uf"], p["o"][:hidden], part, range(steps), prob)
@@ -209,28 +221,22 @@ def pooled(p: dict, data: np.ndarray, offsets: np.ndarray, chunk: int = 1024) ->
     return out / np.maximum(np.diff(offsets), 1)[:, None]
 
 
-def training_rows(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_language: int, excerpt: int) -> list:
-    """At most ``per_language`` (language, excerpt) of each language, the same for every run over the same rows."""
+def training_rows(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_language: int, max_languages: int) -> list:
+    """At most ``per_language`` (language, text) of each language, the same for every run over the same rows."""
     key = F.xxhash64(F.col(id_col).cast("string"))
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, 4) != 2)).select(F.col(lang_col).cast("string").alias("lang"), key.alias("key"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["count"] for r in known.select("lang", "key").groupBy("lang").count().collect()}
-    if len(counts) > 1000:
-        raise ValueError("more than 1000 languages")
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"), F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(max_languages).collect()
     if not counts:
         return []
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 2 * per_language / n + 20 / n))) for k, n in counts.items()])
-    picked = known.where((F.col("key").cast("double") / 2.0**64 + 0.5) <= share)
-    place = F.lit(1) + F.pmod(F.col("key"), F.greatest(F.length("text") - excerpt, F.lit(1))).cast("int")
-    rows = picked.select("lang", "key", F.col("text").substr(place, F.lit(excerpt)).alias("text")).collect()
-    out: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["key"], r["text"])):
-        if len(own := out.setdefault(r["lang"], [])) < per_language:
-            own.append((r["lang"], r["text"]))
-    return [x for k in sorted(out) for x in out[k]]
-
-
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, excerpt: int = EXCERPT) -> dict:
-    rows = training_rows(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_language=per_language, excerpt=excerpt)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2 * per_language + 20) / max(r["n"], 1)))])
+    picked = known.where((F.col("key").cast("double") / 2.0**64 + 0.5) <= share[F.col("lang")])
+    one = picked.groupBy("lang", "key").agg(F.min("text").alias("text"))  # rows of one id count once
+    rows = one.select("*", F.row_number().over(Window.partitionBy("lang").orderBy("key")).alias("nth")).where(F.col("nth") <= per_language).collect()
+    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["nth"]))]
+
+
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> dict:
+    rows = training_rows(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_language=per_language, max_languages=max_languages)
     return train([t for _, t in rows], [x for x, _ in rows])
 
 

@@ -5,11 +5,14 @@ is, how many there are; then a tanh layer), gated attention weighs the passages
 encodings is scored by a logistic unit.  Labels belong to documents alone; the attention learns which passages matter.
 
 Training uses labelled documents whose CRC-32 of the id is not 0 modulo 5, at most ``max_documents`` of them (those of least
-hash of the id) and ``max_passages`` passages of each, evenly spaced; that bounds the driver's share.  Scores read every
-passage of whole texts, and nothing but the text.
-
-Null and empty texts are a bag of one empty passage and get a score too.  Labels other than 0 and 1 are left out; repeated
-rows get equal scores.  If one class alone is labelled, the score is its share; without labels it is one half.
+hash of the id); that bounds the rows the driver learns from.  Training and scores read every passage of whole texts, and
+nothing but the text; features of training passages are made a batch at a time.
+
+Null and empty texts are a bag of one empty passage and get a score too.  Labels other than 0 and 1 are left out; equal labels
+of one id count once, an id with both labels is learned with both, rows of one id with different texts count once in training
+(the least text).  Repeated rows get equal scores; there are no ties to break.  If one class alone is labelled, the score is its
+share; without labels it is one half.  Very long texts are scored whole, a piece of their passages at a time.  An empty table
+gives an empty result.  Input columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_blocks, text_buffers
+from .common import map_rows, text_blocks
 from .language_id import fold
 
 PASSAGE, PAIRS, EXTRA = 384, 256, 4
 CODE, ATTENTION = 24, 16
-MAX_DOCUMENTS, MAX_PASSAGES = 4000, 24
+MAX_DOCUMENTS = 3000
 EPOCHS, BATCH = 24, 64
 THRESHOLD = 0.3
 _FEATURES = 256 + PAIRS + EXTRA
@@ -63,6 +66,13 @@ def _segments(row: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
 
 
+def attend(p: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, logits of the gated attention) of passages."""
+    h = np.tanh(x @ p["w"] + p["wb"])
+    u = 0.5 + 0.5 * np.tanh(0.5 * (h @ p["u"] + p["ub"]))
+    return h, (np.tanh(h @ p["v"] + p["vb"]) * u) @ p["a"]
+
+
 def forward(p: dict, x: np.ndarray, row: np.ndarray, tape: bool = False):
     """Scores of the documents whose passages are runs of equal ``row``."""
     h = np.tanh(x @ p["w"] + p["wb"])
@@ -92,22 +102,21 @@ def gradients(p: dict, x: np.ndarray, row: np.ndarray, y: np.ndarray) -> tuple[f
     return loss, {k: np.asarray(t, np.float32) for k, t in g.items()}
 
 
-def train(x: np.ndarray, row: np.ndarray, y: np.ndarray, *, seed: int = 5, epochs: int = EPOCHS, batch: int = BATCH) -> dict:
-    """x, row: passages in document order; y: one label for each document."""
+def train(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, *, seed: int = 5, epochs: int = EPOCHS, batch: int = BATCH) -> dict:
+    """data, offsets: the texts of the documents; y: one label for each."""
     if not len(y) or len(set(y.tolist())) < 2:
         return {"share": float(np.mean(y)) if len(y) else 0.5}
     rng = np.random.default_rng(seed)
     shapes = {"w": (_FEATURES, CODE), "wb": (CODE,), "v": (CODE, ATTENTION), "vb": (ATTENTION,), "u": (CODE, ATTENTION), "ub": (ATTENTION,), "a": (ATTENTION,), "o": (CODE,), "ob": ()}
     p = {k: np.asarray(rng.normal(0, 1 / np.sqrt(s[0]), s) if k in "wvuao" else np.zeros(s), np.float32) for k, s in shapes.items()}
     m, s2 = {k: np.zeros_like(t) for k, t in p.items()}, {k: np.zeros_like(t) for k, t in p.items()}
-    cut = np.append(_segments(row), len(row))
     step, steps = 0, epochs * -(-len(y) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for a in range(0, len(y), batch):
             own = order[a : a + batch]
-            at = np.concatenate([np.arange(cut[d], cut[d + 1]) for d in own])
-            _, g = gradients(p, x[at], np.repeat(np.arange(len(own)), cut[own + 1] - cut[own]), y[own])
+            x, row = features(np.concatenate([data[offsets[d] : offsets[d + 1]] for d in own]), np.concatenate([[0], np.cumsum(np.diff(offsets)[own])]))
+            _, g = gradients(p, x, row, y[own])
             step += 1
             rate = 0.01 * (1 - 0.95 * step / steps)
             for k, t in g.items():
@@ -118,40 +127,47 @@ def train(x: np.ndarray, row: np.ndarray, y: np.ndarray, *, seed: int = 5, epoch
     return p
 
 
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features, row) of all passages of some texts."""
+    row, begin, end = passages(offsets)
+    return encode(data, begin, end, np.bincount(row)[row]), row
+
+
 def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, max_documents: int) -> list:
-    """(key, label, raw passages, their sizes, passages of the document) of the training documents."""
+    """At most ``max_documents`` (key, label, text), one for each id and label."""
     key = F.xxhash64(F.col(id_col).cast("string"))
-    usable = labels.where(F.col(label_col).isin(0, 1) & (fold(id_col, 5) != 0)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"), key.alias("key"))
-    picked = usable.orderBy("key", "y").limit(max_documents).distinct()  # bounded: a top-k by hash
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(fold("_id", 5) != 0)
+    usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col, 5) != 0)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"), key.alias("key"))
+    share = min(1.0, (2 * max_documents + 100) / max(usable.agg(F.approx_count_distinct("key")).first()[0] or 0, 1))
+    likely = usable.where(F.col("key").cast("double") / 2.0**64 + 0.5 <= share).distinct()
+    picked = likely.orderBy("key", "y").limit(max_documents)  # bounded: a top-k by hash
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     joined = texts.join(F.broadcast(picked), "_id")  # at most max_documents rows
-
-    def fn(batch):
-        data, offsets = text_buffers(batch.column(batch.schema.get_field_index("text")))
-        row, begin, end = passages(offsets)
-        out, sizes, total = [], [], []
-        for d in range(batch.num_rows):
-            own = np.flatnonzero(row == d)
-            pick = own[np.unique(np.linspace(0, len(own) - 1, min(len(own), MAX_PASSAGES)).round().astype(int))]
-            out.append(b"".join(data[begin[k] : end[k]].tobytes() for k in pick))
-            sizes.append([int(end[k] - begin[k]) for k in pick])
-            total.append(len(own))
-        return [pa.array(out, pa.binary()), pa.array(sizes, pa.list_(pa.int32())), pa.array(total, pa.int32())]
-
-    rows = map_rows(joined, fn, "raw binary, sizes array<int>, total int", ["key", "y"]).collect()
-    return sorted(((r["key"], r["y"], bytes(r["raw"]), tuple(r["sizes"]), r["total"]) for r in rows))[: 2 * max_documents]
+    rows = joined.groupBy("key", "y").agg(F.min("text").alias("text")).collect()
+    return sorted((r["key"], r["y"], r["text"]) for r in rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_documents: int = MAX_DOCUMENTS) -> dict:
     rows = sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_documents=max_documents)
-    if not rows:
-        return {"share": 0.5}
-    sizes = np.array([s for r in rows for s in r[3]], np.int64)
-    end = np.cumsum(sizes)
-    row = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
-    count = np.array([r[4] for r in rows])[row]
-    x = encode(np.frombuffer(b"".join(r[2] for r in rows), np.uint8), end - sizes, end, count)
-    return train(x, row, np.array([r[1] for r in rows], np.float32))
+    raw = [t.encode() for _, _, t in rows]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    return train(np.frombuffer(b"".join(raw), np.uint8), offsets, np.array([y for _, y, _ in rows], np.float32))
+
+
+def bag_scores(p: dict, data: np.ndarray, offsets: np.ndarray, limit: int = 4096) -> np.ndarray:
+    """Scores of whole texts.  A text of more than ``limit`` passages is read in pieces: the attention's running sums are kept
+    and rescaled, so its result is that of all passages at once."""
+    row, begin, end = passages(offsets)
+    count = np.bincount(row, minlength=len(offsets) - 1)
+    if len(row) <= limit or len(offsets) > 2:
+        return forward(p, encode(data, begin, end, count[row]), row).astype(np.float64)
+    top, total, z = -np.inf, 0.0, 0.0
+    for a in range(0, len(row), limit):
+        b, e = begin[a : a + limit], end[a : a + limit]
+        h, weight = attend(p, encode(data[b[0] : e[-1]], b - b[0], e - b[0], count[row[a : a + limit]]))
+        peak = max(top, float(weight.max()))
+        now, before = np.exp(weight - peak), np.exp(top - peak)
+        total, z, top = total * before + now.sum(), z * before + now @ h, peak
+    return np.array([0.5 + 0.5 * np.tanh(0.5 * (z / total @ p["o"] + p["ob"]))], np.float64)
 
 
 def score(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list[str]) -> DataFrame:
@@ -161,11 +177,7 @@ def score(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list[st
     def fn(batch):
         p, out = shared.value, []
         for _, _, data, offsets in text_blocks(batch, text_col):
-            row, begin, end = passages(offsets)
-            if "share" in p:
-                out.append(np.full(len(offsets) - 1, p["share"]))
-            else:
-                out.append(forward(p, encode(data, begin, end, np.bincount(row)[row]), row).astype(np.float64))
+            out.append(np.full(len(offsets) - 1, p["share"]) if "share" in p else bag_scores(p, data, offsets))
         return [pa.array(np.concatenate(out))]
 
     return map_rows(docs.select(*dict.fromkeys([*keep, text_col])), fn, "score double", keep)
