@@ -1,12 +1,16 @@
 """Quality rules with host-level verdicts, in DataFrame functions only.
 
 Document rules count over the whole text: words, symbols, repeated lines, words in repeated three-word windows.  Host
-rules aggregate the documents' failures by host, shrink each host's failure rate towards the rate of all hosts with a
-beta prior fitted to them by moments, and join the verdict back: documents of a host whose shrunk rate exceeds
-``max_rate`` are not kept.
+rules aggregate the documents' failures by host, one count for each of ``RULES``; for each rule a beta prior is fitted to the
+hosts' failure rates by moments (less the noise of counting), each host's rate is shrunk towards its mean, and the host is
+refused if its posterior exceeds ``lift`` times that mean by two standard deviations.  So a cut is relative to the other hosts:
+hosts that fail alike, as in a corpus whose hosts are dealt at random, are all kept, and a small host needs more evidence.  The
+verdict is joined back: documents of a refused host are not kept.
 
 A null text counts as empty: no words, so it fails.  Null hosts are one host of their own.  Every row is judged, repeated
-ids too.  An empty table gives an empty result.  Columns of the input other than id, text and host are not read.
+ids too, and counts for its host.  Texts may be very long: positions have 64 bits, windows are compared by whole 64-bit hashes,
+memory is some tens of bytes a word.  Ties (equal windows, equal lines) all count but for the first line.  An empty table gives
+an empty result.  Columns of the input other than id, text and host are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +22,14 @@ from .common import Scratch
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A host is refused if its shrunk failure rate is above this.
-MAX_RATE = 0.7
+#: A host is refused if its failures of a rule exceed so many times the mean of the prior.
+LIFT = 2.0
+#: Rules that hosts are held to, over the counts of a document.
+RULES = {
+    "short": f"n_words < {MIN_WORDS}",
+    "repeats": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
+    "symbols": "10 * n_symbols > n_words",
+}
 #: Bounds of the strength of the prior, in documents.
 STRENGTH = (1.0, 1e6)
 
@@ -70,30 +80,45 @@ def base_stats(docs: DataFrame, *, text_col: str = "text", keep: list[str]) -> D
     return counted.select(*[F.col(h).alias(c) for h, c in zip(held, keep, strict=True)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
-def host_rates(stats: DataFrame, host_col: str, *, max_rate: float = MAX_RATE) -> DataFrame:
-    """One row per host: host, n_docs, n_failed, shrunk rate, refused."""
-    hosts = stats.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("bigint")).alias("host_failed"))
-    rate = F.col("host_failed").cast("double") / F.col("host_docs")
-    row = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()  # one row: the moments of the prior
-    mean, var = row["m"] or 0.0, row["v"] or 0.0
-    strength = min(max(mean * (1 - mean) / var - 1, STRENGTH[0]), STRENGTH[1]) if var > 0 else STRENGTH[1]
-    shrunk = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_refused", F.col("host_rate") > max_rate)
-
-
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """Per document row: id, the counts, base_failed, host, host_rate, host_refused, kept.
+def host_rates(stats: DataFrame, host_col: str, *, lift: float = LIFT) -> DataFrame:
+    """One row per host: host, host_docs, and for each rule its failures and shrunk rate; host_refused."""
+    failures = [F.sum(F.expr(rule).cast("bigint")).alias(f"host_{name}") for name, rule in RULES.items()]
+    hosts = stats.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"), *failures)
+    moments = []
+    for name in RULES:
+        rate = F.col(f"host_{name}").cast("double") / F.col("host_docs")
+        moments += [F.avg(rate).alias(f"m_{name}"), F.var_pop(rate).alias(f"v_{name}")]
+    row = hosts.agg(*moments, F.avg(1 / F.col("host_docs").cast("double")).alias("noise")).first()  # one row: the moments of the priors
+    refused = F.lit(False)
+    for name in RULES:
+        mean, noise = row[f"m_{name}"] or 0.0, row["noise"] or 0.0
+        var = (row[f"v_{name}"] or 0.0) - mean * (1 - mean) * noise
+        strength = min(max(mean * (1 - mean) / var - 1, STRENGTH[0]), STRENGTH[1]) if var > 0 else STRENGTH[1]
+        shrunk = (F.col(f"host_{name}") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
+        hosts = hosts.withColumn(f"{name}_rate", shrunk)
+        spread = F.sqrt(F.col(f"{name}_rate") * (1 - F.col(f"{name}_rate")) / (F.col("host_docs") + F.lit(strength + 1)))
+        refused = refused | (F.col(f"{name}_rate") - 2 * spread > F.lit(lift * mean))
+    return hosts.withColumn("host_refused", refused)
+
+
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", lift: float = LIFT) -> DataFrame:
+    """Per document row: id, the counts, base_failed, the columns of its host, kept.
 
     The counts are written once to the shared folder, so the texts are read once for both the host table and the join.
     """
     scratch = Scratch(docs.sparkSession)
     named = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text"), F.col(host_col).alias("host"))
     stats = scratch.write(base_stats(named, text_col="_text", keep=[id_col, "host"]), "stats")
-    hosts = scratch.write(host_rates(stats, "host", max_rate=max_rate), "hosts")
+    hosts = scratch.write(host_rates(stats, "host", lift=lift), "hosts")
     joined = stats.join(hosts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_refused"))
 
 
+def _prior(name: str) -> str:
+    return f"""SELECT m, n0, CASE WHEN v > m * (1 - m) * n0 THEN least(greatest(m * (1 - m) / (v - m * (1 - m) * n0) - 1, {STRENGTH[0]}), {STRENGTH[1]}) ELSE {STRENGTH[1]} END AS s
+  FROM (SELECT avg({name}::DOUBLE / n) AS m, var_pop({name}::DOUBLE / n) AS v, avg(1.0::DOUBLE / n) AS n0 FROM h)"""
+
+
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
@@ -106,11 +131,11 @@ s AS (SELECT d.r, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length
   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM d JOIN w USING (r) LEFT JOIN lines USING (r) LEFT JOIN cov USING (r)),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS k FROM f GROUP BY source),
-m AS (SELECT avg(k::DOUBLE / n) AS m, var_pop(k::DOUBLE / n) AS v FROM h),
-b AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, {STRENGTH[0]}), {STRENGTH[1]}) ELSE {STRENGTH[1]} END AS s FROM m),
-hr AS (SELECT source, n, k, (k + m * s) / (n + s) AS rate FROM h, b)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (rate > {MAX_RATE}) AS kept,
-  f.source AS host, CAST(hr.n AS BIGINT) AS host_docs, CAST(hr.k AS BIGINT) AS host_failed, round(rate, 6) AS host_rate
+h AS (SELECT source, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE {rule}) AS {name}" for name, rule in RULES.items())} FROM f GROUP BY source),
+{"".join(f"b_{name} AS ({_prior(name)})," for name in RULES)}
+q AS (SELECT source, n, {", ".join(f"{name}, ({name} + b_{name}.m * b_{name}.s) / (n + b_{name}.s) AS {name}_rate, b_{name}.m AS {name}_m, b_{name}.s AS {name}_s" for name in RULES)} FROM h, {", ".join(f"b_{name}" for name in RULES)}),
+hr AS (SELECT *, {" OR ".join(f"{name}_rate - 2 * sqrt({name}_rate * (1 - {name}_rate) / (n + {name}_s + 1)) > {LIFT} * {name}_m" for name in RULES)} AS refused FROM q)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT refused AS kept,
+  f.source AS host, CAST(hr.n AS BIGINT) AS host_docs, {", ".join(f"CAST({name} AS BIGINT) AS host_{name}, round({name}_rate, 6) AS {name}_rate" for name in RULES)}, refused AS host_refused
 FROM f JOIN hr ON f.source IS NOT DISTINCT FROM hr.source
 """

@@ -19,8 +19,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
-    columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept host host_docs host_failed".split()
-    return rated.select(*columns, F.round("host_rate", 6).alias("host_rate"))
+    columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept host host_docs host_refused".split()
+    rules = [x for r in quality_rules.RULES for x in (F.col(f"host_{r}"), F.round(f"{r}_rate", 6).alias(f"{r}_rate"))]
+    return rated.select(*columns, *rules)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
