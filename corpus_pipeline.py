@@ -3,6 +3,12 @@
 Each stage is ``f(spark, docs, sf_dir) -> DataFrame``; its result is written as Parquet and read again as the next stage's
 ``docs``.  All but the last return the columns of ``documents``.  What a stage decides takes effect: rejected documents are
 gone, removed passages are out of the texts that later stages see.
+
+For every stage: null and empty texts go with the first stage and, where a stage is given them alone, have no words, so they
+have no copies, no passages and no hits, stay, and have no tokens.  Texts of any length are read whole.  Repeated rows are judged
+alike (copies of a kept id all stay with the second stage, and lose what they share with each other in the third).  Of tied
+documents the smallest id stays; a null id stays.  An empty table gives an empty table of the same columns.  Extra columns pass
+through every stage, whatever their names; one named like a column of the last stage gets ``_in`` after its name.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, decontaminate, jaccard, language_id, substring_dedup
-from tidemark.llm.common import Scratch, table
+from tidemark.llm.common import Scratch, beside, table
 from tidemark.llm.queries import tokenizer
 
 
@@ -37,10 +43,13 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of the documents with n_tokens, ids, and whether the ids decode to the text."""
-    path, pattern = tokenizer()
-    coded = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path)
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return coded.select(*docs.columns, F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.col("decoded") == text).alias("round_trip"))
+    added = ["n_tokens", "ids", "round_trip"]
+    inner = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(c).alias(n) for c, n in inner.items()])
+    coded = byte_bpe.round_trip(plain, *tokenizer(), text_col=inner["text"], keep=list(inner.values()))
+    text = F.coalesce(F.col(inner["text"]), F.lit("")).cast("binary")
+    own = [F.col(n).alias(c) for n, c in zip(inner.values(), beside(docs.columns, added), strict=True)]
+    return coded.select(*own, F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.col("decoded") == text).alias("round_trip"))
 
 
 STAGES = [
