@@ -55,9 +55,16 @@ def rolling(calendar: DataFrame, day: str, aggregates: dict[str, Column], window
     return wide.select(*keys, "anchor_date", F.explode(F.array(*structs)).alias("_w")).select(*keys, "anchor_date", "_w.*")
 
 
-def latest_anchor(rolled: DataFrame, anchor: str = "anchor_date") -> DataFrame:
-    """Rows of the newest anchor (a scalar subquery as a one-row join)."""
-    return rolled.join(F.broadcast(rolled.agg(F.max(anchor).alias(anchor))), anchor)
+def rolling_latest(calendar: DataFrame, day: str, aggregates: dict[str, Column], windows: tuple[int, ...] = ROLLING_DAYS, keys: list[str] | None = None) -> DataFrame:
+    """``rolling`` for the newest day of each group alone: its date comes from the calendar, and only the days of the longest
+    window are aggregated."""
+    keys = keys or []
+    newest = calendar.groupBy(*keys).agg(F.max(day).alias("anchor_date"))
+    held = calendar.join(newest, keys) if keys else calendar.join(F.broadcast(newest))  # without keys, one row
+    recent = held.where(F.col(day) > F.date_sub("anchor_date", max(windows)))
+    each = recent.withColumn("window_days", F.explode(F.array(*map(F.lit, windows)))).where(F.col(day) > F.date_sub("anchor_date", F.col("window_days")))
+    out = each.groupBy(*keys, "anchor_date", "window_days").agg(F.count(F.lit(1)).alias("calendar_days"), *[a.alias(n) for n, a in aggregates.items()])
+    return out.withColumn("window_start", F.date_sub("anchor_date", F.col("window_days") - 1))
 
 
 def lag_days(daily: DataFrame, day: str, outcomes: list[str], *, days: int = 1, keys: list[str] | None = None, prefix: str = "next_") -> DataFrame:

@@ -43,6 +43,28 @@ def merge_snapshot(existing: DataFrame, incoming: DataFrame, keys: list[str], se
     return both.withColumn("disposition", disposition).select(kept.alias("_row"), "disposition").select("_row.*", "disposition")
 
 
+def merge_batch(existing: DataFrame, incoming: DataFrame, keys: list[str], semantic: list[str], position: str) -> DataFrame:
+    """The next snapshot for a batch that may hold a key several times: its last row stays.
+
+    Every incoming row counts as if rows came one by one: the first of a key against the stored row, the others against the
+    one before.  The counts stand beside the row of their key (``_inserted``, ``_updated``, ``_duplicate``).
+    """
+    columns = existing.columns
+    own = F.struct(*semantic)
+    before = F.lag(own).over(Window.partitionBy(*keys).orderBy(position))
+    steps = incoming.select(*keys, F.col(position).alias("_p"), F.struct(*columns).alias("_new"), own.alias("_own"), (before.isNotNull() & ~own.eqNullSafe(before)).alias("_changed"))
+    per_key = steps.groupBy(*keys).agg(F.max_by("_new", "_p").alias("_new"), F.min_by("_own", "_p").alias("_first"), F.count(F.lit(1)).alias("_n"), F.sum(F.col("_changed").cast("bigint")).alias("_steps"))
+    old = existing.select(*keys, F.struct(*columns).alias("_old"), own.alias("_was"))
+    both = old.join(per_key, keys, "full_outer")
+    came, new = F.col("_new").isNotNull(), F.col("_old").isNull()
+    inserted = F.when(came & new, 1).otherwise(0).cast("bigint")
+    updated = F.when(came, F.col("_steps") + F.when(~new & ~F.col("_first").eqNullSafe(F.col("_was")), 1).otherwise(0)).otherwise(0).cast("bigint")
+    last = F.struct(*[F.col(f"_new.{c}").alias(c) for c in semantic])
+    row = F.when(~came | (~new & last.eqNullSafe(F.col("_was"))), F.col("_old")).otherwise(F.col("_new"))
+    counted = both.select(row.alias("_row"), inserted.alias("_inserted"), updated.alias("_updated"), F.coalesce("_n", F.lit(0)).alias("_n"))
+    return counted.select("_row.*", "_inserted", "_updated", (F.col("_n") - F.col("_inserted") - F.col("_updated")).alias("_duplicate"))
+
+
 def insert_missing(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Get-or-create: the incoming keys that are not stored yet."""
     return incoming.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
@@ -53,13 +75,26 @@ def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
     return existing.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming.select(*existing.columns))
 
 
+GENERATED, BY_HAND = "rules", "user"
+
+
 def merge_links(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """Refreshed duplicate links: a rejected decision survives, links found no more go unless they were decided by hand."""
-    old = stored.select(*keys, F.col("resolution").alias("_was"), F.col("confidence").alias("_conf"))
-    both = old.join(fresh, keys, "full_outer")
-    resolution = F.when(F.col("_was") == "rejected", F.lit("rejected")).otherwise(F.coalesce("resolution", "_was"))
-    kept = both.where(F.col("resolution").isNotNull() | (F.col("_was") == "rejected"))
-    return kept.select(*keys, F.coalesce("confidence", "_conf").alias("confidence"), resolution.alias("resolution"))
+    """Refreshed duplicate links, with the columns of ``stored``.
+
+    A rejected link stays rejected, though what it says is taken from the fresh one; links that were generated and are found
+    no more go, those made by hand (``generated_by``) stay; of a link that is found again, columns that ``fresh`` lacks (its
+    id, when it was made) are those stored.
+    """
+    old = stored.select(*keys, F.struct(*stored.columns).alias("_old"))
+    new = fresh.select(*keys, F.struct(*fresh.columns).alias("_new"))
+    both = old.join(new, keys, "full_outer")
+    was, found = F.col("_old.resolution"), F.col("_new").isNotNull()
+    kept = both.where(found | (was == "rejected") | ~F.coalesce(F.col("_old.generated_by"), F.lit(GENERATED)).eqNullSafe(F.lit(GENERATED)))
+    columns = {c: F.when(found, F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")) if c in fresh.columns else F.col(f"_old.{c}") for c in stored.columns if c not in keys}
+    columns["resolution"] = F.when(was == "rejected", was).otherwise(columns["resolution"])
+    if "generated_by" in columns:
+        columns["generated_by"] = F.coalesce("_old.generated_by", columns["generated_by"])
+    return kept.select(*keys, *[c.alias(n) for n, c in columns.items()])
 
 
 def resolve_link(links: DataFrame, match, resolution: str) -> DataFrame:

@@ -1,4 +1,4 @@
 """Every registered query of the analytics engine."""
 
-from . import queries_facts, queries_functions, queries_rows  # noqa: F401
+from . import queries_facts, queries_functions, queries_rows, queries_views  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

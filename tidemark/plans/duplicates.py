@@ -31,7 +31,8 @@ def _links(p: DataFrame, kind: str, method: Column, confidence: Column) -> DataF
     a, b = (F.struct(*[F.col(f"{x}_{c}").alias(c) for c in ("priority", "source", "id")]) for x in "ab")
     out = p.withColumns({"match_method": method, "confidence": confidence}).where("match_method is not null")
     resolution = F.when(F.col("confidence") >= CONFIRM_AT, "confirmed").otherwise("candidate")
-    return out.select(F.lit(kind).alias("record_type"), F.least(a, b)["id"].alias("canonical_id"), F.greatest(a, b)["id"].alias("duplicate_id"), "match_method", "confidence", resolution.alias("resolution"))
+    facts = F.to_json(F.struct(*[F.col(c) for c in ("seconds_apart", "difference", "overlap") if c in out.columns]))
+    return out.select(F.lit(kind).alias("record_type"), F.least(a, b)["id"].alias("canonical_id"), F.greatest(a, b)["id"].alias("duplicate_id"), "match_method", "confidence", resolution.alias("resolution"), F.lit(merge.GENERATED).alias("generated_by"), facts.alias("facts"))
 
 
 def observation_links(led: Ledgers) -> DataFrame:
@@ -44,7 +45,7 @@ def observation_links(led: Ledgers) -> DataFrame:
     exact = (dt <= 1) & (gap <= 1e-6)
     method = F.when(named, "apple_provenance").when(exact, "exact").when(rel <= 0.05, "heuristic")
     confidence = F.when(named, 0.99).when(exact, 0.98).otherwise(F.greatest(F.lit(0.7), F.lit(0.9) - dt / 6000 - 2 * rel))
-    return _links(p, "observation", method, confidence)
+    return _links(p.withColumns({"seconds_apart": dt, "difference": rel}), "observation", method, confidence)
 
 
 def blood_pressure_links(led: Ledgers) -> DataFrame:
@@ -55,7 +56,7 @@ def blood_pressure_links(led: Ledgers) -> DataFrame:
     named = _provenance() & (far <= 1)
     exact = (dt <= 1) & (far == 0)
     method = F.when(named, "apple_provenance").when(exact, "exact").when(far <= 5, "heuristic")
-    return _links(p, "blood_pressure", method, F.when(named, 0.99).when(exact, 0.98).otherwise(0.82))
+    return _links(p.withColumns({"seconds_apart": dt, "difference": far}), "blood_pressure", method, F.when(named, 0.99).when(exact, 0.98).otherwise(0.82))
 
 
 def interval_links(led: Ledgers, ledger: str, kind: str, data_type: str, heuristic: str, *same: str) -> DataFrame:
@@ -67,7 +68,7 @@ def interval_links(led: Ledgers, ledger: str, kind: str, data_type: str, heurist
     exact = (F.abs(a0 - b0) <= 1) & (F.abs(a1 - b1) <= 1)
     method = F.when(named, "apple_provenance").when(exact, "exact").when(share >= 0.5, heuristic)
     confidence = F.when(named, 0.99).when(exact, 0.98).otherwise(F.least(F.lit(0.94), F.lit(0.65) + 0.2 * share + 0.1 * ratio))
-    return _links(p, kind, method, confidence)
+    return _links(p.withColumn("overlap", share), kind, method, confidence)
 
 
 def find_links(led: Ledgers) -> DataFrame:
@@ -76,11 +77,11 @@ def find_links(led: Ledgers) -> DataFrame:
 
 
 def refresh(led: Ledgers, stored: DataFrame) -> DataFrame:
-    """The next link table; rejected decisions survive."""
+    """The next link table; rejected decisions and links made by hand survive."""
     return merge.merge_links(stored, find_links(led), KEYS)
 
 
 def candidates(links: DataFrame) -> DataFrame:
-    return links.where("resolution = 'candidate'").orderBy(F.desc("confidence"), *KEYS)
+    return links.where("resolution = 'candidate'").orderBy(F.desc("confidence"), "created_at", "link_id", *KEYS)
 
 

@@ -91,23 +91,24 @@ def date_spine_facts(spark, sf_dir):
     return calendar.join_facts(calendar.date_spine(facts, ["day"]), facts, ["day"])
 
 
-_FEW = "(SELECT CAST(o_orderdate AS DATE) AS day, o_custkey % 10 AS subject, count(*) AS orders, round(sum(o_totalprice), 2) AS revenue FROM orders WHERE o_custkey < 60 GROUP BY 1, 2)"
+_SUBJECTS = "(SELECT CAST(o_orderdate AS DATE) AS day, o_custkey % 50 AS subject, count(*) AS orders, round(sum(o_totalprice), 2) AS revenue FROM orders GROUP BY 1, 2)"
 
 
-def _few(spark, sf_dir) -> DataFrame:
-    o = load(spark, sf_dir, "orders").where("o_custkey < 60")
-    return o.groupBy(F.to_date("o_orderdate").alias("day"), (F.col("o_custkey") % 10).alias("subject")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+def _subjects(spark, sf_dir) -> DataFrame:
+    """Daily orders of fifty groups of customers, which leave days without orders."""
+    o = load(spark, sf_dir, "orders")
+    return o.groupBy(F.to_date("o_orderdate").alias("day"), (F.col("o_custkey") % 50).alias("subject")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
 
 
 _CALENDAR = f"""
-WITH d AS {_FEW}, b AS (SELECT subject, min(day) AS lo, max(day) AS hi FROM d GROUP BY subject),
+WITH d AS {_SUBJECTS}, b AS (SELECT subject, min(day) AS lo, max(day) AS hi FROM d GROUP BY subject),
 c AS (SELECT subject, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM b)
 """
 
 
 @query(_CALENDAR + "SELECT subject, day, orders, revenue FROM c LEFT JOIN d USING (subject, day)")
 def calendar_fill(spark, sf_dir):
-    return calendar.fill_calendar(_few(spark, sf_dir), "day", ["subject"])
+    return calendar.fill_calendar(_subjects(spark, sf_dir), "day", ["subject"])
 
 
 @query(
@@ -129,7 +130,7 @@ r AS (SELECT a.subject, a.day AS anchor_date, CAST(window_days AS INTEGER) AS wi
 
 
 def _rolled(spark, sf_dir) -> DataFrame:
-    full = calendar.fill_calendar(_few(spark, sf_dir), "day", ["subject"])
+    full = calendar.fill_calendar(_subjects(spark, sf_dir), "day", ["subject"])
     out = calendar.rolling(full, "day", {"orders": F.sum("orders"), "mean_revenue": F.avg("revenue")}, keys=["subject"])
     return out.withColumn("mean_revenue", F.round("mean_revenue", 2))
 
@@ -139,9 +140,11 @@ def rolling_windows(spark, sf_dir):
     return _rolled(spark, sf_dir)
 
 
-@query(_ROLLED + "SELECT * FROM r WHERE anchor_date = (SELECT max(anchor_date) FROM r)")
+@query(_ROLLED + "SELECT r.* FROM r JOIN (SELECT subject, max(anchor_date) AS anchor_date FROM r GROUP BY subject) USING (subject, anchor_date)")
 def rolling_latest(spark, sf_dir):
-    return calendar.latest_anchor(_rolled(spark, sf_dir))
+    full = calendar.fill_calendar(_subjects(spark, sf_dir), "day", ["subject"])
+    out = calendar.rolling_latest(full, "day", {"orders": F.sum("orders"), "mean_revenue": F.avg("revenue")}, keys=["subject"])
+    return out.withColumn("mean_revenue", F.round("mean_revenue", 2))
 
 
 @query(

@@ -195,29 +195,32 @@ def merge_counters(spark, sf_dir):
     return merge.disposition_counts(merge.merge_snapshot(o.where("o_orderkey % 5 <> 0"), new, ["o_orderkey"], ["o_orderstatus"]))
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
 def anti_join_new_sources(spark, sf_dir):
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return merge.insert_missing(load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), c, ["c_custkey"])
+    return merge.insert_missing(load(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), c, ["c_custkey"])
 
 
-@query("WITH old AS (SELECT o_custkey AS source_id, max(o_orderdate) AS last_end FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), new AS (SELECT o_custkey AS source_id, min(o_orderdate) AS last_end FROM orders WHERE o_orderkey % 4 = 1 GROUP BY 1) SELECT source_id, last_end FROM new UNION ALL SELECT source_id, last_end FROM old WHERE source_id NOT IN (SELECT source_id FROM new)")
+@query("WITH old AS (SELECT o_custkey AS source_id, max(o_orderdate) AS last_end FROM orders GROUP BY 1), new AS (SELECT o_custkey + CASE WHEN count(*) % 3 = 0 THEN 1000000 ELSE 0 END AS source_id, min(o_orderdate) AS last_end FROM orders GROUP BY o_custkey) SELECT source_id, last_end FROM new UNION ALL SELECT source_id, last_end FROM old WHERE source_id NOT IN (SELECT source_id FROM new)")
 def watermark_upsert(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id"), "o_orderkey", "o_orderdate")
-    old = o.where("o_orderkey % 2 = 0").groupBy("source_id").agg(F.max("o_orderdate").alias("last_end"))
-    new = o.where("o_orderkey % 4 = 1").groupBy("source_id").agg(F.min("o_orderdate").alias("last_end"))
+    """Both sides read every order; a third of the incoming sources are new, and the stored ones of those stay."""
+    o = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("hi"), F.min("o_orderdate").alias("lo"), F.count(F.lit(1)).alias("n"))
+    old = o.select(F.col("o_custkey").alias("source_id"), F.col("hi").alias("last_end"))
+    new = o.select((F.col("o_custkey") + F.when(F.col("n") % 3 == 0, 1_000_000).otherwise(0)).alias("source_id"), F.col("lo").alias("last_end"))
     return merge.upsert_latest(old, new, ["source_id"])
 
 
 @query(
-    """WITH old AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'rejected' ELSE 'candidate' END AS was, 0.5 AS c FROM events WHERE event_id % 2 = 0), new AS (SELECT event_id, CASE WHEN value > 50 THEN 'confirmed' ELSE 'candidate' END AS r, round(value / 100, 6) AS c FROM events WHERE event_id % 3 = 0)
-SELECT coalesce(old.event_id, new.event_id) AS event_id, CAST(coalesce(new.c, old.c) AS DOUBLE) AS confidence, CASE WHEN was = 'rejected' THEN 'rejected' ELSE r END AS resolution FROM old FULL JOIN new ON old.event_id = new.event_id WHERE new.event_id IS NOT NULL OR was = 'rejected'"""
+    """WITH old AS (SELECT event_id, event_id % 7 <> 0 AS generated, CASE WHEN event_id % 5 = 0 THEN 'rejected' WHEN event_id % 7 = 0 THEN 'confirmed' ELSE 'candidate' END AS was, 0.5 AS c FROM events WHERE coalesce(value, 0) < 70), new AS (SELECT event_id, CASE WHEN value > 50 THEN 'confirmed' ELSE 'candidate' END AS r, round(value / 100, 6) AS c FROM events WHERE coalesce(value, 0) >= 30)
+SELECT coalesce(old.event_id, new.event_id) AS event_id, CAST(coalesce(new.c, old.c) AS DOUBLE) AS confidence, CASE WHEN was = 'rejected' THEN 'rejected' WHEN new.event_id IS NULL THEN was ELSE r END AS resolution, coalesce(generated, true) AND NOT coalesce(was = 'rejected', false) AS generated
+FROM old FULL JOIN new ON old.event_id = new.event_id WHERE new.event_id IS NOT NULL OR was = 'rejected' OR NOT generated"""
 )
 def link_refresh(spark, sf_dir):
     e = load(spark, sf_dir, "events")
-    old = e.where("event_id % 2 = 0").select("event_id", F.lit(0.5).alias("confidence"), F.when(F.col("event_id") % 5 == 0, "rejected").otherwise("candidate").alias("resolution"))
-    new = e.where("event_id % 3 = 0").select("event_id", F.round(F.col("value") / 100, 6).alias("confidence"), F.when(F.col("value") > 50, "confirmed").otherwise("candidate").alias("resolution"))
-    return merge.merge_links(old, new, ["event_id"])
+    hand = F.col("event_id") % 7 == 0
+    old = e.where("coalesce(value, 0) < 70").select("event_id", F.lit(0.5).alias("confidence"), F.when(F.col("event_id") % 5 == 0, "rejected").when(hand, "confirmed").otherwise("candidate").alias("resolution"), F.when((F.col("event_id") % 5 == 0) | hand, "user").otherwise("rules").alias("generated_by"))
+    new = e.where("coalesce(value, 0) >= 30").select("event_id", F.round(F.col("value") / 100, 6).alias("confidence"), F.when(F.col("value") > 50, "confirmed").otherwise("candidate").alias("resolution"), F.lit("rules").alias("generated_by"))
+    return merge.merge_links(old, new, ["event_id"]).select("event_id", "confidence", "resolution", (F.col("generated_by") == "rules").alias("generated"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS missing FROM events")
@@ -302,10 +305,10 @@ def stride_sample(spark, sf_dir):
     return n.where("k % 3 = 0").join(r, n["n_regionkey"] == r["r_regionkey"]).select("r_name", "n_name", "n_nationkey")
 
 
-@query("SELECT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'error'")
+@query("SELECT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 50")
 def set_difference(spark, sf_dir):
     e = load(spark, sf_dir, "events")
-    return e.where("event_type = 'purchase'").select("user_id").subtract(e.where("event_type = 'error'").select("user_id"))
+    return e.where("event_type = 'purchase'").select("user_id").subtract(e.where("event_type = 'error' AND value > 50").select("user_id"))
 
 
 @query("SELECT user_id, event_type FROM events WHERE value > 90 UNION SELECT user_id, 'any' FROM events UNION SELECT c_custkey, c_mktsegment FROM customer")

@@ -1,8 +1,9 @@
-"""Routes of raw artifacts to normalizers, imports, and the full rebuild from the raw store."""
+"""Routes of raw artifacts to normalizers, imports, syncs, and the full rebuild from the raw store."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,43 +11,90 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..sources import apple_health, labs, oura, raw_store, withings
+from ..sources.paged_api import PagedApi
+from . import state
 from .export import SnapshotStore
+from .state import sync_window
+
+__all__ = ["ROUTES", "CONNECTORS", "ingest", "normalize", "rebuild", "sync", "sync_window"]
 
 #: Fixed order of the routes in a rebuild.
 ROUTES = ("withings_api", "withings_export", "oura", "apple_health", "labs")
 
 
-def normalize(spark: SparkSession, route: str, path, *, zone: str, endpoint: str = "", aliases: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def normalize(spark: SparkSession, route: str, path, *, zone: str, endpoint: str = "", biomarkers: dict[str, list[str]] | None = None, staging: str | None = None) -> dict[str, DataFrame]:
+    """``path``: one path, or for the two API routes a list of them (all pages of one endpoint in one read)."""
     if route == "withings_api":
         return withings.normalize_api(spark, path)
     if route == "withings_export":
-        return withings.normalize_export(spark, path, zone)
+        return withings.normalize_export(spark, path, zone, staging)
     if route == "oura":
         return oura.normalize(spark, path, endpoint.rstrip("/").rsplit("/", 1)[-1], zone)
     if route == "apple_health":
         return apple_health.normalize(spark, path)
     if route == "labs":
-        return labs.normalize(spark, path, aliases or {}, zone)
+        return labs.normalize(spark, path, biomarkers or {}, zone)
     raise ValueError(f"no such route: {route}")
 
 
-def ingest(store: SnapshotStore, normalized: dict[str, DataFrame], source: str, runs: list | None = None) -> dict[str, int]:
-    """Merge every ledger; one audit row per run, failed runs included."""
-    run_id, started = uuid.uuid4().hex, datetime.now(UTC)
-    total = {"inserted": 0, "updated": 0, "duplicate": 0, "rejected": 0}
-    status, error = "succeeded", None
-    try:
-        for ledger, rows in normalized.items():
-            for k, v in store.merge(ledger, rows, run_id).items():
-                total[k] += v
-    except Exception as x:
-        status, error = "failed", str(x)[:4000]
-        raise
-    finally:
-        if runs is not None:
-            done = total["inserted"] + total["updated"] + total["duplicate"]
-            runs.append((run_id, source, status, started, datetime.now(UTC), 1, done, total["inserted"], total["updated"], total["duplicate"], error))
-    return total
+def ingest(store: SnapshotStore, normalized: dict[str, DataFrame], source: str, *, kind: str = "import", raw: int = 1) -> dict:
+    """Merge every ledger under one audited run; the counts and the run's id."""
+    state.ensure_source(store, source, kind)
+    with state.Run(store, source) as run:
+        run.merge(normalized, raw)
+    return run.counts | {"run_id": run.id}
+
+
+# ---------------------------------------------------------------- syncs
+
+
+@dataclass(frozen=True)
+class Endpoint:
+    """One collection of an API: its path, and how its pages are asked for."""
+
+    path: str
+    options: dict
+
+
+def _token(path: str, days: int = 3650, **more: str) -> Endpoint:
+    return Endpoint(path, {"style": "token", "chunk_days": str(days), **more})
+
+
+# The collections of the two APIs; heart rates are given for thirty days at most.
+CONNECTORS = {
+    "oura": [
+        *[_token(f"usercollection/{n}") for n in ("sleep", "daily_activity", "daily_readiness", "daily_sleep", "daily_spo2", "daily_stress", "workout", "session") if n in oura.FIELDS],
+        _token("usercollection/heartrate", 30, start_param="start_datetime", end_param="end_datetime", times="iso"),
+    ],
+    "withings": [Endpoint("measure", {"style": "offset", "method": "POST", "chunk_days": "3650", "start_param": "startdate", "end_param": "enddate", "times": "epoch", "param_action": "getmeas", "param_category": "1", "param_meastypes": ",".join(map(str, sorted({**withings.BODY, **withings.PRESSURE})))})],
+}
+
+
+def sync(store: SnapshotStore, raw_root: str, source: str, base_url: str, *, zone: str, headers: dict[str, str] | None = None, now: datetime | None = None) -> dict:
+    """Fetch the next window of every collection, keep each page raw as it came, then normalize and merge it.
+
+    Only a run that succeeded as a whole moves the watermark, so a window that failed is fetched again.
+    """
+    spark = store.spark
+    spark.dataSource.register(PagedApi)
+    start, end = sync_window(state.last_end(store, source), now or datetime.now(UTC))
+    state.ensure_source(store, source, "api")
+    with state.Run(store, source, start, end) as run:
+        for e in CONNECTORS[source]:
+            options = e.options | {"url": f"{base_url.rstrip('/')}/{e.path}", "start": start.date().isoformat(), "end": end.date().isoformat()} | {f"header_{k}": v for k, v in (headers or {}).items()}
+            paths, refused = [], []
+            for page in spark.read.format("paged_api").options(**options).load().toLocalIterator():  # a page at a time
+                saved = raw_store.save(raw_root, source, e.path, bytes(page["content"]), http_status=page["http_status"], request_metadata={"start": page["start"], "end": page["end"], "page": page["page"]})
+                (paths if 200 <= page["http_status"] < 300 else refused).append(f"{raw_root}/{saved}")
+            if refused:
+                raise OSError(f"{len(refused)} refused pages of {e.path}")
+            if paths:
+                route = "oura" if source == "oura" else "withings_api"
+                run.merge(normalize(spark, route, paths, zone=zone, endpoint=e.path), len(paths))
+    return run.counts | {"run_id": run.id}
+
+
+# ---------------------------------------------------------------- rebuild
 
 
 def route_of(source: str, endpoint: str, content_type: str) -> str:
@@ -55,25 +103,30 @@ def route_of(source: str, endpoint: str, content_type: str) -> str:
     return source
 
 
-def rebuild(spark: SparkSession, raw_root: str, target: str, *, zone: str, aliases: dict[str, str] | None = None) -> SnapshotStore:
-    """A fresh store from every verified artifact, in fixed order; ``target`` must not hold one yet."""
-    store = SnapshotStore(spark, target)
-    if any(store.version(k) for k in schemas.LEDGERS):
-        raise FileExistsError(target)
-    artifacts = raw_store.verified(spark, raw_root).where(F.col("http_status").between(200, 299)).select("path", "source", "endpoint", "content_type").orderBy("path").collect()  # one small row per artifact
+def _batches(artifacts: list) -> Iterator[tuple[str, str, str, list[str]]]:
+    """(route, source, endpoint, paths in order): all pages of an API's endpoint together, files one by one."""
     for route in ROUTES:
+        together: dict[tuple[str, str], list[str]] = {}
         for a in artifacts:
             if route_of(a["source"], a["endpoint"], a["content_type"]) == route:
-                ingest(store, normalize(spark, route, a["path"], zone=zone, endpoint=a["endpoint"], aliases=aliases), a["source"])
-    return store
-
+                key = (a["source"], a["endpoint"]) if route in ("withings_api", "oura") else (a["source"], a["path"])
+                together.setdefault(key, []).append(a["path"])
+        for (source, endpoint), paths in together.items():
+            yield route, source, endpoint, paths
 
-def runs_frame(spark: SparkSession, runs: list) -> DataFrame:
-    return spark.createDataFrame(runs, schemas.INGESTION_RUNS)
 
+def rebuild(spark: SparkSession, raw_root: str, target: str, *, zone: str, biomarkers: dict[str, list[str]] | None = None) -> SnapshotStore:
+    """A fresh store from every verified artifact, in fixed order; ``target`` must not hold one yet.
 
-def sync_window(last_end: datetime | None, now: datetime, *, first_days: int = 7, overlap_hours: int = 72) -> tuple[datetime, datetime]:
-    """The next fetch window: it reaches back into what was seen, so late and revised records are read again."""
-    from datetime import timedelta
-
-    return (now - timedelta(days=first_days) if last_end is None else last_end - timedelta(hours=overlap_hours)), now
+    The pages of an endpoint are one read and one merge, in which the later page of a key wins, as when merged in turn.
+    """
+    store = SnapshotStore(spark, target)
+    if any(store.version(k) for k in schemas.LEDGERS):
+        raise FileExistsError(target)
+    artifacts = raw_store.verified(spark, raw_root).where(F.col("http_status").between(200, 299)).select("path", "source", "endpoint", "content_type").orderBy("path").collect()  # one small row per artifact
+    for route, source, endpoint, paths in _batches(artifacts):
+        if route in ("withings_api", "oura"):
+            ingest(store, normalize(spark, route, paths, zone=zone, endpoint=endpoint), source, kind="api", raw=len(paths))
+        else:
+            ingest(store, normalize(spark, route, paths[0], zone=zone, biomarkers=biomarkers), source)
+    return store

@@ -41,12 +41,12 @@ def latest_runs(runs: DataFrame, now: Column, *, status: str | None = "succeeded
     rows = runs.where(F.col("status") == status) if status else runs
     last = rows.groupBy("source").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "source"]), F.struct("started_at", "run_id")).alias("r")).select("source", "r.*")
     seconds = (F.unix_millis("finished_at") - F.unix_millis("started_at")) / F.lit(1000.0)
-    rate = F.when(seconds > 0, F.round(F.col("normalized_count") / seconds, 1))
+    rate = F.when(seconds > 0, F.bround(F.col("normalized_count") / seconds, 1))
     age = F.greatest(F.floor((F.unix_seconds(now) - F.unix_seconds("finished_at")) / 86_400), F.lit(0))
     return last.withColumns({"duration_seconds": seconds, "throughput_per_second": rate, "age_days": age})
 
 
-def diagnostics(led, links: DataFrame, runs: DataFrame) -> DataFrame:
+def diagnostics(led, links: DataFrame, runs: DataFrame, today: Column | None = None) -> DataFrame:
     """One row of counts and the overall status; each table is read once."""
     from .views import canonical_sleep_daily
 
@@ -58,7 +58,7 @@ def diagnostics(led, links: DataFrame, runs: DataFrame) -> DataFrame:
         canonical_sleep_daily(led).agg(count(F.col("total_sleep_minutes") > 1440).alias("sleep_over_24h"), count(F.col("total_sleep_minutes") > 960).alias("sleep_over_16h")),
         latest_runs(runs, F.current_timestamp(), status=None).agg(count(F.col("status") == "failed").alias("latest_failed_imports"), count(F.col("status") == "running").alias("latest_running_imports")),
         latest_runs(runs, F.current_timestamp()).agg(F.count(F.lit(1)).alias("source_import_count")),
-        ledger_dates(led).select("metric", "source").distinct().agg(F.count(F.lit(1)).alias("metric_source_count")),
+        coverage(ledger_dates(led), F.current_date() if today is None else today).agg(F.count(F.lit(1)).alias("metric_source_count"), count(F.col("freshness") == "stale").alias("stale_metric_sources")),
     ]
     one = parts[0].withColumn("_k", F.lit(1))
     for p in parts[1:]:
@@ -103,13 +103,24 @@ def summary(led, daily: DataFrame) -> DataFrame:
 RANGES = (7, 30, 90, 365)
 
 
+def bounds(led) -> DataFrame:
+    """(subject, _last): the newest date that any ledger but the labs holds, whether or not a view selects it."""
+    from functools import reduce
+
+    from .views import S
+
+    days = {"observations": F.coalesce("local_date", F.to_date("observed_at")), "blood_pressure": F.col("local_date"), "sleep_sessions": F.col("sleep_date"), "workouts": F.col("local_date"), "events": F.col("local_date")}
+    newest = [led.table(n).groupBy(S).agg(F.max(d).alias("_last")) for n, d in days.items()]  # a row a subject before they meet
+    return reduce(DataFrame.unionByName, newest).groupBy(S).agg(F.max("_last").alias("_last")).where("_last is not null")
+
+
 def trends(led, cal: DataFrame, days: int = 365) -> dict[str, DataFrame]:
     """daily, weekly, rolling and labs frames of the dashboard; ``cal`` is the (persisted) calendar."""
     from . import views
 
     if days not in RANGES:
         raise ValueError("the range is 7, 30, 90 or 365 days")
-    newest = cal.groupBy(views.S).agg(F.max("local_date").alias("_last"))
+    newest = bounds(led)
     held = cal.join(newest, views.S)
     pounds = lambda df, *names: df.withColumns({n: F.col(n) * scalar.LB_PER_KG for n in names})
     daily = held.where(F.col("local_date") > F.date_sub("_last", days)).drop("_last")
@@ -124,6 +135,49 @@ def to_json_rows(df: DataFrame) -> list[str]:
     return [r[0] for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
 
 
+PARTS = ("summary", "trends", "quality")
+
+
+def dashboard(led, links: DataFrame, runs: DataFrame, *, days: int = 365, parts: tuple[str, ...] = PARTS) -> dict:
+    """The dashboard's model as JSON values: summary, trends of the last ``days`` and quality, or some of them."""
+    import json
+
+    from . import views
+
+    rows = lambda df: [json.loads(x) for x in to_json_rows(df)]
+    out: dict = {}
+    if "summary" in parts or "trends" in parts:
+        daily = views.daily_health(led).persist()  # the materialization point of all roll-ups
+        try:
+            if "trends" in parts:
+                out |= {k: rows(v) for k, v in trends(led, views.health_calendar(daily), days).items()} | {"days": days}
+            if "summary" in parts:
+                out["summary"] = rows(summary(led, daily))
+        finally:
+            daily.unpersist()
+    if "quality" in parts:
+        audit = rows(diagnostics(led, links, runs))[0]
+        audit["coverage"] = rows(coverage(ledger_dates(led), F.current_date()).orderBy("metric", "source"))
+        audit["source_runs"] = rows(latest_runs(runs, F.current_timestamp()).orderBy("source"))
+        out["quality"] = audit
+    return out
+
+
+def every_nth(df: DataFrame, order: list[str], stride: int, first: int = 1) -> DataFrame:
+    """Rows number first, first + stride, ... in the order of some columns, numbered over range partitions: no task sees all rows.
+
+    Rows are sorted by range, counted for each partition, and numbered from the sum of the counts before.  Rows that tie may
+    change places, so ``order`` should tell them apart; equal rows are the same whichever is taken.
+    """
+    from pyspark.sql import Window
+
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_p", (F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))  # a row a partition
+    number = F.col("_before") + F.col("_i") + 1
+    return placed.join(F.broadcast(before), "_p").where((number >= first) & ((number - first) % stride == 0)).select(*df.columns)
+
+
 def html_report(points: dict[str, DataFrame], stats: DataFrame, path: str, *, most: int = 500) -> None:
     """A static page with the table of relationships and a scatter plot of each; ``points``: name -> (x, y) frame.
 
@@ -137,7 +191,7 @@ def html_report(points: dict[str, DataFrame], stats: DataFrame, path: str, *, mo
         dots = ""
         if frame is not None and (n := frame.count()):
             stride = -(-n // most)
-            rows = frame.withColumn("_h", F.pmod(F.xxhash64("*"), F.lit(stride))).where("_h = 0").limit(most).collect() if stride > 1 else frame.collect()
+            rows = every_nth(frame, list(frame.columns), stride).collect()
             xs, ys = [float(p[0]) for p in rows], [float(p[1]) for p in rows]
             fit = lambda v, all_: 100 * (v - min(all_)) / ((max(all_) - min(all_)) or 1)
             dots = "".join(f'<circle cx="{fit(x, xs):.1f}" cy="{100 - fit(y, ys):.1f}" r="1"/>' for x, y in zip(xs, ys, strict=True))

@@ -180,10 +180,7 @@ def rolling_health(cal: DataFrame) -> DataFrame:
 
 def rolling_health_latest(cal: DataFrame) -> DataFrame:
     """Only the newest anchor of each subject: one aggregation over the days of the longest window."""
-    newest = cal.groupBy(S).agg(F.max("local_date").alias("anchor_date"))
-    recent = cal.join(newest, S).where(F.col("local_date") > F.date_sub("anchor_date", max(calendar.ROLLING_DAYS)))
-    each = recent.withColumn("window_days", F.explode(F.array(*map(F.lit, calendar.ROLLING_DAYS)))).where(F.col("local_date") > F.date_sub("anchor_date", F.col("window_days")))
-    return each.groupBy(S, "anchor_date", "window_days").agg(F.count(F.lit(1)).alias("calendar_days"), *[a.alias(n) for n, a in rollup_aggregates().items()]).withColumns({"window_start": F.date_sub("anchor_date", F.col("window_days") - 1), "window_end": F.col("anchor_date")})
+    return calendar.rolling_latest(cal, "local_date", rollup_aggregates(), keys=[S]).withColumn("window_end", F.col("anchor_date"))
 
 
 def analysis_daily_lagged(cal: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ def _ddl(text: str) -> StructType:
     return StructType([StructField(n, _TYPES[t]()) for n, t in (f.split() for f in text.split(", "))])
 
 
-SOURCES = _ddl("source_id string, name string, enabled boolean, priority_default int, created_at timestamp, metadata string")
+SOURCES = _ddl("source_id string, name string, source_type string, enabled boolean, created_at timestamp")
 DEVICES = _ddl("device_id string, source string, manufacturer string, model string, name string, vendor_device_id string")
-INGESTION_RUNS = _ddl("run_id string, source string, status string, started_at timestamp, finished_at timestamp, raw_count bigint, normalized_count bigint, inserted_count bigint, updated_count bigint, duplicate_count bigint, error string")
+INGESTION_RUNS = _ddl("run_id string, source string, status string, requested_start timestamp, requested_end timestamp, started_at timestamp, finished_at timestamp, raw_count bigint, normalized_count bigint, inserted_count bigint, updated_count bigint, duplicate_count bigint, rejected_count bigint, error string")
 OBSERVATION = _ddl(f"subject_id string, metric string, observed_at timestamp, observed_until timestamp, value double, unit string, original_metric string, original_value double, original_unit string, quality string, timezone string, local_date date, {_COMMON}")
 BLOOD_PRESSURE = _ddl(f"subject_id string, measured_at timestamp, local_date date, systolic_mmhg double, diastolic_mmhg double, pulse_bpm double, measurement_number int, source_group_id string, context string, notes string, quality string, {_COMMON}")
 SLEEP_SESSION = _ddl(
@@ -28,12 +28,15 @@ SLEEP_SESSION = _ddl(
 WORKOUT = _ddl(f"subject_id string, started_at timestamp, ended_at timestamp, local_date date, workout_type string, duration_seconds bigint, intensity string, rpe double, distance_m double, energy_kcal double, average_hr_bpm double, max_hr_bpm double, notes string, {_COMMON}")
 LAB_RESULT = _ddl(f"subject_id string, collected_at timestamp, resulted_at timestamp, canonical_name string, original_name string, numeric_value double, text_value string, unit string, reference_low double, reference_high double, reference_text string, abnormal_flag string, provider string, fasting boolean, {_COMMON}")
 EVENT = _ddl(f"subject_id string, event_type string, started_at timestamp, ended_at timestamp, local_date date, value double, unit string, notes string, {_COMMON}")
-DUPLICATE_LINK = _ddl("record_type string, canonical_id string, duplicate_id string, match_method string, confidence double, resolution string")
-SYNC_STATE = _ddl("source string, last_successful_end timestamp, cursor string")
+DUPLICATE_LINK = _ddl("link_id string, record_type string, canonical_id string, duplicate_id string, match_method string, confidence double, resolution string, generated_by string, facts string, created_at timestamp")
+SYNC_STATE = _ddl("source string, last_successful_end timestamp, run_id string")
 SOURCE_PRIORITY = _ddl("data_type string, source string, priority int")
 
 LEDGERS = {"observations": OBSERVATION, "blood_pressure": BLOOD_PRESSURE, "sleep_sessions": SLEEP_SESSION, "workouts": WORKOUT, "lab_results": LAB_RESULT, "events": EVENT}
 KEYS = {"observations": ["source", "source_record_id", "metric"]} | {k: ["source", "source_record_id"] for k in ("blood_pressure", "sleep_sessions", "workouts", "lab_results", "events")}
+STATE = {"sources": SOURCES, "devices": DEVICES, "ingestion_runs": INGESTION_RUNS, "sync_state": SYNC_STATE, "duplicate_links": DUPLICATE_LINK, "source_priorities": SOURCE_PRIORITY}
+TABLES = LEDGERS | STATE
+KEYS |= {"sources": ["name"], "devices": ["source", "vendor_device_id"], "ingestion_runs": ["run_id"], "sync_state": ["source"], "duplicate_links": ["record_type", "canonical_id", "duplicate_id", "match_method"], "source_priorities": ["data_type", "source"]}
 #: Columns that do not decide whether a row has changed.
 TECHNICAL = {"ingestion_run_id", "raw_file"}
 # The closed vocabularies.

@@ -34,6 +34,7 @@ QUANTITIES = {
 }
 # Sleep stage -> column of its seconds.
 STAGES = {"InBed": "time_in_bed", "Awake": "awake", "Asleep": "total_sleep", "AsleepUnspecified": "total_sleep", "AsleepCore": "light", "AsleepDeep": "deep", "AsleepREM": "rem"}
+# Words in the name of an activity -> workout type.
 ACTIVITIES = [("traditionalstrengthtraining", "resistance"), ("functionalstrengthtraining", "resistance"), ("walk", "walking"), ("run", "running"), ("cycling", "cycling"), ("row", "rowing"), ("swim", "swimming"), ("elliptical", "elliptical"), ("yoga", "mobility"), ("cooldown", "mobility")]
 _PREFIX, _SLEEP, _BP = "HKQuantityTypeIdentifier", "HKCategoryTypeIdentifierSleepAnalysis", "HKQuantityTypeIdentifierBloodPressure"
 

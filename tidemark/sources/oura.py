@@ -35,6 +35,7 @@ DAILY = {
         ("non_wear_time", "non_wear_minutes", "min", 1 / 60, 0.0, 1440.0),
     ],
 }
+# Activity -> workout type.
 WORKOUTS = {
     "strength_training": "resistance", "weightlifting": "resistance", "walking": "walking", "hiking": "walking", "running": "running", "jogging": "running", "cycling": "cycling", "indoor_cycling": "cycling", "rowing": "rowing", "swimming": "swimming",
     "elliptical": "elliptical", "yoga": "mobility", "stretching": "mobility", "mobility": "mobility", "basketball": "sports", "football": "sports", "soccer": "sports", "tennis": "sports", "volleyball": "sports",

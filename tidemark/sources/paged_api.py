@@ -1,7 +1,8 @@
 """Paged JSON APIs as a Spark data source: one partition per date chunk, pages followed inside it, each row a raw page.
 
 ``spark.dataSource.register(PagedApi)``, then ``spark.read.format("paged_api").options(...).load()`` with
-url, start and end (dates), chunk_days (30), style (``token``: next_token; ``offset``: body.more and body.offset), header_*.
+url, start and end (dates), chunk_days (30), style (``token``: next_token; ``offset``: body.more and body.offset), method (GET with
+a query, or POST with a form), start_param and end_param (names), times (``date``, ``iso`` or ``epoch``), param_*, header_*.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from datetime import date, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -59,13 +60,24 @@ class PagedReader(DataSourceReader):
         start, end = date.fromisoformat(self.options["start"]), date.fromisoformat(self.options["end"])
         return [Chunk(a.isoformat(), b.isoformat()) for a, b in chunks(start, end, int(self.options.get("chunk_days", "30")))]
 
+    def _time(self, day: str, last: bool = False) -> str:
+        """A day as the API wants it; the last one includes its hours."""
+        kind = self.options.get("times", "date")
+        if kind == "date":
+            return day
+        at = datetime.fromisoformat(day).replace(tzinfo=UTC) + (timedelta(days=1) if last else timedelta())
+        return str(int(at.timestamp())) if kind == "epoch" else at.isoformat()
+
     def read(self, partition):
-        headers = {k[7:]: v for k, v in self.options.items() if k.lower().startswith("header_")}
+        headers, fixed = ({k[len(x):]: v for k, v in self.options.items() if k.lower().startswith(x)} for x in ("header_", "param_"))
         style, more = self.options.get("style", "token"), {}
+        fixed |= {self.options.get("start_param", "start_date"): self._time(partition.start), self.options.get("end_param", "end_date"): self._time(partition.end, last=True)}
         seen = set()
         for page in range(MAX_PAGES):
-            query = {"start_date": partition.start, "end_date": partition.end} | more
-            status, body = call(urllib.request.Request(f"{self.options['url']}?{urllib.parse.urlencode(query)}", headers=headers))
+            asked = urllib.parse.urlencode(fixed | more)
+            form = self.options.get("method", "GET").upper() == "POST"
+            request = urllib.request.Request(self.options["url"], data=asked.encode(), headers=headers) if form else urllib.request.Request(f"{self.options['url']}?{asked}", headers=headers)
+            status, body = call(request)
             yield (partition.start, partition.end, page, status, body)  # the page as it came, before it is looked into
             if not 200 <= status < 300:
                 return

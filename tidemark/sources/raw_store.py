@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
-import tempfile
 import uuid
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import Files
+
 MANIFEST = "source string, endpoint string, retrieved_at timestamp, content_type string, http_status int, sha256 string, content_length bigint, request_metadata string"
 _SECRET = re.compile(r"token|secret|password|authorization|api[_-]?key|cookie|signature|nonce|client_id|code$", re.I)
 
@@ -28,19 +27,12 @@ def save(root: str, source: str, endpoint: str, content: bytes, *, extension: st
     """Path below the root of the stored artifact; an existing file is never replaced."""
     at = (retrieved_at or datetime.now(UTC)).astimezone(UTC)
     slug = re.sub(r"[^a-z0-9]+", "-", endpoint.lower()).strip("-") or "artifact"
-    folder = Path(root) / source / at.strftime("%Y/%m/%d")
-    folder.mkdir(parents=True, exist_ok=True)
-    name = f"{slug}__{at.strftime('%Y%m%dT%H%M%S%fZ')}__{uuid.uuid4().hex}.{extension}"
+    name = f"{source}/{at.strftime('%Y/%m/%d')}/{slug}__{at.strftime('%Y%m%dT%H%M%S%fZ')}__{uuid.uuid4().hex}.{extension}"
     manifest = {"source": source, "endpoint": endpoint, "retrieved_at": at.isoformat(), "content_type": content_type, "http_status": http_status, "sha256": hashlib.sha256(content).hexdigest(), "content_length": len(content), "request_metadata": json.dumps(redact(request_metadata or {}), sort_keys=True)}
-    for target, data in ((folder / name, content), (folder / f"{name}.manifest.json", json.dumps(manifest, sort_keys=True).encode())):
-        fd, temporary = tempfile.mkstemp(dir=folder)
-        with os.fdopen(fd, "wb") as f:
-            f.write(data)
-            f.flush()
-            os.fsync(f.fileno())
-        os.link(temporary, target)  # fails if the name exists
-        os.unlink(temporary)
-    return str((folder / name).relative_to(root))
+    files = Files(SparkSession.active(), root)
+    files.create(name, content)
+    files.create(f"{name}.manifest.json", json.dumps(manifest, sort_keys=True).encode())
+    return name
 
 
 def listing(spark: SparkSession, root: str, source: str | None = None) -> DataFrame:
