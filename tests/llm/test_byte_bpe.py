@@ -55,3 +55,16 @@ def test_digest(spark):
         ids = REAL.encode_ordinary(text)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert digest(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN).count() == 0
+
+
+def test_kept_columns_long_tokens_and_null_ids(spark):
+    from tidemark.llm.byte_bpe import decode, encode
+
+    texts = ["a" * 20_000, None, " " * 9000 + "x", "same", "same", "same"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'old' as ids", "'kept' as note")
+    coded = encode(df, PATH, P.PATTERN)
+    assert coded.columns == ["doc_id", "text", "note", "ids"]
+    rows = {r.doc_id: r for r in decode(coded, PATH).collect()}
+    assert all(rows[i].ids == REAL.encode_ordinary(t or "") and bytes(rows[i].decoded).decode() == (t or "") and rows[i].note == "kept" for i, t in enumerate(texts))
+    nulls = spark.createDataFrame([(1, None), (2, []), (3, [0, 1])], "k int, ids array<int>")
+    assert [None if r.decoded is None else bytes(r.decoded) for r in decode(nulls, PATH).orderBy("k").collect()] == [None, b"", PIECES[0] + PIECES[1]]

@@ -72,3 +72,22 @@ def test_empty_tables(spark):
     nothing = spark.createDataFrame([], "item_id int, text string")
     assert find_contamination(none, spark.createDataFrame(items, "item_id int, text string")).count() == 0
     assert decontaminate(d, nothing).count() == len(docs)
+
+
+def test_repeated_rows_items_of_two_texts_and_clashing_names(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = [(1, item), (1, item), (1, "other words"), (2, "q " * 3 + item), (3, None)]
+    items = [(5, item), (5, item), (5, "other"), (6, "q q")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "5 as n_words", "'z' as items", "true as contaminated", "0 as hit_spans")
+    b = spark.createDataFrame(items, "item_id int, text string")
+    got = sorted((r.doc_id, r.n_hit, list(r["items"])) for r in digest(find_contamination(d.select("doc_id", "text"), b)).collect())
+    assert got == [(1, 1, ["5"]), (1, 20, ["5"]), (1, 20, ["5"]), (2, 23, ["5", "6"]), (3, 0, [])]
+    kept = decontaminate(d, b)
+    assert kept.columns == d.columns and [tuple(r) for r in kept.collect()] == [(3, None, 5, "z", True, 0)]
+
+
+def test_a_benchmark_in_pieces_of_one_window(spark):
+    docs, items = cases()
+    d, b = spark.createDataFrame(docs[:12], "doc_id long, text string"), spark.createDataFrame(items[:3], "item_id int, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in digest(find_contamination(d, b, pattern_bytes=1)).collect()}
+    assert got == brute(docs[:12], items[:3])

@@ -27,3 +27,12 @@ def test_assign(spark):
     counts = Counter(by.values())
     assert len(counts) == 5 and max(counts.values()) < 1.3 * min(counts.values())
     assert assign(df.limit(0), "doc_id", ["a"], slots=2).count() == 0
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    df = spark.createDataFrame([(7, 1, 2, "a", 3, "b", 4)], "doc_id long, _slot int, slot int, shard string, _place int, _shard string, shard_in int")
+    got = assign(df, "doc_id", ["x", "y"], slots=11).first().asDict()
+    assert {k: got[k] for k in ("doc_id", "_slot", "slot_in", "_place", "_shard", "shard_in")} == {"doc_id": 7, "_slot": 1, "slot_in": 2, "_place": 3, "_shard": "b", "shard_in": 4}
+    assert got["shard_in_in"] == "a" and got["shard"] in ("x", "y") and len(got) == 9
+    long = assign(spark.createDataFrame([("k" * 1_000_000,), ("k" * 1_000_000,)], "key string"), "key", ["x", "y", "z"], slots=101).collect()
+    assert long[0].shard == long[1].shard

@@ -39,7 +39,8 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 class Scratch:
     """Intermediate tables in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A table written here cuts lineage: a lost executor costs at most the tasks of the stage that runs.
+    A table written here cuts lineage: a lost executor costs at most the tasks of the stage that runs.  Tables that a result is
+    read from stay until ``close`` or until the driver ends, which deletes the folder.
     """
 
     def __init__(self, spark: SparkSession):
@@ -52,6 +53,9 @@ class Scratch:
             base = tempfile.mkdtemp(prefix="tidemark-")  # one machine only, as in tests
             context._jsc.sc().conf().set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+        files, path = self._files("")
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes and rereads a table; the shuffle files behind it go as soon as it is whole."""
@@ -64,10 +68,17 @@ class Scratch:
             self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.parquet(path)
 
+    def _files(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = self._files(name)
+        files.delete(path, True)
+
+    def close(self) -> None:
+        """Deletes every table; results that were read from them are of no more use."""
+        self.drop("")
 
 
 # ---------------------------------------------------------------- Arrow text
