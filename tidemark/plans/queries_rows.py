@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import parse, scalar
 from ..operators import intervals, merge, pairs, select, sessions
 from .registry import load, query
+from .reports import every_nth
 
 PRIORITIES = [("click", "s1", 1), ("click", "s0", 2), ("view", "s2", 1), ("signup", "s0", 1), ("purchase", "s1", 5), ("error", "s2", 1)]
 _VALUES = ", ".join(f"('{a}', '{b}', {c})" for a, b, c in PRIORITIES)
@@ -298,11 +299,10 @@ def top50_nulls_last(spark, sf_dir):
     return o.orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(50)
 
 
-@query("SELECT r_name, s.n_name, s.n_nationkey FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation) s JOIN region ON n_regionkey = r_regionkey WHERE k % 3 = 0")
+@query("SELECT c_custkey, c_name, n_name FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS k FROM customer) s JOIN nation ON c_nationkey = n_nationkey WHERE k % 7 = 3")
 def stride_sample(spark, sf_dir):
-    n = load(spark, sf_dir, "nation").withColumn("k", F.row_number().over(Window.orderBy("n_nationkey")))
-    r = load(spark, sf_dir, "region")
-    return n.where("k % 3 = 0").join(r, n["n_regionkey"] == r["r_regionkey"]).select("r_name", "n_name", "n_nationkey")
+    c, n = load(spark, sf_dir, "customer"), load(spark, sf_dir, "nation")
+    return every_nth(c.select("c_custkey", "c_name", "c_nationkey"), ["c_custkey"], 7, 3).join(n, F.col("c_nationkey") == n["n_nationkey"]).select("c_custkey", "c_name", "n_name")
 
 
 @query("SELECT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 50")

@@ -64,7 +64,7 @@ def ledgers(spark, sf_dir) -> views.Ledgers:
     kind = F.when(F.col("event_type") == "purchase", "alcohol").when(F.col("event_type") == "error", "illness").otherwise("travel")
     events = e.select(F.concat(F.lit("p"), F.col("user_id") % 7).alias("subject_id"), kind.alias("event_type"), F.col("ts").cast("timestamp").alias("started_at"), F.to_date("ts").alias("local_date"), (F.col("value") / 25).alias("value"), F.lit("manual").alias("source"), F.concat(F.lit("v"), n).alias("source_record_id"))
     tables = {"observations": obs, "blood_pressure": bp, "sleep_sessions": sleep, "workouts": workouts, "lab_results": labs, "events": events}
-    return views.Ledgers(spark, tables, spark.createDataFrame(PRIORITIES, schemas.SOURCE_PRIORITY))
+    return views.Ledgers(spark, tables, spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, PRIORITIES))} AS v(data_type, source, priority)"))
 
 
 def _case(column: str, names: dict[str, str]) -> str:

@@ -10,9 +10,10 @@ from pyspark.sql import SparkSession
 def build_session(app: str = "tidemark", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """Create or reuse a session: UTC, ANSI, adaptive execution.
 
-    ``shuffle_partitions`` is only a starting point, AQE coalesces small partitions and splits skewed joins.
-    On a cluster leave ``master`` unset, spark-submit provides it.
+    ``shuffle_partitions`` is only a starting point, AQE coalesces small partitions and splits skewed joins: many on a
+    cluster, few on one machine.  On a cluster leave ``master`` unset, spark-submit provides it.
     """
+    existing = SparkSession.getActiveSession()
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -23,10 +24,13 @@ def build_session(app: str = "tidemark", master: str | None = None, shuffle_part
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions or os.environ.get("TIDEMARK_SHUFFLE_PARTITIONS", 8)),
         "spark.ui.showConsoleProgress": "false",
     }
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    wanted = shuffle_partitions or os.environ.get("TIDEMARK_SHUFFLE_PARTITIONS")
+    if wanted or existing is None:  # a session that is reused keeps its own
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted or (8 if spark.sparkContext.master.startswith("local") else 4000)))
+    return spark
