@@ -83,3 +83,26 @@ def test_components_of_a_path_and_a_star(spark):
     random.Random(1).shuffle(edges)
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark), "c").collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 50)}
+
+
+def test_long_texts_and_an_id_with_two_texts(spark):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(5000)]
+    long = rng.choices(vocab, k=60_000)
+    near, far = list(long), list(long)
+    for i in range(0, 60_000, 100):
+        near[i] = "x"
+    for i in range(0, 60_000, 9):
+        far[i] = "y"
+    short = " ".join(vocab[:40])
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(far)), (4, short), (5, short), (5, " ".join(far[:59_990]))]
+    got = {(r.doc_id, r.component_id) for r in near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)}
+
+
+def test_signatures_that_many_sets_share(spark, monkeypatch):
+    """The rest of a hot signature is dealt wherever there is room; no link is lost."""
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    rows = corpus(90)
+    got = near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 90, 100)

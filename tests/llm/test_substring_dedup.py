@@ -65,3 +65,10 @@ def test_drop_repeats_and_empty(spark):
     got = sorted(map(tuple, drop_repeats(df).collect()))
     assert got == [(1, "clean\n text", 11), (3, "before this", 11), (4, None, None)]
     assert dedup_substrings(df.limit(0)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i % 99_991}" for i in range(1_000_000)]
+    rows = [(1, " ".join(words[:99_000])), (2, " ".join(f"v{i}" for i in range(500_000))), (3, " ".join(words[50_000:50_040])), (4, "x " * 1_000_000)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (99_000, 40), 2: (500_000, 0), 3: (40, 40), 4: (1_000_000, 1_000_000)}

@@ -85,3 +85,13 @@ def test_empty_and_null_id(spark):
     df = spark.createDataFrame([(None, "q" * 120), (1, "z")], "doc_id long, text string")
     assert sorted(r.n_removed for r in dedup_bytes(df).collect()) == [0, 119]
     assert dedup_bytes(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_an_id_with_two_texts(spark):
+    rng = random.Random(3)
+    shared, one, two = ("".join(rng.choices("abcdefgh ", k=300)) for _ in range(3))
+    rows = [(1, shared), (1, shared), (5, one + shared), (7, two + "1" + two), (7, two + "2")]
+    got = dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.n_removed for r in got if r.doc_id == 1) == [0, 0]  # rows of one document
+    assert [r.n_removed for r in got if r.doc_id == 5] == [300]
+    assert sum(r.n_removed for r in got if r.doc_id == 7) in (600, 601)  # two of three copies, whichever text comes first

@@ -21,7 +21,7 @@ known to be repeated and go wherever there is room.
 Shingles are 64-bit hashes of the words' bytes, sets have 128-bit names.  A null text, or one without words, has an empty set
 and links with nothing.  Fewer words than ``width`` are one shingle.  Very long texts are read whole, in bounded pieces of
 the rows of a batch (one text is one piece).  Equal rows form one component; rows of one id are one document, which links
-where any of its texts does.  Ties need no rule: the component is the smallest id.  A null id takes part in no component (its
+where any of its texts with words does.  Ties need no rule: the component is the smallest id.  A null id takes part in no component (its
 component is null).  An empty table gives an empty result.  Columns other than id and text are not read, whatever their names.
 """
 
@@ -434,7 +434,12 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     nodes = scratch.write(nodes, "nodes")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
+    torn = rows.where("n > 0").groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("k1", "k2") for f in (F.min, F.max)]).where("min_k1 <> max_k1 or min_k2 <> max_k2").select("id")
+    bridges = rows.join(torn, "id").join(classes, ["n", "k1", "k2"]).where("rep <> id").select(F.greatest("rep", "id").alias("a"), F.least("rep", "id").alias("b"))
+    bridges = scratch.write(bridges.distinct(), "bridges")  # an id with several texts joins their classes
     labels, edges, tested = None, None, None
+    if not bridges.isEmpty():
+        edges, labels = bridges, connected_components(bridges, scratch, "components-of-ids")
     for turn in range(STARS + 1):
         now = groups.withColumn("comp", F.col("rep")) if labels is None else groups.join(labels, F.col("rep") == F.col("node"), "left").select("g", "rep", F.coalesce("component", "rep").alias("comp"))
         order = F.struct((F.lit(0) if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("o"), "rep", "comp")
