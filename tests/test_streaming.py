@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.operators import sessions
 from tidemark.plans.export import SnapshotStore
-from tidemark.streaming.ledger import live_sessions, merge_stream
+from tidemark.streaming.ledger import live_pairs, live_sessions, live_windows, merge_stream
 
 
 def events(spark):
@@ -35,3 +35,36 @@ def test_session_preview_equals_batch(spark, tmp_path):
     readings = sessions.sessionize(events(spark), ["user_id"], "ts", 4 * 3600, tie="event_id")
     want = readings.groupBy("user_id", "session_number").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("n")).select("user_id", "a", "b", "n")
     assert got == sorted(map(tuple, want.collect()))
+
+
+def run_stream(spark, df, mode):
+    name = f"q{abs(hash(df.semanticHash()))}"
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    try:
+        q.processAllAvailable()
+        return [tuple(r) for r in spark.sql(f"SELECT * FROM {name}").collect()]
+    finally:
+        q.stop()
+
+
+def test_tumbling_and_sliding_windows_equal_batch(spark, tmp_path):
+    events(spark).repartition(1).sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id bigint, ts timestamp, user_id bigint").parquet(str(tmp_path / "in"))
+    for slide in (None, "6 hours"):
+        got = run_stream(spark, live_windows(stream, ["user_id"], "ts", "1 day", slide, "60 days", F.count(F.lit(1)).alias("n")).select("user_id", "window_start", "window_end", "n"), "complete")
+        window = F.window("ts", "1 day", slide) if slide else F.window("ts", "1 day")
+        want = events(spark).groupBy("user_id", window.alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", "w.start", "w.end", "n")
+        assert sorted(got) == sorted(map(tuple, want.collect()))
+
+
+def test_pairs_of_a_stream_come_once_in_any_order(spark, tmp_path):
+    from datetime import datetime
+
+    day = lambda d, h=8: datetime(2025, 3, d, h)
+    batches = [[("a", day(1), "high", 120.0), ("b", day(1), "low", 70.0)], [("a", day(1), "low", 80.0), ("a", day(1), "low", 81.0), ("b", day(2), "high", 1.0)], [("b", day(1), "high", 130.0), ("x", day(9), "other", 0.0)], [("c", day(9), "high", 1.0)], [("c", day(9), "low", 2.0), ("z", day(28), "high", 9.0)], [("z", day(29), "high", 9.0)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "who string, t timestamp, kind string, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        del k
+    stream = spark.readStream.schema("who string, t timestamp, kind string, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run_stream(spark, live_pairs(stream, ["who"], "t", "kind", "v", "high", "low", "5 days"), "append")
+    assert sorted(got) == [("a", day(1), 120.0, 80.0), ("b", day(1), 130.0, 70.0), ("c", day(9), 1.0, 2.0)]

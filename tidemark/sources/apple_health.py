@@ -5,6 +5,7 @@ from __future__ import annotations
 import zipfile
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -181,6 +182,6 @@ def workouts(elements: DataFrame) -> DataFrame:
 
 
 def normalize(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Ledger name -> rows, from an export.xml."""
-    records = read_xml(spark, path, "Record")
+    """Ledger name -> rows, from an export.xml; its records are parsed once and kept for the three ledgers made from them."""
+    records = read_xml(spark, path, "Record").persist(StorageLevel.DISK_ONLY)
     return {"observations": observations(records), "sleep_sessions": sleep_sessions(records), "blood_pressure": blood_pressure(records), "workouts": workouts(read_xml(spark, path, "Workout"))}

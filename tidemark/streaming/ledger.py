@@ -33,3 +33,14 @@ def live_windows(rows: DataFrame, keys: list[str], time: str, length: str, slide
     """Tumbling (or sliding) window preview of a stream."""
     window = F.window(time, length, slide) if slide else F.window(time, length)
     return rows.withWatermark(time, lateness).groupBy(*keys, window.alias("w")).agg(*aggregates).withColumns({"window_start": F.col("w.start"), "window_end": F.col("w.end")}).drop("w")
+
+
+def live_pairs(rows: DataFrame, keys: list[str], time: str, kind: str, value: str, first: str, second: str, lateness: str) -> DataFrame:
+    """Pairs of two kinds of records with equal keys and time (such as the two values of a pressure), as the stream brings them.
+
+    The state of a pair that is not whole yet is kept until the watermark has passed its time by ``lateness``; each pair comes
+    out once, whichever half came first.  Of repeated halves the least value counts.
+    """
+    timed = rows.where(F.col(kind).isin(first, second)).withWatermark(time, lateness)
+    halves = timed.groupBy(*keys, time).agg(*[F.min(F.when(F.col(kind) == k, F.col(value))).alias(k) for k in (first, second)])
+    return halves.where(F.col(first).isNotNull() & F.col(second).isNotNull())
