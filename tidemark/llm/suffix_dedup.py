@@ -389,10 +389,10 @@ def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     judged = scratch.write(judged_minimizers(minimizer_rows(keyed, length, gram)), "judged")
     alone, hot = judged.where("not hot").drop("hot"), judged.where("hot").select(F.col("k").alias("h"))
     found = scratch.write(shared_segments(keyed.join(alone, ["k", "kk"], "left"), length, gram), "found")
-    rows = segment_rows(found, length)
     at = F.min(F.struct("id", "k", "kk", "p")).alias("at")
-    distinct = rows.groupBy("h", "c1", "c2").agg(at, F.first("body").alias("body")).select("h", "at.*", "body")
-    some, cold = not hot.isEmpty(), distinct
+    distinct = segment_rows(found, length).groupBy("h", "c1", "c2").agg(at, F.first("body").alias("body")).select("h", "at.*", "body")
+    cold = distinct = scratch.write(distinct, "distinct")
+    some = not hot.isEmpty()
     if some:
         named = few_enough(hot)
         cold = distinct.join(named, "h", "left_anti")
@@ -401,6 +401,7 @@ def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         solved = solved.unionByName(counted_strings(distinct.join(named, "h", "left_semi"), length).withColumn("hot", F.lit(True)))
     firsts = scratch.write(solved.groupBy("k", "kk").agg(F.collect_list(F.struct("p", "strings", "hot")).alias("firsts")), "firsts")
     scratch.drop("judged")
+    scratch.drop("distinct")
     touched = found.where("size(starts) > 0").join(firsts, ["k", "kk"], "left").select("id", "text", "starts", "counts", "firsts")
     clean = found.where("size(starts) = 0").select("id", "text", "starts", "counts", F.lit(None).cast(firsts.schema["firsts"].dataType).alias("firsts"))
     out = remove(touched.unionByName(clean), length, ["id"])
