@@ -345,13 +345,13 @@ def close_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, raw: list[byt
     p = min(map(len, raw))
     table = np.stack([_fold(r, p) for r in raw]).view(np.uint64)
     left, right = [], []
-    for i in range(len(n) - 1):
-        rest = slice(i + 1, None)
-        may = (comp[rest] != comp[i]) & ((side[rest] != side[i]) | (side[i] < 0))
-        may &= np.minimum(n[rest], n[i]) * den >= np.maximum(n[rest], n[i]) * num
+    largest = np.bincount(comp).argmax()  # its sets need no comparing with one another, and meet the others from their side
+    place = np.arange(len(n))
+    for i in np.flatnonzero(comp != largest).tolist():
+        may = (comp != comp[i]) & ((side != side[i]) | (side[i] < 0)) & ((comp == largest) | (place > i))
+        may &= np.minimum(n, n[i]) * den >= np.maximum(n, n[i]) * num
         j = np.flatnonzero(may)
         if len(j):
-            j += i + 1
             differ = np.bitwise_count(table[j] ^ table[i]).sum(axis=1, dtype=np.int64)
             j = j[differ * (den + num) <= (n[j] + n[i]) * (den - num)]
             left.append(np.full(len(j), i))
