@@ -3,7 +3,7 @@ import threading
 import urllib.request
 from datetime import UTC, datetime
 from http.server import BaseHTTPRequestHandler, HTTPServer
-from urllib.parse import parse_qs, urlparse
+from urllib.parse import parse_qs
 
 import pytest
 from pyspark.sql import functions as F
