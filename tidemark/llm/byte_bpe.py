@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import caches, map_rows
 
 CACHE = 150_000
 # Fixed value: the pattern of the tokenizers whose spaces are known to part pre-tokens.
@@ -193,6 +193,14 @@ def _worker(name: str, pattern: str) -> ByteBPE:
     return ByteBPE(_pieces(SparkFiles.get(name)), pattern)
 
 
+def _clear() -> None:
+    for kept in (_worker, _decoder, _pieces):
+        kept.cache_clear()
+
+
+caches(__name__, _clear)
+
+
 def ship(spark, path: str) -> str:
     """Send the vocabulary file to every executor; returns the name that SparkFiles finds it by."""
     spark.sparkContext.addFile(path)

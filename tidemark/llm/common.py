@@ -6,9 +6,10 @@ temporaries of numpy stay bounded whatever the Arrow batch holds; a single longe
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,13 +58,17 @@ class Scratch:
         files.mkdirs(path)
         files.deleteOnExit(path)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes and rereads a table; the shuffle files behind it go as soon as it is whole."""
+    def write(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """Writes and rereads a table; the shuffle files behind it go as soon as it is whole.
+
+        ``files``: into how many a table of few rows is gathered (by an exchange of its own, so that what computes it keeps
+        its tasks); a file for each task of a small table costs more than its rows.
+        """
         path = f"{self.root}/{name}"
         before = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            (df.repartition(files) if files else df).write.mode("overwrite").option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.parquet(path)
@@ -81,6 +86,34 @@ class Scratch:
         self.drop("")
 
 
+# ---------------------------------------------------------------- workers
+
+#: What clears a module's caches in a Python worker, by module; and the module whose tasks the worker ran last.
+_CACHES: dict[str, Callable[[], None]] = {}
+_OWNER = ""
+
+
+def caches(module: str, clear: Callable[[], None]) -> None:
+    """Registers how a module's worker-wide caches are cleared; they live as long as the worker runs that module's tasks."""
+    _CACHES[module] = clear
+
+
+def worker_of(module: str) -> None:
+    """Start of a task: a reused worker lets go of what tasks of other operators kept."""
+    global _OWNER
+    if module != _OWNER:
+        for name, clear in _CACHES.items():
+            if name != module:
+                clear()
+        _OWNER = module
+        gc.collect()
+
+
+def release() -> None:
+    """End of a task: Arrow gives its free memory back; the worker may live on, idle."""
+    pa.default_memory_pool().release_unused()
+
+
 # ---------------------------------------------------------------- Arrow text
 
 
@@ -256,6 +289,15 @@ def repeated(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
 
 
+#: Rows of ids and numbers in a file of an intermediate table.
+FILE_ROWS = 500_000
+
+
+def files_for(rows: int, most: int) -> int:
+    """Files for a table of about so many narrow rows: four for a small table, the session's parallelism for a large one."""
+    return max(min(4, most), min(most, -(-rows // FILE_ROWS)))
+
+
 #: Rows of ids that a broadcast may hold.
 BROADCAST_ROWS = 100_000
 
@@ -282,12 +324,13 @@ def map_rows(df: DataFrame, fn, added: str, keep: list[str]) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
+        worker_of(fn.__module__)
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept] + list(fn(batch))
             yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(columns, arrow, strict=True)], schema=arrow)
-        pa.default_memory_pool().release_unused()  # the worker may live on, idle
+        release()
 
     tune(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -30,7 +30,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, name: str, files: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that is not its component's smallest.
 
     ``edges`` has two columns of one type.  Loops, repeated edges and edges with a null end count for nothing.
@@ -42,7 +42,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         watch = Observation()
         step = now if k == 0 else _star(_star(now, True), False)
         sums = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).alias("s")]
-        now = scratch.write(step.observe(watch, *sums), f"{name}-{k}")
+        now = scratch.write(step.observe(watch, *sums), f"{name}-{k}", files)
         state = (watch.get["n"], watch.get["s"])
         if k > 1:
             scratch.drop(f"{name}-{k - 2}")

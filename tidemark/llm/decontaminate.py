@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_class, map_rows, text_blocks
+from .common import LOWER, byte_class, caches, map_rows, text_blocks
 
 WIDTH = 13
 #: Bytes of words: digits, letters, and all that is not ASCII.
@@ -179,6 +179,7 @@ def pieces_of(rows, limit: int) -> Iterator[dict[bytes, set[str]]]:
 #: Tables of the pieces that this worker used last.
 _FINDERS: OrderedDict[str, tuple] = OrderedDict()
 FINDERS = 2
+caches(__name__, _FINDERS.clear)
 
 
 def _finder(token: str, shared) -> tuple:

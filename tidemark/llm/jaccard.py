@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Scratch, few_enough, map_rows, mix, signed, spans, text_blocks, text_buffers, tune, window_hashes, word_hashes
+from .common import NOT_SPACE, Scratch, few_enough, files_for, map_rows, mix, release, signed, spans, text_blocks, text_buffers, tune, window_hashes, word_hashes, worker_of
 from .components import connected_components
 
 WIDTH, THRESHOLD = 3, (90, 100)
@@ -213,6 +213,7 @@ def dealt_signatures(docs: DataFrame, *, text_col: str, width: int, threshold: t
     chunk = min(CHUNK, 2000 * buckets)
 
     def run(batches):
+        worker_of(__name__)
         bands, met, sigs, refs, held = Bands(*threshold), set(), [], [], 0
         for batch in batches:
             for _, _, data, offsets in text_blocks(batch):
@@ -235,6 +236,8 @@ def dealt_signatures(docs: DataFrame, *, text_col: str, width: int, threshold: t
                     sigs, refs, held = [], [], 0
         if held:
             yield _deal(np.concatenate(sigs), np.concatenate(refs), buckets)
+        del sigs, refs, met
+        release()
 
     tune(docs.sparkSession)
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "p int, kind int, sigs binary, refs binary")
@@ -289,6 +292,7 @@ def shared_signatures(dealt: DataFrame, parts: int) -> DataFrame:
     """(g, ref): groups of sets that share a signature; ``ref`` is 40 bits of the name of a set."""
 
     def run(batches):
+        worker_of(__name__)
         now, held = None, ([], [], [])
         for batch in batches:
             p = batch.column(0).to_numpy()
@@ -302,6 +306,8 @@ def shared_signatures(dealt: DataFrame, parts: int) -> DataFrame:
                     x.append(c[i])
         if held[0]:
             yield answer(now, held)
+        held = None
+        release()
 
     def answer(p, held):
         g, r = _shared(int(p), *held)
@@ -373,6 +379,8 @@ def block_pairs(large: DataFrame, sketched: DataFrame, threshold: tuple[int, int
     def run(batches):
         from itertools import groupby
 
+        worker_of(__name__)
+
         def solve(group):
             _, _, _, side, rep, comp, n, sketch = zip(*group, strict=True)
             order = {c: k for k, c in enumerate(dict.fromkeys(comp))}
@@ -421,49 +429,50 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     rows = scratch.write(describe(docs, id_col=id_col, text_col=text_col, width=width, threshold=threshold), "rows")
     classes = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")).where("rep is not null")
     classes = scratch.write(classes, "classes")
-    size = docs.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0  # one number
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = files_for(classes.count(), parts)  # a count of the footers
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0  # one number
     buckets = min(max(2 * parts, size // BUCKET_BYTES), 1 << 24)
     dealt = dealt_signatures(docs.where(F.col(id_col).isNotNull()), text_col=text_col, width=width, threshold=threshold, buckets=buckets)
-    groups = scratch.write(shared_signatures(dealt, max(parts, min(buckets, 8192))).distinct(), "signed")
+    groups = shared_signatures(dealt, max(parts, min(buckets, 8192))).distinct()
     named = classes.withColumn("ref", F.col("k1").bitwiseAND(F.lit(int(_LOW))))
     groups = scratch.write(groups.join(named, "ref").select("g", "rep").distinct(), "groups")
-    scratch.drop("signed")
+    some = files_for(groups.count(), parts)
     wanted = groups.select("rep").distinct().join(classes, "rep")
     nodes = rows.join(wanted, (F.col("id") == F.col("rep")) & (rows["k1"] == wanted["k1"]) & (rows["k2"] == wanted["k2"])).select("rep", rows["n"], "sketch").distinct()
-    nodes = scratch.write(nodes, "nodes")
+    nodes = scratch.write(nodes, "nodes", min(parts, 2 * few))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
     torn = rows.where("n > 0").groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("k1", "k2") for f in (F.min, F.max)]).where("min_k1 <> max_k1 or min_k2 <> max_k2").select("id")
     bridges = rows.join(torn, "id").join(classes, ["n", "k1", "k2"]).where("rep <> id").select(F.greatest("rep", "id").alias("a"), F.least("rep", "id").alias("b"))
-    bridges = scratch.write(bridges.distinct(), "bridges")  # an id with several texts joins their classes
+    bridges = scratch.write(bridges.distinct(), "bridges", few)  # an id with several texts joins their classes
     labels, edges, tested = None, None, None
     if not bridges.isEmpty():
-        edges, labels = bridges, connected_components(bridges, scratch, "components-of-ids")
+        edges, labels = bridges, connected_components(bridges, scratch, "components-of-ids", few)
     for turn in range(STARS + 1):
         now = groups.withColumn("comp", F.col("rep")) if labels is None else groups.join(labels, F.col("rep") == F.col("node"), "left").select("g", "rep", F.coalesce("component", "rep").alias("comp"))
         order = F.struct((F.lit(0) if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("o"), "rep", "comp")
         per_group = now.groupBy("g").agg(F.min(order).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-        apart = scratch.write(now.join(per_group.select("g", F.col("c.rep").alias("centre"), F.col("c.comp").alias("home"), "m"), "g"), f"open-{turn}")
+        apart = scratch.write(now.join(per_group.select("g", F.col("c.rep").alias("centre"), F.col("c.comp").alias("home"), "m"), "g"), f"open-{turn}", some)
         if apart.isEmpty():
             break
         if turn < STARS:  # every set that lies apart from a centre, against one centre
             one = apart.where("comp <> home").groupBy("rep").agg(F.min_by("centre", F.struct((F.lit(0) if turn == 0 else F.xxhash64("centre", F.lit(turn))).alias("o"), "centre")).alias("centre"))
             pairs = one.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"))
         else:  # all pairs that share a signature and lie apart
-            few = apart.where(F.col("m") <= SMALL)
-            x, y = few.select("g", F.col("rep").alias("a"), F.col("comp").alias("ca")), few.select("g", F.col("rep").alias("b"), F.col("comp").alias("cb"))
+            small = apart.where(F.col("m") <= SMALL)
+            x, y = small.select("g", F.col("rep").alias("a"), F.col("comp").alias("ca")), small.select("g", F.col("rep").alias("b"), F.col("comp").alias("cb"))
             pairs = x.join(y, "g").where("ca <> cb and a > b").select("a", "b")
             pairs = pairs.unionAll(block_pairs(apart.where(F.col("m") > SMALL).select("g", "rep", "comp", "m"), nodes, threshold))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        near = scratch.write(likely(pairs, nodes, threshold), f"near-{turn}")
-        done = scratch.write(verify(near, own, width=width, threshold=threshold), f"verified-{turn}")
+        near = scratch.write(likely(pairs, nodes, threshold), f"near-{turn}", few)
+        done = scratch.write(verify(near, own, width=width, threshold=threshold), f"verified-{turn}", few)
         tested = done.select("a", "b") if tested is None else tested.unionAll(done.select("a", "b"))
         links = done.groupBy("a", "b").agg(F.max("linked").alias("linked")).where("linked").select("a", "b")
         edges = links if edges is None else edges.unionAll(links)
-        labels = connected_components(edges, scratch, f"components-{turn}")
+        labels = connected_components(edges, scratch, f"components-{turn}", few)
         scratch.drop(f"open-{turn}")
 
     found = classes if labels is None else classes.join(labels, F.col("rep") == F.col("node"), "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("rep"))

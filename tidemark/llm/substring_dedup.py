@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Scratch, map_rows, signed, spans, text_blocks, text_buffers, to_numpy, window_hashes, word_hashes
+from .common import NOT_SPACE, Scratch, map_rows, signed, spans, text_blocks, text_buffers, to_numpy, window_hashes, word_hashes, worker_of
 
 WINDOW = 35
 # Perfect difference sets by modulus.
@@ -59,6 +59,7 @@ def anchor_rows(keyed: DataFrame, window: int) -> DataFrame:
     width = window - v + 1
 
     def run(batches):
+        worker_of(__name__)
         for batch in batches:
             keys, more = to_numpy(batch, "k"), to_numpy(batch, "kk").astype(np.int64) << 32
             for i, _, data, offsets in text_blocks(batch):

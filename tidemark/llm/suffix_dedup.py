@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, eights, few_enough, map_rows, mix, range_hashes, signed, text_blocks, text_buffers, to_numpy
+from .common import Scratch, eights, few_enough, map_rows, mix, range_hashes, signed, text_blocks, text_buffers, to_numpy, worker_of
 from .substring_dedup import _lists, counted, name_of
 
 LENGTH, GRAM = 100, 32
@@ -196,6 +196,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
 
 def minimizer_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
+        worker_of(__name__)
         for batch in batches:
             keys, more = to_numpy(batch, "k"), to_numpy(batch, "kk").astype(np.int64) << 32
             for i, _, data, offsets in text_blocks(batch):
@@ -241,6 +242,7 @@ def segment_rows(found: DataFrame, length: int) -> DataFrame:
     kind = found.schema["id"]
 
     def run(batches):
+        worker_of(__name__)
         for batch in batches:
             starts, bounds = _lists(batch, "starts")
             counts, _ = _lists(batch, "counts")
@@ -306,6 +308,7 @@ def first_occurrences(distinct: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(rows["k"], pa.int64()), pa.array(rows["kk"], pa.int32()), pa.array(rows["p"], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["k", "kk", "p", "strings"])
 
     def run(batches):
+        worker_of(__name__)
         held, size = {n: [] for n in names}, 0
         for batch in batches:
             for row in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True):
@@ -328,6 +331,7 @@ def counted_strings(distinct: DataFrame, length: int) -> DataFrame:
     schema = StructType([*StructType.fromDDL("s1 bigint, s2 bigint"), distinct.schema["id"], *StructType.fromDDL("k bigint, kk int, p int, o int")])
 
     def run(batches):
+        worker_of(__name__)
         for batch in batches:
             data, offsets = text_buffers(batch.column(batch.schema.get_field_index("body")))
             count = np.diff(offsets) - length + 1
