@@ -7,6 +7,8 @@ temporaries of numpy stay bounded whatever the Arrow batch holds; a single longe
 from __future__ import annotations
 
 import gc
+import hashlib
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -86,6 +88,38 @@ class Scratch:
         self.drop("")
 
 
+# ---------------------------------------------------------------- files
+
+#: Bytes of a vocabulary or model file that may be sent to every executor.
+SHIPPED_BYTES = 64 << 20
+
+
+class Shipped:
+    """The bytes of a small file, as a broadcast that a lost executor fetches again; told apart by digest, not by name."""
+
+    def __init__(self, spark: SparkSession, raw: bytes):
+        self.digest = hashlib.sha256(raw).hexdigest()
+        self._raw = spark.sparkContext.broadcast(raw)
+
+    @property
+    def value(self) -> bytes:
+        return self._raw.value
+
+    def __hash__(self) -> int:
+        return hash(self.digest)
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, Shipped) and self.digest == other.digest
+
+
+def ship(spark: SparkSession, path: str) -> Shipped:
+    """Send a vocabulary or model file of the driver to every executor; a file above ``SHIPPED_BYTES`` is an error."""
+    if os.path.getsize(path) > SHIPPED_BYTES:
+        raise ValueError(f"{path} has more than {SHIPPED_BYTES} bytes")
+    with open(path, "rb") as f:
+        return Shipped(spark, f.read())
+
+
 # ---------------------------------------------------------------- workers
 
 #: What clears a module's caches in a Python worker, by module; and the module whose tasks the worker ran last.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, jaccard, language_id, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, warc
+from . import byte_bpe, code_compression, decontaminate, jaccard, language_id, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, warc, whitening
 from . import oracles as oracle
 from .common import table
 
@@ -62,6 +62,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")))
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(table(spark, sf_dir, "documents"), piece_model())
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,12 +93,15 @@ QUERIES = {
         op8_sharding,
         op9_suffix_dedup,
         op10_substring_dedup,
+        op11_token_counts,
+        op12_whitening,
+        op13_code_compression,
     )
 }
 
 
 def oracles() -> dict[str, str]:
-    """SQL twins; tokenising and the two networks have none and are tested against brute force and held-out rows."""
+    """SQL twins; tokenising, whitening and the two networks have none and are tested against brute force and held-out rows."""
     return {
         "op1_decontaminate": oracle.DECONTAMINATE,
         "op2_quality_rules": quality_rules.ORACLE,
@@ -89,4 +110,5 @@ def oracles() -> dict[str, str]:
         "op8_sharding": sharding.oracle(SHARDS),
         "op9_suffix_dedup": oracle.BYTES,
         "op10_substring_dedup": oracle.SUBSTRINGS,
+        "op13_code_compression": code_compression.oracle(),
     }
