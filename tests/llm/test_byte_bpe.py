@@ -68,3 +68,41 @@ def test_kept_columns_long_tokens_and_null_ids(spark):
     assert all(rows[i].ids == REAL.encode_ordinary(t or "") and bytes(rows[i].decoded).decode() == (t or "") and rows[i].note == "kept" for i, t in enumerate(texts))
     nulls = spark.createDataFrame([(1, None), (2, []), (3, [0, 1])], "k int, ids array<int>")
     assert [None if r.decoded is None else bytes(r.decoded) for r in decode(nulls, PATH).orderBy("k").collect()] == [None, b"", PIECES[0] + PIECES[1]]
+
+
+def test_what_a_worker_keeps_is_bounded_by_bytes(monkeypatch):
+    import tracemalloc
+
+    from tidemark.llm import byte_bpe
+
+    monkeypatch.setattr(byte_bpe, "CACHE", 1 << 20)
+    bpe, rng = ByteBPE(PIECES, P.PATTERN), random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    bpe.encode_batch(["warm up"])
+    tracemalloc.start()
+    held = []
+    for k in range(12):
+        texts = [" ".join("".join(rng.choices(letters, k=n)) for n in [20_000, *rng.choices(range(3, 90), k=2000)]) for _ in range(4)]
+        ids, offsets = bpe.encode_batch(texts)
+        if k % 6 == 0:
+            assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [REAL.encode_ordinary(t) for t in texts]
+        assert max(map(len, bpe.ids)) <= byte_bpe.KEPT and bpe.held <= byte_bpe.CACHE
+        del ids, offsets, texts
+        held.append(tracemalloc.get_traced_memory()[0])
+    tracemalloc.stop()
+    assert max(held) < 3 << 20  # two generations
+
+
+def test_two_vocabularies_of_one_file_name(spark, tmp_path):
+    from tidemark.llm.byte_bpe import encode
+
+    import base64
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    singles = [bytes([b]) for b in range(256)]
+    for folder, pieces in (("a", singles), ("b", [*singles, b"ab"])):
+        (tmp_path / folder / "v.tiktoken").write_bytes(b"\n".join(base64.b64encode(p) + b" %d" % k for k, p in enumerate(pieces)))
+    df = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
+    got = [encode(df, str(tmp_path / f / "v.tiktoken"), P.PATTERN).first().ids for f in "ab"]
+    assert got == [[97, 98], [256]]

@@ -5,8 +5,8 @@ is its negative rank, so that the merge of highest score is the merge of lowest
 is the identity: no dummy prefix, no white-space folding or escaping.  A text is cut into pre-tokens by the pattern of
 the tokenizer, each pre-token is encoded by itself, and ids are decoded by the inverse mapping of pieces to bytes.
 
-Nothing is trained.  The same run of pre-tokens has the same ids everywhere, so each worker keeps the runs it has met, up to
-``CACHE`` of them.  By the pattern ``SPACED`` a space before a character that is not white space always begins a pre-token, and
+Nothing is trained.  The same run of pre-tokens has the same ids everywhere, so each worker keeps the runs it has met: those of at
+most ``KEPT`` characters, in two generations of at most ``CACHE`` bytes each; longer runs are encoded each time.  By the pattern ``SPACED`` a space before a character that is not white space always begins a pre-token, and
 what is left of it and right of it splits alike alone and together; so with that pattern the runs are what lies between such
 spaces, and only runs that are new pass the pattern and the model.  With any other pattern a run is one pre-token.
 
@@ -26,13 +26,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import caches, map_rows
+from .common import Shipped, caches, map_rows, ship
 
-CACHE = 150_000
+#: Bytes of a generation of kept runs with their ids, and characters of a run that may be kept.
+CACHE, KEPT = 40 << 20, 64
+#: What a kept run takes besides its characters and ids: two objects and a place in a dictionary.
+ENTRY = 220
 # Fixed value: the pattern of the tokenizers whose spaces are known to part pre-tokens.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PARTING, _OTHER = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
@@ -99,6 +101,7 @@ class ByteBPE:
         self.map = byte_characters()
         self.ids: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.held = 0  # bytes of ids
 
     def _runs(self, text: str) -> list[str]:
         """Runs of pre-tokens; with ``spaced``, the space before a run is left out of all but the first."""
@@ -106,18 +109,29 @@ class ByteBPE:
             return self.split(text)
         return _PARTING.split(text) if _OTHER.search(text) else text.split(" ")
 
-    def _learn(self, runs: set[str]) -> None:
-        """Brings the ids of all ``runs`` into ``ids``; what was met since the last turnover but one stays known."""
-        if len(self.ids) + len(runs) > CACHE:
-            self.ids, self.before = {}, self.ids
-        new = []
-        for t in runs - self.ids.keys():
-            if (have := self.before.get(t)) is None:
+    def _learn(self, runs: set[str]) -> dict[str, bytes]:
+        """The ids of all ``runs``; short runs met since the last turnover but one need no encoding."""
+        out, new = {}, []
+        for t in runs:
+            have = self.ids.get(t)
+            if have is None and (have := self.before.get(t)) is not None:
+                self._keep(t, have)
+            if have is None:
                 new.append(t)
             else:
-                self.ids[t] = have
+                out[t] = have
         for t, ids in zip(new, self._encode([" " + t for t in new] if self.spaced else new), strict=True):
-            self.ids[t] = ids
+            out[t] = ids
+            if len(t) <= KEPT:
+                self._keep(t, ids)
+        return out
+
+    def _keep(self, run: str, ids: bytes) -> None:
+        size = ENTRY + 4 * len(run) + len(ids)  # at most four bytes a character
+        if self.held + size > CACHE:
+            self.ids, self.before, self.held = {}, self.ids, 0
+        self.ids[run] = ids
+        self.held += size
 
     def _encode(self, runs: list[str]) -> list[bytes]:
         parts = [self.split(t) for t in runs]
@@ -133,8 +147,7 @@ class ByteBPE:
         def flush():
             heads = self._encode([p[0] for p in pending]) if self.spaced else None  # no space before the first run
             rest = [p[1:] for p in pending] if self.spaced else pending
-            self._learn(set().union(*rest))
-            get = self.ids.__getitem__
+            get = self._learn(set().union(*rest)).__getitem__
             for k, parts in enumerate(rest):
                 raw = b"".join(map(get, parts))
                 if heads is not None:
@@ -178,19 +191,18 @@ class Pieces:
 
 
 @lru_cache(maxsize=4)
-def _pieces(path: str) -> list[bytes]:
-    with open(path, "rb") as f:
-        return read_ranks(f)
+def _pieces(file: Shipped) -> list[bytes]:
+    return read_ranks(file.value.splitlines())
 
 
 @lru_cache(maxsize=4)
-def _decoder(name: str) -> Pieces:
-    return Pieces(_pieces(SparkFiles.get(name)))
+def _decoder(file: Shipped) -> Pieces:
+    return Pieces(_pieces(file))
 
 
 @lru_cache(maxsize=4)
-def _worker(name: str, pattern: str) -> ByteBPE:
-    return ByteBPE(_pieces(SparkFiles.get(name)), pattern)
+def _worker(file: Shipped, pattern: str) -> ByteBPE:
+    return ByteBPE(_pieces(file), pattern)
 
 
 def _clear() -> None:
@@ -201,19 +213,13 @@ def _clear() -> None:
 caches(__name__, _clear)
 
 
-def ship(spark, path: str) -> str:
-    """Send the vocabulary file to every executor; returns the name that SparkFiles finds it by."""
-    spark.sparkContext.addFile(path)
-    return path.rsplit("/", 1)[-1]
-
-
 def encode(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", keep: list[str] | None = None, ids_col: str = "ids") -> DataFrame:
     """Adds ``ids`` (array<int>) to each row."""
-    name = ship(docs.sparkSession, path)
+    file = ship(docs.sparkSession, path)
     keep = keep if keep is not None else docs.columns
 
     def fn(batch):
-        ids, offsets = _worker(name, pattern).encode_batch(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+        ids, offsets = _worker(file, pattern).encode_batch(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
         return [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))]
 
     return map_rows(docs.select(*dict.fromkeys([*keep, text_col])), fn, f"{ids_col} array<int>", keep)
@@ -227,13 +233,13 @@ def binary(data: np.ndarray, offsets: np.ndarray, like: pa.Array) -> pa.Array:
 
 def decode(tokens: DataFrame, path: str, *, ids_col: str = "ids", bytes_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """Adds the decoded bytes (binary) to each row; null ids give null, an id outside the vocabulary is an error."""
-    name = ship(tokens.sparkSession, path)
+    file = ship(tokens.sparkSession, path)
     keep = keep if keep is not None else tokens.columns
 
     def fn(batch):
         lists = batch.column(batch.schema.get_field_index(ids_col))
         ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        data, offsets = _decoder(name).decode(lists.flatten().to_numpy(zero_copy_only=False), ends)
+        data, offsets = _decoder(file).decode(lists.flatten().to_numpy(zero_copy_only=False), ends)
         return [binary(data, offsets, lists)]
 
     return map_rows(tokens.select(*dict.fromkeys([*keep, ids_col])), fn, f"{bytes_col} binary", keep)
@@ -241,12 +247,12 @@ def decode(tokens: DataFrame, path: str, *, ids_col: str = "ids", bytes_col: str
 
 def round_trip(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", keep: list[str], ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Adds the ids and the bytes they decode to, in one pass of one worker: ``encode`` and ``decode`` of a batch in turn."""
-    name = ship(docs.sparkSession, path)
+    file = ship(docs.sparkSession, path)
 
     def fn(batch):
-        ids, offsets = _worker(name, pattern).encode_batch(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+        ids, offsets = _worker(file, pattern).encode_batch(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
-        return [lists, binary(*_decoder(name).decode(ids, offsets), lists)]
+        return [lists, binary(*_decoder(file).decode(ids, offsets), lists)]
 
     return map_rows(docs.select(*dict.fromkeys([*keep, text_col])), fn, f"{ids_col} array<int>, {bytes_col} binary", keep)
 

@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Lists that gather the scratch folders made while they are open.
+_GATHERING: list[list[Scratch]] = []
+
+
+@contextmanager
+def gathered() -> Iterator[list[Scratch]]:
+    """The scratch folders that are made inside, so that a caller who has written what it read from them can close them."""
+    made: list[Scratch] = []
+    _GATHERING.append(made)
+    try:
+        yield made
+    finally:
+        _GATHERING.remove(made)
+
+
 class Scratch:
     """Intermediate tables in the folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -59,6 +75,8 @@ class Scratch:
         files, path = self._files("")
         files.mkdirs(path)
         files.deleteOnExit(path)
+        for made in _GATHERING:
+            made.append(self)
 
     def write(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
         """Writes and rereads a table; the shuffle files behind it go as soon as it is whole.

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, caches, map_rows, range_hashes, ship, text_buffers
+from .common import Shipped, blocks, caches, map_rows, range_hashes, ship, text_buffers
 
 CACHE = 1_000_000
 LONG = 128
@@ -327,11 +327,11 @@ class Counter:
 
 
 @lru_cache(maxsize=2)
-def _counter(digest: str, shipped) -> Counter:
-    return Counter(shipped.value)
+def _counter(file: Shipped) -> Counter:
+    return Counter(file.value)
 
 
-caches(__name__, lambda: _counter.cache_clear())
+caches(__name__, _counter.cache_clear)
 
 
 def _batch(counter: Counter, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -345,11 +345,11 @@ def _batch(counter: Counter, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def count_tokens(docs: DataFrame, model: str, *, text_col: str = "text", keep: list[str] | None = None, bytes_col: str = "n_bytes", tokens_col: str = "n_tokens") -> DataFrame:
     """Adds the UTF-8 bytes and the tokens of each text, by the sentencepiece model in the file ``model``."""
-    shipped = ship(docs.sparkSession, model)
+    file = ship(docs.sparkSession, model)
     keep = keep if keep is not None else docs.columns
 
     def fn(batch):
-        size, tokens = _batch(_counter(shipped.digest, shipped), batch.column(batch.schema.get_field_index(text_col)))
+        size, tokens = _batch(_counter(file), batch.column(batch.schema.get_field_index(text_col)))
         return [pa.array(size, pa.int64()), pa.array(tokens, pa.int64())]
 
     return map_rows(docs.select(*dict.fromkeys([*keep, text_col])), fn, f"{bytes_col} bigint, {tokens_col} bigint", keep)
