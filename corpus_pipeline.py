@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, decontaminate, jaccard, language_id, substring_dedup
-from tidemark.llm.common import Scratch, beside, table
+from tidemark.llm.common import Scratch, beside, gathered, table
 from tidemark.llm.queries import tokenizer
 
 
@@ -65,8 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn; once a stage is written, the one before it and the stage's own tables go."""
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"{k}-{name}")
+        with gathered() as own:
+            docs = scratch.write(stage(spark, docs, sf_dir), f"{k}-{name}")
+        for done in own:
+            done.close()
+        if k:
+            scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
