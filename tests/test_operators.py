@@ -82,12 +82,6 @@ def test_an_interval_of_a_wrong_end_is_an_error(spark):
         pairs.overlap_pairs(df, df, "s", "e").collect()
 
 
-def test_every_nth_row_over_many_partitions(spark):
-    df = spark.range(1000).repartition(7).selectExpr("id * 3 AS k", "id AS v")
-    assert sorted(r.v for r in reports.every_nth(df, ["k"], 10, 4).collect()) == list(range(3, 1000, 10))
-    assert reports.every_nth(df.limit(0), ["k"], 3).count() == 0
-
-
 def test_dense_selection_keeps_ties_and_null_keys(spark):
     df = spark.createDataFrame([("a", 1, "s", 1), ("a", 1, "s", 2), ("a", 2, "r", 3), (None, None, "x", 4), (None, 0, "a", 5), (None, None, "x", 6)], "k string, p int, s string, v int")
     assert sorted(r.v for r in select.select_by_priority(df, ["k"], ["p", "s"]).collect()) == [1, 2, 4, 6]

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import parse, scalar
 from ..operators import intervals, merge, pairs, select, sessions
+from ..operators.numbering import every_nth
 from .registry import load, query
-from .reports import every_nth
 
 PRIORITIES = [("click", "s1", 1), ("click", "s0", 2), ("view", "s2", 1), ("signup", "s0", 1), ("purchase", "s1", 5), ("error", "s2", 1)]
 _VALUES = ", ".join(f"('{a}', '{b}', {c})" for a, b, c in PRIORITIES)
@@ -299,10 +299,13 @@ def top50_nulls_last(spark, sf_dir):
     return o.orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(50)
 
 
-@query("SELECT c_custkey, c_name, n_name FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS k FROM customer) s JOIN nation ON c_nationkey = n_nationkey WHERE k % 7 = 3")
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM (SELECT *, row_number() OVER (ORDER BY {_LINE}, l_quantity) AS k FROM lineitem) WHERE k % 7 = 3")
 def stride_sample(spark, sf_dir):
-    c, n = load(spark, sf_dir, "customer"), load(spark, sf_dir, "nation")
-    return every_nth(c.select("c_custkey", "c_name", "c_nationkey"), ["c_custkey"], 7, 3).join(n, F.col("c_nationkey") == n["n_nationkey"]).select("c_custkey", "c_name", "n_name")
+    order = [*_LINE.split(", "), "l_quantity"]
+    return every_nth(load(spark, sf_dir, "lineitem").select(*order), order, 7, 3).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
 @query("SELECT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 50")

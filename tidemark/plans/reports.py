@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..operators.numbering import every_nth
+from ..sources.files import Files
 
 
 def coverage(ledgers: DataFrame, today: Column, *, digits: int = 1) -> DataFrame:
@@ -163,21 +165,6 @@ def dashboard(led, links: DataFrame, runs: DataFrame, *, days: int = 365, parts:
     return out
 
 
-def every_nth(df: DataFrame, order: list[str], stride: int, first: int = 1) -> DataFrame:
-    """Rows number first, first + stride, ... in the order of some columns, numbered over range partitions: no task sees all rows.
-
-    Rows are sorted by range, counted for each partition, and numbered from the sum of the counts before.  Rows that tie may
-    change places, so ``order`` should tell them apart; equal rows are the same whichever is taken.
-    """
-    from pyspark.sql import Window
-
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_p", (F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))  # a row a partition
-    number = F.col("_before") + F.col("_i") + 1
-    return placed.join(F.broadcast(before), "_p").where((number >= first) & ((number - first) % stride == 0)).select(*df.columns)
-
-
 def html_report(points: dict[str, DataFrame], stats: DataFrame, path: str, *, most: int = 500) -> None:
     """A static page with the table of relationships and a scatter plot of each; ``points``: name -> (x, y) frame.
 
@@ -197,5 +184,5 @@ def html_report(points: dict[str, DataFrame], stats: DataFrame, path: str, *, mo
             dots = "".join(f'<circle cx="{fit(x, xs):.1f}" cy="{100 - fit(y, ys):.1f}" r="1"/>' for x, y in zip(xs, ys, strict=True))
         number = lambda v: "n/a" if v is None else f"{v:.3f}"
         body.append(f"<h2>{html.escape(r['relationship'])}</h2><p>n = {r['n']}, r = {number(r['r'])}, 95 % {number(r['ci_low'])} to {number(r['ci_high'])}</p><svg viewBox='0 0 100 100' width='300'>{dots}</svg>")
-    with open(path, "x") as f:
-        f.write(f"<!doctype html><meta charset='utf-8'><title>Relationships</title>{''.join(body)}")
+    folder, _, name = str(path).rpartition("/")
+    Files(stats.sparkSession, folder or ".").create(name, f"<!doctype html><meta charset='utf-8'><title>Relationships</title>{''.join(body)}")
