@@ -47,10 +47,10 @@ def test_pairs_equal_the_nested_loop(spark):
 def test_replay_is_all_duplicates_and_null_safe(spark):
     old = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, v string")
     new = spark.createDataFrame([(1, "a"), (2, None), (3, "d"), (4, None)], "k int, v string")
-    first = merge.merge_snapshot(old, new, ["k"], ["v"])
-    assert {r.k: r.disposition for r in first.collect()} == {1: "duplicate", 2: "duplicate", 3: "updated", 4: "inserted"}
-    again = merge.merge_snapshot(first.drop("disposition"), new, ["k"], ["v"])
-    assert {r.disposition for r in again.collect()} == {"duplicate"}
+    first = merge.merge_changes(old, new, ["k"], ["v"], "k").withColumn("disposition", merge.disposition())
+    assert {r.k: (r.disposition, r._changed) for r in first.collect()} == {1: ("duplicate", False), 2: ("duplicate", False), 3: ("updated", True), 4: ("inserted", True)}
+    again = merge.merge_changes(first.select("k", "v"), new, ["k"], ["v"], "k").withColumn("disposition", merge.disposition())
+    assert {(r.disposition, r._changed) for r in again.collect()} == {("duplicate", False)}
 
 
 def test_rolling_of_one_day_is_the_calendar(spark):

@@ -28,7 +28,7 @@ def test_apple_xml(spark, tmp_path):
     archive = tmp_path / "e.zip"
     with zipfile.ZipFile(archive, "w") as z:
         z.writestr("apple_health_export/export.xml", XML)
-    path = apple_health.stage_zip(str(archive), str(tmp_path / "staged"))
+    (path,) = apple_health.stage_zips(spark, [str(archive)], str(tmp_path / "staged"))
     got = normalize(spark, "apple_health", path, zone=ZONE)
     o = {r.metric: r for r in got["observations"].collect()}
     assert abs(o["weight_kg"].value - 140 * 0.45359237) < 1e-6 and o["weight_kg"].local_date == date(2025, 3, 3) and o["weight_kg"].timezone == "UTC-03:00"

@@ -23,7 +23,7 @@ def rows(spark, *given):
 def test_every_copy_of_a_batch_counts(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2), ("z", 9)], "k string, v int")
     batch = spark.createDataFrame([("a", 1, 0), ("a", 3, 1), ("a", 1, 2), ("b", 5, 0), ("b", 5, 1), ("c", 7, 0), ("c", 7, 1), ("c", 8, 2), ("z", 9, 0)], "k string, v int, p int")
-    got = {r.k: (r.v, r._inserted, r._updated, r._duplicate) for r in merge.merge_batch(old, batch, ["k"], ["v"], "p").collect()}
+    got = {r.k: (r.v, r._inserted, r._updated, r._duplicate) for r in merge.merge_changes(old, batch, ["k"], ["v"], "p").collect()}
     assert got == {"a": (1, 0, 2, 1), "b": (5, 0, 1, 1), "c": (8, 1, 1, 1), "z": (9, 0, 0, 1)}
 
 
@@ -127,7 +127,7 @@ def test_syncs_move_the_watermark_when_they_succeed(spark, tmp_path, api, monkey
     assert got["inserted"] == 2 and state.last_end(store, "withings") == now
     assert rebuild.sync(store, raw, "withings", url, zone="UTC", now=now)["duplicate"] == 2
     run = state.sync_status(store, "withings")
-    assert run["requested_start"] == datetime(2025, 3, 2, 12) and run["raw_count"] == 2
+    assert run["requested_start"] == datetime(2025, 3, 2, 12, tzinfo=UTC) and run["raw_count"] == 2
     assert rebuild.sync(store, raw, "oura", url, zone="UTC", now=now)["inserted"] == 1
     api.failing = True
     with pytest.raises(OSError, match="refused"):

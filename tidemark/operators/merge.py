@@ -2,67 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INSERTED, UPDATED, DUPLICATE = "inserted", "updated", "duplicate"
 
 
-def last_of_batch(incoming: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """The last row of every key in a batch; ``_earlier`` counts those before it."""
-    newest = Window.partitionBy(*keys).orderBy(F.col(position).desc())
-    ranked = incoming.withColumn("_rank", F.row_number().over(newest)).withColumn("_earlier", F.count(F.lit(1)).over(Window.partitionBy(*keys)) - 1)
-    return ranked.where("_rank = 1").drop("_rank")
+def merge_changes(existing: DataFrame, incoming: DataFrame, keys: list[str], semantic: list[str], position: str) -> DataFrame:
+    """One row for every key of a batch: what the table holds for it afterwards, with the dispositions of its incoming rows.
 
-
-def classify(existing: DataFrame, incoming: DataFrame, keys: list[str], semantic: list[str]) -> DataFrame:
-    """Incoming rows with their disposition; only ``semantic`` columns decide between updated and duplicate."""
-    old = existing.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*semantic).alias("_old"))
-    on = [F.col(k) == F.col(f"_k_{k}") for k in keys]
-    joined = incoming.join(old, on, "left")
-    same = F.struct(*semantic).eqNullSafe(F.col("_old"))
-    disposition = F.when(F.col("_old").isNull(), INSERTED).when(same, DUPLICATE).otherwise(UPDATED)
-    return joined.withColumn("disposition", disposition).drop("_old", *[f"_k_{k}" for k in keys])
-
-
-def merge_snapshot(existing: DataFrame, incoming: DataFrame, keys: list[str], semantic: list[str]) -> DataFrame:
-    """The next snapshot in one full outer join: existing rows that stay, and incoming ones, with the disposition of each row.
-
-    Rows that did not come in have a null disposition.  Columns of the incoming side win on insert and update; a duplicate
-    keeps the stored row.
-    """
-    columns = existing.columns
-    old = existing.select(*[F.col(k).alias(k) for k in keys], F.struct(*columns).alias("_old"))
-    new = incoming.select(*[F.col(k).alias(k) for k in keys], F.struct(*columns).alias("_new"))
-    both = old.join(new, keys, "full_outer")
-    same = F.lit(True)
-    for c in semantic:
-        same = same & F.col(f"_old.{c}").eqNullSafe(F.col(f"_new.{c}"))
-    disposition = F.when(F.col("_new").isNull(), F.lit(None).cast("string")).when(F.col("_old").isNull(), INSERTED).when(same, DUPLICATE).otherwise(UPDATED)
-    kept = F.when(F.col("disposition").isin(INSERTED, UPDATED), F.col("_new")).otherwise(F.col("_old"))
-    return both.withColumn("disposition", disposition).select(kept.alias("_row"), "disposition").select("_row.*", "disposition")
-
-
-def merge_batch(existing: DataFrame, incoming: DataFrame, keys: list[str], semantic: list[str], position: str) -> DataFrame:
-    """The next snapshot for a batch that may hold a key several times: its last row stays.
-
-    Every incoming row counts as if rows came one by one: the first of a key against the stored row, the others against the
-    one before.  The counts stand beside the row of their key (``_inserted``, ``_updated``, ``_duplicate``).
+    A batch may hold a key several times; its last row by ``position`` (any column that can be ordered) stays.  Every incoming
+    row counts as if rows came one by one: the first of a key against the stored row, the others against the one before; only
+    ``semantic`` columns tell an update from a duplicate.  The counts stand beside the row (``_inserted``, ``_updated``,
+    ``_duplicate``); ``_changed`` says whether the table has to be written for it.  Of the stored rows only those whose keys
+    come in are joined, so a small batch can travel to a large table.
     """
     columns = existing.columns
     own = F.struct(*semantic)
     before = F.lag(own).over(Window.partitionBy(*keys).orderBy(position))
     steps = incoming.select(*keys, F.col(position).alias("_p"), F.struct(*columns).alias("_new"), own.alias("_own"), (before.isNotNull() & ~own.eqNullSafe(before)).alias("_changed"))
     per_key = steps.groupBy(*keys).agg(F.max_by("_new", "_p").alias("_new"), F.min_by("_own", "_p").alias("_first"), F.count(F.lit(1)).alias("_n"), F.sum(F.col("_changed").cast("bigint")).alias("_steps"))
-    old = existing.select(*keys, F.struct(*columns).alias("_old"), own.alias("_was"))
-    both = old.join(per_key, keys, "full_outer")
-    came, new = F.col("_new").isNotNull(), F.col("_old").isNull()
-    inserted = F.when(came & new, 1).otherwise(0).cast("bigint")
-    updated = F.when(came, F.col("_steps") + F.when(~new & ~F.col("_first").eqNullSafe(F.col("_was")), 1).otherwise(0)).otherwise(0).cast("bigint")
-    last = F.struct(*[F.col(f"_new.{c}").alias(c) for c in semantic])
-    row = F.when(~came | (~new & last.eqNullSafe(F.col("_was"))), F.col("_old")).otherwise(F.col("_new"))
-    counted = both.select(row.alias("_row"), inserted.alias("_inserted"), updated.alias("_updated"), F.coalesce("_n", F.lit(0)).alias("_n"))
-    return counted.select("_row.*", "_inserted", "_updated", (F.col("_n") - F.col("_inserted") - F.col("_updated")).alias("_duplicate"))
+    old = existing.select(*keys, F.struct(*columns).alias("_old"), own.alias("_was")).join(per_key.select(*keys), keys, "left_semi")
+    both = per_key.join(old, keys, "left")
+    new = F.col("_old").isNull()
+    inserted = F.when(new, 1).otherwise(0).cast("bigint")
+    updated = F.col("_steps") + F.when(~new & ~F.col("_first").eqNullSafe(F.col("_was")), 1).otherwise(0)
+    changed = new | ~F.struct(*[F.col(f"_new.{c}").alias(c) for c in semantic]).eqNullSafe(F.col("_was"))
+    counted = both.select(F.when(changed, F.col("_new")).otherwise(F.col("_old")).alias("_row"), inserted.alias("_inserted"), updated.alias("_updated"), "_n", changed.alias("_changed"))
+    return counted.select("_row.*", "_inserted", "_updated", (F.col("_n") - F.col("_inserted") - F.col("_updated")).alias("_duplicate"), "_changed")
+
+
+def disposition() -> Column:
+    """The last disposition of a row of ``merge_changes``, for batches that hold every key once."""
+    return F.when(F.col("_inserted") > 0, INSERTED).when(F.col("_updated") > 0, UPDATED).otherwise(DUPLICATE)
 
 
 def insert_missing(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,7 +76,3 @@ def resolve_link(links: DataFrame, match, resolution: str) -> DataFrame:
     if links.where(match).limit(1).count() == 0:
         raise KeyError("no such link")
     return links.withColumn("resolution", F.when(match, F.lit(resolution)).otherwise(F.col("resolution")))
-
-
-def disposition_counts(merged: DataFrame) -> DataFrame:
-    return merged.where("disposition is not null").groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))

@@ -1,18 +1,17 @@
-"""Export of the nine datasets, and the store of ledgers and state tables, which never overwrites what is read."""
+"""Export of the nine datasets."""
 
 from __future__ import annotations
 
-import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from .. import schemas
-from ..operators import merge
 from ..sources.files import Files
+from .store import SnapshotStore
 from .views import Ledgers, daily_health, health_calendar, rolling_health, view, weekly_health
 
+__all__ = ["DATASETS", "SnapshotStore", "datasets", "export_datasets"]
+
 DATASETS = ("observations", "blood_pressure", "sleep", "workouts", "labs", "events", "daily", "weekly", "rolling")
 
 
@@ -53,91 +52,3 @@ def export_datasets(led: Ledgers, folder: str, *, kind: str = "parquet", names:
         files.rename(part, target)
         out[name] = f"{files.root}/{target}"
     return out
-
-
-class SnapshotStore:
-    """Ledgers and state tables as Parquet, cut into buckets by their natural key.
-
-    A manifest ``<table>/manifest-<n>.json`` says which version of every bucket is current.  A merge reads and rewrites only the
-    buckets that its rows fall into, beside the old ones, and becomes visible with the next manifest; two writers cannot both
-    create it, so one of them fails and changes nothing.  ``vacuum`` removes what no kept manifest names.  All files go through
-    Hadoop's client, so the root may lie in any store that Spark reaches.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, *, buckets: int = 64):
-        self.spark, self.buckets = spark, buckets
-        self.files = Files(spark, str(root))
-
-    def _manifests(self, table: str) -> list[str]:
-        return [n for n in self.files.names(table) if n.startswith("manifest-") and n.endswith(".json")]
-
-    def manifest(self, table: str) -> dict:
-        """version, buckets (their number) and parts (bucket -> folder)."""
-        have = self._manifests(table)
-        return json.loads(self.files.read(f"{table}/{have[-1]}")) if have else {"version": 0, "buckets": 1 if table in schemas.STATE else self.buckets, "parts": {}}
-
-    def version(self, table: str) -> int:
-        return self.manifest(table)["version"]
-
-    def read(self, table: str, only: list[int] | None = None) -> DataFrame:
-        """The table, or the rows of some buckets."""
-        m, schema = self.manifest(table), schemas.TABLES[table]
-        paths = [f"{self.files.root}/{table}/{folder}" for b, folder in m["parts"].items() if only is None or int(b) in only]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else schemas.empty(self.spark, schema)
-
-    def _commit(self, table: str, rows: DataFrame, m: dict, touched: list[int] | None) -> int:
-        n = m["version"] + 1
-        folder = f"v{n:08d}-{uuid.uuid4().hex[:8]}"
-        rows.withColumn("_b", self._bucket(table, m["buckets"])).write.partitionBy("_b").parquet(f"{self.files.root}/{table}/{folder}")
-        written = {int(x[3:]): f"{folder}/{x}" for x in self.files.names(f"{table}/{folder}") if x.startswith("_b=")}
-        kept = {} if touched is None else {int(b): f for b, f in m["parts"].items() if int(b) not in touched}
-        self.files.create(f"{table}/manifest-{n:08d}.json", json.dumps({"version": n, "buckets": m["buckets"], "parts": kept | written}))
-        return n
-
-    @staticmethod
-    def _bucket(table: str, buckets: int) -> Column:
-        return F.pmod(F.xxhash64(*schemas.KEYS[table]), F.lit(buckets)).cast("int")
-
-    def replace(self, table: str, rows: DataFrame) -> int:
-        """All rows anew, in one step that is seen whole or not at all."""
-        return self._commit(table, schemas.conform(rows, schemas.TABLES[table]), self.manifest(table), None)
-
-    def upsert(self, table: str, rows: DataFrame) -> int:
-        """Rows of a state table replace those of their keys."""
-        return self.replace(table, merge.upsert_latest(self.read(table), schemas.conform(rows, schemas.TABLES[table]), schemas.KEYS[table]))
-
-    def merge(self, ledger: str, incoming: DataFrame, run_id: str | None = None) -> dict[str, int]:
-        """Validate, merge by the natural key, write the buckets concerned; every incoming row counts, earlier copies too."""
-        rows = schemas.conform(incoming, schemas.LEDGERS[ledger]).withColumn("ingestion_run_id", F.lit(run_id).cast("string"))
-        valid, rejected = schemas.validate(rows, ledger)
-        m, keys = self.manifest(ledger), schemas.KEYS[ledger]
-        placed = valid.withColumns({"_position": F.monotonically_increasing_id(), "_b": self._bucket(ledger, m["buckets"])}).persist()
-        try:
-            touched = [r["_b"] for r in placed.select("_b").distinct().collect()]  # at most the number of buckets
-            counts = dict.fromkeys((merge.INSERTED, merge.UPDATED, merge.DUPLICATE), 0)
-            if touched:
-                watch = Observation()
-                merged = merge.merge_batch(self.read(ledger, touched), placed.drop("_b"), keys, schemas.semantic_columns(ledger), "_position")
-                seen = merged.observe(watch, *[F.sum(f"_{k}").alias(k) for k in counts])
-                self._commit(ledger, seen.drop(*[f"_{k}" for k in counts]), m, touched)
-                counts = {k: int(watch.get[k] or 0) for k in counts}
-            return counts | {"rejected": rejected.count()}
-        finally:
-            placed.unpersist()
-
-    def vacuum(self, table: str, keep: int = 2) -> list[str]:
-        """Removes version folders that none of the newest ``keep`` manifests names, and the older manifests."""
-        have = self._manifests(table)
-        named = {f.split("/")[0] for n in have[-keep:] for f in json.loads(self.files.read(f"{table}/{n}"))["parts"].values()}
-        gone = [n for n in self.files.names(table) if (n.startswith("v") and n not in named) or n in have[:-keep]]
-        for n in gone:
-            self.files.delete(f"{table}/{n}")
-        return gone
-
-    def ledgers(self, priorities: DataFrame | None = None, disabled: tuple[str, ...] | None = None) -> Ledgers:
-        """The ledgers with the stored priorities and disabled sources, unless others are given."""
-        if priorities is None:
-            priorities = self.read("source_priorities")
-        if disabled is None:
-            disabled = tuple(r["name"] for r in self.read("sources").where("enabled = false").select("name").collect())  # a short list
-        return Ledgers(self.spark, {k: self.read(k) for k in schemas.LEDGERS}, priorities, disabled)

@@ -92,9 +92,9 @@ def daily_source_selected(spark, sf_dir):
     return best.groupBy("local_date").agg(r6(last, "click"), r6(F.avg(of("view")), "view"), r6(F.sum(of("purchase")), "purchase"), F.count(F.lit(1)).alias("records"))
 
 
-@query("SELECT event_type AS source, max_run.event_id AS run_id, max_run.ts AS started_at, status FROM (SELECT event_type, arg_max(struct_pack(event_id := event_id, ts := ts), struct_pack(t := ts, i := CAST(event_id AS VARCHAR))) AS max_run, 'succeeded' AS status FROM events WHERE value > 20 GROUP BY event_type)")
+@query("SELECT event_type AS source, max_run.event_id AS run_id, max_run.ts AS started_at, status FROM (SELECT event_type, arg_max(struct_pack(event_id := event_id, ts := ts), struct_pack(t := ts, i := CAST(event_id AS VARCHAR))) AS max_run, 'succeeded' AS status FROM events GROUP BY event_type)")
 def run_audit(spark, sf_dir):
-    e = load(spark, sf_dir, "events").where("value > 20")
+    e = load(spark, sf_dir, "events")
     at = F.col("ts").cast("timestamp")
     runs = e.select(F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("run_id"), F.lit("succeeded").alias("status"), at.alias("started_at"), at.alias("finished_at"), F.lit(1).cast("bigint").alias("normalized_count"))
     last = reports.latest_runs(runs, F.lit("2024-03-01").cast("timestamp"))
@@ -104,8 +104,8 @@ def run_audit(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderstatus, CAST(n - 1 AS BIGINT) AS earlier FROM (SELECT o_custkey % 500 AS o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey % 500 ORDER BY o_orderkey DESC) AS k, count(*) OVER (PARTITION BY o_custkey % 500) AS n FROM orders) WHERE k = 1")
 def batch_last_wins(spark, sf_dir):
     o = load(spark, sf_dir, "orders").select((F.col("o_custkey") % 500).alias("key"), "o_orderkey", "o_orderstatus")
-    last = merge.last_of_batch(o, ["key"], "o_orderkey")
-    return last.select(F.col("key").alias("o_orderkey"), "o_orderstatus", F.col("_earlier").alias("earlier"))
+    last = merge.merge_changes(o.where("false"), o, ["key"], ["o_orderstatus"], "o_orderkey")
+    return last.select(F.col("key").alias("o_orderkey"), "o_orderstatus", (F.col("_inserted") + F.col("_updated") + F.col("_duplicate") - 1).alias("earlier"))
 
 
 @query("SELECT metric, source, min(local_date) AS first_date, count(DISTINCT local_date) AS days FROM (SELECT event_type AS metric, 's' || CAST(user_id % 3 AS VARCHAR) AS source, CAST(ts AS DATE) AS local_date FROM events) GROUP BY metric, source")

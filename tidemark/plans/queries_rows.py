@@ -186,14 +186,17 @@ FROM new n LEFT JOIN old o USING (o_orderkey)"""
 def merge_dispositions(spark, sf_dir):
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     new = o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus")))
-    return merge.merge_snapshot(o.where("o_orderkey % 5 <> 0"), new, ["o_orderkey"], ["o_orderstatus", "o_totalprice"]).select("o_orderkey", "disposition", "o_orderstatus")
+    merged = merge.merge_changes(o.where("o_orderkey % 5 <> 0"), new, ["o_orderkey"], ["o_orderstatus", "o_totalprice"], "o_orderkey")
+    return merged.select("o_orderkey", merge.disposition().alias("disposition"), "o_orderstatus")
 
 
 @query("SELECT disposition, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'inserted' WHEN o_orderkey % 3 = 0 AND o_orderstatus <> 'X' THEN 'updated' ELSE 'duplicate' END AS disposition FROM orders) GROUP BY disposition")
 def merge_counters(spark, sf_dir):
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     new = o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus")))
-    return merge.disposition_counts(merge.merge_snapshot(o.where("o_orderkey % 5 <> 0"), new, ["o_orderkey"], ["o_orderstatus"]))
+    merged = merge.merge_changes(o.where("o_orderkey % 5 <> 0"), new, ["o_orderkey"], ["o_orderstatus"], "o_orderkey")
+    counts = merged.agg(*[F.sum(f"_{k}").alias(k) for k in (merge.INSERTED, merge.UPDATED, merge.DUPLICATE)])
+    return counts.unpivot([], list(counts.columns), "disposition", "n").where("n > 0")
 
 
 @query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -13,25 +12,26 @@ from .. import schemas
 from ..sources import apple_health, labs, oura, raw_store, withings
 from ..sources.paged_api import PagedApi
 from . import state
-from .export import SnapshotStore
+from .store import SnapshotStore
 from .state import sync_window
 
 __all__ = ["ROUTES", "CONNECTORS", "ingest", "normalize", "rebuild", "sync", "sync_window"]
 
 #: Fixed order of the routes in a rebuild.
 ROUTES = ("withings_api", "withings_export", "oura", "apple_health", "labs")
+#: Routes whose artifacts are pages of an API.
+PAGED = ("withings_api", "oura")
 
 
 def normalize(spark: SparkSession, route: str, path, *, zone: str, endpoint: str = "", biomarkers: dict[str, list[str]] | None = None, staging: str | None = None) -> dict[str, DataFrame]:
-    """``path``: one path, or for the two API routes a list of them (all pages of one endpoint in one read)."""
-    if route == "withings_api":
-        return withings.normalize_api(spark, path)
+    """Ledger -> rows.  ``path``: one path or a list of them; for the two API routes also a frame of pages (path, content)."""
+    if route in ("withings_api", "oura"):
+        pages = path if isinstance(path, DataFrame) else raw_store.read_pages(spark, path)
+        return withings.normalize_api(pages) if route == "withings_api" else oura.normalize(pages, endpoint.rstrip("/").rsplit("/", 1)[-1], zone)
     if route == "withings_export":
         return withings.normalize_export(spark, path, zone, staging)
-    if route == "oura":
-        return oura.normalize(spark, path, endpoint.rstrip("/").rsplit("/", 1)[-1], zone)
     if route == "apple_health":
-        return apple_health.normalize(spark, path)
+        return apple_health.normalize(spark, path, staging)
     if route == "labs":
         return labs.normalize(spark, path, biomarkers or {}, zone)
     raise ValueError(f"no such route: {route}")
@@ -70,10 +70,30 @@ CONNECTORS = {
 }
 
 
+def fetch_options(e: Endpoint, source: str, base_url: str, raw_root: str, headers: dict[str, str] | None) -> dict[str, str]:
+    """Options of the paged data source for one collection; its tasks save the pages below ``raw_root``."""
+    return e.options | {"url": f"{base_url.rstrip('/')}/{e.path}", "raw_root": raw_root, "raw_source": source, "raw_endpoint": e.path} | {f"header_{k}": v for k, v in (headers or {}).items()}
+
+
+def route_of_source(source: str) -> str:
+    return "oura" if source == "oura" else "withings_api"
+
+
+def merge_fetched(run: state.Run, raw_root: str, source: str, endpoint: str, fetched: list, zone: str, batch: tuple[str, int] | None = None) -> None:
+    """Merges the pages that tasks have saved (path and status of each); a refused one is an error, the others stay saved."""
+    refused = [r for r in fetched if not 200 <= r["http_status"] < 300]
+    if refused:
+        raise OSError(f"{len(refused)} refused pages of {endpoint}")
+    if fetched:
+        pages = raw_store.read_pages(run.store.spark, [f"{raw_root.rstrip('/')}/{r['raw_path']}" for r in fetched])
+        run.merge(normalize(run.store.spark, route_of_source(source), pages, zone=zone, endpoint=endpoint), len(fetched), batch)
+
+
 def sync(store: SnapshotStore, raw_root: str, source: str, base_url: str, *, zone: str, headers: dict[str, str] | None = None, now: datetime | None = None) -> dict:
     """Fetch the next window of every collection, keep each page raw as it came, then normalize and merge it.
 
-    Only a run that succeeded as a whole moves the watermark, so a window that failed is fetched again.
+    Tasks fetch and save the pages; the driver gets the path and the status of each.  Only a run that succeeded as a whole moves
+    the watermark, so a window that failed is fetched again.
     """
     spark = store.spark
     spark.dataSource.register(PagedApi)
@@ -81,52 +101,39 @@ def sync(store: SnapshotStore, raw_root: str, source: str, base_url: str, *, zon
     state.ensure_source(store, source, "api")
     with state.Run(store, source, start, end) as run:
         for e in CONNECTORS[source]:
-            options = e.options | {"url": f"{base_url.rstrip('/')}/{e.path}", "start": start.date().isoformat(), "end": end.date().isoformat()} | {f"header_{k}": v for k, v in (headers or {}).items()}
-            paths, refused = [], []
-            for page in spark.read.format("paged_api").options(**options).load().toLocalIterator():  # a page at a time
-                saved = raw_store.save(raw_root, source, e.path, bytes(page["content"]), http_status=page["http_status"], request_metadata={"start": page["start"], "end": page["end"], "page": page["page"]})
-                (paths if 200 <= page["http_status"] < 300 else refused).append(f"{raw_root}/{saved}")
-            if refused:
-                raise OSError(f"{len(refused)} refused pages of {e.path}")
-            if paths:
-                route = "oura" if source == "oura" else "withings_api"
-                run.merge(normalize(spark, route, paths, zone=zone, endpoint=e.path), len(paths))
+            options = fetch_options(e, source, base_url, raw_root, headers) | {"start": start.date().isoformat(), "end": end.date().isoformat()}
+            fetched = spark.read.format("paged_api").options(**options).load().select("raw_path", "http_status").collect()  # a path a page
+            merge_fetched(run, raw_root, source, e.path, fetched, zone)
     return run.counts | {"run_id": run.id}
 
 
 # ---------------------------------------------------------------- rebuild
 
 
-def route_of(source: str, endpoint: str, content_type: str) -> str:
-    if source == "withings":
-        return "withings_export" if "csv" in content_type else "withings_api"
-    return source
-
-
-def _batches(artifacts: list) -> Iterator[tuple[str, str, str, list[str]]]:
-    """(route, source, endpoint, paths in order): all pages of an API's endpoint together, files one by one."""
-    for route in ROUTES:
-        together: dict[tuple[str, str], list[str]] = {}
-        for a in artifacts:
-            if route_of(a["source"], a["endpoint"], a["content_type"]) == route:
-                key = (a["source"], a["endpoint"]) if route in ("withings_api", "oura") else (a["source"], a["path"])
-                together.setdefault(key, []).append(a["path"])
-        for (source, endpoint), paths in together.items():
-            yield route, source, endpoint, paths
-
-
-def rebuild(spark: SparkSession, raw_root: str, target: str, *, zone: str, biomarkers: dict[str, list[str]] | None = None) -> SnapshotStore:
+def rebuild(spark: SparkSession, raw_root: str, target: str, *, zone: str, biomarkers: dict[str, list[str]] | None = None, staging: str | None = None) -> SnapshotStore:
     """A fresh store from every verified artifact, in fixed order; ``target`` must not hold one yet.
 
-    The pages of an endpoint are one read and one merge, in which the later page of a key wins, as when merged in turn.
+    The pages of an endpoint are one read and one merge, in which the later page of a key wins, as when merged in turn; their
+    bytes go from the verified read to the normalizer, and only the names of the endpoints come to the driver.  Imported files
+    are verified before any of them is read, and then read one by one.  An altered artifact is an error, whatever it holds.
     """
     store = SnapshotStore(spark, target)
     if any(store.version(k) for k in schemas.LEDGERS):
         raise FileExistsError(target)
-    artifacts = raw_store.verified(spark, raw_root).where(F.col("http_status").between(200, 299)).select("path", "source", "endpoint", "content_type").orderBy("path").collect()  # one small row per artifact
-    for route, source, endpoint, paths in _batches(artifacts):
-        if route in ("withings_api", "oura"):
-            ingest(store, normalize(spark, route, paths, zone=zone, endpoint=endpoint), source, kind="api", raw=len(paths))
-        else:
-            ingest(store, normalize(spark, route, paths[0], zone=zone, biomarkers=biomarkers), source)
+    artifacts = raw_store.verified(spark, raw_root).where(F.col("http_status").between(200, 299))
+    route = F.when((F.col("source") == "withings") & F.col("content_type").contains("csv"), "withings_export").when(F.col("source") == "withings", "withings_api").otherwise(F.col("source"))
+    artifacts = artifacts.withColumn("route", route)
+    paged = F.col("route").isin(*PAGED)
+    found = raw_store.listing(spark, raw_root).where(F.col("http_status").between(200, 299)).withColumn("route", route)
+    groups = {r: [] for r in PAGED}
+    for g in found.where(paged).groupBy("route", "source", "endpoint").count().orderBy("source", "endpoint").collect():  # a row an endpoint
+        groups[g["route"]].append(g)
+    files = artifacts.where(~paged).select("route", "source", "path").orderBy("path").collect()  # a path an imported file
+    for r in ROUTES:
+        for g in groups.get(r, ()):
+            pages = artifacts.where((F.col("route") == r) & (F.col("source") == g["source"]) & F.col("endpoint").eqNullSafe(g["endpoint"])).select("path", "content")
+            ingest(store, normalize(spark, r, pages, zone=zone, endpoint=g["endpoint"]), g["source"], kind="api", raw=g["count"])
+        for f in files:
+            if f["route"] == r:
+                ingest(store, normalize(spark, r, f["path"], zone=zone, biomarkers=biomarkers, staging=staging), f["source"])
     return store

@@ -12,7 +12,7 @@ from .. import schemas
 from ..functions import scalar
 from ..operators import merge
 from . import duplicates
-from .export import SnapshotStore
+from .store import SnapshotStore
 
 SOURCE_TYPES = ("api", "import", "manual")
 
@@ -25,7 +25,7 @@ def ensure_source(store: SnapshotStore, name: str, kind: str = "import") -> str:
     stored = store.read("sources")
     new = merge.insert_missing(stored, schemas.conform(given, schemas.SOURCES), ["name"])
     if not new.isEmpty():
-        store.replace("sources", stored.unionByName(new))
+        store.upsert("sources", new)
     return store.read("sources").where(F.col("name") == name).first()["source_id"]
 
 
@@ -42,30 +42,43 @@ def ensure_devices(store: SnapshotStore, rows: DataFrame) -> None:
     stored = store.read("devices")
     new = merge.insert_missing(stored, schemas.conform(named, schemas.DEVICES), schemas.KEYS["devices"])
     if not new.isEmpty():
-        store.replace("devices", stored.unionByName(new))
+        store.upsert("devices", new)
+
+
+#: Manifests of the run table and of the ledgers that are kept after a run, for readers that began before it.
+KEPT_VERSIONS = 4
 
 
 class Run:
-    """The audit row of one import: stored as running, then as succeeded or failed with its counts."""
+    """The audit row of one import: stored as running, then as succeeded or failed with its counts.
+
+    The end of a run that succeeded and the watermark of its window are one commit, so neither is seen without the other.
+    ``id`` may be given, so that a run which is made again after a crash replaces its own row.
+    """
 
-    def __init__(self, store: SnapshotStore, source: str, start: datetime | None = None, end: datetime | None = None):
+    def __init__(self, store: SnapshotStore, source: str, start: datetime | None = None, end: datetime | None = None, *, id: str | None = None):
         self.store, self.source, self.start, self.end = store, source, start, end
-        self.id, self.began, self.raw = uuid.uuid4().hex, datetime.now(UTC), 0
+        self.id, self.began, self.raw = id or uuid.uuid4().hex, datetime.now(UTC), 0
         self.counts = dict.fromkeys(("inserted", "updated", "duplicate", "rejected"), 0)
+        self.ledgers: set[str] = set()
         self._save("running")
 
-    def _save(self, status: str, error: str | None = None) -> None:
+    def _row(self, status: str, error: str | None = None) -> DataFrame:
         c = self.counts
         done = c["inserted"] + c["updated"] + c["duplicate"]
         row = (self.id, self.source, status, self.start, self.end, self.began, None if status == "running" else datetime.now(UTC), self.raw, done, c["inserted"], c["updated"], c["duplicate"], c["rejected"], error)
-        self.store.upsert("ingestion_runs", self.store.spark.createDataFrame([row], schemas.INGESTION_RUNS))
+        return self.store.spark.createDataFrame([row], schemas.INGESTION_RUNS)
+
+    def _save(self, status: str, error: str | None = None) -> None:
+        self.store.upsert("ingestion_runs", self._row(status, error))
 
-    def merge(self, normalized: dict[str, DataFrame], raw: int = 1) -> None:
+    def merge(self, normalized: dict[str, DataFrame], raw: int = 1, batch: tuple[str, int] | None = None) -> None:
         """The counts are stored after every ledger, so a run that breaks off tells how far it came."""
         self.raw += raw
         for ledger, rows in normalized.items():
-            for k, n in self.store.merge(ledger, rows, self.id).items():
+            for k, n in self.store.merge(ledger, rows, self.id, batch).items():
                 self.counts[k] += n
+            self.ledgers.add(ledger)
             self._save("running")
             if "device_id" in rows.columns:
                 ensure_devices(self.store, rows)
@@ -77,14 +90,28 @@ class Run:
         if error is not None:
             self._save("failed", f"{kind.__name__}: {error}"[:4000])
             return
-        self._save("succeeded")
+        rows = {"ingestion_runs": self._row("succeeded")}
         if self.end is not None:  # only a run that succeeded moves the watermark
-            self.store.upsert("sync_state", self.store.spark.createDataFrame([(self.source, self.end, self.id)], schemas.SYNC_STATE))
+            rows["sync_state"] = self.store.spark.createDataFrame([(self.source, self.end, self.id)], schemas.SYNC_STATE)
+        self.store.upsert_together(rows)
+        for table in ("ingestion_runs", *self.ledgers):
+            self.store.vacuum(table, KEPT_VERSIONS)
+
+
+def instant(row, name: str) -> datetime | None:
+    """A timestamp of a row that was collected with its microseconds, aware and in UTC whatever the driver's zone."""
+    micros = row[f"{name}_us"]
+    return None if micros is None else datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=micros)
+
+
+def with_instants(df: DataFrame, *names: str) -> DataFrame:
+    """Timestamps beside their microseconds: collected timestamps are naive in the zone of the driver's machine."""
+    return df.withColumns({f"{n}_us": F.unix_micros(n) for n in names})
 
 
 def last_end(store: SnapshotStore, source: str) -> datetime | None:
-    row = store.read("sync_state").where(F.col("source") == source).first()
-    return row["last_successful_end"].replace(tzinfo=UTC) if row else None
+    row = with_instants(store.read("sync_state").where(F.col("source") == source), "last_successful_end").first()
+    return instant(row, "last_successful_end") if row else None
 
 
 def sync_window(last: datetime | None, now: datetime, *, first_days: int = 7, overlap_hours: int = 72) -> tuple[datetime, datetime]:
@@ -94,11 +121,13 @@ def sync_window(last: datetime | None, now: datetime, *, first_days: int = 7, ov
 
 def sync_status(store: SnapshotStore, source: str) -> dict:
     """The newest run of a source with the end of the last good window; ``never-synced`` without a run."""
-    runs = store.read("ingestion_runs").where(F.col("source") == source).orderBy(F.desc("started_at"), F.desc("run_id")).limit(1).collect()
+    times = ("requested_start", "requested_end", "started_at", "finished_at")
+    runs = with_instants(store.read("ingestion_runs").where(F.col("source") == source), *times).orderBy(F.desc("started_at"), F.desc("run_id")).limit(1).collect()
     if not runs:
         return {"source": source, "state": "never-synced", "ok": True}
-    r = runs[0].asDict()
-    return {"source": source, "state": r["status"], "ok": r["status"] != "failed", "last_successful_end": last_end(store, source), "error": (r["error"] or "none").partition(":")[0], **{k: r[k] for k in ("run_id", "requested_start", "requested_end", "started_at", "finished_at", "raw_count", "normalized_count", "inserted_count", "updated_count", "duplicate_count", "rejected_count")}}
+    r = runs[0]
+    counts = {k: r[k] for k in ("run_id", "raw_count", "normalized_count", "inserted_count", "updated_count", "duplicate_count", "rejected_count")}
+    return {"source": source, "state": r["status"], "ok": r["status"] != "failed", "last_successful_end": last_end(store, source), "error": (r["error"] or "none").partition(":")[0], **{t: instant(r, t) for t in times}, **counts}
 
 
 def set_priorities(store: SnapshotStore, rows: DataFrame) -> None:

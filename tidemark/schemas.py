@@ -48,9 +48,26 @@ def semantic_columns(ledger: str) -> list[str]:
     return [c for c in LEDGERS[ledger].names if c not in KEYS[ledger] and c not in TECHNICAL]
 
 
+#: Where a row stood in what was read: its file, its element in the file, its part of the element.  Later ones win in a merge.
+POSITION = "_position"
+POSITION_TYPE = "struct<file: string, element: bigint, part: int>"
+
+
+def position(file: Column, element: Column, part: Column | int = 0) -> Column:
+    return F.struct(file.cast("string").alias("file"), element.cast("bigint").alias("element"), (F.lit(part) if isinstance(part, int) else part).cast("int").alias("part")).alias(POSITION)
+
+
+def placed(df: DataFrame, part: Column | None = None) -> list[Column]:
+    """The position column of a frame that has one, to be selected beside others; ``part`` tells apart rows made of one element."""
+    if POSITION not in df.columns:
+        return []
+    at = F.col(POSITION)
+    return [at if part is None else position(at["file"], at["element"], part)]
+
+
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
-    """The schema's columns in order, missing ones as typed nulls."""
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    """The schema's columns in order, missing ones as typed nulls, and the position of the row if it has one."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema], *placed(df))
 
 
 def empty(spark: SparkSession, schema: StructType) -> DataFrame:
@@ -74,9 +91,14 @@ def _reasons(ledger: str) -> list[tuple[Column, str]]:
     return [(c("event_type").isNull(), "event_type"), (c("started_at").isNull(), "started_at"), (c("ended_at") < c("started_at"), "ended_at")]
 
 
-def validate(df: DataFrame, ledger: str) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejected rows with their reasons)."""
+def judge(df: DataFrame, ledger: str) -> DataFrame:
+    """Rows with ``reasons``: what is wrong with each, empty if it is valid."""
     shared = [(F.col("source").isNull(), "source"), (F.col("source_record_id").isNull(), "source_record_id")]
     reasons = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for bad, name in [*shared, *_reasons(ledger)]]))
-    judged = df.withColumn("reasons", reasons)
+    return df.withColumn("reasons", reasons)
+
+
+def validate(df: DataFrame, ledger: str) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, rejected rows with their reasons)."""
+    judged = judge(df, ledger)
     return judged.where(F.size("reasons") == 0).drop("reasons"), judged.where(F.size("reasons") > 0)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse, scalar
-from ..schemas import BLOOD_PRESSURE, OBSERVATION, SLEEP_SESSION, WORKOUT, conform
+from ..schemas import BLOOD_PRESSURE, OBSERVATION, POSITION, SLEEP_SESSION, WORKOUT, conform, placed, position
+from .archives import unpack
 
 SOURCE, VERSION = "apple_health", "apple-health-v1"
 MAX_BYTES, MAX_ENTRIES = 8 << 30, 10_000
@@ -40,31 +38,20 @@ ACTIVITIES = [("traditionalstrengthtraining", "resistance"), ("functionalstrengt
 _PREFIX, _SLEEP, _BP = "HKQuantityTypeIdentifier", "HKCategoryTypeIdentifierSleepAnalysis", "HKQuantityTypeIdentifierBloodPressure"
 
 
-def stage_zip(path: str, target: str) -> str:
-    """Unpack the single export.xml of an archive into the shared folder ``target`` (Spark has no ZIP codec)."""
-    with zipfile.ZipFile(path) as z:
-        infos = z.infolist()
-        if len(infos) > MAX_ENTRIES:
-            raise ValueError("too many entries")
-        found = [i for i in infos if Path(i.filename).name == "export.xml"]
-        if len(found) != 1:
-            raise ValueError("exactly one export.xml is needed")
-        if found[0].flag_bits & 1 or found[0].file_size > MAX_BYTES:
-            raise ValueError("encrypted or oversized export.xml")
-        out = Path(target) / "export.xml"
-        out.parent.mkdir(parents=True, exist_ok=True)
-        with z.open(found[0]) as src, out.open("wb") as dst:
-            while chunk := src.read(1 << 20):
-                dst.write(chunk)
-    return str(out)
-
-
-def read_xml(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """Elements of one tag; the reader splits large files."""
+def stage_zips(spark: SparkSession, archives: list[str], staging: str) -> list[str]:
+    """The export.xml of each archive, unpacked by tasks into a folder that all executors share."""
+    found = unpack(spark, archives, staging, "(^|/)export\\.xml$", most_entries=MAX_ENTRIES, most_bytes=MAX_BYTES, exactly=1)
+    return [r["path"] for r in found]
+
+
+def read_xml(spark: SparkSession, path: str | list[str], tag: str) -> DataFrame:
+    """Elements of one tag with their position; the reader splits large files."""
     names = RECORD_ATTRIBUTES if tag == "Record" else WORKOUT_ATTRIBUTES
     schema = ", ".join(f"_{n} string" for n in names) + ", " + _META
     raw = spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_").option("mode", "FAILFAST").schema(schema).load(path)
-    return raw.select(*[F.col(f"_{n}").alias(n) for n in names], F.col("MetadataEntry").alias("entries"))
+    # splits of a file come to tasks by size, not in order, so an element's place is its split and its number there
+    place = F.col("_metadata.file_block_start") * F.lit(1 << 20) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return raw.select(*[F.col(f"_{n}").alias(n) for n in names], F.col("MetadataEntry").alias("entries"), position(F.col("_metadata.file_path"), place))
 
 
 def _identity(kind: str, names: tuple[str, ...]) -> Column:
@@ -108,6 +95,7 @@ def observations(records: DataFrame) -> DataFrame:
         parse.offset_date(F.col("startDate")).alias("local_date"),
         _identity("record", RECORD_ATTRIBUTES).alias("source_record_id"),
         *_provenance(),
+        *placed(rows),
     )
     return conform(out, OBSERVATION)
 
@@ -132,20 +120,23 @@ def sleep_sessions(records: DataFrame) -> DataFrame:
         "stage",
         _identity("sleep", RECORD_ATTRIBUTES).alias("source_record_id"),
         *_provenance(),
+        *placed(rows),
     )
     return conform(out, SLEEP_SESSION)
 
 
 def blood_pressure(records: DataFrame) -> DataFrame:
     """Systolic and diastolic records of one source, start and end are a pair; repeats pair in file order, leftovers are an error."""
-    rows = records.where(F.col("type").isin(f"{_BP}Systolic", f"{_BP}Diastolic")).withColumns({"part": F.substring_index("type", _BP, -1), "_at": F.monotonically_increasing_id()})
+    rows = records.where(F.col("type").isin(f"{_BP}Systolic", f"{_BP}Diastolic")).withColumns({"part": F.substring_index("type", _BP, -1)})
+    if POSITION not in rows.columns:
+        rows = rows.withColumn(POSITION, position(F.lit(None), F.monotonically_increasing_id()))
     keys = ["sourceName", "startDate", "endDate"]
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("_at")))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "part").orderBy(POSITION)))
     rows = rows.withColumns({"identity": _identity("blood-pressure-correlation", RECORD_ATTRIBUTES), "number": parse.number(F.col("value"))})
     rows = rows.select("*", *[c.alias(n) for c, n in zip(_provenance(), ("p_source", "p_device", "p_version", "p_metadata"), strict=True)])
     top = F.col("part") == "Systolic"
     pick = lambda c, which: F.max(F.when(which, F.col(c)))
-    pairs = rows.groupBy(*keys, "_k").agg(pick("number", top).alias("s"), pick("number", ~top).alias("d"), pick("identity", top).alias("id"), pick("p_device", top).alias("device_id"), pick("p_metadata", top).alias("metadata"))
+    pairs = rows.groupBy(*keys, "_k").agg(pick("number", top).alias("s"), pick("number", ~top).alias("d"), pick("identity", top).alias("id"), pick("p_device", top).alias("device_id"), pick("p_metadata", top).alias("metadata"), F.max(POSITION).alias(POSITION))
     complete = F.col("s").isNotNull() & F.col("d").isNotNull()
     out = pairs.select(
         parse.instant(F.col("startDate")).alias("measured_at"),
@@ -159,6 +150,7 @@ def blood_pressure(records: DataFrame) -> DataFrame:
         "device_id",
         F.lit(VERSION).alias("transform_version"),
         "metadata",
+        POSITION,
     )
     return conform(out, BLOOD_PRESSURE)
 
@@ -177,11 +169,18 @@ def workouts(elements: DataFrame) -> DataFrame:
         parse.number(F.col("totalEnergyBurned")).alias("energy_kcal"),
         _identity("workout", WORKOUT_ATTRIBUTES).alias("source_record_id"),
         *_provenance(),
+        *placed(rows),
     )
     return conform(out, WORKOUT)
 
 
-def normalize(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Ledger name -> rows, from an export.xml; its records are parsed once and kept for the three ledgers made from them."""
-    records = read_xml(spark, path, "Record").persist(StorageLevel.DISK_ONLY)
-    return {"observations": observations(records), "sleep_sessions": sleep_sessions(records), "blood_pressure": blood_pressure(records), "workouts": workouts(read_xml(spark, path, "Workout"))}
+def normalize(spark: SparkSession, path: str | list[str], staging: str | None = None) -> dict[str, DataFrame]:
+    """Ledger name -> rows, from one or more export.xml, or archives of one each (unpacked by tasks into ``staging``); records are
+    parsed once and kept for the three ledgers made from them."""
+    paths = [path] if isinstance(path, str) else path
+    archives = [p for p in paths if p.lower().endswith(".zip")]
+    if archives and not staging:
+        raise ValueError("an archive needs a folder to unpack into")
+    files = [p for p in paths if p not in archives] + (stage_zips(spark, archives, staging) if archives else [])
+    records = read_xml(spark, files, "Record").persist(StorageLevel.DISK_ONLY)
+    return {"observations": observations(records), "sleep_sessions": sleep_sessions(records), "blood_pressure": blood_pressure(records), "workouts": workouts(read_xml(spark, files, "Workout"))}

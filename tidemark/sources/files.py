@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -33,14 +35,41 @@ class Files:
             stream.close()
 
     def create(self, name: str, content: str | bytes) -> None:
-        """A new file, whole or not at all; an existing one is an error, never replaced."""
+        """A new file, whole or not at all; an existing one is an error, never replaced.
+
+        The content goes to a file of its own first.  On a local file system that file is then linked under its name, elsewhere
+        it is renamed without overwriting: of two writers one fails, wherever the store itself renames in one step (HDFS does).
+        """
         temporary = self.at(f"{name}.{uuid.uuid4().hex}.tmp")
         stream = self._fs.create(temporary, False)
         stream.write(content.encode() if isinstance(content, str) else content)
         stream.close()
-        if self.exists(name) or not self._fs.rename(temporary, self.at(name)):
+        try:
+            self._publish(temporary, self.at(name))
+        except Py4JJavaError as e:
+            if "Exist" in e.java_exception.getClass().getName():
+                raise FileExistsError(f"{self.root}/{name}") from e
+            raise
+        finally:
             self._fs.delete(temporary, False)
-            raise FileExistsError(f"{self.root}/{name}")
+
+    def _publish(self, temporary, target) -> None:
+        jvm = self.spark.sparkContext._jvm
+        if self._fs.getScheme() == "file":
+            plain = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(plain(target), plain(temporary))
+        else:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+            none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            context.rename(self._fs.makeQualified(temporary), self._fs.makeQualified(target), none)
+
+    def size(self, name: str) -> int:
+        """Bytes of a file, or of all files of a folder."""
+        return self._fs.getContentSummary(self.at(name)).getLength()
+
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder was changed."""
+        return time.time() - self._fs.getFileStatus(self.at(name)).getModificationTime() / 1000
 
     def rename(self, old: str, new: str) -> None:
         if self.exists(new) or not self._fs.rename(self.at(old), self.at(new)):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse, scalar
-from ..schemas import EVENT, OBSERVATION, SLEEP_SESSION, WORKOUT, conform
+from ..schemas import EVENT, OBSERVATION, POSITION, SLEEP_SESSION, WORKOUT, conform, placed, position
+from .raw_store import parsed
 
 SOURCE, VERSION = "oura", "oura-v1"
 # Fields of each endpoint, and (field, metric, unit, factor, least, most plausible) of daily documents.
@@ -42,20 +43,25 @@ WORKOUTS = {
 }
 
 
-def read_collection(spark: SparkSession, path, endpoint: str) -> DataFrame:
-    """The documents of an endpoint's pages."""
+def read_collection(pages: DataFrame, endpoint: str) -> DataFrame:
+    """The documents of an endpoint's pages (path, content), in their order."""
     kind = ", ".join(f"`{n}`: {t}" for n, t in (f.split() for f in FIELDS[endpoint].split(", ")))
-    pages = spark.read.schema(f"data array<struct<{kind}>>, next_token string").option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return pages.select(F.explode("data").alias("d")).select("d.*")
+    read = parsed(pages, f"data array<struct<{kind}>>, next_token string")
+    each = read.select(F.posexplode("_page.data").alias("_i", "d"), *placed(read))
+    return each.select("d.*", position(F.col(POSITION)["file"], F.col("_i")))
+
+
+def _record(df: DataFrame) -> Column:
+    return F.struct(*[c for c in df.columns if c != POSITION])
 
 
 def _id(df: DataFrame, kind: str) -> Column:
-    digest = F.substring(F.sha2(F.to_json(F.struct(*df.columns)), 256), 1, 32)
+    digest = F.substring(F.sha2(F.to_json(_record(df)), 256), 1, 32)
     return F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit(f"missing-id:{kind}:"), digest))
 
 
 def _common(df: DataFrame, kind: str) -> list[Column]:
-    return [F.lit(SOURCE).alias("source"), _id(df, kind).alias("source_record_id"), F.lit(VERSION).alias("transform_version"), F.to_json(F.struct(F.struct(F.lit(kind).alias("endpoint"), F.struct(*df.columns).alias("record")).alias("oura"))).alias("metadata")]
+    return [F.lit(SOURCE).alias("source"), _id(df, kind).alias("source_record_id"), F.lit(VERSION).alias("transform_version"), F.to_json(F.struct(F.struct(F.lit(kind).alias("endpoint"), _record(df).alias("record")).alias("oura"))).alias("metadata"), *placed(df)]
 
 
 def sleep(docs: DataFrame) -> DataFrame:
@@ -99,7 +105,7 @@ def heart_rate(docs: DataFrame, zone: str) -> DataFrame:
     iso = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
     key = F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("heart-rate:"), iso, F.lit(":"), F.coalesce("source", F.lit("None"))))
     rows = docs.where("bpm is not null")
-    out = rows.select(F.lit("heart_rate_bpm").alias("metric"), at.alias("observed_at"), F.col("bpm").alias("value"), F.lit("bpm").alias("unit"), F.lit("bpm").alias("original_metric"), F.col("bpm").alias("original_value"), F.lit("bpm").alias("original_unit"), F.when(F.col("bpm").between(25, 250), "valid").otherwise("suspect").alias("quality"), F.lit(zone).alias("timezone"), scalar.local_date(at, zone).alias("local_date"), F.lit(SOURCE).alias("source"), key.alias("source_record_id"), F.lit(VERSION).alias("transform_version"))
+    out = rows.select(F.lit("heart_rate_bpm").alias("metric"), at.alias("observed_at"), F.col("bpm").alias("value"), F.lit("bpm").alias("unit"), F.lit("bpm").alias("original_metric"), F.col("bpm").alias("original_value"), F.lit("bpm").alias("original_unit"), F.when(F.col("bpm").between(25, 250), "valid").otherwise("suspect").alias("quality"), F.lit(zone).alias("timezone"), scalar.local_date(at, zone).alias("local_date"), F.lit(SOURCE).alias("source"), key.alias("source_record_id"), F.lit(VERSION).alias("transform_version"), *placed(rows))
     return conform(out, OBSERVATION)
 
 
@@ -122,9 +128,9 @@ def sessions(docs: DataFrame, zone: str) -> DataFrame:
     return conform(out, EVENT)
 
 
-def normalize(spark: SparkSession, path, endpoint: str, zone: str) -> dict[str, DataFrame]:
+def normalize(pages: DataFrame, endpoint: str, zone: str) -> dict[str, DataFrame]:
     """Ledger name -> rows of one endpoint's pages."""
-    docs = read_collection(spark, path, endpoint)
+    docs = read_collection(pages, endpoint)
     if endpoint == "sleep":
         return {"sleep_sessions": sleep(docs)}
     if endpoint in DAILY:

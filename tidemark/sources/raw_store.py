@@ -8,9 +8,11 @@ import re
 import uuid
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import position
+from . import worker_files
 from .files import Files
 
 MANIFEST = "source string, endpoint string, retrieved_at timestamp, content_type string, http_status int, sha256 string, content_length bigint, request_metadata string"
@@ -23,15 +25,29 @@ def redact(value):
     return [redact(v) for v in value] if isinstance(value, list) else value
 
 
-def save(root: str, source: str, endpoint: str, content: bytes, *, extension: str = "json", content_type: str = "application/json", http_status: int = 200, request_metadata: dict | None = None, retrieved_at: datetime | None = None) -> str:
-    """Path below the root of the stored artifact; an existing file is never replaced."""
+def artifact(source: str, endpoint: str, content: bytes, *, extension: str = "json", content_type: str = "application/json", http_status: int = 200, request_metadata: dict | None = None, retrieved_at: datetime | None = None) -> tuple[str, bytes]:
+    """(path below the root, manifest) of bytes to be stored; names of one endpoint sort by the time they were retrieved."""
     at = (retrieved_at or datetime.now(UTC)).astimezone(UTC)
     slug = re.sub(r"[^a-z0-9]+", "-", endpoint.lower()).strip("-") or "artifact"
     name = f"{source}/{at.strftime('%Y/%m/%d')}/{slug}__{at.strftime('%Y%m%dT%H%M%S%fZ')}__{uuid.uuid4().hex}.{extension}"
     manifest = {"source": source, "endpoint": endpoint, "retrieved_at": at.isoformat(), "content_type": content_type, "http_status": http_status, "sha256": hashlib.sha256(content).hexdigest(), "content_length": len(content), "request_metadata": json.dumps(redact(request_metadata or {}), sort_keys=True)}
+    return name, json.dumps(manifest, sort_keys=True).encode()
+
+
+def save(root: str, source: str, endpoint: str, content: bytes, **more) -> str:
+    """Path below the root of the stored artifact; an existing file is never replaced."""
+    name, manifest = artifact(source, endpoint, content, **more)
     files = Files(SparkSession.active(), root)
     files.create(name, content)
-    files.create(f"{name}.manifest.json", json.dumps(manifest, sort_keys=True).encode())
+    files.create(f"{name}.manifest.json", manifest)
+    return name
+
+
+def save_in_task(root: str, source: str, endpoint: str, content: bytes, **more) -> str:
+    """``save`` from inside a task.  A task that runs again stores what it got again, under another name."""
+    name, manifest = artifact(source, endpoint, content, **more)
+    worker_files.write(f"{root.rstrip('/')}/{name}", content)
+    worker_files.write(f"{root.rstrip('/')}/{name}.manifest.json", manifest)
     return name
 
 
@@ -43,12 +59,32 @@ def listing(spark: SparkSession, root: str, source: str | None = None) -> DataFr
     return files.select(path.alias("path"), *files.columns).orderBy("path")
 
 
+def plain(path: Column) -> Column:
+    """A path without the scheme of the local file system."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, content) of single files, in the form that ``verified`` has them."""
+    return spark.read.format("binaryFile").load(path).select(plain(F.col("path")).alias("path"), "content")
+
+
+def parsed(pages: DataFrame, schema: str) -> DataFrame:
+    """The JSON document of each page as a struct ``_page``, and its path as the position; what does not fit is an error."""
+    text = F.regexp_replace(F.decode("content", "utf-8"), "^\ufeff", "")
+    return pages.select(F.from_json(text, schema, {"mode": "FAILFAST"}).alias("_page"), position(F.col("path"), F.lit(0)))
+
+
 def verified(spark: SparkSession, root: str, source: str | None = None) -> DataFrame:
-    """Artifacts with their bytes; one whose length or digest differs from its manifest is an error."""
+    """Artifacts with their bytes; one whose length or digest differs from its manifest is an error.
+
+    The check is in the path and in the content, so whoever reads either runs it: no column can be selected that leads to an
+    artifact and leaves the check out.  A manifest without its artifact is an error too.
+    """
     where = f"{root}/{source}" if source else root
     blobs = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where).where(~F.col("path").endswith(".manifest.json"))
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    blobs = blobs.select(plain("path").alias("path"), "length", "content")
-    joined = listing(spark, root, source).withColumn("path", plain("path")).join(blobs, "path")
-    ok = (F.sha2("content", 256) == F.col("sha256")) & (F.col("length") == F.col("content_length"))
-    return joined.withColumn("content", F.when(ok, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("altered artifact: "), "path")).cast("binary"))).drop("length")
+    blobs = blobs.select(plain(F.col("path")).alias("path"), "length", "content")
+    joined = listing(spark, root, source).withColumn("path", plain(F.col("path"))).join(blobs, "path", "left")
+    ok = F.coalesce((F.sha2("content", 256) == F.col("sha256")) & (F.col("length") == F.col("content_length")), F.lit(False))
+    checked = lambda c, kind: F.when(ok, F.col(c)).otherwise(F.raise_error(F.concat(F.lit("altered artifact: "), F.col("path"))).cast(kind))
+    return joined.withColumns({"path": checked("path", "string"), "content": checked("content", "binary")}).drop("length")
