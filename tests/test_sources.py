@@ -1,6 +1,7 @@
 import json
 import zipfile
 from datetime import UTC, date, datetime
+from pathlib import Path
 
 import pytest
 
@@ -167,3 +168,61 @@ def test_windows():
     now = datetime(2025, 3, 9, tzinfo=UTC)
     assert (now - sync_window(None, now)[0]).days == 7
     assert sync_window(now, now)[0] == datetime(2025, 3, 6, tzinfo=UTC)
+
+
+def test_many_archives_in_one_job(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(5):
+        with zipfile.ZipFile(tmp_path / "in" / f"{k}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("apple_health_export/export.xml", XML.replace("140", str(140 + k)))
+            z.writestr("apple_health_export/export_cda.xml", "<x/>")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    archives = [str(tmp_path / "in" / f"{k}.zip") for k in range(5)]
+    paths = apple_health.stage_zips(spark, archives, f"file://{tmp_path}/staged")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - jobs <= 4 and len(set(paths)) == 5  # two queries, each of a shuffle and a result
+    got = normalize(spark, "apple_health", archives, zone=ZONE, staging=str(tmp_path / "staged"))
+    assert sorted(round(r.value / 0.45359237) for r in got["observations"].where("metric = 'weight_kg'").collect()) == [140, 141, 142, 143, 144]
+    places = [r["_position"] for r in got["observations"].where("metric = 'weight_kg'").collect()]
+    assert len({p.file for p in places}) == 5
+
+
+def test_archive_guards(spark, tmp_path):
+    from tidemark.sources.archives import unpack
+
+    def archive(name, *members):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
+            for m in members:
+                z.writestr(m, "a" * 5000)
+        return str(tmp_path / name)
+
+    two = archive("two.zip", "a/export.xml", "b/export.xml")
+    go = lambda path, **more: unpack(spark, [path], str(tmp_path / "out"), "export", **({"most_entries": 10, "most_bytes": 1 << 20} | more))
+    assert [r["size"] for r in go(two)] == [5000, 5000]
+    for wrong in ({"exactly": 1}, {"most_bytes": 4000}, {"most_total": 9000}):
+        with pytest.raises(ValueError):
+            go(two, **wrong)
+    with pytest.raises(Exception, match="more than 1 entries"):
+        go(two, most_entries=1)
+    raw = bytearray(Path(two).read_bytes())
+    at = raw.rindex(b"PK\x01\x02")
+    raw[at + 24 : at + 28] = (10).to_bytes(4, "little")  # the directory lies about the size
+    (tmp_path / "lies.zip").write_bytes(raw)
+    with pytest.raises(Exception):
+        go(str(tmp_path / "lies.zip"))
+    assert unpack(spark, [archive("none.zip", "x.txt")], str(tmp_path / "out"), "export", most_entries=9, most_bytes=9) == []
+
+
+def test_exports_of_one_layout_are_one_read(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(12):
+        (folder / f"w{k:02d}.csv").write_text(f"Date,Weight (kg)\n2025-03-04 06:30:00,{60 + k}\n2025-03-04 06:30:00,{70 + k}\n")
+    got = normalize(spark, "withings_export", str(folder), zone=ZONE)["observations"]
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Relation [") == 1 and "Union" not in plan
+    rows = got.collect()
+    assert len(rows) == 24 and len({r.source_record_id for r in rows}) == 2  # the counter of a time starts anew in every file
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    counts = ingest(store, {"observations": got}, "withings")
+    assert counts["inserted"] == 2 and counts["updated"] == 22
+    assert sorted(r.value for r in store.read("observations").collect()) == [71.0, 81.0]  # the last file's

@@ -1,9 +1,22 @@
+import json
+import random
+import threading
+import time
+from datetime import UTC, datetime
+from http.server import BaseHTTPRequestHandler, HTTPServer
+from urllib.parse import parse_qs, urlparse
+
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import sessions
-from tidemark.plans.export import SnapshotStore
-from tidemark.streaming.ledger import live_pairs, live_sessions, live_windows, merge_stream
+from tidemark.operators.pairing import pair_halves
+from tidemark.plans import rebuild
+from tidemark.plans.store import SnapshotStore
+from tidemark.streaming import pairing
+from tidemark.streaming.fetch import sync_stream
+from tidemark.streaming.ledger import live_sessions, live_windows, merge_stream
 
 
 def events(spark):
@@ -16,7 +29,7 @@ def test_stream_of_merges_equals_batch(spark, tmp_path):
     store, seen = SnapshotStore(spark, str(tmp_path / "store")), []
     stream = spark.readStream.schema(schemas.EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     for run in range(2):  # the second reads everything again
-        q = merge_stream(stream, store, "events", str(tmp_path / f"check{run}"), on_batch=lambda n, c: seen.append(c))
+        q = merge_stream(stream, store, "events", str(tmp_path / f"check{run}"), name=f"run{run}", on_batch=lambda n, c: seen.append(c))
         q.awaitTermination()
     n = rows.count()
     assert store.read("events").count() == n
@@ -57,14 +70,99 @@ def test_tumbling_and_sliding_windows_equal_batch(spark, tmp_path):
         assert sorted(got) == sorted(map(tuple, want.collect()))
 
 
-def test_pairs_of_a_stream_come_once_in_any_order(spark, tmp_path):
-    from datetime import datetime
+def test_pairs_of_a_stream_equal_the_batch_in_any_order(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(who, "high" if h else "low", float(rng.randrange(100)), n * 2 + h) for who in "abcdefgh" for n in range(rng.randrange(1, 5)) for h in (0, 1) if rng.random() < 0.8] + [("x", "other", 1.0, 1)]
+    schema = "who string, kind string, v double, place long"
+    batch = pair_halves(spark.createDataFrame(rows, schema), ["who"], "kind", "place", "high", "low", {"high": ("high", F.col("v")), "low": ("low", F.col("v"))})
+    want = sorted(map(str, map(tuple, batch.select("who", "high", "low", "place", "reason").collect())))
+    assert any("without" in w for w in want) and any("None)" in w for w in want)
+    rng.shuffle(rows)
+    for k in range(4):
+        spark.createDataFrame(rows[k::4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = pairing.live_pairs(stream, ["who"], "kind", "v", "place", "high", "low", wait_seconds=45)
+    q = out.writeStream.format("memory").queryName("paired").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    took = lambda: sorted(map(str, map(tuple, spark.sql("SELECT * FROM paired").collect())))
+    try:
+        until = time.time() + 180
+        while len(took()) < len(want) and time.time() < until:
+            assert q.exception() is None
+            time.sleep(1)
+        assert took() == want
+        spark.createDataFrame([("a", "low", 7.0, 999)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # long after
+        until = time.time() + 120
+        while len(took()) == len(want) and time.time() < until:
+            time.sleep(1)
+        assert sorted(set(took()) - set(want)) == ["('a', None, 7.0, 999, 'without its pair')"]
+    finally:
+        q.stop()
+
+
+def test_a_batch_that_is_made_again_changes_nothing(spark, tmp_path):
+    rows = schemas.conform(events(spark).select(F.lit("click").alias("event_type"), F.col("ts").alias("started_at"), F.lit("s").alias("source"), F.col("event_id").cast("string").alias("source_record_id")), schemas.EVENT)
+    rows.limit(60).repartition(3).write.parquet(str(tmp_path / "in"))
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    stream = spark.readStream.schema(schemas.EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def killed(number, counts):
+        if number == 1:
+            raise RuntimeError("killed after the commit")
+
+    with pytest.raises(Exception, match="killed"):
+        merge_stream(stream, store, "events", str(tmp_path / "c"), name="feed", on_batch=killed).awaitTermination()
+    held, version = store.read("events").count(), store.version("events")
+    seen = []
+    merge_stream(stream, store, "events", str(tmp_path / "c"), name="feed", on_batch=lambda n, c: seen.append((n, c["inserted"], c["duplicate"]))).awaitTermination()
+    assert [n for n, _, _ in seen] == [1, 2] and all(d == 0 for _, _, d in seen)
+    runs = {r.run_id: r for r in store.read("ingestion_runs").collect()}
+    assert sorted(runs) == ["feed-00000000", "feed-00000001", "feed-00000002"]
+    assert sum(r.inserted_count for r in runs.values()) == store.read("events").count() == 60
+    assert {r.status for r in runs.values()} == {"succeeded"} and held < 60 and version < store.version("events")
+
+
+class Windows(BaseHTTPRequestHandler):
+    """Daily documents of the days that are asked for; remembers the windows."""
+
+    asked: list = []
+    failing = False
+
+    def do_GET(self):
+        q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+        body, status = {"data": []}, 200
+        if "daily_activity" in self.path:
+            self.asked.append((q["start_date"], q["end_date"]))
+            status = 403 if Windows.failing else 200
+            body = {"data": [{"id": f"d-{q['start_date']}", "day": q["start_date"], "timestamp": f"{q['start_date']}T04:00:00+00:00", "steps": 12}]}
+        self.send_response(status)
+        self.end_headers()
+        self.wfile.write(json.dumps(body).encode())
 
-    day = lambda d, h=8: datetime(2025, 3, d, h)
-    batches = [[("a", day(1), "high", 120.0), ("b", day(1), "low", 70.0)], [("a", day(1), "low", 80.0), ("a", day(1), "low", 81.0), ("b", day(2), "high", 1.0)], [("b", day(1), "high", 130.0), ("x", day(9), "other", 0.0)], [("c", day(9), "high", 1.0)], [("c", day(9), "low", 2.0), ("z", day(28), "high", 9.0)], [("z", day(29), "high", 9.0)]]
-    for k, rows in enumerate(batches):
-        spark.createDataFrame(rows, "who string, t timestamp, kind string, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        del k
-    stream = spark.readStream.schema("who string, t timestamp, kind string, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = run_stream(spark, live_pairs(stream, ["who"], "t", "kind", "v", "high", "low", "5 days"), "append")
-    assert sorted(got) == [("a", day(1), 120.0, 80.0), ("b", day(1), 130.0, 70.0), ("c", day(9), 1.0, 2.0)]
+    def log_message(self, *args):
+        pass
+
+
+def test_a_sync_stream_asks_for_the_same_window_again(spark, tmp_path, monkeypatch):
+    only = [e for e in rebuild.CONNECTORS["oura"] if e.path.endswith("daily_activity")]
+    monkeypatch.setitem(rebuild.CONNECTORS, "oura", only)
+    server = HTTPServer(("127.0.0.1", 0), Windows)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    store, raw = SnapshotStore(spark, str(tmp_path / "s")), str(tmp_path / "raw")
+    go = lambda day: sync_stream(store, raw, "oura", f"http://127.0.0.1:{server.server_port}", str(tmp_path / "c"), zone="UTC", now=datetime(2025, 3, day, 12, tzinfo=UTC))
+    try:
+        go(10)
+        assert set(Windows.asked) == {("2025-03-03", "2025-03-10")}
+        Windows.asked.clear()
+        Windows.failing = True
+        with pytest.raises(Exception, match="refused"):
+            go(12)
+        Windows.failing = False
+        go(20)  # first the window that failed, then the rest
+        windows = list(dict.fromkeys(Windows.asked))
+        assert windows == [("2025-03-07", "2025-03-12"), ("2025-03-09", "2025-03-20")]
+    finally:
+        server.shutdown()
+    got = store.read("observations").collect()
+    assert sorted(r.source_record_id for r in got) == [f"d-2025-03-{d:02d}" for d in (3, 7, 9)] and all(raw in r.raw_file for r in got)
+    assert {(r.run_id, r.status) for r in store.read("ingestion_runs").collect()} == {(f"sync-oura-usercollection-daily_activity-{n:08d}", "succeeded") for n in range(3)}
+    assert rebuild.rebuild(spark, raw, str(tmp_path / "again"), zone="UTC").read("observations").count() == 3

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import parse, scalar
 from ..operators import intervals, merge, pairs, select, sessions
 from ..operators.numbering import every_nth
+from ..operators.pairing import pair_halves
 from .registry import load, query
 
 PRIORITIES = [("click", "s1", 1), ("click", "s0", 2), ("view", "s2", 1), ("signup", "s0", 1), ("purchase", "s1", 5), ("error", "s2", 1)]
@@ -284,9 +285,10 @@ SELECT user_id, day, k, round(max(value) FILTER (WHERE event_type = 'click'), 6)
 )
 def pair_correlation(spark, sf_dir):
     e = load(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view")).withColumn("day", F.to_date("ts"))
-    k = F.row_number().over(Window.partitionBy("user_id", "day", "event_type").orderBy("ts", "event_id")).cast("bigint")
-    paired = e.withColumn("k", k).groupBy("user_id", "day", "k").agg(*[F.max(F.when(F.col("event_type") == t, F.col("value"))).alias(f"{t}_value") for t in ("click", "view")], (F.count(F.lit(1)) == 2).alias("complete"))
-    return paired.withColumns({c: F.round(c, 6) for c in ("click_value", "view_value")})
+    e = e.withColumn("place", F.struct("ts", "event_id"))
+    pairs = pair_halves(e, ["user_id", "day"], "event_type", "place", "click", "view", {f"{t}_value": (t, F.col("value")) for t in ("click", "view")})
+    rounded = [F.round(c, 6).alias(c) for c in ("click_value", "view_value")]
+    return pairs.select("user_id", "day", F.col("pair_number").cast("bigint").alias("k"), *rounded, F.col("reason").isNull().alias("complete"))
 
 
 @query("SELECT c_custkey, concat(c_name, '/', CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END) AS skipped, c_name || '/' || CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS propagated FROM customer")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse, scalar
+from ..operators.pairing import pair_halves
 from ..schemas import BLOOD_PRESSURE, OBSERVATION, POSITION, SLEEP_SESSION, WORKOUT, conform, placed, position
 from .archives import unpack
 
@@ -130,14 +131,11 @@ def blood_pressure(records: DataFrame) -> DataFrame:
     rows = records.where(F.col("type").isin(f"{_BP}Systolic", f"{_BP}Diastolic")).withColumns({"part": F.substring_index("type", _BP, -1)})
     if POSITION not in rows.columns:
         rows = rows.withColumn(POSITION, position(F.lit(None), F.monotonically_increasing_id()))
-    keys = ["sourceName", "startDate", "endDate"]
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "part").orderBy(POSITION)))
     rows = rows.withColumns({"identity": _identity("blood-pressure-correlation", RECORD_ATTRIBUTES), "number": parse.number(F.col("value"))})
     rows = rows.select("*", *[c.alias(n) for c, n in zip(_provenance(), ("p_source", "p_device", "p_version", "p_metadata"), strict=True)])
-    top = F.col("part") == "Systolic"
-    pick = lambda c, which: F.max(F.when(which, F.col(c)))
-    pairs = rows.groupBy(*keys, "_k").agg(pick("number", top).alias("s"), pick("number", ~top).alias("d"), pick("identity", top).alias("id"), pick("p_device", top).alias("device_id"), pick("p_metadata", top).alias("metadata"), F.max(POSITION).alias(POSITION))
-    complete = F.col("s").isNotNull() & F.col("d").isNotNull()
+    taken = {"s": ("Systolic", F.col("number")), "d": ("Diastolic", F.col("number")), "id": ("Systolic", F.col("identity")), "device_id": ("Systolic", F.col("p_device")), "metadata": ("Systolic", F.col("p_metadata"))}
+    pairs = pair_halves(rows, ["sourceName", "startDate", "endDate"], "part", POSITION, "Systolic", "Diastolic", taken)
+    complete = F.col("reason").isNull() & F.col("s").isNotNull() & F.col("d").isNotNull()
     out = pairs.select(
         parse.instant(F.col("startDate")).alias("measured_at"),
         parse.offset_date(F.col("startDate")).alias("local_date"),

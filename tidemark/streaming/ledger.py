@@ -10,16 +10,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.export import SnapshotStore
+from ..plans import state
+from ..plans.store import SnapshotStore
 
 
-def merge_stream(rows: DataFrame, store: SnapshotStore, ledger: str, checkpoint: str, *, on_batch: Callable[[int, dict[str, int]], None] | None = None):
-    """Start a query that merges each micro-batch; a batch that is run again gives duplicates only."""
+def merge_stream(rows: DataFrame, store: SnapshotStore, ledger: str, checkpoint: str, *, name: str, source: str | None = None, on_batch: Callable[[int, dict[str, int]], None] | None = None):
+    """Start a query that merges each micro-batch under an audited run of its own.
+
+    ``name`` stays with the stream across restarts.  The number of a batch is recorded in the commit that applies it, so a batch
+    that is made again after a crash changes nothing, gets the counts it had, and replaces its own run.  Old versions go as the
+    stream moves on.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
-        counts = store.merge(ledger, batch, f"stream-{number}")
+        with state.Run(store, source or name, id=f"{name}-{number:08d}") as run:
+            run.merge({ledger: batch}, batch=(name, number))
         if on_batch:
-            on_batch(number, counts)
+            on_batch(number, run.counts)
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -33,14 +40,3 @@ def live_windows(rows: DataFrame, keys: list[str], time: str, length: str, slide
     """Tumbling (or sliding) window preview of a stream."""
     window = F.window(time, length, slide) if slide else F.window(time, length)
     return rows.withWatermark(time, lateness).groupBy(*keys, window.alias("w")).agg(*aggregates).withColumns({"window_start": F.col("w.start"), "window_end": F.col("w.end")}).drop("w")
-
-
-def live_pairs(rows: DataFrame, keys: list[str], time: str, kind: str, value: str, first: str, second: str, lateness: str) -> DataFrame:
-    """Pairs of two kinds of records with equal keys and time (such as the two values of a pressure), as the stream brings them.
-
-    The state of a pair that is not whole yet is kept until the watermark has passed its time by ``lateness``; each pair comes
-    out once, whichever half came first.  Of repeated halves the least value counts.
-    """
-    timed = rows.where(F.col(kind).isin(first, second)).withWatermark(time, lateness)
-    halves = timed.groupBy(*keys, time).agg(*[F.min(F.when(F.col(kind) == k, F.col(value))).alias(k) for k in (first, second)])
-    return halves.where(F.col(first).isNotNull() & F.col(second).isNotNull())
