@@ -56,11 +56,41 @@ def test_replay_is_all_duplicates_and_null_safe(spark):
 def test_rolling_of_one_day_is_the_calendar(spark):
     df = spark.createDataFrame([(T0.date() + timedelta(days=d), float(d)) for d in (0, 1, 5)], "d date, v double")
     full = calendar.fill_calendar(df, "d")
-    one = calendar.rolling(full, "d", {"s": F.sum("v")}, windows=(1,))
+    one = calendar.rolling(full, "d", {"s": calendar.Rolled("sum", "v")}, windows=(1,))
     assert {(r.anchor_date, r.s) for r in one.collect()} == {(r.d, r.v) for r in full.collect()} and full.count() == 6
     assert calendar.fill_calendar(df.limit(0), "d").count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rolling_equals_plain_sums(spark, seed):
+    rng = random.Random(seed)
+    days = {k: sorted(rng.sample(range(400), 60 if k else 5)) for k in range(4)}
+    rows = [(k, T0.date() + timedelta(days=d), rng.choice([None, rng.uniform(-1e6, 1e6)]), rng.choice([None, rng.randrange(9)])) for k, ds in days.items() for d in ds]
+    full = calendar.fill_calendar(spark.createDataFrame(rows, "k int, d date, v double, n int"), "d", ["k"])
+    held = full.collect()
+    assert len(held) == sum(ds[-1] - ds[0] + 1 for ds in days.values())
+    of = calendar.Rolled
+    aggregates = {"s": of("sum", "v"), "a": of("avg", F.col("v") * 2), "c": of("count", "v"), "i": of("sum", "n")}
+    windows = (1, 2, 7, 30, 365)
+    got = {(r.k, r.anchor_date, r.window_days): r for r in calendar.rolling(full, "d", aggregates, windows, ["k"]).collect()}
+    assert len(got) == len(held) * len(windows)
+    for (k, d, n), r in got.items():
+        inside = [x for x in held if x.k == k and d - timedelta(days=n - 1) <= x.d <= d]
+        vs, ns = [x.v for x in inside if x.v is not None], [x.n for x in inside if x.n is not None]
+        assert (r.calendar_days, r.c, r.i) == (len(inside), len(vs), sum(ns) if ns else None) and r.window_start == d - timedelta(days=n - 1)
+        assert (r.s is None) == (not vs) and (not vs or abs(r.s - sum(vs)) < 1e-6 and abs(r.a - 2 * sum(vs) / len(vs)) < 1e-6)
+    newest = {k: max(x.d for x in held if x.k == k) for k in days}
+    for r in calendar.rolling_latest(full, "d", aggregates, windows, ["k"]).collect():
+        full_row = got[r.k, newest[r.k], r.window_days]
+        assert (r.anchor_date, r.c, r.i, r.calendar_days) == (newest[r.k], full_row.c, full_row.i, full_row.calendar_days)
+
+
+def test_lag_reads_the_very_day(spark):
+    df = spark.createDataFrame([(1, T0.date() + timedelta(days=d), d) for d in (0, 1, 2, 5, 7)], "k int, d date, v int")
+    got = lambda days: [r.next_v for r in calendar.lag_days(df, "d", ["v"], days=days, keys=["k"]).orderBy("d").collect()]
+    assert got(1) == [1, 2, None, None, None] and got(2) == [2, None, None, 7, None] and got(5) == [5, None, 7, None, None]
+
+
 def test_correlation_guards(spark):
     df = spark.createDataFrame([(float(i), 2.0 * i, 1.0, float(i) if i < 2 else None) for i in range(6)], "x double, y double, flat double, few double")
     got = {r.relationship: r for r in correlate.relationships(df, [("xy", "x", "y"), ("flat", "x", "flat"), ("few", "x", "few")]).collect()}

@@ -131,7 +131,7 @@ r AS (SELECT a.subject, a.day AS anchor_date, CAST(window_days AS INTEGER) AS wi
 
 def _rolled(spark, sf_dir) -> DataFrame:
     full = calendar.fill_calendar(_subjects(spark, sf_dir), "day", ["subject"])
-    out = calendar.rolling(full, "day", {"orders": F.sum("orders"), "mean_revenue": F.avg("revenue")}, keys=["subject"])
+    out = calendar.rolling(full, "day", {"orders": calendar.Rolled("sum", "orders"), "mean_revenue": calendar.Rolled("avg", "revenue")}, keys=["subject"])
     return out.withColumn("mean_revenue", F.round(F.col("mean_revenue") + 1e-6, 2))
 
 
@@ -143,7 +143,7 @@ def rolling_windows(spark, sf_dir):
 @query(_ROLLED + "SELECT r.* FROM r JOIN (SELECT subject, max(anchor_date) AS anchor_date FROM r GROUP BY subject) USING (subject, anchor_date)")
 def rolling_latest(spark, sf_dir):
     full = calendar.fill_calendar(_subjects(spark, sf_dir), "day", ["subject"])
-    out = calendar.rolling_latest(full, "day", {"orders": F.sum("orders"), "mean_revenue": F.avg("revenue")}, keys=["subject"])
+    out = calendar.rolling_latest(full, "day", {"orders": calendar.Rolled("sum", "orders"), "mean_revenue": calendar.Rolled("avg", "revenue")}, keys=["subject"])
     return out.withColumn("mean_revenue", F.round(F.col("mean_revenue") + 1e-6, 2))
 
 

@@ -221,7 +221,7 @@ def rolling_health_latest(spark, sf_dir):
 
 _OUTCOMES = ("total_sleep_minutes", "hrv_rmssd_ms", "resting_hr_bpm", "systolic_mmhg", "diastolic_mmhg")
 _LAGGED = f"""lagged AS (SELECT a.subject_id, a.local_date AS predictor_date, coalesce(a.alcohol_units, 0) AS alcohol_units, coalesce(a.resistance_minutes, 0) + coalesce(a.cardio_minutes, 0) AS exercise_minutes, a.weight_kg * {scalar.LB_PER_KG} AS weight_lb, a.total_sleep_minutes AS wake_date_sleep_minutes, a.hrv_rmssd_ms AS wake_date_hrv_rmssd_ms, a.resting_hr_bpm AS wake_date_resting_hr_bpm,
-  a.systolic_mmhg AS same_day_systolic_mmhg, a.diastolic_mmhg AS same_day_diastolic_mmhg, b.local_date AS outcome_date, {", ".join(f"b.{o} AS next_day_{o}" for o in _OUTCOMES)} FROM cal a LEFT JOIN cal b ON b.subject_id = a.subject_id AND b.local_date = a.local_date + 1)
+  a.systolic_mmhg AS same_day_systolic_mmhg, a.diastolic_mmhg AS same_day_diastolic_mmhg, lead(a.local_date) OVER w AS outcome_date, {", ".join(f"lead(a.{o}) OVER w AS next_day_{o}" for o in _OUTCOMES)} FROM cal a WINDOW w AS (PARTITION BY a.subject_id ORDER BY a.local_date))
 """
 _LAGGED_REAL = ["alcohol_units", "exercise_minutes", "weight_lb", "wake_date_sleep_minutes", "wake_date_hrv_rmssd_ms", "wake_date_resting_hr_bpm", "same_day_systolic_mmhg", "same_day_diastolic_mmhg", *[f"next_day_{o}" for o in _OUTCOMES]]
 

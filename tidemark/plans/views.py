@@ -118,23 +118,61 @@ def canonical_sleep_daily(led: Ledgers) -> DataFrame:
     return select.select_by_priority(episodic.unionByName(summed), [S, "local_date"], ["priority", "source_name"], rank="row")
 
 
-def daily_facts(led: Ledgers) -> dict[str, DataFrame]:
-    obs = canonical_observations(led)
-    of = lambda m: F.when(F.col("metric") == m, F.col("value"))
-    last = [F.max_by("value", F.when((F.col("metric") == m) & F.col("value").isNotNull(), F.struct("observed_at", "source_record_id"))).alias(m) for m in LAST]
-    observations = obs.groupBy(S, F.col("canonical_date").alias("local_date")).agg(*last, F.avg(of("resting_hr_bpm")).alias("obs_resting_hr_bpm"), F.avg(of("hrv_rmssd_ms")).alias("obs_hrv_rmssd_ms"), F.sum(of("steps")).alias("steps"), F.sum(of("active_energy_kcal")).alias("active_energy_kcal"))
-    pressure = blood_pressure_sessions(led).groupBy(S, "local_date").agg(F.avg("preferred_systolic_mmhg").alias("systolic_mmhg"), F.avg("preferred_diastolic_mmhg").alias("diastolic_mmhg"), F.avg("preferred_pulse_bpm").alias("blood_pressure_pulse_bpm"), F.count(F.lit(1)).alias("blood_pressure_session_count"), F.sum("reading_count").alias("blood_pressure_reading_count"))
-    seconds = F.col("duration_seconds")
-    workout = canonical_workouts(led).groupBy(S, "local_date").agg((F.sum(F.when(F.col("workout_type") == "resistance", seconds)) / F.lit(60.0)).alias("resistance_minutes"), (F.sum(F.when(F.col("workout_type").isin(*CARDIO), seconds)) / F.lit(60.0)).alias("cardio_minutes"), F.count(F.lit(1)).alias("workout_count"))
+def _winner(groups: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    """Of the aggregates of every source the best one of each key: by partial aggregation, so rows are read once and no group
+    of rows is ever gathered."""
+    values = [c for c in groups.columns if c not in keys]
+    best = groups.groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)])).alias("_v"))
+    return best.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
+def observation_facts(led: Ledgers) -> DataFrame:
+    """What ``canonical_observations`` gives for a day: aggregates of each source first, then the best source of each metric."""
+    o = led.table("observations").where("quality <> 'invalid'")
+    o = o.withColumns({"local_date": scalar.local_date_of(F.col("local_date"), F.col("observed_at"), F.col("timezone")), "_q": select.quality_rank("quality")})
+    valued = F.when(F.col("value").isNotNull(), F.struct("observed_at", "source_record_id"))
+    groups = led.ranked(o, F.col("metric")).groupBy(S, "local_date", "metric", "_q", "priority", "source").agg(F.max_by("value", valued).alias("last"), F.avg("value").alias("avg"), F.sum("value").alias("sum"))
+    order = F.struct("_q", "priority", "source")
+    of = lambda column, m: F.min_by(column, F.when(F.col("metric") == m, order)).alias(m)
+    averages = [of("avg", "resting_hr_bpm").alias("obs_resting_hr_bpm"), of("avg", "hrv_rmssd_ms").alias("obs_hrv_rmssd_ms")]
+    return groups.groupBy(S, "local_date").agg(*[of("last", m) for m in LAST], *averages, of("sum", "steps"), of("sum", "active_energy_kcal"))
+
+
+def pressure_facts(led: Ledgers) -> DataFrame:
+    """Sessions of every source and quality of a day, then those of the best."""
+    b = led.table("blood_pressure").where("quality <> 'invalid'").withColumn("_q", select.quality_rank("quality"))
+    keys, values = [S, "local_date", "_q", "priority", "source"], ["systolic_mmhg", "diastolic_mmhg", "pulse_bpm"]
+    readings = sessions.sessionize(led.ranked(b, "blood_pressure"), keys, "measured_at", 600, tie="source_record_id", ordinal="session_reading_number")
+    stats = sessions.session_stats(readings, keys, "measured_at", "source_record_id", values, ordinal="session_reading_number")
+    named = {"systolic_mmhg": "systolic_mmhg", "diastolic_mmhg": "diastolic_mmhg", "pulse_bpm": "blood_pressure_pulse_bpm"}
+    groups = stats.groupBy(*keys).agg(*[F.avg(f"preferred_{v}").alias(n) for v, n in named.items()], F.count(F.lit(1)).alias("blood_pressure_session_count"), F.sum("reading_count").alias("blood_pressure_reading_count"))
+    return _winner(groups, [S, "local_date"], ["_q", "priority", "source"]).drop("_q", "priority", "source")
+
+
+def workout_facts(led: Ledgers) -> DataFrame:
+    """Totals of every source, the best source of each type of workout, then the day."""
+    groups = led.ranked(led.table("workouts"), "workouts").groupBy(S, "local_date", "workout_type", "priority", "source").agg(F.sum("duration_seconds").alias("seconds"), F.count(F.lit(1)).alias("n"))
+    best = _winner(groups, [S, "local_date", "workout_type"], ["priority", "source"])
+    minutes = lambda test: F.sum(F.when(test, F.col("seconds"))) / F.lit(60.0)
+    return best.groupBy(S, "local_date").agg(minutes(F.col("workout_type") == "resistance").alias("resistance_minutes"), minutes(F.col("workout_type").isin(*CARDIO)).alias("cardio_minutes"), F.sum("n").alias("workout_count"))
+
+
+def event_facts(led: Ledgers) -> DataFrame:
     drink = F.col("event_type") == "alcohol"
-    events = led.table("events").groupBy(S, "local_date").agg(F.sum(F.when(drink, F.col("value"))).alias("alcohol_units"), F.count(F.when(drink, 1)).alias("alcohol_event_count"), F.expr("listagg(DISTINCT event_type, ',') WITHIN GROUP (ORDER BY event_type)").alias("event_types"))
-    return {"observations": observations, "pressure": pressure, "sleep": canonical_sleep_daily(led).drop("priority"), "workouts": workout, "events": events}
+    return led.table("events").groupBy(S, "local_date").agg(F.sum(F.when(drink, F.col("value"))).alias("alcohol_units"), F.count(F.when(drink, 1)).alias("alcohol_event_count"), F.expr("listagg(DISTINCT event_type, ',') WITHIN GROUP (ORDER BY event_type)").alias("event_types"))
+
+
+def daily_facts(led: Ledgers) -> dict[str, DataFrame]:
+    return {"observations": observation_facts(led), "pressure": pressure_facts(led), "sleep": canonical_sleep_daily(led).drop("priority"), "workouts": workout_facts(led), "events": event_facts(led)}
 
 
 def daily_health(led: Ledgers) -> DataFrame:
-    """One row per subject and date with any fact.  Persist it: calendar, weeks, rolling and lagged views start from it."""
-    facts = list(daily_facts(led).values())
-    wide = calendar.join_facts(calendar.date_spine(facts, [S, "local_date"]), facts, [S, "local_date"])
+    """One row per subject and date with any fact: the facts of every ledger, gathered once.
+
+    Each ledger is read once (nights twice, by two filters that share no row), and calendar, weeks, rolling and lagged views
+    add windows to this plan without repeating it.  Persist it where several of them are wanted.
+    """
+    wide = calendar.gather_facts(list(daily_facts(led).values()), [S, "local_date"])
     wide = wide.withColumns({"resting_hr_bpm": F.coalesce("obs_resting_hr_bpm", "sleep_resting_hr_bpm"), "hrv_rmssd_ms": F.coalesce("obs_hrv_rmssd_ms", "sleep_hrv_rmssd_ms")})
     return wide.drop("obs_resting_hr_bpm", "obs_hrv_rmssd_ms", "sleep_resting_hr_bpm", "sleep_hrv_rmssd_ms")
 
@@ -143,44 +181,45 @@ def health_calendar(daily: DataFrame) -> DataFrame:
     return calendar.fill_calendar(daily, "local_date", [S])
 
 
-def rollup_aggregates() -> dict[str, Column]:
-    """The aggregates that weeks and rolling windows share."""
+def rollups() -> dict[str, calendar.Rolled]:
+    """What weeks and rolling windows share."""
     exercised = F.col("resistance_minutes").isNotNull() | F.col("cardio_minutes").isNotNull()
-    minutes = F.coalesce("resistance_minutes", F.lit(0.0)) + F.coalesce("cardio_minutes", F.lit(0.0))
+    minutes = F.when(exercised, F.coalesce("resistance_minutes", F.lit(0.0)) + F.coalesce("cardio_minutes", F.lit(0.0)))
+    of = calendar.Rolled
     return {
-        "weight_kg_avg": F.avg("weight_kg"),
-        "weight_days": F.count("weight_kg"),
-        "systolic_mmhg_avg": F.avg("systolic_mmhg"),
-        "diastolic_mmhg_avg": F.avg("diastolic_mmhg"),
-        "blood_pressure_days": F.count("systolic_mmhg"),
-        "hrv_rmssd_ms_avg": F.avg("hrv_rmssd_ms"),
-        "hrv_days": F.count("hrv_rmssd_ms"),
-        "resting_hr_bpm_avg": F.avg("resting_hr_bpm"),
-        "resting_hr_days": F.count("resting_hr_bpm"),
-        "total_sleep_minutes_avg": F.avg("total_sleep_minutes"),
-        "sleep_days": F.count("total_sleep_minutes"),
-        "steps_total": F.sum("steps"),
-        "steps_daily_avg": F.avg("steps"),
-        "steps_days": F.count("steps"),
-        "resistance_minutes_total": F.sum("resistance_minutes"),
-        "cardio_minutes_total": F.sum("cardio_minutes"),
-        "exercise_minutes_total": F.sum(F.when(exercised, minutes)),
-        "workout_count": F.sum("workout_count"),
-        "exercise_days": F.count(F.when(exercised, 1)),
+        "weight_kg_avg": of("avg", "weight_kg"),
+        "weight_days": of("count", "weight_kg"),
+        "systolic_mmhg_avg": of("avg", "systolic_mmhg"),
+        "diastolic_mmhg_avg": of("avg", "diastolic_mmhg"),
+        "blood_pressure_days": of("count", "systolic_mmhg"),
+        "hrv_rmssd_ms_avg": of("avg", "hrv_rmssd_ms"),
+        "hrv_days": of("count", "hrv_rmssd_ms"),
+        "resting_hr_bpm_avg": of("avg", "resting_hr_bpm"),
+        "resting_hr_days": of("count", "resting_hr_bpm"),
+        "total_sleep_minutes_avg": of("avg", "total_sleep_minutes"),
+        "sleep_days": of("count", "total_sleep_minutes"),
+        "steps_total": of("sum", "steps"),
+        "steps_daily_avg": of("avg", "steps"),
+        "steps_days": of("count", "steps"),
+        "resistance_minutes_total": of("sum", "resistance_minutes"),
+        "cardio_minutes_total": of("sum", "cardio_minutes"),
+        "exercise_minutes_total": of("sum", minutes),
+        "workout_count": of("sum", "workout_count"),
+        "exercise_days": of("count", minutes),
     }
 
 
 def weekly_health(cal: DataFrame) -> DataFrame:
-    return calendar.weekly(cal, "local_date", [a.alias(n) for n, a in rollup_aggregates().items()], [S])
+    return calendar.weekly(cal, "local_date", [r.aggregate.alias(n) for n, r in rollups().items()], [S])
 
 
 def rolling_health(cal: DataFrame) -> DataFrame:
-    return calendar.rolling(cal, "local_date", rollup_aggregates(), keys=[S]).withColumn("window_end", F.col("anchor_date"))
+    return calendar.rolling(cal, "local_date", rollups(), keys=[S]).withColumn("window_end", F.col("anchor_date"))
 
 
 def rolling_health_latest(cal: DataFrame) -> DataFrame:
     """Only the newest anchor of each subject: one aggregation over the days of the longest window."""
-    return calendar.rolling_latest(cal, "local_date", rollup_aggregates(), keys=[S]).withColumn("window_end", F.col("anchor_date"))
+    return calendar.rolling_latest(cal, "local_date", rollups(), keys=[S]).withColumn("window_end", F.col("anchor_date"))
 
 
 def analysis_daily_lagged(cal: DataFrame) -> DataFrame:
