@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
 from tidemark.operators import calendar, correlate, intervals, merge, pairs, select, sessions
-from tidemark.plans import reports
 
 T0 = datetime(2026, 1, 1, tzinfo=UTC)
 
@@ -106,10 +105,53 @@ def test_scaling_equals_decimal_arithmetic(spark):
     assert all(r.x == float(Decimal(r.v).scaleb(r.e)) for r in df.collect())
 
 
-def test_an_interval_of_a_wrong_end_is_an_error(spark):
-    df = spark.sql("SELECT 1 AS id, TIMESTAMP '2024-01-01' AS s, TIMESTAMP '9024-01-01' AS e")
-    with pytest.raises(Exception, match="interval too long"):
-        pairs.overlap_pairs(df, df, "s", "e").collect()
+@pytest.mark.parametrize("cell", [50.0, 1000.0, 86_400.0])
+def test_intervals_of_any_length_meet_once(spark, cell):
+    rng = random.Random(int(cell))
+    day = lambda s: T0 + timedelta(seconds=s)
+    rows = []
+    for i in range(160):
+        a = rng.choice([0, 999, 1000, 1001]) if i % 5 == 0 else rng.randrange(-400_000, 400_000)
+        rows.append((i, i % 2, day(a), day(a + rng.choice([0, 1, 50, 1000, 5000, 90_000, 3_000_000, -700]))))
+    rows += [(900, 0, day(-10 * 365 * 86_400), day(5_000)), (901, 1, day(10), datetime(9024, 1, 1, tzinfo=UTC)), (902, 0, None, day(1)), (903, 1, day(5), None)]
+    df = spark.createDataFrame(rows, "i int, k int, a timestamp, b timestamp")
+    for equal in (None, ["k"]):
+        pairs_of = pairs.overlap_pairs(df, df, "a", "b", bucket_seconds=cell, equal=equal, condition="a_i < b_i")
+        got = [(r.a_i, r.b_i) for r in pairs_of.collect()]
+        whole = [r for r in rows if r[2] and r[3]]
+        want = {(x[0], y[0]) for x in whole for y in whole if x[0] < y[0] and x[2] < y[3] and y[2] < x[3] and (not equal or x[1] == y[1])}
+        assert len(got) == len(set(got)) and set(got) == want
+    plan = pairs_of._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_long_interval_is_listed_in_few_cells(spark):
+    df = spark.sql("SELECT CAST(-3 AS BIGINT) AS a, CAST(1000000 AS BIGINT) AS b")
+    cells = df.select(pairs._cells(F.col("a"), F.col("b"), 20).alias("c")).first().c
+    assert len(cells) < 80 and sum(1 << c.level for c in cells if c.whole) == 1_000_004
+
+
+@pytest.mark.parametrize("gap", [0.0, 300.0])
+def test_islands_in_pieces_equal_islands_in_one(spark, gap):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), i, T0 + timedelta(seconds=s), T0 + timedelta(seconds=s + rng.choice([0, 60, 600, 40_000]))) for i, s in enumerate(rng.choices(range(0, 900_000, 60), k=500))]
+    df = spark.createDataFrame(rows, "k string, i int, s timestamp, e timestamp")
+    one = intervals.islands(df, ["k"], "s", "e", gap_seconds=gap, tie=["i"]).orderBy("i").collect()
+    for piece in (3_600.0, 100_000.0, 1e9):
+        many = intervals.islands(df, ["k"], "s", "e", gap_seconds=gap, tie=["i"], piece_seconds=piece)
+        assert many.columns == [*df.columns, "island"] and many.orderBy("i").collect() == one
+    assert sorted(map(str, intervals.merge_islands(df, ["k"], "s", "e", gap_seconds=gap, piece_seconds=5_000.0).collect())) == sorted(map(str, intervals.merge_islands(df, ["k"], "s", "e", gap_seconds=gap).collect()))
+
+
+def test_one_subject_uses_all_tasks(spark):
+    df = spark.range(4000).selectExpr("'one' AS k", "id AS i", "timestamp_seconds(1700000000 + id * 3600) AS s", "timestamp_seconds(1700000000 + id * 3600 + id % 3 * 1800) AS e")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = intervals.islands(df, ["k"], "s", "e", tie=["i"], piece_seconds=86_400.0).withColumn("p", F.spark_partition_id())
+        spread = [r["count"] for r in out.groupBy("p").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spread) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(spread) < 2200
 
 
 def test_dense_selection_keeps_ties_and_null_keys(spark):

@@ -45,6 +45,8 @@ class Ledgers:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     priorities: DataFrame | None = None
     disabled: tuple[str, ...] = ()
+    #: Length of the pieces that the nights of a subject are cut into where one subject may have most of them.
+    piece_seconds: float | None = None
 
     def table(self, name: str) -> DataFrame:
         """Rows of enabled sources (an absent ledger is empty)."""
@@ -94,7 +96,7 @@ def canonical_sleep_daily(led: Ledgers) -> DataFrame:
     """Interval unions by stage for the episodic source, sums for the others, then the best source of each day."""
     nights = led.ranked(led.table("sleep_sessions"), "sleep")
     staged = nights.where(F.col("source") == EPISODIC_SOURCE).select(S, "started_at", "ended_at", "sleep_date", "source", "priority", *[f"{d}_seconds" for d in DIMENSIONS])
-    wake = intervals.episodes(staged, [S], "started_at", "ended_at", "sleep_date", gap_seconds=4 * 3600)
+    wake = intervals.episodes(staged, [S], "started_at", "ended_at", "sleep_date", gap_seconds=4 * 3600, piece_seconds=led.piece_seconds)
     flags = wake.withColumns({d: F.when(F.col(f"{d}_seconds").isNotNull(), 1) for d in DIMENSIONS})
     long = flags.unpivot([S, "episode", "wake_date", "priority", "started_at", "ended_at"], list(DIMENSIONS), "dimension", "present").where("present is not null")
     merged = intervals.merge_islands(long, [S, "episode", "wake_date", "priority", "dimension"], "started_at", "ended_at")
