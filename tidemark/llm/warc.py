@@ -7,7 +7,8 @@ records themselves: at most ``sample_records`` pages (those of least hash of id
 driver is a few times the sample, however many there are.
 
 Of records with equal payloads of at least ``min_revisit`` bytes, the one with the largest page id is a response and the
-others revisit it.  Only digests and ids are grouped; a payload is never gathered with its copies.
+others revisit it.  Only digests and ids are grouped and joined by digest; a payload is never gathered with its copies.  Page
+ids are numbers; one that is not is an error.
 
 A null html is an empty payload, a null url is written as an empty target, repeated rows are archived each (ties: rows of the
 largest id are all responses), null page ids are never the record that others revisit while another id is known.  An empty
@@ -32,11 +33,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, tune
+from ..sources.worker_files import filesystem as _store
+from .common import BROADCAST_ROWS, Scratch, tune
 
 # Fixed values of the formats.
 SKIPPABLE_DICTIONARY = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: A field of our own: the target's bytes, where the target is quoted.
+ORIGINAL = "WARC-Target-Original"
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 12 << 20
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1200, 16_384, 65_536
@@ -55,6 +59,11 @@ def page_of(uri: str | None):
     return int(number) if number else None
 
 
+def target_of(headers: dict[str, str]) -> str:
+    original = headers.get(ORIGINAL.lower())
+    return headers["warc-target-uri"] if original is None else base64.b64decode(original).decode()
+
+
 def _header(lines: list[tuple[str, str]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines) + "\r\n").encode()
 
@@ -67,11 +76,13 @@ def make_record(page_id, url: str | None, payload: bytes, digest: str, refers_to
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", record_id(page_id)),
         ("WARC-Date", date),
-        ("WARC-Target-URI", urllib.parse.quote(url or "", safe="%:/?#[]@!$&'()*+,;=~-._")),
+        ("WARC-Target-URI", quoted := urllib.parse.quote(url or "", safe="%:/?#[]@!$&'()*+,;=~-._")),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
+    if quoted != (url or ""):  # a URI is read back byte for byte, whatever had to be quoted in it
+        lines.insert(4, (ORIGINAL, base64.b64encode(url.encode()).decode()))
     if refers_to is not None:
         lines[2:2] = [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to))]
     return _header(lines) + block + b"\r\n\r\n"
@@ -130,26 +141,27 @@ def read_archive(raw: bytes):
 # ---------------------------------------------------------------- files
 
 
-def _store(uri: str):
-    """(file system, path) of a folder that executors write to."""
-    import pyarrow.fs as pafs
-
-    if "://" in uri or uri.startswith("file:"):
-        if uri.startswith("file:"):
-            return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-        return pafs.FileSystem.from_uri(uri)
-    return pafs.LocalFileSystem(), uri
-
+def plan_records(pages: DataFrame, scratch: Scratch, *, id_col: str, url_col: str, html_col: str, min_revisit: int) -> DataFrame:
+    """page_id, url, payload, digest, refers_to (null for responses).
 
-def plan_records(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, min_revisit: int) -> DataFrame:
-    """page_id, url, payload, digest, refers_to (null for responses)."""
+    Digests that several rows share are found by ids and digests alone.  Up to ``BROADCAST_ROWS`` of them (counted) go to every
+    task, and payloads do not travel at all; beyond that, rows that revisit are found by a join of ids and digests, and payloads
+    travel by page, url and digest, so that the copies of one page are spread like all others.
+    """
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    large = rows.where(F.octet_length("payload") >= min_revisit)
-    target = large.groupBy(F.col("digest").alias("_digest")).agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    joined = rows.join(target, (F.col("digest") == F.col("_digest")) & (F.octet_length("payload") >= min_revisit), "left")
-    refers = F.when(F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
-    return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    rows = rows.withColumns({"digest": F.sha1("payload"), "large": F.octet_length("payload") >= min_revisit})
+    target = rows.where("large").groupBy(F.col("digest").alias("_digest")).agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 AND _first IS NOT NULL").drop("_n")
+    target = scratch.write(target, "targets")
+    other = ~F.col("page_id").eqNullSafe(F.col("_first"))
+    same = (F.col("digest") == F.col("_digest")) & F.col("large")
+    if target.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(target), same, "left").withColumn("refers_to", F.when(other, F.col("_first")))
+    else:
+        key = F.xxhash64("url")
+        light = rows.select("page_id", key.alias("_u"), "digest", "large")
+        revisits = light.join(target, same).where(other).select(F.col("page_id").alias("_p"), "_u", "_digest", F.col("_first").alias("refers_to")).distinct()
+        joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_p")) & (key == F.col("_u")) & (F.col("digest") == F.col("_digest")), "left")
+    return joined.select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def sample_pages(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, records: int, size: int) -> list:
@@ -166,7 +178,8 @@ def sample_pages(pages: DataFrame, *, id_col: str, url_col: str, html_col: str,
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, sample_records: int = SAMPLE_RECORDS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """Writes archives to ``folder``; returns the manifest (archive, records, bytes), also kept as ``folder``/manifest."""
     spark = pages.sparkSession
-    records = plan_records(pages, id_col=id_col, url_col=url_col, html_col=html_col, min_revisit=min_revisit)
+    scratch = Scratch(spark)
+    records = plan_records(pages, scratch, id_col=id_col, url_col=url_col, html_col=html_col, min_revisit=min_revisit)
     drawn = sample_pages(pages, id_col=id_col, url_col=url_col, html_col=html_col, records=sample_records, size=sample_bytes)
     dictionary = build_dictionary([make_record(p, u, b, hashlib.sha1(b).hexdigest(), None, date) for p, u, b in drawn])
     shared = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES
@@ -203,6 +216,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     tune(spark)
     manifest = f"{folder.rstrip('/')}/manifest"
     records.mapInArrow(run, "archive string, records bigint, bytes bigint").write.mode("overwrite").parquet(manifest)
+    scratch.close()
     return spark.read.parquet(manifest)
 
 
@@ -225,7 +239,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     response = headers["warc-type"] == "response"
                     if response and (len(payload) != length or hashlib.sha1(payload).hexdigest() != digest):
                         raise ValueError(f"payload of {headers['warc-record-id']} does not match its digest")
-                    rows.append((page_of(headers["warc-record-id"]), urllib.parse.unquote(headers["warc-target-uri"]), headers["warc-type"], length, digest, page_of(headers.get("warc-refers-to")), payload if response else None))
+                    rows.append((page_of(headers["warc-record-id"]), target_of(headers), headers["warc-type"], length, digest, page_of(headers.get("warc-refers-to")), payload if response else None))
                     size += len(payload)
                     if size > 8 << 20:
                         yield _batch(rows)
