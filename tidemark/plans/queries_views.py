@@ -12,7 +12,8 @@ from . import duplicates, reports, views
 from .registry import load, query
 
 PRIORITIES = [("weight_kg", "withings", 1), ("weight_kg", "oura", 2), ("resting_hr_bpm", "oura", 1), ("blood_pressure", "apple_health", 1), ("blood_pressure", "withings", 2), ("sleep", "apple_health", 1), ("sleep", "oura", 2), ("workouts", "manual", 1)]
-_METRICS = {"click": "weight_kg", "view": "resting_hr_bpm", "purchase": "hrv_rmssd_ms", "signup": "steps", "error": "active_energy_kcal"}
+#: Clicks are the seven masses in turn.
+_METRICS = {"view": "resting_hr_bpm", "purchase": "hrv_rmssd_ms", "signup": "steps", "error": "active_energy_kcal"}
 _KINDS = {"1-URGENT": "resistance", "2-HIGH": "running", "3-MEDIUM": "walking", "4-NOT SPECIFIED": "cycling", "5-LOW": "mobility"}
 _THREE = ("withings", "oura", "apple_health")
 _NAMED = '{"apple_health": {"source_name": "Withings Body+"}}'
@@ -37,7 +38,7 @@ def ledgers(spark, sf_dir) -> views.Ledgers:
     n, key, night = F.col("event_id"), F.col("o_orderkey"), F.concat_ws("-", F.lit("n"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)"))
     quality = F.when(n % 7 == 0, "suspect").when(n % 11 == 0, "invalid").otherwise("valid")
     obs = e.select(
-        F.concat(F.lit("p"), F.col("user_id") % 7).alias("subject_id"), _of(F.col("event_type"), _METRICS).alias("metric"), F.col("ts").cast("timestamp").alias("observed_at"), "value", quality.alias("quality"),
+        F.concat(F.lit("p"), F.col("user_id") % 7).alias("subject_id"), F.when(F.col("event_type") == "click", F.element_at(F.array(*map(F.lit, views.LAST)), (F.floor(n / 7) % 7 + 1).cast("int"))).otherwise(_of(F.col("event_type"), _METRICS)).alias("metric"), F.col("ts").cast("timestamp").alias("observed_at"), "value", quality.alias("quality"),
         F.when(n % 3 == 0, "America/New_York").when(n % 3 == 1, "UTC").alias("timezone"), F.when(n % 4 != 0, F.to_date("ts")).alias("local_date"), _third(n).alias("source"), F.concat(F.lit("e"), n).alias("source_record_id"), F.when(n % 2 == 0, _NAMED).alias("metadata"),
     )
     at = _after(F.col("o_orderdate"), (key * 137) % 3600)
@@ -53,7 +54,7 @@ def ledgers(spark, sf_dir) -> views.Ledgers:
     sleep = li.select(
         F.concat(F.lit("p"), F.col("l_suppkey") % 10).alias("subject_id"), F.to_date("l_shipdate").alias("sleep_date"), begin.alias("started_at"), _after(begin, long).alias("ended_at"),
         stage(0, (F.col("l_quantity") * 660).cast("bigint")).alias("time_in_bed_seconds"), stage(1, long).alias("total_sleep_seconds"), stage(2, (F.col("l_quantity") * 60).cast("bigint")).alias("awake_seconds"), stage(3).alias("light_seconds"), stage(4).alias("deep_seconds"), stage(5).alias("rem_seconds"),
-        rest(80 + F.col("l_discount") * 100).alias("efficiency_pct"), rest(F.when(F.col("l_orderkey") % 2 == 0, 50.0 + F.col("l_linenumber"))).alias("resting_hr_bpm"), rest(60 + F.col("l_tax") * 100).alias("sleep_score"), source.alias("source"), night.alias("source_record_id"),
+        rest(80 + F.col("l_discount") * 100).alias("efficiency_pct"), rest(F.when(F.col("l_orderkey") % 2 == 0, 50.0 + F.col("l_linenumber"))).alias("resting_hr_bpm"), rest(60 + F.col("l_tax") * 100).alias("sleep_score"), rest(F.when(F.col("l_partkey") % 3 > 0, 30 + F.col("l_tax") * 100)).alias("average_hrv_rmssd_ms"), rest(F.when(F.col("l_partkey") % 4 > 0, 12 + F.col("l_discount") * 10)).alias("respiratory_rate"), source.alias("source"), night.alias("source_record_id"),
     )
     start, length = _after(F.col("o_orderdate"), (key * 53) % 86_400), 600 + key % 4800
     workouts = o.select(
@@ -75,19 +76,23 @@ def _thirds(n: str) -> str:
     return f"CASE {n} % 3 WHEN 0 THEN 'withings' WHEN 1 THEN 'oura' ELSE 'apple_health' END"
 
 
+def _longest(column: str) -> str:
+    return f"first({column} ORDER BY coalesce(total_sleep, 0) DESC, source_record_id DESC) FILTER (WHERE {column} IS NOT NULL)"
+
+
 _DIMS = views.DIMENSIONS
 _NIGHT = "concat_ws('-', 'n', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_extendedprice AS DECIMAL(18,2)))"
 _STAGES = {"time_in_bed": "l_quantity * 660", "total_sleep": "l_quantity * 600", "awake": "l_quantity * 60", "light": "NULL", "deep": "NULL", "rem": "NULL"}
 LEDGER_SQL = f"""
 WITH pr AS (SELECT * FROM (VALUES {", ".join(str(p) for p in PRIORITIES)}) AS v(data_type, psource, ppriority)),
-obs AS (SELECT 'p' || user_id % 7 AS subject_id, {_case("event_type", _METRICS)} AS metric, ts AS observed_at, value, CASE WHEN event_id % 7 = 0 THEN 'suspect' WHEN event_id % 11 = 0 THEN 'invalid' ELSE 'valid' END AS quality,
+obs AS (SELECT 'p' || user_id % 7 AS subject_id, CASE WHEN event_type = 'click' THEN list_extract({list(views.LAST)}, (event_id // 7) % 7 + 1) ELSE {_case("event_type", _METRICS)} END AS metric, ts AS observed_at, value, CASE WHEN event_id % 7 = 0 THEN 'suspect' WHEN event_id % 11 = 0 THEN 'invalid' ELSE 'valid' END AS quality,
   CASE event_id % 3 WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'UTC' END AS timezone, CASE WHEN event_id % 4 <> 0 THEN CAST(ts AS DATE) END AS local_date, {_thirds("event_id")} AS source, 'e' || event_id AS source_record_id, event_id % 2 = 0 AS named FROM events),
 bp AS (SELECT 'p' || o_custkey % 3 AS subject_id, o_orderdate + to_seconds((o_orderkey * 137) % 3600) AS measured_at, CAST(o_orderdate AS DATE) AS local_date, CAST(100 + o_custkey % 60 AS DOUBLE) AS systolic, CAST(60 + o_orderkey % 35 AS DOUBLE) AS diastolic,
   CASE WHEN o_orderkey % 4 <> 0 THEN CAST(50 + o_orderkey % 40 AS DOUBLE) END AS pulse, CASE WHEN o_orderkey % 13 = 0 THEN 'invalid' WHEN o_orderkey % 5 = 0 THEN 'suspect' ELSE 'valid' END AS quality, {_thirds("o_orderkey")} AS source, 'b' || o_orderkey AS source_record_id, o_orderkey % 2 = 0 AS named FROM orders),
 sl0 AS (SELECT *, {_thirds("l_linenumber")} AS source, l_shipdate + to_seconds((l_orderkey * 41) % 1440 * 60) AS started_at FROM lineitem),
 sl AS (SELECT 'p' || l_suppkey % 10 AS subject_id, CAST(l_shipdate AS DATE) AS sleep_date, started_at, started_at + to_seconds(CAST(l_quantity * 600 AS BIGINT)) AS ended_at, source, {_NIGHT} AS source_record_id,
   {", ".join(f"CASE WHEN source = 'apple_health' THEN CASE WHEN l_partkey % 6 = {k} THEN CAST(l_quantity * 600 AS BIGINT) END ELSE CAST({other} AS BIGINT) END AS {d}" for k, (d, other) in enumerate(_STAGES.items()))},
-  CASE WHEN source <> 'apple_health' THEN 80 + l_discount * 100 END AS efficiency_pct, CASE WHEN source <> 'apple_health' AND l_orderkey % 2 = 0 THEN 50.0::DOUBLE + l_linenumber END AS resting, CASE WHEN source <> 'apple_health' THEN 60 + l_tax * 100 END AS score FROM sl0),
+  CASE WHEN source <> 'apple_health' THEN 80 + l_discount * 100 END AS efficiency_pct, CASE WHEN source <> 'apple_health' AND l_orderkey % 2 = 0 THEN 50.0::DOUBLE + l_linenumber END AS resting, CASE WHEN source <> 'apple_health' THEN 60 + l_tax * 100 END AS score, CASE WHEN source <> 'apple_health' AND l_partkey % 3 > 0 THEN 30 + l_tax * 100 END AS nightly_hrv, CASE WHEN source <> 'apple_health' AND l_partkey % 4 > 0 THEN 12 + l_discount * 10 END AS breaths FROM sl0),
 wk AS (SELECT 'p' || o_custkey % 3 AS subject_id, o_orderdate + to_seconds((o_orderkey * 53) % 86400) AS started_at, o_orderdate + to_seconds((o_orderkey * 53) % 86400 + 600 + o_orderkey % 4800) AS ended_at, CAST(o_orderdate AS DATE) AS local_date, {_case("o_orderpriority", _KINDS)} AS workout_type,
   600 + o_orderkey % 4800 AS duration_seconds, CASE WHEN o_orderkey % 2 = 0 THEN 'manual' ELSE 'apple_health' END AS source, 'w' || o_orderkey AS source_record_id FROM orders),
 lab AS (SELECT CAST(l_shipdate AS DATE) AS d, coalesce(CASE WHEN l_partkey % 3 = 0 THEN 'ferritin' END, 'Marker ' || l_partkey % 20) AS name FROM lineitem),
@@ -108,16 +113,16 @@ a3 AS ({" UNION ALL ".join(f"SELECT subject_id, episode, wake_date, priority, st
 a4 AS (SELECT *, max(ended_at) OVER (PARTITION BY subject_id, episode, wake_date, priority, dimension ORDER BY started_at, ended_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM a3),
 a5 AS (SELECT *, sum(CASE WHEN b IS NULL OR started_at > b THEN 1 ELSE 0 END) OVER (PARTITION BY subject_id, episode, wake_date, priority, dimension ORDER BY started_at, ended_at ROWS UNBOUNDED PRECEDING) AS island FROM a4),
 a6 AS (SELECT subject_id, wake_date, priority, dimension, date_diff('second', min(started_at), max(ended_at)) AS seconds FROM a5 GROUP BY subject_id, episode, wake_date, priority, dimension, island),
-sd0 AS (SELECT subject_id, wake_date AS local_date, {", ".join(f"sum(seconds) FILTER (WHERE dimension = '{d}') / 60.0 AS {m}" for d, m in views.MINUTES.items())}, NULL AS sleep_efficiency_pct, NULL AS sleep_resting_hr_bpm, NULL AS sleep_score, 'apple_health' AS source_name, priority FROM a6 GROUP BY subject_id, wake_date, priority
-  UNION ALL SELECT subject_id, sleep_date, {", ".join(f"sum({d}) / 60.0" for d in _DIMS)}, avg(efficiency_pct), first(resting ORDER BY coalesce(total_sleep, 0) DESC, source_record_id DESC) FILTER (WHERE resting IS NOT NULL), first(score ORDER BY coalesce(total_sleep, 0) DESC, source_record_id DESC) FILTER (WHERE score IS NOT NULL), source, priority FROM sp WHERE source <> 'apple_health' GROUP BY subject_id, sleep_date, source, priority),
+sd0 AS (SELECT subject_id, wake_date AS local_date, {", ".join(f"sum(seconds) FILTER (WHERE dimension = '{d}') / 60.0 AS {m}" for d, m in views.MINUTES.items())}, NULL AS sleep_efficiency_pct, NULL AS sleep_resting_hr_bpm, NULL AS sleep_score, NULL AS sleep_hrv_rmssd_ms, NULL AS respiratory_rate, 'apple_health' AS source_name, priority FROM a6 GROUP BY subject_id, wake_date, priority
+  UNION ALL SELECT subject_id, sleep_date, {", ".join(f"sum({d}) / 60.0" for d in _DIMS)}, avg(efficiency_pct), {_longest('resting')}, {_longest('score')}, {_longest('nightly_hrv')}, {_longest('breaths')}, source, priority FROM sp WHERE source <> 'apple_health' GROUP BY subject_id, sleep_date, source, priority),
 sd AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, local_date ORDER BY priority, source_name) AS k FROM sd0) WHERE k = 1),
-f1 AS (SELECT subject_id, canonical_date AS local_date, first(value ORDER BY observed_at DESC, source_record_id DESC) FILTER (WHERE metric = 'weight_kg' AND value IS NOT NULL) AS weight_kg, avg(value) FILTER (WHERE metric = 'resting_hr_bpm') AS hr, avg(value) FILTER (WHERE metric = 'hrv_rmssd_ms') AS hrv, sum(value) FILTER (WHERE metric = 'steps') AS steps, sum(value) FILTER (WHERE metric = 'active_energy_kcal') AS active_energy_kcal FROM co GROUP BY ALL),
+f1 AS (SELECT subject_id, canonical_date AS local_date, {", ".join(f"first(value ORDER BY observed_at DESC, source_record_id DESC) FILTER (WHERE metric = '{m}' AND value IS NOT NULL) AS {m}" for m in views.LAST)}, avg(value) FILTER (WHERE metric = 'resting_hr_bpm') AS hr, avg(value) FILTER (WHERE metric = 'hrv_rmssd_ms') AS hrv, sum(value) FILTER (WHERE metric = 'steps') AS steps, sum(value) FILTER (WHERE metric = 'active_energy_kcal') AS active_energy_kcal FROM co GROUP BY ALL),
 f2 AS (SELECT subject_id, local_date, avg(preferred_systolic) AS systolic_mmhg, avg(preferred_diastolic) AS diastolic_mmhg, avg(preferred_pulse) AS blood_pressure_pulse_bpm, count(*) AS blood_pressure_session_count, CAST(sum(reading_count) AS BIGINT) AS blood_pressure_reading_count FROM bs GROUP BY ALL),
 f4 AS (SELECT subject_id, local_date, sum(duration_seconds) FILTER (WHERE workout_type = 'resistance') / 60.0 AS resistance_minutes, sum(duration_seconds) FILTER (WHERE workout_type IN {views.CARDIO}) / 60.0 AS cardio_minutes, count(*) AS workout_count FROM cw GROUP BY ALL),
 f5 AS (SELECT subject_id, local_date, sum(value) FILTER (WHERE event_type = 'alcohol') AS alcohol_units, count(*) FILTER (WHERE event_type = 'alcohol') AS alcohol_event_count, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS event_types FROM ev GROUP BY ALL),
 sn AS (SELECT subject_id, local_date FROM f1 UNION SELECT subject_id, local_date FROM f2 UNION SELECT subject_id, local_date FROM sd UNION SELECT subject_id, local_date FROM f4 UNION SELECT subject_id, local_date FROM f5),
-daily AS (SELECT subject_id, local_date, weight_kg, steps, active_energy_kcal, systolic_mmhg, diastolic_mmhg, blood_pressure_pulse_bpm, blood_pressure_session_count, blood_pressure_reading_count, {", ".join(views.MINUTES.values())}, sleep_efficiency_pct, sleep_score, source_name,
-  resistance_minutes, cardio_minutes, workout_count, alcohol_units, alcohol_event_count, event_types, coalesce(hr, sleep_resting_hr_bpm) AS resting_hr_bpm, hrv AS hrv_rmssd_ms
+daily AS (SELECT subject_id, local_date, {", ".join(views.LAST)}, steps, active_energy_kcal, systolic_mmhg, diastolic_mmhg, blood_pressure_pulse_bpm, blood_pressure_session_count, blood_pressure_reading_count, {", ".join(views.MINUTES.values())}, sleep_efficiency_pct, sleep_score, respiratory_rate, source_name,
+  resistance_minutes, cardio_minutes, workout_count, alcohol_units, alcohol_event_count, event_types, coalesce(hr, sleep_resting_hr_bpm) AS resting_hr_bpm, coalesce(hrv, sleep_hrv_rmssd_ms) AS hrv_rmssd_ms
   FROM sn LEFT JOIN f1 USING (subject_id, local_date) LEFT JOIN f2 USING (subject_id, local_date) LEFT JOIN sd USING (subject_id, local_date) LEFT JOIN f4 USING (subject_id, local_date) LEFT JOIN f5 USING (subject_id, local_date)),
 cal AS (SELECT * FROM (SELECT subject_id, CAST(unnest(generate_series(min(local_date), max(local_date), INTERVAL 1 DAY)) AS DATE) AS local_date FROM daily GROUP BY subject_id) LEFT JOIN daily USING (subject_id, local_date))
 """
@@ -128,7 +133,7 @@ _ROLLUP = {
     "resistance_minutes_total": "sum({x}resistance_minutes)", "cardio_minutes_total": "sum({x}cardio_minutes)", "exercise_minutes_total": f"sum(CASE WHEN {_EXERCISED} THEN coalesce({{x}}resistance_minutes, 0) + coalesce({{x}}cardio_minutes, 0) END)", "workout_count": "CAST(sum({x}workout_count) AS BIGINT)", "exercise_days": f"count(CASE WHEN {_EXERCISED} THEN 1 END)",
 }
 _REAL = [c for c in _ROLLUP if c.endswith(("_avg", "_total"))]
-_DAILY_REAL = ["weight_kg", "steps", "active_energy_kcal", "systolic_mmhg", "diastolic_mmhg", "blood_pressure_pulse_bpm", *views.MINUTES.values(), "sleep_efficiency_pct", "sleep_score", "resistance_minutes", "cardio_minutes", "alcohol_units", "resting_hr_bpm", "hrv_rmssd_ms"]
+_DAILY_REAL = [*views.LAST, "respiratory_rate", "steps", "active_energy_kcal", "systolic_mmhg", "diastolic_mmhg", "blood_pressure_pulse_bpm", *views.MINUTES.values(), "sleep_efficiency_pct", "sleep_score", "resistance_minutes", "cardio_minutes", "alcohol_units", "resting_hr_bpm", "hrv_rmssd_ms"]
 _BS_REAL = [f"{k}_{v}" for v in ("systolic", "diastolic", "pulse") for k in ("subsequent", "session", "preferred")]
 
 
@@ -178,17 +183,14 @@ def canonical_workouts(spark, sf_dir):
     return views.canonical_workouts(ledgers(spark, sf_dir)).select("subject_id", "local_date", "workout_type", "source", "source_record_id", "priority", "duration_seconds")
 
 
-@query(LEDGER_SQL + f"SELECT * EXCLUDE (priority) {_rounds(*views.MINUTES.values(), 'sleep_efficiency_pct', 'sleep_resting_hr_bpm', 'sleep_score')}, CAST(priority AS INTEGER) AS priority FROM sd")
+@query(LEDGER_SQL + f"SELECT * EXCLUDE (priority) {_rounds(*views.MINUTES.values(), 'sleep_efficiency_pct', 'sleep_resting_hr_bpm', 'sleep_score', 'sleep_hrv_rmssd_ms', 'respiratory_rate')}, CAST(priority AS INTEGER) AS priority FROM sd")
 def canonical_sleep_daily(spark, sf_dir):
-    return rounded(views.canonical_sleep_daily(ledgers(spark, sf_dir)).drop("sleep_hrv_rmssd_ms", "respiratory_rate"))
-
-
-_ABSENT = ["body_fat_pct", "lean_mass_kg", "body_fat_mass_kg", "skeletal_muscle_mass_kg", "body_water_mass_kg", "bone_mass_kg", "respiratory_rate"]
+    return rounded(views.canonical_sleep_daily(ledgers(spark, sf_dir)))
 
 
 @query(LEDGER_SQL + f"SELECT * {_rounds(*_DAILY_REAL)} FROM daily")
 def daily_health(spark, sf_dir):
-    return rounded(views.daily_health(ledgers(spark, sf_dir)).drop(*_ABSENT))
+    return rounded(views.daily_health(ledgers(spark, sf_dir)))
 
 
 def _calendar(spark, sf_dir) -> DataFrame:
@@ -197,7 +199,7 @@ def _calendar(spark, sf_dir) -> DataFrame:
 
 @query(LEDGER_SQL + f"SELECT * {_rounds(*_DAILY_REAL)} FROM cal")
 def health_calendar(spark, sf_dir):
-    return rounded(_calendar(spark, sf_dir).drop(*_ABSENT))
+    return rounded(_calendar(spark, sf_dir))
 
 
 @query(LEDGER_SQL + f"SELECT * {_rounds(*_REAL)}, week_start + 6 AS week_end FROM (SELECT subject_id, CAST(date_trunc('week', local_date) AS DATE) AS week_start, count(*) AS calendar_days, {_rolled()} FROM cal GROUP BY 1, 2)")
@@ -315,7 +317,7 @@ _BOUNDS = "last_day AS (SELECT subject_id, max(d) AS last FROM (SELECT subject_i
 @query(LEDGER_SQL + f", {_BOUNDS} SELECT * REPLACE (round(weight_kg * {scalar.LB_PER_KG} + 1e-8, 4) AS weight_kg, {', '.join(f'round({c} + 1e-8, 4) AS {c}' for c in _DAILY_REAL if c != 'weight_kg')}) FROM (SELECT cal.* FROM cal JOIN last_day USING (subject_id) WHERE local_date > last - 90)")
 def dashboard_trends_daily(spark, sf_dir):
     led = ledgers(spark, sf_dir)
-    return rounded(reports.trends(led, views.health_calendar(views.daily_health(led)), 90)["daily"].drop(*_ABSENT))
+    return rounded(reports.trends(led, views.health_calendar(views.daily_health(led)), 90)["daily"])
 
 
 @query(LEDGER_SQL + f", {_BOUNDS} SELECT * REPLACE (round(weight_kg_avg * {scalar.LB_PER_KG} + 1e-8, 4) AS weight_kg_avg, {', '.join(f'round({c} + 1e-8, 4) AS {c}' for c in _REAL if c != 'weight_kg_avg')}), week_start + 6 AS week_end FROM (SELECT subject_id, CAST(date_trunc('week', local_date) AS DATE) AS week_start, count(*) AS calendar_days, {_rolled()} FROM (SELECT cal.* FROM cal JOIN last_day USING (subject_id) WHERE local_date > last - 371) GROUP BY 1, 2)")
