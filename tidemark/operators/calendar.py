@@ -50,10 +50,13 @@ def fill_calendar(daily: DataFrame, day: str, keys: list[str] | None = None) ->
     """One row for every day between the first and the last of each group; days without facts are null.
 
     Every row is followed by the days up to the next one of its group, so the input is planned once.  Rows without a day go; an
-    empty input gives no rows.
+    empty input gives no rows.  Few bytes of facts become many days, and windows over them much work, so the groups are dealt
+    over all partitions of the session: adaptive execution would gather them into one task by their bytes.
     """
     keys = keys or []
     facts = daily.where(F.col(day).isNotNull())
+    if keys:
+        facts = facts.repartition(int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     following = F.lead(day).over(Window.partitionBy(*keys).orderBy(day))
     gap = F.sequence(F.col(day), F.greatest(F.col(day), F.coalesce(F.date_sub(following, 1), F.col(day))), F.expr("interval 1 day"))
     spread = facts.withColumn("_gap", gap).select("*", F.posexplode("_gap").alias("_i", "_day"))
