@@ -226,3 +226,16 @@ def test_exports_of_one_layout_are_one_read(spark, tmp_path):
     counts = ingest(store, {"observations": got}, "withings")
     assert counts["inserted"] == 2 and counts["updated"] == 22
     assert sorted(r.value for r in store.read("observations").collect()) == [71.0, 81.0]  # the last file's
+
+
+def test_quoted_cells_of_exports(spark, tmp_path):
+    """Cells with doubled quotes, delimiters and line ends; why a row is suspect is kept beside it."""
+    (tmp_path / "p.csv").write_text('Date,Systolic,Diastolic,Heart rate,Comments\n2024-01-01 08:00:00,120,80,,"said ""fine"", twice\nand left"\n2024-01-02 08:00:00,70,80,60,\n')
+    rows = withings.normalize_export(spark, str(tmp_path / "p.csv"), "UTC")["blood_pressure"].orderBy("measured_at").collect()
+    assert [r["notes"] for r in rows] == ['said "fine", twice\nand left', None]
+    assert [json.loads(r["metadata"])["quality_reasons"] for r in rows] == [["missing_pulse_bpm"], ["systolic_not_above_diastolic"]]
+    (tmp_path / "w.csv").write_text("Date,Weight (kg)\n2024-01-01 08:00:00,70\n2024-01-02 08:00:00,700\n")
+    rows = withings.normalize_export(spark, str(tmp_path / "w.csv"), "UTC")["observations"].orderBy("observed_at").collect()
+    assert [(r["quality"], json.loads(r["metadata"])["quality_reasons"]) for r in rows] == [("valid", []), ("suspect", ["implausible_value"])]
+    (tmp_path / "l.csv").write_text('Test name,Result\n"so-called ""B12"", total",5\n')
+    assert labs.normalize(spark, str(tmp_path / "l.csv"), {}, "UTC")["lab_results"].first()["original_name"] == 'so-called "B12", total'

@@ -13,6 +13,8 @@ from .views import Ledgers, daily_health, health_calendar, rolling_health, view,
 __all__ = ["DATASETS", "SnapshotStore", "datasets", "export_datasets"]
 
 DATASETS = ("observations", "blood_pressure", "sleep", "workouts", "labs", "events", "daily", "weekly", "rolling")
+#: Instants in CSV keep their microseconds; Spark's own format ends at milliseconds.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def datasets(led: Ledgers) -> dict[str, DataFrame]:
@@ -46,7 +48,7 @@ def export_datasets(led: Ledgers, folder: str, *, kind: str = "parquet", names:
         temporary = f"{files.root}/{part}"
         writer = df.write.mode("errorifexists")
         if kind == "csv":
-            writer.option("header", True).csv(temporary)
+            writer.option("header", True).option("escape", '"').option("timestampFormat", MICROS).csv(temporary)
         else:
             writer.parquet(temporary)
         files.rename(part, target)
