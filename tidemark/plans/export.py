@@ -17,20 +17,23 @@ DATASETS = ("observations", "blood_pressure", "sleep", "workouts", "labs", "even
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
-def datasets(led: Ledgers) -> dict[str, DataFrame]:
-    daily = daily_health(led)
-    cal = health_calendar(daily)
-    return {
-        "observations": view(led, "canonical_observations"),
-        "blood_pressure": view(led, "blood_pressure_sessions"),
-        "sleep": view(led, "canonical_sleep_daily"),
-        "workouts": view(led, "canonical_workouts"),
-        "labs": led.table("lab_results"),
-        "events": led.table("events"),
-        "daily": daily,
-        "weekly": weekly_health(cal),
-        "rolling": rolling_health(cal),
+def datasets(led: Ledgers, names: tuple[str, ...] = DATASETS) -> dict[str, DataFrame]:
+    """The named datasets; the daily views are planned only where one of them is asked for."""
+    plain = {
+        "observations": lambda: view(led, "canonical_observations"),
+        "blood_pressure": lambda: view(led, "blood_pressure_sessions"),
+        "sleep": lambda: view(led, "canonical_sleep_daily"),
+        "workouts": lambda: view(led, "canonical_workouts"),
+        "labs": lambda: led.table("lab_results"),
+        "events": lambda: led.table("events"),
     }
+    out = {n: make() for n, make in plain.items() if n in names}
+    if {"daily", "weekly", "rolling"} & set(names):
+        daily = daily_health(led)
+        cal = health_calendar(daily)
+        rolled = {"daily": lambda: daily, "weekly": lambda: weekly_health(cal), "rolling": lambda: rolling_health(cal)}
+        out |= {n: make() for n, make in rolled.items() if n in names}
+    return out
 
 
 def export_datasets(led: Ledgers, folder: str, *, kind: str = "parquet", names: tuple[str, ...] = DATASETS) -> dict[str, str]:
@@ -38,9 +41,7 @@ def export_datasets(led: Ledgers, folder: str, *, kind: str = "parquet", names:
     if kind not in ("parquet", "csv"):
         raise ValueError("parquet or csv")
     out, files = {}, Files(led.spark, str(folder))
-    for name, df in datasets(led).items():
-        if name not in names:
-            continue
+    for name, df in datasets(led, names).items():
         target = f"{name}.{kind}"
         if files.exists(target):
             raise FileExistsError(f"{folder}/{target}")
