@@ -141,9 +141,9 @@ def test_store_rebuild_export(spark, tmp_path):
     again = rebuild(spark, str(raw), str(tmp_path / "again"), zone=ZONE)
     assert [r.value for r in again.read("observations").collect()] == [7.0]
     assert "[redacted]" in raw_store.listing(spark, str(raw)).first().request_metadata
-    one = manual.workout(spark, datetime(2025, 3, 4, 16, tzinfo=UTC), 35, zone=ZONE)
+    one = manual.rows_of(spark, manual.WORKOUTS, manual.workout_document("resistance", 35, ZONE, now=datetime(2025, 3, 4, 16, tzinfo=UTC)))
     assert store.merge("workouts", one)["inserted"] == 1 and store.merge("workouts", one)["duplicate"] == 1
-    drink = manual.event(spark, "Alcohol", datetime(2025, 3, 4, 22, tzinfo=UTC), value=1.5)
+    drink = manual.rows_of(spark, manual.EVENTS, manual.event_document("Alcohol", "UTC", value=1.5, now=datetime(2025, 3, 4, 22, tzinfo=UTC)))
     assert store.merge("events", drink)["inserted"] == 1
     bad = schemas.conform(spark.createDataFrame([("m", "manual", "x")], "metric string, source string, source_record_id string"), schemas.OBSERVATION)
     assert store.merge("observations", bad)["rejected"] == 1

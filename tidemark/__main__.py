@@ -6,8 +6,7 @@ import argparse
 import json
 import os
 import sys
-from datetime import UTC, datetime, time, timedelta
-from zoneinfo import ZoneInfo
+from datetime import date, time
 
 from pyspark.sql import functions as F
 
@@ -32,7 +31,8 @@ def parser() -> argparse.ArgumentParser:
         return x
 
     one = lambda n, **o: (n, o)
-    when = (one("--date"), one("--time"), one("--notes"))
+    when = (one("--date", help="local; today if there is none"), one("--time", help="local; the present if there is none"), one("--notes"), one("--raw", help="folder of the raw store; below the store if there is none"))
+    effort = (one("--focus"), one("--rpe", type=float))
     command("init")
     command("doctor")
     command("import", one("route", choices=rebuild.ROUTES), one("path"), one("--endpoint", default=""), one("--biomarkers", help="YAML: biomarkers: canonical name -> spellings"), one("--staging", help="shared folder that archives are unpacked into"))
@@ -42,46 +42,33 @@ def parser() -> argparse.ArgumentParser:
     command("source", one("name"), one("state", choices=("enable", "disable")))
     command("event", one("type"), *when, one("--hours", type=float), one("--value", type=float), one("--unit"))
     command("alcohol", one("drinks", type=float), *when)
-    command("workout", one("type", choices=schemas.WORKOUT_TYPES), one("minutes", type=float), *when, one("--rpe", type=float))
-    command("lift", one("minutes", type=float), *when, one("--rpe", type=float))
+    command("workout", one("type", choices=schemas.WORKOUT_TYPES), one("minutes", type=int), *when, *effort)
+    command("lift", one("minutes", type=int), *when, *effort)
     command("duplicates", one("action", choices=("refresh", "list", "resolve")), one("link", nargs="?"), one("resolution", nargs="?", choices=("confirmed", "rejected")))
     command("coverage")
     command("quality")
     command("analyze", one("--html"))
     command("export", one("folder"), one("--format", default="parquet", choices=("parquet", "csv")))
-    command("rebuild", one("raw"), one("--biomarkers"))
+    command("rebuild", one("raw"), one("--biomarkers"), one("--staging"))
     command("view", one("name", choices=views.VIEWS))
     command("dashboard", one("--days", type=int, default=365, choices=reports.RANGES))
     command("serve", one("--port", type=int, default=8765))
     return p
 
 
-def moment(args) -> datetime:
-    """The given local date and time; now, or noon of a date without a time."""
-    zone = ZoneInfo(args.zone)
-    now = datetime.now(zone)
-    day = datetime.fromisoformat(args.date).date() if args.date else now.date()
-    at = time.fromisoformat(args.time) if args.time else (time(12) if args.date else now.time())
-    return datetime.combine(day, at, zone).astimezone(UTC)
-
-
 def biomarkers(path: str | None) -> dict[str, list[str]]:
     return config.load_yaml(path)["biomarkers"] if path else {}
 
 
-def entered(args) -> tuple[str, object] | None:
-    """(ledger, row) of a manual entry."""
-    spark = build_session(master=args.master)
+def entered(args) -> tuple[str, dict]:
+    """(endpoint, document) of a manual entry."""
+    when = {"day": args.date and date.fromisoformat(args.date), "at": args.time and time.fromisoformat(args.time), "notes": args.notes}
     if args.command in ("workout", "lift"):
         kind = "resistance" if args.command == "lift" else args.type
-        return "workouts", manual.workout(spark, moment(args), args.minutes, kind, zone=args.zone, rpe=args.rpe, notes=args.notes)
+        return manual.WORKOUTS, manual.workout_document(kind, args.minutes, args.zone, focus=args.focus, rpe=args.rpe, **when)
     if args.command == "alcohol":
-        return "events", manual.event(spark, "alcohol", moment(args), value=args.drinks, unit="drinks", zone=args.zone, notes=args.notes)
-    if args.command == "event":
-        start = moment(args)
-        end = start + timedelta(hours=args.hours) if args.hours else None
-        return "events", manual.event(spark, args.type, start, ended_at=end, value=args.value, unit=args.unit, zone=args.zone, notes=args.notes)
-    return None
+        return manual.EVENTS, manual.event_document("alcohol", args.zone, value=args.drinks, **when)
+    return manual.EVENTS, manual.event_document(args.type, args.zone, hours=args.hours, value=args.value, unit=args.unit, **when)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -90,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
     order = config.priorities(spark, config.load_yaml(args.priorities)) if args.priorities else None
     say = lambda value: print(json.dumps(value, default=str))
     if args.command == "rebuild":
-        rebuild.rebuild(spark, args.raw, args.store, zone=args.zone, biomarkers=biomarkers(args.biomarkers))
+        say(rebuild.totals(rebuild.rebuild(spark, args.raw, args.store, zone=args.zone, biomarkers=biomarkers(args.biomarkers), staging=args.staging, priorities=order)))
         return 0
     store = export.SnapshotStore(spark, args.store)
     if args.command == "init":
@@ -118,8 +105,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "source":
         state.enable_source(store, args.name, args.state == "enable")
     elif args.command in ("event", "alcohol", "workout", "lift"):
-        ledger, row = entered(args)
-        say(rebuild.ingest(store, {ledger: row}, manual.SOURCE, kind="manual"))
+        say(rebuild.enter(store, args.raw or f"{args.store.rstrip('/')}/raw", *entered(args)))
     elif args.command == "duplicates" and args.action == "refresh":
         say(state.refresh_links(store))
     elif args.command == "duplicates" and args.action == "resolve":

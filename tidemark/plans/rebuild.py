@@ -5,28 +5,30 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..sources import apple_health, labs, oura, raw_store, withings
+from ..sources import apple_health, labs, manual, oura, raw_store, withings
 from ..sources.paged_api import PagedApi
 from . import state
 from .store import SnapshotStore
 from .state import sync_window
 
-__all__ = ["ROUTES", "CONNECTORS", "ingest", "normalize", "rebuild", "sync", "sync_window"]
+__all__ = ["ROUTES", "CONNECTORS", "enter", "ingest", "normalize", "rebuild", "sync", "sync_window"]
 
 #: Fixed order of the routes in a rebuild.
-ROUTES = ("withings_api", "withings_export", "oura", "apple_health", "labs")
-#: Routes whose artifacts are pages of an API.
-PAGED = ("withings_api", "oura")
+ROUTES = ("apple_health", "withings_export", "withings_api", "oura", "labs", "manual")
+#: Routes whose artifacts are documents of an endpoint, read all at once.
+PAGED = ("withings_api", "oura", "manual")
 
 
 def normalize(spark: SparkSession, route: str, path, *, zone: str, endpoint: str = "", biomarkers: dict[str, list[str]] | None = None, staging: str | None = None) -> dict[str, DataFrame]:
-    """Ledger -> rows.  ``path``: one path or a list of them; for the two API routes also a frame of pages (path, content)."""
-    if route in ("withings_api", "oura"):
+    """Ledger -> rows.  ``path``: one path or a list of them; for the routes in ``PAGED`` also a frame of pages (path, content)."""
+    if route in PAGED:
         pages = path if isinstance(path, DataFrame) else raw_store.read_pages(spark, path)
+        if route == "manual":
+            return manual.normalize(pages, endpoint)
         return withings.normalize_api(pages) if route == "withings_api" else oura.normalize(pages, endpoint.rstrip("/").rsplit("/", 1)[-1], zone)
     if route == "withings_export":
         return withings.normalize_export(spark, path, zone, staging)
@@ -45,6 +47,13 @@ def ingest(store: SnapshotStore, normalized: dict[str, DataFrame], source: str,
     return run.counts | {"run_id": run.id}
 
 
+def enter(store: SnapshotStore, raw_root: str, endpoint: str, document: dict) -> dict:
+    """A manual entry: its document is kept raw before it is merged, so that a rebuild has it too."""
+    made = datetime.fromisoformat(document["created_at"])
+    path = raw_store.save(raw_root, manual.SOURCE, endpoint, manual.written(document), retrieved_at=made, request_metadata={"entry_schema_version": manual.FORM})
+    return ingest(store, normalize(store.spark, "manual", f"{raw_root.rstrip('/')}/{path}", zone="UTC", endpoint=endpoint), manual.SOURCE, kind="manual")
+
+
 # ---------------------------------------------------------------- syncs
 
 
@@ -110,30 +119,58 @@ def sync(store: SnapshotStore, raw_root: str, source: str, base_url: str, *, zon
 # ---------------------------------------------------------------- rebuild
 
 
-def rebuild(spark: SparkSession, raw_root: str, target: str, *, zone: str, biomarkers: dict[str, list[str]] | None = None, staging: str | None = None) -> SnapshotStore:
-    """A fresh store from every verified artifact, in fixed order; ``target`` must not hold one yet.
+#: The route of archives whose members are artifacts of their own.
+PARENT = "parent"
+
+
+def route_of() -> Column:
+    """The route of an artifact by its manifest; null if there is none."""
+    source, kind = F.col("source"), F.lower(F.trim(F.substring_index(F.coalesce("content_type", F.lit("")), ";", 1)))
+    withings_ = F.when(kind == "text/csv", "withings_export").when(kind == "application/json", "withings_api").when(F.col("endpoint") == "export/archive", PARENT)
+    entry = F.when(F.col("endpoint").isin(*manual.FIELDS), "manual")
+    return F.when(source == "withings", withings_).when(source == manual.SOURCE, entry).when(source.isin("oura", "apple_health", "labs"), source)
+
+
+def rebuild(spark: SparkSession, raw_root: str, target: str, *, zone: str, biomarkers: dict[str, list[str]] | None = None, staging: str | None = None, priorities: DataFrame | None = None) -> SnapshotStore:
+    """A fresh store from every verified artifact, in fixed order; ``target`` must not exist, and does not after an error.
 
     The pages of an endpoint are one read and one merge, in which the later page of a key wins, as when merged in turn; their
     bytes go from the verified read to the normalizer, and only the names of the endpoints come to the driver.  Imported files
-    are verified before any of them is read, and then read one by one.  An altered artifact is an error, whatever it holds.
+    are verified before any of them is read, and then read one by one.  An altered artifact is an error, whatever it holds, and
+    so are an artifact that no route takes and a raw store without any.  Refused pages and archives whose members are artifacts
+    of their own are passed over.
     """
     store = SnapshotStore(spark, target)
-    if any(store.version(k) for k in schemas.LEDGERS):
+    if store.files.exists():
         raise FileExistsError(target)
-    artifacts = raw_store.verified(spark, raw_root).where(F.col("http_status").between(200, 299))
-    route = F.when((F.col("source") == "withings") & F.col("content_type").contains("csv"), "withings_export").when(F.col("source") == "withings", "withings_api").otherwise(F.col("source"))
-    artifacts = artifacts.withColumn("route", route)
-    paged = F.col("route").isin(*PAGED)
-    found = raw_store.listing(spark, raw_root).where(F.col("http_status").between(200, 299)).withColumn("route", route)
-    groups = {r: [] for r in PAGED}
-    for g in found.where(paged).groupBy("route", "source", "endpoint").count().orderBy("source", "endpoint").collect():  # a row an endpoint
-        groups[g["route"]].append(g)
-    files = artifacts.where(~paged).select("route", "source", "path").orderBy("path").collect()  # a path an imported file
-    for r in ROUTES:
-        for g in groups.get(r, ()):
-            pages = artifacts.where((F.col("route") == r) & (F.col("source") == g["source"]) & F.col("endpoint").eqNullSafe(g["endpoint"])).select("path", "content")
-            ingest(store, normalize(spark, r, pages, zone=zone, endpoint=g["endpoint"]), g["source"], kind="api", raw=g["count"])
-        for f in files:
-            if f["route"] == r:
-                ingest(store, normalize(spark, r, f["path"], zone=zone, biomarkers=biomarkers, staging=staging), f["source"])
+    good = F.col("http_status").between(200, 299)
+    found = raw_store.listing(spark, raw_root).where(good).groupBy(route_of().alias("route"), "source", "endpoint").count().orderBy("source", "endpoint").collect()  # a row an endpoint
+    if lost := [f"{g['source']} {g['endpoint']}" for g in found if g["route"] is None]:
+        raise ValueError(f"no route for {', '.join(lost)}")
+    if not any(g["route"] != PARENT for g in found):
+        raise ValueError(f"no artifacts in {raw_root}")
+    artifacts = raw_store.verified(spark, raw_root).where(good).withColumn("route", route_of())
+    try:
+        files = artifacts.where(F.col("route").isin(*set(ROUTES) - set(PAGED))).select("route", "source", "path").orderBy("path").collect()  # a path an imported file
+        if priorities is not None:
+            state.set_priorities(store, priorities)
+        for r in ROUTES:
+            for g in found:
+                if g["route"] == r and r in PAGED:
+                    pages = artifacts.where((F.col("route") == r) & (F.col("source") == g["source"]) & F.col("endpoint").eqNullSafe(g["endpoint"])).select("path", "content")
+                    ingest(store, normalize(spark, r, pages, zone=zone, endpoint=g["endpoint"]), g["source"], kind="manual" if r == "manual" else "api", raw=g["count"])
+            for f in files:
+                if f["route"] == r:
+                    ingest(store, normalize(spark, r, f["path"], zone=zone, biomarkers=biomarkers, staging=staging), f["source"])
+    except Exception:
+        if store.files.exists():
+            store.files.delete("")  # it was not there before
+        raise
     return store
+
+
+def totals(store: SnapshotStore) -> dict[str, int]:
+    """What the runs of a store have read and changed, all together."""
+    names = ("raw_count", "normalized_count", "inserted_count", "updated_count", "duplicate_count", "rejected_count")
+    row = store.read("ingestion_runs").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n.removesuffix("_count")) for n in names]).first()
+    return row.asDict()

@@ -41,7 +41,8 @@ KEYS |= {"sources": ["name"], "devices": ["source", "vendor_device_id"], "ingest
 TECHNICAL = {"ingestion_run_id", "raw_file"}
 # The closed vocabularies.
 QUALITIES = ("valid", "suspect", "invalid")
-WORKOUT_TYPES = ("resistance", "walking", "running", "cycling", "rowing", "swimming", "elliptical", "mobility", "sports", "other")
+WORKOUT_TYPES = ("resistance", "walking", "running", "cycling", "rowing", "swimming", "rucking", "elliptical", "mobility", "sports", "other")
+EVENT_TYPES = ("alcohol", "illness", "travel", "injury", "supplement_change", "diet_change", "training_change", "medication_change", "other")
 
 
 def semantic_columns(ledger: str) -> list[str]:
@@ -75,25 +76,61 @@ def empty(spark: SparkSession, schema: StructType) -> DataFrame:
     return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 
+#: Ledger -> (column, least, most, whether the least itself is allowed) of numbers that may be missing; they must be finite.
+BOUNDS: dict[str, list[tuple[str, float | None, float | None, bool]]] = {
+    "observations": [("original_value", None, None, True)],
+    "blood_pressure": [("systolic_mmhg", 0, None, False), ("diastolic_mmhg", 0, None, False), ("pulse_bpm", 0, None, False), ("measurement_number", 1, None, True)],
+    "sleep_sessions": [
+        *[(f"{k}_seconds", 0, None, True) for k in ("time_in_bed", "total_sleep", "awake", "light", "deep", "rem", "latency")],
+        *[(k, 0, 100, True) for k in ("efficiency_pct", "sleep_score")],
+        *[(k, 0, None, False) for k in ("resting_hr_bpm", "lowest_hr_bpm", "respiratory_rate")],
+        ("average_hrv_rmssd_ms", 0, None, True),
+    ],
+    "workouts": [("duration_seconds", 0, None, True), ("rpe", 0, 10, True), ("distance_m", 0, None, True), ("energy_kcal", 0, None, True), ("average_hr_bpm", 0, None, False), ("max_hr_bpm", 0, None, False)],
+    "lab_results": [(k, None, None, True) for k in ("numeric_value", "reference_low", "reference_high")],
+    "events": [("value", None, None, True)],
+}
+
+
+def _infinite(name: str) -> Column:
+    v = F.col(name).cast("double")
+    return F.isnan(v) | (F.abs(v) == float("inf"))
+
+
+def _out_of_bounds(ledger: str) -> list[tuple[Column, str]]:
+    out = []
+    for name, least, most, closed in BOUNDS[ledger]:
+        bad = _infinite(name)  # of nulls each of these is null, which is no reason
+        if least is not None:
+            bad = bad | (F.col(name) < least if closed else F.col(name) <= least)
+        if most is not None:
+            bad = bad | (F.col(name) > most)
+        out.append((bad, name))
+    return out
+
+
 def _reasons(ledger: str) -> list[tuple[Column, str]]:
     c = F.col
+    absent = lambda *names: [(c(n).isNull(), n) for n in names]
     if ledger == "observations":
-        return [(c("metric").isNull(), "metric"), (c("observed_at").isNull(), "observed_at"), (c("value").isNull() | F.isnan("value"), "value"), (~c("quality").isin(*QUALITIES), "quality"), (c("observed_until") < c("observed_at"), "observed_until")]
-    if ledger == "blood_pressure":
-        return [(c("measured_at").isNull(), "measured_at"), (~(c("systolic_mmhg") > 0) | c("systolic_mmhg").isNull(), "systolic"), (~(c("diastolic_mmhg") > 0) | c("diastolic_mmhg").isNull(), "diastolic"), (c("pulse_bpm") <= 0, "pulse"), (~c("quality").isin(*QUALITIES), "quality")]
-    if ledger == "sleep_sessions":
-        return [(c("sleep_date").isNull(), "sleep_date"), (c("ended_at") < c("started_at"), "ended_at"), *[(c(f"{k}_seconds") < 0, k) for k in ("time_in_bed", "total_sleep", "awake", "light", "deep", "rem")]]
-    if ledger == "workouts":
+        own = [(F.coalesce(c("metric") == "", F.lit(True)), "metric"), *absent("observed_at"), (c("value").isNull() | _infinite("value"), "value"), (~c("quality").isin(*QUALITIES), "quality"), (c("observed_until") < c("observed_at"), "observed_until")]
+    elif ledger == "blood_pressure":
+        own = [*absent("measured_at", "systolic_mmhg", "diastolic_mmhg"), (~c("quality").isin(*QUALITIES), "quality")]
+    elif ledger == "sleep_sessions":
+        own = [*absent("sleep_date", "started_at"), (c("ended_at").isNull() | (c("ended_at") < c("started_at")), "ended_at")]
+    elif ledger == "workouts":
         elapsed = F.unix_seconds("ended_at") - F.unix_seconds("started_at")
-        return [(~c("workout_type").isin(*WORKOUT_TYPES) | c("workout_type").isNull(), "workout_type"), (c("duration_seconds") < 0, "duration"), (F.abs(elapsed - c("duration_seconds")) > 1, "duration_mismatch"), (~c("rpe").between(0, 10), "rpe"), (c("ended_at") < c("started_at"), "ended_at")]
-    if ledger == "lab_results":
-        return [(c("original_name").isNull(), "name"), (c("numeric_value").isNull() & c("text_value").isNull(), "value"), (c("reference_low") > c("reference_high"), "reference_range")]
-    return [(c("event_type").isNull(), "event_type"), (c("started_at").isNull(), "started_at"), (c("ended_at") < c("started_at"), "ended_at")]
+        own = [(~c("workout_type").isin(*WORKOUT_TYPES) | c("workout_type").isNull(), "workout_type"), *absent("started_at", "duration_seconds"), (F.abs(elapsed - c("duration_seconds")) > 1, "duration_mismatch"), (c("ended_at").isNull() | (c("ended_at") < c("started_at")), "ended_at")]
+    elif ledger == "lab_results":
+        own = [(F.coalesce(c("original_name") == "", F.lit(True)), "name"), (c("numeric_value").isNull() & (F.coalesce(c("text_value"), F.lit("")) == ""), "value")]
+    else:
+        own = [(F.coalesce(c("event_type") == "", F.lit(True)), "event_type"), *absent("started_at"), (c("ended_at") < c("started_at"), "ended_at")]
+    return own + _out_of_bounds(ledger)
 
 
 def judge(df: DataFrame, ledger: str) -> DataFrame:
     """Rows with ``reasons``: what is wrong with each, empty if it is valid."""
-    shared = [(F.col("source").isNull(), "source"), (F.col("source_record_id").isNull(), "source_record_id")]
+    shared = [(F.coalesce(F.col(n) == "", F.lit(True)), n) for n in ("source", "source_record_id")]
     reasons = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for bad, name in [*shared, *_reasons(ledger)]]))
     return df.withColumn("reasons", reasons)
 

@@ -69,10 +69,11 @@ def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(plain(F.col("path")).alias("path"), "content")
 
 
-def parsed(pages: DataFrame, schema: str) -> DataFrame:
-    """The JSON document of each page as a struct ``_page``, and its path as the position; what does not fit is an error."""
+def parsed(pages: DataFrame, schema: str, *kept: str) -> DataFrame:
+    """The JSON document of each page as a struct ``_page``, its path as the position, and columns to be kept; what does not fit
+    is an error."""
     text = F.regexp_replace(F.decode("content", "utf-8"), "^\ufeff", "")
-    return pages.select(F.from_json(text, schema, {"mode": "FAILFAST"}).alias("_page"), position(F.col("path"), F.lit(0)))
+    return pages.select(F.from_json(text, schema, {"mode": "FAILFAST"}).alias("_page"), *kept, position(F.col("path"), F.lit(0)))
 
 
 def verified(spark: SparkSession, root: str, source: str | None = None) -> DataFrame:
