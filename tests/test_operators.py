@@ -159,3 +159,21 @@ def test_dense_selection_keeps_ties_and_null_keys(spark):
     assert sorted(r.v for r in select.select_by_priority(df, ["k"], ["p", "s"]).collect()) == [1, 2, 4, 6]
     plan = select.select_by_priority(df, ["k"], ["p", "s"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+@pytest.mark.parametrize("cell", [None, 50.0, 86_400.0])
+def test_couples_meet_once_and_in_order(spark, cell):
+    rng = random.Random(5)
+    rows = []
+    for i in range(200):
+        a = rng.choice([0, 299, 300, 301, 600]) if i % 4 == 0 else rng.randrange(-9_000, 9_000)
+        rows.append((i, i % 2, at(a), at(a + rng.choice([0, 1, 50, 1000, 9_000, -700]))))
+    rows += [(900, 0, at(-10 * 365 * 86_400), at(5_000)), (901, 0, None, at(1)), (902, 1, at(5), None)]
+    df = spark.createDataFrame(rows, "i int, k int, a timestamp, b timestamp")
+    begun = [r for r in rows if r[2]]
+    before = lambda x, y: x[1] == y[1] and (x[2], x[0]) < (y[2], y[0])
+    near = [(r.a_i, r.b_i) for r in pairs.near_couples(df, "a", 300, "i", equal=["k"]).collect()]
+    assert sorted(near) == sorted((x[0], y[0]) for x in begun for y in begun if before(x, y) and (y[2] - x[2]).total_seconds() <= 300)
+    over = [(r.a_i, r.b_i) for r in pairs.overlap_couples(df, "a", "b", "i", cell_seconds=cell, equal=["k"]).collect()]
+    whole = [r for r in begun if r[3]]
+    assert sorted(over) == sorted((x[0], y[0]) for x in whole for y in whole if before(x, y) and x[2] < y[3] and y[2] < x[3])

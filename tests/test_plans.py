@@ -57,3 +57,10 @@ def test_no_python_in_any_plan(spark):
     for name in catalog.QUERIES:
         text = plan(spark, name)
         assert "Python" not in text and "InArrow" not in text and "InPandas" not in text, name
+
+
+def test_links_bring_names_to_their_form_before_the_join(spark):
+    """A regular expression in the test of a pair runs for all rows that meet, which are the square of those in a cell."""
+    for name in ("links_of_observations", "links_of_blood_pressure", "links_of_sleep", "links_of_workouts"):
+        joins = [line for line in physical(catalog.QUERIES[name](spark, SF)).split("\n") if "Join" in line and "a_id" in line]
+        assert joins and not any("regexp" in line for line in joins), name
