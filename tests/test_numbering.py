@@ -69,3 +69,12 @@ def test_edges(spark):
     assert numbering.number_rows(odd, ["_n"], "i").orderBy("i").first()["_n"] == "a"
     with pytest.raises(ValueError):
         numbering.every_nth(odd, ["m"], 2)
+
+
+def test_a_row_is_compared_with_few_bounds(table):
+    """Steps that halve the bounds: 149 bounds take eight comparisons, and give the range that comparing with all of them gives."""
+    r = numbering._Ranges(table.select("k", "at", "id"), ["k", "id"], 2_000)
+    assert r.buckets == 150 and "filter(" not in str(r.bucket) and "aggregate(" in str(r.bucket)
+    bounds = r._bounds(300_000)
+    all_of_them = F.size(F.filter(F.array(*map(r._literal, bounds)), lambda b: b <= r._key()))
+    assert r.plain.where(r.bucket != all_of_them).isEmpty()
