@@ -256,3 +256,13 @@ def test_a_folder_of_exports_may_be_of_any_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(withings, "MAX_TOTAL_BYTES", 20)
     with pytest.raises(ValueError, match="oversized"):
         withings.export_files(spark, str(folder), str(tmp_path / "again"))
+
+
+def test_many_small_members_share_tasks(spark):
+    """Tasks follow the cores and the bytes, not the number of members."""
+    from tidemark.sources import archives
+
+    cores = spark.sparkContext.defaultParallelism
+    assert archives._tasks(spark, 54_000, 54_000 * 20_000) == archives.TASKS * cores
+    assert archives._tasks(spark, 2) == 2 and archives._tasks(spark, 0) == 1
+    assert archives._tasks(spark, 500, 100 * archives.TASK_BYTES + 1) == max(archives.TASKS * cores, 101)

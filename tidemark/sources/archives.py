@@ -1,4 +1,4 @@
-"""ZIP archives unpacked by tasks: a partition for each member, streamed into a folder that all executors share.
+"""ZIP archives unpacked by tasks: each member is streamed into a folder that all executors share.
 
 Spark has no ZIP codec, and its readers want files; so the members that are asked for become files, and the readers split and
 parse those as any others.  Names of members are never used as paths.
@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 from . import worker_files
 
 
+#: Tasks of a core, and bytes that a task should unpack where that makes more of them.
+TASKS, TASK_BYTES = 4, 64 << 20
+
+
+def _tasks(spark: SparkSession, items: int, size: int = 0) -> int:
+    """As many tasks as keep the cores busy or the bytes ask for: a task has many small members, and a large one to itself."""
+    return max(1, min(items, max(TASKS * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
+
+
 def listing(spark: SparkSession, archives: list[str], *, most_entries: int) -> DataFrame:
     """(archive, member, size, encrypted) of many archives, in one job that reads their directories alone."""
 
@@ -22,7 +31,7 @@ def listing(spark: SparkSession, archives: list[str], *, most_entries: int) -> D
             rows = [(a, *m) for a in batch["archive"] for m in _checked(a, worker_files.members(a), most_entries)]
             yield _frame(rows, ["archive", "member", "size", "encrypted"])
 
-    given = spark.createDataFrame([(a,) for a in archives], "archive string").repartition(max(1, min(len(archives), 4096)), "archive")
+    given = spark.createDataFrame([(a,) for a in archives], "archive string").repartition(_tasks(spark, len(archives)), "archive")
     return given.mapInPandas(read, "archive string, member string, size bigint, encrypted boolean")
 
 
@@ -69,6 +78,6 @@ def unpack(spark: SparkSession, archives: list[str], staging: str, wanted: str,
                 rows.append((archive, member, target, *worker_files.extract(archive, member, target, most_bytes)))
             yield _frame(rows, ["archive", "member", "path", "size", "sha256"])
 
-    chosen = spark.createDataFrame([(r["archive"], r["member"]) for r in found], "archive string, member string").repartition(len(found), "archive", "member")
+    chosen = spark.createDataFrame([(r["archive"], r["member"]) for r in found], "archive string, member string").repartition(_tasks(spark, len(found), sum(r["size"] for r in found)), "archive", "member")
     done = chosen.mapInPandas(extract, "archive string, member string, path string, size bigint, sha256 string").collect()  # a row a member
     return sorted((r.asDict() for r in done), key=lambda r: (r["archive"], r["member"]))
