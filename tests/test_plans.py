@@ -64,3 +64,9 @@ def test_links_bring_names_to_their_form_before_the_join(spark):
     for name in ("links_of_observations", "links_of_blood_pressure", "links_of_sleep", "links_of_workouts"):
         joins = [line for line in physical(catalog.QUERIES[name](spark, SF)).split("\n") if "Join" in line and "a_id" in line]
         assert joins and not any("regexp" in line for line in joins), name
+
+
+def test_theta_pairs_look_forward_only(spark):
+    """A row lists the quarter cells that it reaches forward, so each couple meets once."""
+    text = plan(spark, "theta_pairs")
+    assert "sequence(" in text and "NestedLoop" not in text and "Cartesian" not in text
