@@ -4,6 +4,7 @@ from datetime import UTC, date, datetime
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.plans.export import SnapshotStore, export_datasets
@@ -266,3 +267,26 @@ def test_many_small_members_share_tasks(spark):
     assert archives._tasks(spark, 54_000, 54_000 * 2_000) == max(archives.TASKS * cores, 2)  # 108 MB are two tasks by their bytes
     assert archives._tasks(spark, 2) == 2 and archives._tasks(spark, 0) == 1
     assert archives._tasks(spark, 500, 100 * archives.TASK_BYTES + 1) == max(archives.TASKS * cores, 101)
+
+
+def test_lab_rows_go_through_each_pattern_once(spark):
+    """Compiled code that repeats patterns grows beyond what the JIT takes, and every row is interpreted."""
+    from tidemark.plans.catalog import QUERIES
+
+    plan = QUERIES["lab_results_normalized"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sum(plan.count(f"{name}(") for name in ("regexp_replace", "regexp_extract", "rlike")) < 20
+
+
+def test_odd_lab_texts(spark):
+    from tidemark.functions import parse
+
+    given = [("2024-01-02", "1 - 2,5"), (" 2024-01-02 ", "<=5"), ("2024-01-02 08:30:00 +0200", ">\t-3"), ("2024-01-02T08:30:00Z", "≤ 7"), ("2024-13-45", "1.2.3-5"), ("noon", "-1–-0.5"), (None, "≥"), ("2024-01-02 08:30", "5"), ("", None)]
+    texts = spark.createDataFrame([(i, *g) for i, g in enumerate(given)], "i int, at string, range string")
+    low, high = parse.reference_range(F.col("range"))
+    seen = texts.select(F.unix_seconds(parse.lab_instant(F.col("at"), "Asia/Tokyo")).alias("at"), low.alias("low"), high.alias("high")).orderBy("i").collect()
+    day = 1_704_153_600  # 2024-01-02
+    assert [r["at"] for r in seen] == [day + 3 * 3600, day + 3 * 3600, day + 6 * 3600 + 1800, day + 8 * 3600 + 1800, None, None, None, day - 1800, None]
+    assert [(r["low"], r["high"]) for r in seen] == [(None, None), (None, 5), (-3, None), (None, 7), (None, 5), (-1, -0.5), (None, None), (None, None), (None, None)]
+    numbers = spark.createDataFrame([(i, t) for i, t in enumerate(["1,234.5", "1 234", " 2 5 ", "NaN", "-Infinity", "x", "", None])], "i int, t string")
+    cells = numbers.select(parse.number(F.col("t"), thousands=True).alias("a"), parse.number(F.col("t")).alias("b")).orderBy("i").collect()
+    assert [(r["a"], r["b"]) for r in cells] == [(1234.5, None), (1234, 1234), (25, 25)] + [(None, None)] * 5
