@@ -6,10 +6,11 @@ import random
 import subprocess
 import sys
 import time
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.plans import rebuild, state
@@ -171,9 +172,33 @@ def test_a_rebuild_refuses_altered_artifacts(spark, tmp_path, kind):
     assert "sha2" in plan and "raise_error" in plan
 
 
+def test_many_pages_are_few_files(spark, tmp_path):
+    """Pages saved at once are rows of packs; beside single files the later of a key still wins, and a changed byte is found."""
+    raw, at = tmp_path / "raw", datetime(2025, 3, 4, tzinfo=UTC)
+    rows = [("daily_activity", at + timedelta(seconds=n), json.dumps(page(n, key=f"k{n % 200}")).encode()) for n in range(400)]
+    pages = spark.createDataFrame(rows, "endpoint string, retrieved_at timestamp, content binary").repartition(2)
+    raw_store.save_pages(pages, str(raw), "oura")
+    assert len([p for p in raw.rglob("*.parquet")]) <= 2
+    held = rebuild.rebuild(spark, str(raw), str(tmp_path / "packs"), zone="UTC").read("observations")
+    assert sorted(r.value for r in held.collect()) == list(range(200, 400))
+    raw_store.save(str(raw), "oura", "daily_activity", json.dumps(page(1000, key="k7")).encode(), retrieved_at=at + timedelta(days=1))
+    raw_store.save(str(raw), "oura", "daily_activity", json.dumps(page(2000, key="k8")).encode(), retrieved_at=at - timedelta(days=1))
+    for source in (None, "oura"):
+        listed = raw_store.listing(spark, str(raw), source).collect()
+        assert len(listed) == 402 == len({r.path for r in listed}) and [r.path for r in listed] == sorted(r.path for r in listed)
+        assert raw_store.verified(spark, str(raw), source).where("length(content) = content_length").count() == 402
+    values = [r.value for r in rebuild.rebuild(spark, str(raw), str(tmp_path / "both"), zone="UTC").read("observations").collect()]
+    assert 1000 in values and 2000 not in values and len(values) == 200
+    pack = raw_store.PACKS + "/oura/altered"
+    spark.read.parquet(f"{raw}/{raw_store.PACKS}/oura/*").limit(1).withColumn("content", F.lit(b"{}")).write.parquet(f"{raw}/{pack}")
+    with pytest.raises(Exception, match="altered artifact"):
+        rebuild.rebuild(spark, str(raw), str(tmp_path / "s"), zone="UTC")
+    assert not (tmp_path / "s").exists()
+
+
 ZONED = """
 import sys
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 sys.path.insert(0, sys.argv[2])
 from tidemark.plans import state
 from tidemark.plans.store import SnapshotStore

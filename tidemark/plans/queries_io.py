@@ -92,23 +92,19 @@ def stream_sessions(spark, sf_dir):
 
 # ---------------------------------------------------------------- raw artifacts
 
+#: When the first artifact was retrieved, in seconds: 2024-01-01.
+_FIRST = 1_704_067_200
 
-def _save(pages: DataFrame, root: str, source: str, **more) -> None:
-    """Tasks save each row (endpoint, at, text) as an artifact; one that runs again saves its pages again, under other names."""
-
-    def save(batches):
-        import pandas as pd
 
-        for batch in batches:
-            made = [raw_store.save_in_task(root, source, e, t.encode(), retrieved_at=datetime(2024, 1, 1, tzinfo=UTC) + timedelta(seconds=int(s)), **more) for e, s, t in zip(batch["endpoint"], batch["at"], batch["text"], strict=True)]
-            yield pd.DataFrame({"path": made})
-
-    pages.select("endpoint", "at", "text").mapInPandas(save, "path string").write.format("noop").mode("overwrite").save()
+def _save(pages: DataFrame, root: str, source: str, **more) -> None:
+    """Each row (endpoint, at, text) becomes an artifact."""
+    at = F.timestamp_seconds(F.lit(_FIRST) + F.col("at"))
+    raw_store.save_pages(pages.select("endpoint", at.alias("retrieved_at"), F.col("text").cast("binary").alias("content")), root, source, **more)
 
 
 @query("SELECT 'pages/' || page_id // 100 AS endpoint, 'text/html' AS content_type, CAST(strlen(string_agg(coalesce(html, ''), chr(10) ORDER BY page_id)) AS BIGINT) AS content_length, sha256(string_agg(coalesce(html, ''), chr(10) ORDER BY page_id)) AS sha256 FROM pages GROUP BY page_id // 100")
 def raw_artifacts(spark, sf_dir):
-    """A hundred pages an artifact: saved by tasks, listed by their manifests, and read through their check."""
+    """A hundred pages an artifact: saved in packs, listed by their manifests, and read through their check."""
     root, p = workspace(spark), load(spark, sf_dir, "pages")
     number = F.floor(F.col("page_id") / 100).cast("bigint")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("page_id", F.coalesce("html", F.lit("")).alias("html")))), lambda x: x["html"])

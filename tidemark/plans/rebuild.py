@@ -151,7 +151,8 @@ def rebuild(spark: SparkSession, raw_root: str, target: str, *, zone: str, bioma
         raise ValueError(f"no artifacts in {raw_root}")
     artifacts = raw_store.verified(spark, raw_root).where(good).withColumn("route", route_of())
     try:
-        files = artifacts.where(F.col("route").isin(*set(ROUTES) - set(PAGED))).select("route", "source", "path").orderBy("path").collect()  # a path an imported file
+        imported = set(ROUTES) - set(PAGED)
+        files = [] if imported.isdisjoint(g["route"] for g in found) else artifacts.where(F.col("route").isin(*imported)).select("route", "source", "path").orderBy("path").collect()  # a path an imported file
         if priorities is not None:
             state.set_priorities(store, priorities)
         for r in ROUTES:

@@ -1,4 +1,7 @@
-"""Append-only store of raw artifacts: exact bytes beside a manifest, written once, verified when read."""
+"""Append-only store of raw artifacts: exact bytes beside a manifest, written once, verified when read.
+
+An artifact is a file with its manifest, or, if many are saved at once, a row of a pack that holds both.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ import json
 import re
 import uuid
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,9 @@ from . import worker_files
 from .files import Files
 
 MANIFEST = "source string, endpoint string, retrieved_at timestamp, content_type string, http_status int, sha256 string, content_length bigint, request_metadata string"
+#: Folder of the packs below the root; by its underscore readers of single files pass it over.
+PACKS = "_packs"
+PACK = f"path string, {MANIFEST}, content binary"
 _SECRET = re.compile(r"token|secret|password|authorization|api[_-]?key|cookie|signature|nonce|client_id|code$", re.I)
 
 
@@ -51,12 +58,43 @@ def save_in_task(root: str, source: str, endpoint: str, content: bytes, **more)
     return name
 
 
-def listing(spark: SparkSession, root: str, source: str | None = None) -> DataFrame:
-    """Manifests with the path of their artifact, in path order."""
+def save_pages(pages: DataFrame, root: str, source: str, *, extension: str = "json", content_type: str = "application/json", http_status: int = 200, request_metadata: dict | None = None) -> None:
+    """``save`` for a frame of documents (endpoint, retrieved_at, content): as rows of Parquet, so that the number of files follows
+    the bytes and not the documents.  Imported files, which are read by their paths, are saved one by one.  The session zone must be
+    UTC."""
+    at, content = F.col("retrieved_at"), F.col("content")
+    slug = F.regexp_replace(F.regexp_replace(F.lower("endpoint"), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    slug = F.when(slug == "", "artifact").otherwise(slug)
+    name = F.concat(F.lit(f"{source}/"), F.date_format(at, "yyyy/MM/dd/"), slug, F.date_format(at, "'__'yyyyMMdd'T'HHmmssSSSSSS'Z__'"), F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit(f".{extension}"))
+    manifest = {"source": F.lit(source), "endpoint": F.col("endpoint"), "retrieved_at": at, "content_type": F.lit(content_type), "http_status": F.lit(http_status), "sha256": F.sha2(content, 256), "content_length": F.length(content).cast("bigint"), "request_metadata": F.lit(json.dumps(redact(request_metadata or {}), sort_keys=True))}
+    rows = pages.select(name.alias("path"), *[c.alias(n) for n, c in manifest.items()], content.alias("content"))
+    rows.write.parquet(f"{root.rstrip('/')}/{PACKS}/{source}/{uuid.uuid4().hex}")
+
+
+def _single(spark: SparkSession, root: str, source: str | None) -> DataFrame:
+    """Manifests of single files with the path of their artifact."""
     where = f"{root}/{source}" if source else root
     files = spark.read.schema(MANIFEST).option("recursiveFileLookup", True).option("pathGlobFilter", "*.manifest.json").json(where)
     path = F.regexp_replace(F.col("_metadata.file_path"), "\\.manifest\\.json$", "")
-    return files.select(path.alias("path"), *files.columns).orderBy("path")
+    return files.select(path.alias("path"), *files.columns)
+
+
+def _packed(spark: SparkSession, root: str, source: str | None) -> tuple[DataFrame | None, bool]:
+    """(Artifacts of packs with their bytes, or None without a pack; whether there can be single files)."""
+    files, where = Files(spark, root), f"{PACKS}/{source}" if source else PACKS
+    if not files.exists(where):
+        return None, True
+    rows = spark.read.schema(PACK).option("recursiveFileLookup", True).parquet(f"{files.root}/{where}")
+    alone = any(n != PACKS for n in files.names()) if source is None else files.exists(source)
+    return rows.withColumn("path", F.concat(F.lit(f"{files.root}/"), "path")), alone
+
+
+def listing(spark: SparkSession, root: str, source: str | None = None) -> DataFrame:
+    """Manifests with the path of their artifact, in path order."""
+    packed, alone = _packed(spark, root, source)
+    parts = [_single(spark, root, source)] if alone else []
+    parts += [] if packed is None else [packed.drop("content")]
+    return reduce(DataFrame.unionByName, parts).orderBy("path")
 
 
 def plain(path: Column) -> Column:
@@ -82,10 +120,14 @@ def verified(spark: SparkSession, root: str, source: str | None = None) -> DataF
     The check is in the path and in the content, so whoever reads either runs it: no column can be selected that leads to an
     artifact and leaves the check out.  A manifest without its artifact is an error too.
     """
-    where = f"{root}/{source}" if source else root
-    blobs = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where).where(~F.col("path").endswith(".manifest.json"))
-    blobs = blobs.select(plain(F.col("path")).alias("path"), "length", "content")
-    joined = listing(spark, root, source).withColumn("path", plain(F.col("path"))).join(blobs, "path", "left")
+    packed, alone = _packed(spark, root, source)
+    parts = [] if packed is None else [packed.withColumns({"path": plain(F.col("path")), "length": F.length("content").cast("bigint")})]
+    if alone:
+        where = f"{root}/{source}" if source else root
+        blobs = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where).where(~F.col("path").endswith(".manifest.json"))
+        blobs = blobs.select(plain(F.col("path")).alias("path"), "length", "content")
+        parts.append(_single(spark, root, source).withColumn("path", plain(F.col("path"))).join(blobs, "path", "left"))
+    joined = reduce(DataFrame.unionByName, parts)
     ok = F.coalesce((F.sha2("content", 256) == F.col("sha256")) & (F.col("length") == F.col("content_length")), F.lit(False))
     checked = lambda c, kind: F.when(ok, F.col(c)).otherwise(F.raise_error(F.concat(F.lit("altered artifact: "), F.col("path"))).cast(kind))
     return joined.withColumns({"path": checked("path", "string"), "content": checked("content", "binary")}).drop("length")
