@@ -220,3 +220,17 @@ def test_the_watermark_does_not_depend_on_the_drivers_zone(tmp_path, zone):
     env = {**os.environ, "TZ": zone, "PYTHONPATH": str(ROOT)}
     got = subprocess.run([sys.executable, "-c", ZONED, str(tmp_path / "s"), str(ROOT)], env=env, capture_output=True, text=True, timeout=300)
     assert "zone ok" in got.stdout, got.stderr[-2000:]
+
+
+def test_a_staged_batch_is_a_file_a_task(spark, tmp_path):
+    """Files do not grow with tasks times buckets; what a batch touches is told by its valid rows alone."""
+    store = SnapshotStore(spark, str(tmp_path))
+    given = spark.range(0, 4000, 1, 8).select(F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.concat(F.lit("k"), "id").alias("source_record_id"), F.lit("walk").alias("event_type"), F.when(F.col("id") % 4 > 0, F.timestamp_seconds("id")).alias("started_at"))
+    given = given.withColumn("source", F.when(F.col("started_at").isNull(), "z").otherwise(F.col("source")))
+    rejected, touched, first, last = store._stage("events", given, "r", 64, "staged-x")
+    valid = given.where("started_at is not null").select(SnapshotStore._bucket("events", 64).alias("b")).distinct().collect()
+    assert (rejected, first, last) == (1000, "s0", "s2") and touched == {str(r.b) for r in valid}
+    assert len(list((tmp_path / "events/staged-x").glob("*.parquet"))) <= 8
+    assert store._stage("events", given.where("started_at is null"), "r", 64, "staged-y") == (1000, set(), None, None)
+    counts = [store.merge("events", given.where(F.col("source") == s)) for s in ("s0", "s1", "s0")]
+    assert [c["inserted"] for c in counts] == [1000, 1000, 0] and counts[2]["duplicate"] == 1000 and store.read("events").count() == 2000
