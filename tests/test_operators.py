@@ -177,3 +177,24 @@ def test_couples_meet_once_and_in_order(spark, cell):
     over = [(r.a_i, r.b_i) for r in pairs.overlap_couples(df, "a", "b", "i", cell_seconds=cell, equal=["k"]).collect()]
     whole = [r for r in begun if r[3]]
     assert sorted(over) == sorted((x[0], y[0]) for x in whole for y in whole if before(x, y) and x[2] < y[3] and y[2] < x[3])
+
+
+def test_a_slice_of_too_many_rows_is_shared_by_tasks(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, i % 2, at(a := rng.choice([0, 1, 5, 290, 700])), at(a + rng.choice([0, 1, 50, 1000]))) for i in range(150)]
+    df = spark.createDataFrame(rows, "i int, k int, a timestamp, b timestamp")
+    found = {}
+    for most in (16_384, 7):
+        monkeypatch.setattr(pairs, "TASK_ROWS", most)
+        near, over = pairs.near_couples(df, "a", 300, "i", equal=["k"]), pairs.overlap_couples(df, "a", "b", "i", equal=["k"])
+        found[most] = [sorted((r.a_i, r.b_i) for r in x.collect()) for x in (near, over)]
+    assert found[7] == found[16_384] and all(len(set(x)) == len(x) > 1000 for x in found[7])
+
+
+def test_quick_rounding_is_that_of_decimals(spark):
+    rng = random.Random(7)
+    values = [0.0, -0.0, 0.00005, -0.00005, 0.83335, 0.83345, 2.5e-5, 1e300, -1e12, float("nan"), float("inf"), None]
+    values += [k / 1e5 + e for k in range(-50, 50) for e in (0.0, 1e-8, -1e-15, 1e-17)] + [rng.random() for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    bad = df.where(~scalar.rounded(F.col("v"), 4).eqNullSafe(F.round("v", 4)))
+    assert bad.count() == 0

@@ -70,3 +70,14 @@ def test_theta_pairs_look_forward_only(spark):
     """A row lists the quarter cells that it reaches forward, so each couple meets once."""
     text = plan(spark, "theta_pairs")
     assert "sequence(" in text and "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_couples_travel_once_a_slice(spark):
+    """Both sides of a join of couples are dealt by its keys and nothing travels again."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("links_of_sleep", "theta_pairs"):
+            text = physical(catalog.QUERIES[name](spark, SF))
+            assert text.count("REPARTITION_BY_NUM") == 2 and not any(f"hashpartitioning({x}_" in text for x in "ab"), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
